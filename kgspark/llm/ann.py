@@ -35,7 +35,9 @@ class Settings:
     bits: int = 8
     #: Cells on either side that a query visits, as a share of all cells: recall against work.
     share: float = 0.05
-    least_cells: int = 40
+    cells: int = 40
+    #: Few rows make fewer cells of at least this many, many rows more cells of at most that many.
+    least_rows: int = 64
     cell_rows: int = 4096
     #: Rows of the sample on which the centre and the scales are fitted; the index itself holds every row.
     sample: int = 10_000
@@ -157,16 +159,16 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", s: Settings =
     total = classes.count()
     sample = _matrix(classes.orderBy("v2", "v1").limit(s.sample).select("v").toArrow().column(0).combine_chunks()).astype(np.float64)
     curves = common.broadcast(spark, fit(sample, s))
-    cells = max(s.least_cells, -(-total // s.cell_rows))
+    cells = max(1, min(s.cells, total // s.least_rows), -(-total // s.cell_rows))
 
     def keyed(batches):  # noqa: ANN001, ANN202
         for b in batches:
             keys = curves.value.keys(_matrix(b.column(0)).astype(np.float64), b.column(1).to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(keys.shape[1], dtype=np.int32), len(keys))), pa.array(keys.reshape(-1))], names=["curve", "key"])
 
-    cuts = [i / cells for i in range(1, cells)]
+    cuts = [i / cells for i in range(1, cells)] or [1.0]  # a single cell needs no cut, but the function needs one
     bounds = {r["curve"]: np.array(r["cuts"], dtype=np.int64) for r in classes.select("v", "v1").mapInArrow(keyed, "curve int, key long").groupBy("curve").agg(F.percentile_approx("key", cuts, 10_000).alias("cuts")).collect()}
-    held = common.broadcast(spark, [bounds[c] for c in range(s.curves)])
+    held = common.broadcast(spark, [bounds[c][: cells - 1] for c in range(s.curves)])
     reach = max(1, round(s.share * cells))
     placed_schema = common.arrow_schema("curve int, cell int, query boolean, v1 long, v2 long, v array<float>")
 
