@@ -29,6 +29,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from kgspark.operators.components import connected_components
 from kgspark.runtime import materialize
@@ -367,14 +368,14 @@ def keep_first(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id"
     stays. Texts without words all stay. Columns are as they were.
     """
     marked = near_duplicates(docs, s, id_col)
-    chosen = marked.where("is_first and node is not null").select(F.col("doc_id").alias("key"), "node").distinct()
+    chosen = marked.where("is_first and node is not null").select(F.col("doc_id").alias("kept_id_"), F.col("node").alias("kept_node_")).distinct()
     blank = F.coalesce(F.col("text"), F.lit("")).rlike(BLANK)
     empty, texts = docs.where(blank), docs.where(~blank)
-    schema = docs.schema.add("node_", "binary")
+    schema = StructType([*docs.schema.fields, StructField("node_", BinaryType())])
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         return cols | {"node_": [set_id(x) if len(x) else None for x in shingler(s.words)(cols["text"])]}
 
-    one = texts.join(chosen.select("key"), F.col(id_col).eqNullSafe(F.col("key")), "left_semi")
-    one = common.map_batches(one, run, schema).join(chosen, F.col(id_col).eqNullSafe(F.col("key")) & (F.col("node_") == F.col("node")), "left_semi")
+    one = texts.join(chosen.select("kept_id_"), F.col(id_col).eqNullSafe(F.col("kept_id_")), "left_semi")
+    one = common.map_batches(one, run, schema).join(chosen, F.col(id_col).eqNullSafe(F.col("kept_id_")) & (F.col("node_") == F.col("kept_node_")), "left_semi")
     return one.dropDuplicates([id_col, "node_"]).drop("node_").unionByName(empty)
