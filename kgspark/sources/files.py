@@ -27,7 +27,7 @@ def watch_uploads(spark: SparkSession, folder: str, handle: Callable[[DataFrame,
 
     Exactly-once needs ``handle`` to be idempotent by (path, content_hash).
     """
-    stream = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.md").load(folder)
+    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.md").load(folder)
     rows = stream.select(F.md5(F.col("path").cast("binary")).alias("id"), "path", F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("content_hash"), F.lit("processing").alias("status"))
     return rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
