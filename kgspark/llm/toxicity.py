@@ -1,6 +1,7 @@
 """Toxicity: a convolutional text classifier trained in numpy.
 
-Words are hashed to embedding rows; filters of several widths slide over the
+Words are hashed to embedding rows, one for each hash value that at least a few
+sampled texts hold (all others share the padding row); filters of several widths slide over the
 text; each filter's largest value feeds a logistic output. Training runs on the
 driver over a bounded, stratified sample of labelled rows. For scoring, the
 product of the embedding table with each filter slice is taken once, so a text
@@ -31,13 +32,17 @@ class Settings:
 
     toxic_rows: int = 3000
     clean_rows: int = 5000
-    buckets: int = 1 << 15
+    #: Hash values, and sampled texts that must hold one for it to have a row of its own.
+    buckets: int = 1 << 20
+    least_texts: int = 3
     dim: int = 16
     widths: tuple[int, ...] = (1, 2, 3)
     filters: int = 8
     epochs: int = 6
     batch: int = 48
     rate: float = 0.01
+    #: Step of the embeddings, smaller since each row has few texts.
+    rate_rows: float = 0.003
     shrink: float = 4.0
     seed: int = 11
     #: Positive calibration rows below which a language uses the common threshold.
@@ -78,6 +83,8 @@ class Model:
     settings: Settings
     #: For each width, the embedding table times each slice of its filters.
     tables: list[list[np.ndarray]]
+    #: Row of each hash value.
+    rows: np.ndarray
     bias: list[np.ndarray]
     out: np.ndarray
     out_bias: float
@@ -90,6 +97,7 @@ class Model:
         s = self.settings
         gap = max(s.widths)
         flat, starts = padded(docs, gap)
+        flat = self.rows[flat]
         ends, pooled = len(flat) - gap, []
         for tables, bias in zip(self.tables, self.bias, strict=True):
             z = tables[0][flat[:ends]]
@@ -107,28 +115,31 @@ class Model:
 def constant(settings: Settings, rate: float) -> Model:
     """The model without labels of both kinds: the share of toxic labels as every score, and nothing rejected."""
     n = settings.filters * len(settings.widths)
-    tables = [[np.zeros((settings.buckets, settings.filters), np.float32) for _ in range(w)] for w in settings.widths]
+    tables = [[np.zeros((1, settings.filters), np.float32) for _ in range(w)] for w in settings.widths]
     p = min(max(rate, 1e-3), 0.25)
-    return Model(settings, tables, [np.zeros(settings.filters, np.float32) for _ in settings.widths], np.zeros(n, np.float32), float(np.log(p / (1 - p))))
+    return Model(settings, tables, np.zeros(settings.buckets, np.int32), [np.zeros(settings.filters, np.float32) for _ in settings.widths], np.zeros(n, np.float32), float(np.log(p / (1 - p))))
 
 
 class _Adam:
-    def __init__(self, params: list[np.ndarray], rate: float) -> None:
-        self.params, self.rate, self.t = params, rate, 0
+    def __init__(self, params: list[np.ndarray], rate: float, rate_rows: float) -> None:
+        self.params, self.rate, self.rate_rows, self.t = params, rate, rate_rows, 0
         self.m, self.v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
 
-    def step(self, grads: list[np.ndarray]) -> None:
+    def step(self, grads: list[np.ndarray], rows: np.ndarray) -> None:
+        """The first parameter is a table, of which only ``rows`` have gradients; its other rows wait."""
         self.t += 1
         fix = np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
-        for p, g, m, v in zip(self.params, grads, self.m, self.v, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            p -= self.rate * fix * m / (np.sqrt(v) + 1e-8)
+        for i, g in enumerate(grads):
+            at = rows if i == 0 else slice(None)
+            m = self.m[i][at] + 0.1 * (g - self.m[i][at])
+            v = self.v[i][at] + 0.001 * (g * g - self.v[i][at])
+            self.m[i][at], self.v[i][at] = m, v
+            self.params[i][at] -= (self.rate_rows if i == 0 else self.rate) * fix * m / (np.sqrt(v) + 1e-8)
 
 
-def _log_odds(docs: list, y: np.ndarray, weight: np.ndarray, s: Settings) -> np.ndarray:
-    """Shrunken log odds of the classes by presence of a word; 0 for words not seen."""
-    counts = np.zeros((2, s.buckets))
+def _log_odds(docs: list, y: np.ndarray, weight: np.ndarray, s: Settings, n: int) -> np.ndarray:
+    """Shrunken log odds of the classes by presence of a word."""
+    counts = np.zeros((2, n))
     for d, label, w in zip(docs, y, weight, strict=True):
         counts[int(label), np.unique(np.asarray(d, dtype=np.int64))] += w
     base = weight[y == 1].sum() / weight.sum()
@@ -142,6 +153,11 @@ def fit(docs: list, y: np.ndarray, langs: list[str | None], weight: np.ndarray,
     y = np.asarray(y, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return constant(s, float(y.mean()) if len(y) else 0.1)
+    raw_docs = docs
+    texts = np.bincount(np.concatenate([np.unique(np.asarray(d, dtype=np.int64)) for d in docs]), minlength=s.buckets)
+    texts[0] = 0
+    rows = np.where(texts >= s.least_texts, np.cumsum(texts >= s.least_texts), 0).astype(np.int32)
+    docs, n_rows = [rows[np.asarray(d, dtype=np.int64)] for d in docs], int(rows.max()) + 1
     rng = np.random.default_rng(s.seed)
     order = rng.permutation(len(y))
     held = np.zeros(len(y), dtype=bool)
@@ -152,8 +168,8 @@ def fit(docs: list, y: np.ndarray, langs: list[str | None], weight: np.ndarray,
     if y[train].min() == y[train].max():
         held[:], train = False, list(order)
 
-    odds = _log_odds([docs[i] for i in train], y[train], weight[train], s)
-    emb = (rng.standard_normal((s.buckets, s.dim)) * 0.1).astype(np.float32)
+    odds = _log_odds([docs[i] for i in train], y[train], weight[train], s, n_rows)
+    emb = (rng.standard_normal((n_rows, s.dim)) * 0.1).astype(np.float32)
     emb[:, 0] = odds
     emb[0] = 0
     filters = [(rng.standard_normal((w, s.dim, s.filters)) * 0.15).astype(np.float32) for w in s.widths]
@@ -163,7 +179,7 @@ def fit(docs: list, y: np.ndarray, langs: list[str | None], weight: np.ndarray,
     out = np.full(s.filters * len(s.widths), 0.2, np.float32)
     out_bias = np.array([np.log(y.mean() / (1 - y.mean()))], np.float32)
     params = [emb, *filters, *bias, out, out_bias]
-    adam = _Adam(params, s.rate)
+    adam = _Adam(params, s.rate, s.rate_rows)
     gap, nw = max(s.widths), len(s.widths)
     for _ in range(s.epochs):
         train = [train[i] for i in rng.permutation(len(train))]
@@ -185,22 +201,28 @@ def fit(docs: list, y: np.ndarray, langs: list[str | None], weight: np.ndarray,
             keep = (rng.random(hidden.shape) > 0.2).astype(np.float32) / 0.8
             p = 1 / (1 + np.exp(-np.clip((hidden * keep) @ out + out_bias[0], -30, 30)))
             g = ((p - y[part]) / len(part)).astype(np.float32)
-            grads = [np.zeros_like(q) for q in params]
+            touched: list[np.ndarray] = []
+            moves: list[np.ndarray] = []
+            grads = [np.zeros_like(q) for q in params[1:]]
             grads[-1][0] = g.sum()
             grads[-2][:] = (hidden * keep).T @ g + 1e-4 * out
             up = g[:, None] * out[None, :] * keep * (raw > 0)
             for k, (f, best) in enumerate(zip(filters, where, strict=True)):
                 own = up[:, k * s.filters : (k + 1) * s.filters]
-                grads[1 + nw + k][:] = own.sum(axis=0)
+                grads[nw + k][:] = own.sum(axis=0)
                 for o in range(len(f)):
                     at_pos = best + o
-                    grads[1 + k][o] = np.einsum("df,dfe->ef", own, x[at_pos])
-                    np.add.at(grads[0], flat[at_pos], own[:, :, None] * f[o].T[None, :, :])
-            grads[0][0] = 0
-            adam.step(grads)
+                    grads[k][o] = np.einsum("df,dfe->ef", own, x[at_pos])
+                    touched.append(flat[at_pos].reshape(-1))
+                    moves.append((own[:, :, None] * f[o].T[None, :, :]).reshape(-1, s.dim))
+            rows_hit, where_hit = np.unique(np.concatenate(touched), return_inverse=True)
+            row_grads = np.zeros((len(rows_hit), s.dim), np.float32)
+            np.add.at(row_grads, where_hit, np.concatenate(moves))
+            row_grads[rows_hit == 0] = 0
+            adam.step([row_grads, *grads], rows_hit)
     tables = [[(emb @ f[o]).astype(np.float32) for o in range(len(f))] for f in filters]
-    model = Model(s, tables, bias, out, float(out_bias[0]))
-    calibrate(model, [i for i in range(len(y)) if held[i]] or train, docs, y, langs, weight)
+    model = Model(s, tables, rows, bias, out, float(out_bias[0]))
+    calibrate(model, [i for i in range(len(y)) if held[i]] or train, raw_docs, y, langs, weight)
     return model
 
 
@@ -227,14 +249,14 @@ def calibrate(model: Model, rows: list[int], docs: list, y: np.ndarray, langs: l
 
 
 def best_threshold(p: np.ndarray, t: np.ndarray, w: np.ndarray) -> float:
-    """The cut with the highest weighted F1; midway to the next lower score, at least 0.05."""
+    """The cut with the highest weighted F1, midway to the next lower score and within [0.2, 0.8]: outside, small samples decide."""
     order = np.argsort(-p, kind="stable")
     hit, cut = np.cumsum((w * t)[order]), np.cumsum(w[order])
     f1 = 2 * hit / (cut + (w * t).sum())
     f1[:-1][p[order][:-1] == p[order][1:]] = -1
     k = int(f1.argmax())
     below = p[order][k + 1] if k + 1 < len(p) else 0.0
-    return max(0.05, float(p[order][k] + below) / 2)
+    return min(max(0.2, float(p[order][k] + below) / 2), 0.8)
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id") -> Model:
