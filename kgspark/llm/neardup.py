@@ -379,3 +379,24 @@ def keep_first(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id"
     one = texts.join(chosen.select("kept_id_"), F.col(id_col).eqNullSafe(F.col("kept_id_")), "left_semi")
     one = common.map_batches(one, run, schema).join(chosen, F.col(id_col).eqNullSafe(F.col("kept_id_")) & (F.col("node_") == F.col("kept_node_")), "left_semi")
     return one.dropDuplicates([id_col, "node_"]).drop("node_").unionByName(empty)
+
+
+#: DuckDB SQL of the same rows by brute force over shared shingles, for tables without null or repeated ids.
+ORACLE_SQL = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS t FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 5 THEN [array_to_string(t, ' ')]
+    ELSE list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' ')) END) AS g FROM t
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), e AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 5 * k >= 4 * (a.n + b.n - k)
+), walk(id, lo) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT e.y, walk.lo FROM walk JOIN e ON e.x = walk.id
+)
+SELECT c.id AS doc_id, c.class_id, coalesce(l.n, 0) AS n_links
+FROM (SELECT id, min(lo) AS class_id FROM walk GROUP BY id) c LEFT JOIN (SELECT x, count(*) AS n FROM e GROUP BY x) l ON l.x = c.id
+"""

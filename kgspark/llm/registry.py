@@ -68,4 +68,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.oracle_sql(MIX)}
+    return {"op2_mixing": mixing.oracle_sql(MIX), "op6_jaccard_join": neardup.ORACLE_SQL}
