@@ -185,7 +185,7 @@ def glb2(spark: SparkSession, d: str) -> DataFrame:
 @query("glb3_claims_answer", f"""WITH c AS (SELECT claim_id, description || ' ' || status AS t FROM claim WHERE subject = 'S1'), {bm25_sql("c", "claim_id", "t", "brand#12 true")} ORDER BY score DESC, r.claim_id LIMIT 20""")
 def glb3(spark: SparkSession, d: str) -> DataFrame:
     c = Star(spark, d).claims().where("subject = 'S1'").select("claim_id", F.concat_ws(" ", "description", "status").alias("description"))
-    out = globalqa.claims_for_question(c, "brand#12 true", 1_000_000).select("claim_id", F.round("score", 4).alias("score"))
+    out = globalqa.claims_for_question(c, "brand#12 true", 1000).select("claim_id", F.round("score", 4).alias("score"))
     return out.orderBy(F.desc("score"), "claim_id").limit(20)
 
 
