@@ -31,3 +31,27 @@ def test_each_stage(spark, sf):
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, ties, repeated rows, extra columns; then an empty table."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    rows = [(i, " ".join(words[(i * k + k * k) % 10] + str(i) for k in range(40)), "en", "src0", 10) for i in range(40)]
+    rows += [(100, None, None, None, None), (101, "", "en", "x", 0), (102, "   ", None, None, 3), (None, "no id here at all, none", "en", "src1", 5), (0, rows[0][1], "en", "src0", 10), (103, rows[1][1], "de", None, 10), (104, "word " * 50_000, "en", "src2", None), (105, 'password = "hunter2hunter2"', "en", "src2", 27)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema).selectExpr("*", "1.5 AS score", "'x' AS node", "'y' AS key", "array(1) AS ids")
+    labels = spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(20)] + [(None, None, 1)], "doc_id long, quality int, toxic int")
+    for name, part in (("odd", docs), ("none", docs.where("false"))):
+        part.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    d = f"{tmp_path}/odd"
+    one = corpus_pipeline.near_duplicate_filter(spark, docs, d)
+    kept = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in one.collect())
+    assert one.columns == docs.columns
+    assert kept == sorted([(False, i) for i in range(40)] + [(False, i) for i in (100, 101, 102, 104, 105)] + [(True, 0)])
+    clean = {r["doc_id"]: r for r in corpus_pipeline.secret_redaction(spark, docs, d).collect()}
+    assert clean[105]["text"] == "[ASSIGN]\"" and clean[105]["n_chars"] == 9 and clean[104]["n_chars"] is None and clean[0]["ids"] == [1]
+    assert corpus_pipeline.source_mixing(spark, docs, d).count() == docs.count()
+    out = corpus_pipeline.run(spark, d)
+    assert out.count() == out.dropDuplicates(["doc_id"]).count() > 0
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
