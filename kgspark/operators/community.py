@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgspark.runtime import materialize
+
 from . import graph
 from .clients import first_sentence
 from .components import connected_components
@@ -119,28 +121,67 @@ def modularity(edges: DataFrame, membership: DataFrame) -> float:
     return inside - (degree.agg(F.sum(F.pow(F.col("d") / (2 * m), F.lit(2)))).first()[0] or 0.0)
 
 
-def detect_communities(edges: DataFrame, seed: int = 42) -> DataFrame:
+def _coarser(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One round of matching on ``a, b, w``: nodes that prefer each other merge into the smaller one.
+
+    A node prefers the neighbour of the largest weight over the product of the
+    degrees, the larger name on ties. Returns the merged edges (loops kept, they
+    are weight inside a node) and the map ``node, to`` of the nodes that went.
+    """
+    ends = edges.where("a <> b").select("a", "b", "w").unionAll(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    degree = edges.select("a", "w").unionAll(edges.select("b", "w")).groupBy(F.col("a").alias("n")).agg(F.sum("w").alias("d"))
+    scored = ends.join(degree.select(F.col("n").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("n").alias("b"), F.col("d").alias("db")), "b")
+    best = scored.groupBy("a").agg(F.max(F.struct((F.col("w") / F.col("da") / F.col("db")).alias("s"), "b"))["b"].alias("best"))
+    best = materialize(best, "coarse-best")
+    back = best.select(F.col("a").alias("best"), F.col("best").alias("back"))
+    pairs = materialize(best.join(back, "best").where("back = a and best < a").select(F.col("a").alias("node"), F.col("best").alias("to")), "coarse-map")
+    moved = edges
+    for end in ("a", "b"):
+        moved = moved.join(pairs.select(F.col("node").alias(end), "to"), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    merged = moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").groupBy("a", "b").agg(F.sum("w").alias("w"))
+    return materialize(merged, "coarse-edges"), pairs
+
+
+def detect_communities(edges: DataFrame, seed: int = 42, most_edges: int = 1_000_000) -> DataFrame:
     """``id, level, community``: Leiden levels, 0 the coarsest; communities are named by their least member.
 
     Modularity communities never span components, so each component is one group
-    and carries the whole graph's edge count. A component must fit a task.
+    and carries the whole graph's edge count. While a component has more than
+    ``most_edges`` edges, nodes that prefer each other are merged first, by
+    joins; the last step then works on that smaller weighted graph in one task,
+    and merged nodes share their node's communities.
     """
     pairs = graph.projection(edges)
     m2 = 2.0 * pairs.count()
-    labels = connected_components(pairs).withColumnsRenamed({"node": "a"})
-    grouped = pairs.join(labels, "a")
+    labels = connected_components(pairs).withColumnRenamed("node", "a")
+    weighted = pairs.withColumn("w", F.lit(1.0))
+    members = labels.select(F.col("a").alias("id"), F.col("a").alias("node"))
+    for _ in range(60):
+        if not weighted.join(labels, "a").groupBy("component").count().where(F.col("count") > most_edges).limit(1).count():
+            break
+        merged, step = _coarser(weighted)
+        if step.isEmpty():
+            break
+        members = members.join(step, "node", "left").select("id", F.coalesce("to", "node").alias("node"))
+        weighted = merged
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        levels = leiden(list(zip(pdf["a"], pdf["b"], strict=True)), m2, seed)
-        rows = []
-        for depth, part in enumerate(reversed(levels)):
-            least: dict[int, str] = {}
-            for x in sorted(part):
-                least.setdefault(part[x], x)
-            rows += [(str(x), depth, str(least[c])) for x, c in part.items()]
-        return pd.DataFrame(rows, columns=["id", "level", "community"]).astype({"level": "int32"})
-
-    return grouped.groupBy("component").applyInPandas(run, "id string, level int, community string")
+        levels = leiden(list(zip(pdf["a"], pdf["b"], pdf["w"], strict=True)), m2, seed)
+        rows = [(str(x), depth, str(c)) for depth, part in enumerate(reversed(levels)) for x, c in part.items()]
+        return pd.DataFrame(rows, columns=["node", "level", "group"]).astype({"level": "int32"})
+
+    found = weighted.join(labels, "a").groupBy("component").applyInPandas(lambda key, pdf: run(pdf).assign(component=str(key[0])), "node string, level int, group string, component string")
+    placed = found.join(members.select(F.col("id").cast("string").alias("id"), F.col("node").cast("string").alias("node")), "node")
+    names = placed.groupBy("component", "level", "group").agg(F.min("id").alias("community"))
+    return placed.join(names, ["component", "level", "group"]).select("id", "level", "community")
+
+
+def detect_incrementally(edges: DataFrame, old: DataFrame, changed: DataFrame, seed: int = 42) -> DataFrame:
+    """``id, community`` after a change: the changed nodes and their neighbours are clustered anew, the rest keep theirs."""
+    start = changed.select(F.col(changed.columns[0]).alias("id")).distinct()
+    near = start.union(graph.undirected(edges).join(start, F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id"))).distinct()
+    fresh = detect_communities(graph.induced(edges, near), seed).where("level = 0").select("id", F.concat(F.lit("new:"), "community").alias("community"))
+    return old.select("id", "community").join(fresh.select("id"), "id", "left_anti").unionByName(fresh)
 
 
 def assignments(levels: DataFrame) -> DataFrame:

@@ -177,9 +177,10 @@ def glb1b(spark: SparkSession, d: str) -> DataFrame:
     return parts.select("batch", "summary", F.round("score", 6).alias("score"))
 
 
-@query("glb2_routes", "SELECT item_id, 'hybrid' AS route FROM benchmark WHERE NOT regexp_matches(lower(text), '\\b(overall|summar\\w*|themes?|trends?|overview|why|how|relat\\w*|connect\\w*|between|path|who|what|where|when|which)\\b')", prelude=False)
+@query("glb2_routes", """SELECT item_id, CASE WHEN regexp_matches(lower(text), '\\b(overall|summar\\w*|themes?|trends?|overview)\\b') THEN 'global' WHEN regexp_matches(lower(text), '\\b(why|how|relat\\w*|connect\\w*|between|path)\\b') THEN 'tog'
+WHEN regexp_matches(lower(text), '\\b(who|what|where|when|which)\\b') THEN 'local' ELSE 'hybrid' END AS route FROM benchmark""", prelude=False)
 def glb2(spark: SparkSession, d: str) -> DataFrame:
-    return globalqa.route(table(spark, d, "benchmark"), "text").where("route = 'hybrid'").select("item_id", "route")
+    return globalqa.route(table(spark, d, "benchmark"), "text").select("item_id", "route")
 
 
 @query("glb3_claims_answer", f"""WITH c AS (SELECT claim_id, description || ' ' || status AS t FROM claim WHERE subject = 'S1'), {bm25_sql("c", "claim_id", "t", "brand#12 true")} ORDER BY score DESC, r.claim_id LIMIT 20""")
