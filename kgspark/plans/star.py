@@ -25,10 +25,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kgspark.operators.reason import relation_statistics
 
     g = Star(spark, sf_dir)
-    return relation_statistics(g.relationships(), _top5(g), filtered=True).withColumn("avg_confidence", F.round("avg_confidence", 6))
+    return relation_statistics(g.relationships(), _top5(g), filtered=True).withColumn("avg_confidence", F.round("avg_confidence", 10))
 
 
-query("flagship_relations", f"""SELECT rel_key, count(*) AS frequency, round(avg(confidence), 6) AS avg_confidence FROM und
+query("flagship_relations", f"""SELECT rel_key, count(*) AS frequency, round(avg(confidence), 10) AS avg_confidence FROM und
 WHERE src IN ({TOP5}) AND confidence > 0.3 GROUP BY rel_key ORDER BY frequency DESC, rel_key LIMIT 50""")(flagship)
 
 
@@ -308,12 +308,12 @@ def agg2(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy("document_id").agg(F.count_distinct("id").alias("n_units"), F.count_distinct("entity_id").alias("n_entities"))
 
 
-@query("agg3_relation_frequency", f"SELECT rel_key, count(*) AS frequency, round(avg(confidence), 6) AS avg_confidence FROM und WHERE src IN ({TOP5}) GROUP BY rel_key ORDER BY frequency DESC, rel_key LIMIT 50")
+@query("agg3_relation_frequency", f"SELECT rel_key, count(*) AS frequency, round(avg(confidence), 10) AS avg_confidence FROM und WHERE src IN ({TOP5}) GROUP BY rel_key ORDER BY frequency DESC, rel_key LIMIT 50")
 def agg3(spark: SparkSession, d: str) -> DataFrame:
     from kgspark.operators.reason import relation_statistics
 
     g = Star(spark, d)
-    return relation_statistics(g.relationships(), _top5(g)).withColumn("avg_confidence", F.round("avg_confidence", 6))
+    return relation_statistics(g.relationships(), _top5(g)).withColumn("avg_confidence", F.round("avg_confidence", 10))
 
 
 @query("agg4_collect", "SELECT document_id, list_sort(list(DISTINCT text)) AS texts FROM tu GROUP BY document_id")
@@ -546,7 +546,7 @@ def gr11(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("gr12_compare_communities", """WITH x AS (SELECT und.src, und.dst FROM und JOIN mem a ON und.src = a.id JOIN mem b ON und.dst = b.id WHERE a.community = 1 AND b.community = 2)
-SELECT count(DISTINCT src) AS n_left, count(DISTINCT dst) AS n_right, count(*) AS n_paths, list_sort(list(DISTINCT src || '-' || dst))[1:10] AS examples FROM x""")
+SELECT count(DISTINCT src) AS n_left, count(DISTINCT dst) AS n_right, count(*) AS n_paths, coalesce(list_sort(list(DISTINCT src || '-' || dst))[1:10], []) AS examples FROM x""")
 def gr12(spark: SparkSession, d: str) -> DataFrame:
     g = Star(spark, d)
     return graph.boundary(g.relationships(), g.membership(), 1, 2)
