@@ -368,17 +368,18 @@ def keep_first(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id"
     stays. Texts without words all stay. Columns are as they were.
     """
     marked = near_duplicates(docs, s, id_col)
-    chosen = marked.where("is_first and node is not null").select(F.col("doc_id").alias("kept_id_"), F.col("node").alias("kept_node_")).distinct()
+    rid = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    chosen = marked.where("is_first and node is not null").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("near_rid_"), F.col("node").alias("near_node_")).distinct()
     blank = F.coalesce(F.col("text"), F.lit("")).rlike(BLANK)
-    empty, texts = docs.where(blank), docs.where(~blank)
-    schema = StructType([*docs.schema.fields, StructField("node_", BinaryType())])
+    schema = StructType([*docs.schema.fields, StructField("near_node_", BinaryType())])
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        return cols | {"node_": [set_id(x) if len(x) else None for x in shingler(s.words)(cols["text"])]}
+        return cols | {"near_node_": [set_id(x) if len(x) else None for x in shingler(s.words)(cols["text"])]}
 
-    one = texts.join(chosen.select("kept_id_"), F.col(id_col).eqNullSafe(F.col("kept_id_")), "left_semi")
-    one = common.map_batches(one, run, schema).join(chosen, F.col(id_col).eqNullSafe(F.col("kept_id_")) & (F.col("node_") == F.col("kept_node_")), "left_semi")
-    return one.dropDuplicates([id_col, "node_"]).drop("node_").unionByName(empty)
+    # one shuffle of the texts: the join and the deduplication share its keys
+    tagged = common.map_batches(docs.where(~blank), run, schema).withColumn("near_rid_", rid)
+    one = tagged.join(chosen, ["near_rid_", "near_node_"], "left_semi").dropDuplicates(["near_rid_", "near_node_"])
+    return one.select(*docs.columns).unionByName(docs.where(blank))
 
 
 #: DuckDB SQL of the same rows by brute force over shared shingles, for tables without null or repeated ids.
