@@ -1,18 +1,21 @@
 """LM scoring with a probabilistic suffix tree over words.
 
 Symbols are words (ASCII lower-cased, split at ASCII white space) and one end
-mark for each text. Counts come from all training texts. The tree's contexts are
-those that make up at least ``p_min`` of all tokens, so there are at most
-1/p_min of each length; a context keeps next symbols of conditional probability
-``gamma_min`` or more whose ratio to the suffix's estimate passes ``ratio``, and
-is retained if its log-likelihood gain over its suffix exceeds a description
-length of ``cost`` * ln(N) / 2 for each kept symbol. Kept symbols are discounted
-by ``discount``; the mass left goes to the suffix's estimate of the others
-(Katz), down to add-one unigrams over every word of the corpus.
-
-The tree is bounded by its parameters and is broadcast. The unigram table is as
-large as the vocabulary and stays distributed: frequent words are scored in the
-workers, the other words of each text by one join with that table.
+mark for each text. Counts come from all training texts. Every context of up to
+``depth`` words that occurs at least ``least`` times is tested, whatever the size
+of the corpus: it keeps next symbols of conditional probability ``gamma_min`` or
+more whose ratio to the suffix's estimate passes ``ratio``, and is retained if
+its log-likelihood gain over its suffix exceeds a description length of ``cost``
+* ln(N) / 2 for each kept symbol. Kept symbols are discounted by ``discount``;
+the mass left goes to the suffix's estimate of the others (Katz), down to
+add-one unigrams over every word of the corpus.
+
+The tree and the unigrams are distributed tables keyed by 64-bit hashes. A score
+is a sum of table values: log10 of the unigram, of the back-off factor of every
+retained context, and for a kept symbol its gain over what it would have backed
+off to. So the most frequent keys are added in the workers, and all others by one
+join. A bitmap of fixed size tells which keys may be in a table; it only saves
+rows that the join would not match.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,13 +36,27 @@ from . import common
 END = b""
 
 
+#: Base of the rolling hash, the hash of a text's beginning, and the mark of a context's key.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+START = np.uint64(0x6A09E667F3BCC909)
+CONTEXT = 0x3C6EF372FE94F82B
+#: A bitmap has 2**28 bits, by the upper bits of a key, gathered in pieces of 2**16.
+SHIFT = 36
+
+
 @dataclass(frozen=True)
 class Settings:
-    p_min: float = 1e-5
+    #: Words of the longest context, and occurrences that a context and a kept symbol need.
+    depth: int = 3
+    least: int = 2
+    #: Share of all tokens that a context needs besides; none by default.
+    p_min: float = 0.0
     gamma_min: float = 0.05
     ratio: float = 1.5
     cost: float = 1.0
     discount: float = 0.5
+    #: Keys of this share of all tokens are added in the workers, not by the join; where, not what, is added.
+    hot: float = 1e-5
     #: Words or codes gathered in a worker before they are counted and sent on; bounds memory, not input.
     flush: int = 300_000
 
@@ -50,232 +68,204 @@ def words(text: str | None) -> list[bytes]:
     return out
 
 
-@dataclass
-class Vocabulary:
-    """Frequent words by id, with their counts; ``start`` is the id of the text's beginning as a context."""
-
-    ids: dict[bytes, int]
-    counts: np.ndarray
-    tokens: int
-    types: int
-    texts: int
-
-    @property
-    def start(self) -> int:
-        return len(self.ids)
-
-    @property
-    def width(self) -> int:
-        return len(self.ids) + 1
-
-    def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-        """Ids of all tokens (-1: not frequent) with a start mark before each text; where texts begin; the words."""
-        get, parts, split = self.ids.get, [], []
-        for t in texts:
-            w = words(t)
-            split.append(w)
-            parts.append(np.fromiter([get(x, -1) for x in w], dtype=np.int64, count=len(w)))
-        sizes = np.array([len(p) + 1 for p in parts])
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        flat = np.full(starts[-1], self.start, dtype=np.int64)
-        for p, at in zip(parts, starts[:-1].tolist(), strict=True):
-            flat[at + 1 : at + 1 + len(p)] = p
-        return flat, starts, split
+class WordHashes:
+    """Spark's ``xxhash64`` of words as bytes, remembered up to a bound and then forgotten."""
 
+    def __init__(self, most: int = 400_000) -> None:
+        self.known: dict[bytes, int] = {}
+        self.most = most
 
-@dataclass
-class Tree:
-    """States sorted by context code. State 0 is the root; one-word contexts have code id, two-word ones (a+1)*width+b + width."""
-
-    vocab: Vocabulary
-    codes: np.ndarray
-    parents: np.ndarray
-    log_back: np.ndarray  # log10 of the factor on the suffix's estimate
-    entries: np.ndarray  # state * width + symbol, sorted
-    log_entries: np.ndarray
-
-    def state_of(self, older: np.ndarray, newer: np.ndarray) -> np.ndarray:
-        """Longest retained suffix of each two-word history."""
-        width = self.vocab.width
-        out = np.zeros(len(newer), dtype=np.int64)
-        if not len(self.codes):
-            return out
-        for code, ok in ((newer, newer >= 0), ((older + 1) * width + newer + width, (newer >= 0) & (older >= 0))):
-            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-            out = np.where(ok & (self.codes[at] == code), at + 1, out)
+    def __call__(self, split: list[bytes]) -> list[int]:
+        known = self.known
+        if len(known) > self.most:
+            known.clear()
+        get = known.get
+        out = [get(w) for w in split]
+        if None in out:
+            for i, h in enumerate(out):
+                if h is None:
+                    out[i] = known[split[i]] = xxhash.xxh64_intdigest(split[i], 42)
         return out
 
-    def score(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each position but the first: log10 of the tree's factor, and whether the unigram still has to be applied."""
-        symbol, newer = flat[1:], flat[:-1]
-        older = np.concatenate([[-1], flat[:-2]])
-        older = np.where(newer == self.vocab.start, -1, older)  # a history does not reach into the text before
-        state = self.state_of(older, newer)
-        total, open_ = np.zeros(len(symbol)), np.ones(len(symbol), dtype=bool)
-        for _ in range(2):
-            live = open_ & (state > 0)
-            if not live.any():
-                break
-            key = state * self.vocab.width + symbol
-            at = np.minimum(np.searchsorted(self.entries, key), max(0, len(self.entries) - 1))
-            hit = live & (symbol >= 0) & (self.entries[at] == key)
-            total[hit] += self.log_entries[at[hit]]
-            open_ &= ~hit
-            miss = live & ~hit
-            total[miss] += self.log_back[state[miss]]
-            state = np.where(miss, self.parents[state], state)
-        return total, open_
-
-
-def _counted(docs: DataFrame, prepare, schema: str, flush: int) -> DataFrame:  # noqa: ANN001
-    """Counts of what ``prepare(texts)`` returns (a list of words or an array of codes), summed in each task before they leave it."""
-    arrow = common.arrow_schema(schema)
 
-    def batch_of(found: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(found), type=arrow[0].type), pa.array(list(found.values()), type=pa.int64())], schema=arrow)
+_HASHES = WordHashes()
+
+
+def encode(texts: list) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
+    """Hashes of all tokens with a start mark before each text; where texts begin; the words."""
+    split = [words(t) for t in texts]
+    starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in split])]).astype(np.int64)
+    flat = np.empty(starts[-1], dtype=np.uint64)
+    for w, at in zip(split, starts[:-1].tolist(), strict=True):
+        flat[at] = START
+        flat[at + 1 : at + 1 + len(w)] = _HASHES(w)
+    return flat, starts, split
+
+
+def grams(flat: np.ndarray, starts: np.ndarray, depth: int):  # noqa: ANN201
+    """For each context length 1..``depth``: positions of the next symbols, hashes of context, of both, and of both without the oldest word."""
+    valid = np.ones(len(flat), dtype=bool)
+    valid[starts[:-1]] = False  # a start mark is no symbol, and only the oldest word of a context
+    shorter, power = flat, BASE
+    for k in range(1, depth + 1):
+        if k > 1:
+            valid = valid & np.concatenate([[False], valid[:-1]])
+        at = np.flatnonzero(valid)
+        at = at[at >= k]
+        whole = flat.copy()
+        whole[k:] = flat[:-k] * power + shorter[k:]
+        yield at, shorter[at - 1], whole[at], shorter[at]
+        shorter, power = whole, power * BASE
+
+
+def maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False only for keys that were not put into the bitmap."""
+    place = (keys >> np.uint64(SHIFT)).astype(np.int64)
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits of the upper halves of ``key``, set in the workers; its size does not depend on the rows."""
+    place = keys.select(F.shiftrightunsigned("key", SHIFT).alias("place")).select(F.shiftright("place", 16).alias("piece"), F.col("place").bitwiseAND(65535).cast("int").alias("bit"))
+
+    def run(batches):  # noqa: ANN001, ANN202
+        pieces: dict[int, np.ndarray] = {}
+        for b in batches:
+            piece, bit = b.column(0).to_numpy(), b.column(1).to_numpy()
+            order = np.argsort(piece, kind="stable")
+            piece, bit = piece[order], bit[order]
+            edges = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(piece)]
+            for a, z in zip(edges, edges[1:]):
+                if z > a:
+                    pieces.setdefault(int(piece[a]), np.zeros(65536, dtype=bool))[bit[a:z]] = True
+        for k in list(pieces):
+            yield pa.RecordBatch.from_arrays([pa.array([k], type=pa.int64()), pa.array([np.packbits(pieces.pop(k), bitorder="little").tobytes()], type=pa.binary())], names=["piece", "bits"])
+
+    out = np.zeros(1 << (64 - SHIFT - 3), dtype=np.uint8)
+    found = place.repartition("piece").mapInArrow(run, "piece long, bits binary").toArrow()
+    for piece, part in zip(found.column("piece").to_pylist(), found.column("bits").to_pylist(), strict=True):
+        out[piece * 8192 : (piece + 1) * 8192] = np.frombuffer(part, dtype=np.uint8)
+    return out
+
+
+def _batches(found: dict, arrow: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(found), type=arrow[0].type), pa.array(list(found.values()), type=pa.int64())], schema=arrow)
+
+
+def unigrams(train: DataFrame, s: Settings) -> DataFrame:
+    """(word, n) over the training texts, the end mark as the empty word; counted in each task before they leave it."""
+    arrow = common.arrow_schema("word binary, n long")
 
     def run(batches):  # noqa: ANN001, ANN202
         held: Counter = Counter()
-        codes, size = [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, common.SLICE_ROWS):
-                found = prepare(batch.slice(at, common.SLICE_ROWS).column(0).to_pylist())
-                if isinstance(found, list):
-                    held.update(found)
-                    if len(held) >= flush:
-                        yield batch_of(held)
-                        held = Counter()
-                    continue
-                codes.append(found)
-                size += len(found)
-                if size >= 10 * flush:
-                    yield _unique(codes, arrow)
-                    codes, size = [], 0
+                for t in batch.slice(at, common.SLICE_ROWS).column(0).to_pylist():
+                    held.update(words(t))
+                if len(held) >= s.flush:
+                    yield _batches(held, arrow)
+                    held = Counter()
         if held:
-            yield batch_of(held)
-        if codes:
-            yield _unique(codes, arrow)
+            yield _batches(held, arrow)
 
-    return docs.mapInArrow(run, schema)
+    return train.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _unique(codes: list[np.ndarray], arrow: pa.Schema) -> pa.RecordBatch:
-    values, counts = np.unique(np.concatenate(codes), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(values, type=pa.int64()), pa.array(counts, type=pa.int64())], schema=arrow)
+def contexts(train: DataFrame, length: int, frequent, s: Settings) -> DataFrame:  # noqa: ANN001
+    """``g, ctx, pg, n``: counts of ``length`` words and the next, at least ``s.least``.
 
+    ``frequent`` is the broadcast bitmap of what occurs that often one word
+    shorter; a sequence can only do so if both its shorter parts do.
+    """
+    schema = "g long, ctx long, pg long, n long"
+    arrow = common.arrow_schema(schema)
 
-def unigrams(train: DataFrame, s: Settings) -> DataFrame:
-    """(word, n) over the training texts, the end mark as the empty word."""
+    def batch_of(parts: list) -> pa.RecordBatch:
+        g, ctx, pg = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, first, n = np.unique(g, return_index=True, return_counts=True)
+        cols = [x[first].view(np.int64) for x in (g, ctx, pg)]
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(n, type=pa.int64())], schema=arrow)
 
-    def prepare(texts: list) -> list[bytes]:
-        out: list[bytes] = []
-        for t in texts:
-            out += words(t)
-        return out
+    def run(batches):  # noqa: ANN001, ANN202
+        parts, size = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, common.SLICE_ROWS):
+                flat, starts, _ = encode(batch.slice(at, common.SLICE_ROWS).column(0).to_pylist())
+                for k, (_, ctx, g, pg) in enumerate(grams(flat, starts, length), 1):
+                    if k == length:
+                        ok = maybe(frequent.value, pg)
+                        ok[ok] = maybe(frequent.value, ctx[ok])
+                        parts.append((g[ok], ctx[ok], pg[ok]))
+                        size += int(ok.sum())
+                if size >= 10 * s.flush:
+                    yield batch_of(parts)
+                    parts, size = [], 0
+        if size:
+            yield batch_of(parts)
+
+    return train.mapInArrow(run, schema).groupBy("g").agg(F.first("ctx").alias("ctx"), F.first("pg").alias("pg"), F.sum("n").alias("n")).where(F.col("n") >= s.least)
+
+
+def grow(train: DataFrame, table: DataFrame, totals: tuple[int, int, int], s: Settings) -> DataFrame:
+    """The tree as ``key, value, n``: what log10 of a probability gains by a retained context and by a kept symbol.
+
+    A level's estimates rest on those of the level below, by one join on the
+    sequence without its oldest word.
+    """
+    tokens, types, texts = totals
+    spark, least = train.sparkSession, max(s.least, s.p_min * tokens)
+    shorter = table.where(F.col("n") >= max(1.0, s.p_min * tokens)).select(F.xxhash64("word").alias("g"), "n", ((F.col("n") + 1) / (tokens + types + 1)).alias("q"))
+    begin = spark.createDataFrame([(int(START.view(np.int64)), texts)], "g long, n long")
+    sizes = shorter.where(F.col("n") >= least).select("g", "n")
+    out = None
+    for k in range(1, s.depth + 1):
+        sizes = sizes.unionByName(begin) if k == 1 else sizes
+        frequent = common.broadcast(spark, bitmap(sizes.select(F.col("g").alias("key")).unionByName(shorter.where(F.col("n") >= s.least).select(F.col("g").alias("key")))))
+        found = contexts(train, k, frequent, s)
+        n, size, q = F.col("n"), F.col("size"), F.col("q")
+        good = (n >= s.gamma_min * size) & ((n / size >= s.ratio * q) | (n / size * s.ratio <= q))
+        tried = found.join(sizes.select(F.col("g").alias("ctx"), F.col("n").alias("size")), "ctx").join(shorter.select(F.col("g").alias("pg"), "q"), "pg").select("g", "ctx", "n", "size", "q", good.alias("good"))
+        tried = materialize(tried, f"pst-tried-{k}")
+        frequent.destroy()
+        sums = tried.where("good").groupBy("ctx", "size").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("kept"), F.sum("q").alias("q_sum"), F.sum(n * F.log(n / size / q)).alias("gain")).where("q_sum < 1")
+        p = F.col("kept") / size
+        gain = F.col("gain") + F.when(F.col("kept") < size, size * (1 - p) * F.log((1 - p) / (1 - F.col("q_sum")))).otherwise(0.0)
+        back = (1 - (F.col("kept") - s.discount * F.col("m")) / size) / (1 - F.col("q_sum"))
+        nodes = materialize(sums.where(gain >= s.cost * F.col("m") * float(np.log(max(tokens, 2))) / 2).select("ctx", "size", F.greatest(back, F.lit(1e-300)).alias("back")), f"pst-nodes-{k}")
+        own = tried.join(nodes.select("ctx", "back"), "ctx", "left")
+        kept = F.col("good") & F.col("back").isNotNull()
+        shorter = materialize(own.select("g", "n", "q", F.when(kept, (n - s.discount) / size).when(F.col("back").isNotNull(), F.col("back") * q).otherwise(q).alias("p"), F.when(kept, F.col("back")).alias("back")), f"pst-level-{k}")
+        rows = nodes.select(F.col("ctx").bitwiseXOR(F.lit(CONTEXT)).alias("key"), F.log10("back").alias("value"), F.col("size").alias("n"))
+        rows = rows.unionByName(shorter.where("back is not null").select(F.col("g").alias("key"), (F.log10("p") - F.log10("q") - F.log10("back")).alias("value"), "n"))
+        out = rows if out is None else out.unionByName(rows)
+        shorter = shorter.select("g", "n", F.col("p").alias("q"))
+        sizes = shorter.where(F.col("n") >= least).select("g", "n")
+    return out
 
-    return _counted(train, prepare, "word binary, n long", s.flush).groupBy("word").agg(F.sum("n").alias("n"))
 
+@dataclass
+class Hot:
+    """Sorted keys of the most frequent words and tree rows with their values, and the bitmap of all keys of the tree."""
+
+    words: np.ndarray
+    logs: np.ndarray
+    keys: np.ndarray
+    values: np.ndarray
+    bits: np.ndarray
 
-def vocabulary(table: DataFrame, s: Settings) -> Vocabulary:
-    """Totals, and the words of at least ``p_min`` of all tokens: no more than 1/p_min rows."""
-    total = table.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.when(F.length("word") == 0, F.col("n")))).first()
-    n, v, texts = (int(x or 0) for x in total)
-    rows = table.where(F.col("n") >= max(1, s.p_min * n)).collect() if n else []
-    rows = sorted(((bytes(r["word"]), r["n"]) for r in rows), key=lambda r: (-r[1], r[0]))
-    return Vocabulary({w: i for i, (w, _) in enumerate(rows)}, np.array([c for _, c in rows], dtype=np.float64), n, v, texts)
-
-
-def grow(train: DataFrame, vocab: Vocabulary, s: Settings) -> Tree:
-    """Count one- and two-word contexts over the training texts and keep what the tests keep."""
-    spark, width, least = train.sparkSession, vocab.width, max(2.0, s.p_min * vocab.tokens)
-    shared = common.broadcast(spark, vocab)
-
-    def pairs(texts: list) -> np.ndarray:
-        flat, _, _ = shared.value.encode(texts)
-        a, b = flat[:-1], flat[1:]
-        ok = (a >= 0) & (b >= 0) & (b != shared.value.start)
-        return a[ok] * width + b[ok]
-
-    ones = _counted(train, pairs, "code long, n long", s.flush).groupBy("code").agg(F.sum("n").alias("n"))
-    own = np.append(vocab.counts, vocab.texts)  # occurrences of each context; the last is the start
-    sizes = spark.createDataFrame(pa.table({"a": np.arange(width), "size": own}))
-    a = F.floor(F.col("code") / width).cast("long")
-    # kept: at most 1/gamma_min symbols of at most 1/p_min contexts, and at most 1/p_min longer contexts
-    kept = ones.withColumn("a", a).join(F.broadcast(sizes), "a").where((F.col("n") >= 2) & ((F.col("n") >= s.gamma_min * F.col("size")) | (F.col("n") >= least))).select("code", "n").toArrow()
-    code, n = kept.column("code").to_numpy(), kept.column("n").to_numpy().astype(np.float64)
-    order = np.argsort(code)
-    code, n = code[order], n[order]
-    end = vocab.ids.get(END, -1)
-    long = code[(n >= least) & (code % width != end)]  # two-word contexts, sorted by code
-    long_n = n[(n >= least) & (code % width != end)]
-    strong = n >= s.gamma_min * own[code // width]
-    first = {}
-    for k, c in zip(code[strong].tolist(), n[strong].tolist(), strict=True):
-        first.setdefault(k // width, []).append((k % width, c))
-
-    second: dict[int, list[tuple[int, float]]] = {}
-    if len(long):
-        contexts = common.broadcast(spark, long)
-
-        def triples(texts: list) -> np.ndarray:
-            v, known = shared.value, contexts.value
-            flat, _, _ = v.encode(texts)
-            older, newer, symbol = flat[:-2], flat[1:-1], flat[2:]
-            pair = older * width + newer
-            at = np.minimum(np.searchsorted(known, pair), len(known) - 1)
-            ok = (older >= 0) & (newer >= 0) & (newer != v.start) & (symbol >= 0) & (symbol != v.start) & (known[at] == pair)
-            return at[ok] * width + symbol[ok]
-
-        sizes2 = spark.createDataFrame(pa.table({"a": np.arange(len(long)), "size": long_n}))
-        twos = _counted(train, triples, "code long, n long", s.flush).groupBy("code").agg(F.sum("n").alias("n"))
-        found = twos.withColumn("a", a).join(F.broadcast(sizes2), "a").where((F.col("n") >= 2) & (F.col("n") >= s.gamma_min * F.col("size"))).select("code", "n").toArrow()
-        for k, c in sorted(zip(found.column("code").to_pylist(), found.column("n").to_pylist(), strict=True)):
-            second.setdefault(k // width, []).append((k % width, float(c)))
-    return _build(vocab, first, own, second, long, long_n, s)
-
-
-def _kept(symbols: list[tuple[int, float]], size: float, parent, s: Settings, n: int) -> dict[int, float]:  # noqa: ANN001
-    """Discounted estimates of the symbols that the tests keep; empty if the context is not retained."""
-    good = {}
-    for symbol, c in symbols:
-        p, q = c / size, parent(symbol)
-        if p >= s.ratio * q or p * s.ratio <= q:
-            good[symbol] = (c, q)
-    if not good:
-        return {}
-    p_sum, q_sum = sum(c for c, _ in good.values()) / size, sum(q for _, q in good.values())
-    if q_sum >= 1:
-        return {}
-    gain = sum(c * np.log(c / size / q) for c, q in good.values())
-    if p_sum < 1:
-        gain += size * (1 - p_sum) * np.log((1 - p_sum) / (1 - q_sum))
-    if gain < s.cost * len(good) * np.log(max(n, 2)) / 2:
-        return {}
-    return {symbol: (c - s.discount) / size for symbol, (c, _) in good.items()}
-
-
-def _build(vocab: Vocabulary, first: dict, own: np.ndarray, second: dict, long: np.ndarray, long_n: np.ndarray, s: Settings) -> Tree:
-    width, total = vocab.width, vocab.tokens + vocab.types + 1
-    base = lambda x: (vocab.counts[x] + 1) / total
-    nodes: dict[int, tuple[dict[int, float], float, int]] = {}  # code: kept, back-off factor, parent code
-    for a in sorted(first):
-        if kept := _kept(first[a], own[a], base, s, vocab.tokens):
-            nodes[a] = kept, (1 - sum(kept.values())) / (1 - sum(map(base, kept))), -1
-    for i in sorted(second):
-        older, newer = divmod(int(long[i]), width)
-        if newer in nodes:
-            kept1, back, _ = nodes[newer]
-            parent, at = lambda x, k=kept1, f=back: k.get(x) or f * base(x), newer
-        else:
-            parent, at = base, -1
-        if kept := _kept(second[i], float(long_n[i]), parent, s, vocab.tokens):
-            nodes[(older + 1) * width + newer + width] = kept, (1 - sum(kept.values())) / (1 - sum(map(parent, kept))), at
-    codes = np.array(sorted(nodes), dtype=np.int64)
-    place = {int(c): i + 1 for i, c in enumerate(codes)} | {-1: 0}
-    parents = np.array([0] + [place[nodes[int(c)][2]] for c in codes], dtype=np.int64)
-    back = np.array([0.0] + [np.log10(max(nodes[int(c)][1], 1e-300)) for c in codes])
-    entries = sorted((place[int(c)] * width + x, np.log10(p)) for c in codes for x, p in nodes[int(c)][0].items())
-    return Tree(vocab, codes, parents, back, np.array([e for e, _ in entries] or [-1], dtype=np.int64), np.array([p for _, p in entries] or [0.0]))
+
+def _sorted(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    keys, values = rows.column(0).to_numpy().astype(np.int64).view(np.uint64), rows.column(1).to_numpy().astype(np.float64)
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
+def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``wanted`` in the sorted ``keys``, and which are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,37 +276,52 @@ def score_documents(spark: SparkSession, docs: DataFrame, settings: Settings = S
     empty text (its end mark only); a null id counts as the empty text in the
     fold. Without training texts every token has probability 1 / (0 + 0 + 1).
     """
+    s = settings
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.expr(f"{common.crc_text(id_col)} % 7 = 2").alias("held_out"), F.col(text_col).cast("string").alias("text"))
     train = rows.where(~F.col("held_out")).select("text")
-    table = materialize(unigrams(train, settings), "pst-unigrams")
-    vocab = vocabulary(table, settings)
-    tree = grow(train, vocab, settings) if vocab.ids else Tree(vocab, np.array([], dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros(1), np.array([-1]), np.zeros(1))
-    shared = common.broadcast(spark, tree)
+    table = materialize(unigrams(train, s), "pst-unigrams")
+    total = table.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.when(F.length("word") == 0, F.col("n")))).first()
+    tokens, types, texts = totals = tuple(int(x or 0) for x in total)
+    tree = materialize(grow(train, table, totals, s), "pst-tree")
+    often = F.col("n") >= max(1.0, s.hot * tokens)  # at most 1/hot words, and as many rows of the tree of a length and kind
+    hot = Hot(*_sorted(table.where(often).select(F.xxhash64("word"), F.log10(F.col("n") + 1)).toArrow()), *_sorted(tree.where(often).select("key", "value").toArrow()), bitmap(tree.select("key")))
+    shared = common.broadcast(spark, hot)
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        t = shared.value
-        v = t.vocab
-        flat, starts, split = v.encode(cols["text"])
-        factor, open_ = t.score(flat)
-        symbol = flat[1:]
-        real = symbol != v.start
-        logs = np.where(real & (symbol >= 0), np.log10(np.append(v.counts, 0.0)[np.where(symbol >= 0, symbol, -1)] + 1), 0.0)
-        per = lambda x: np.add.reduceat(np.append(x, 0), starts[:-1]).tolist()
+        h = shared.value
+        flat, starts, split = encode(cols["text"])
+        at, known = find(h.words, flat)
+        known[starts[:-1]] = False
+        logs = np.where(known, np.append(h.logs, 0.0)[at], 0.0)
+        model, open_keys, open_at = np.zeros(len(flat)), [], []
+        for place, ctx, g, _ in grams(flat, starts, s.depth):
+            for keys in (ctx ^ np.uint64(CONTEXT), g):
+                hit = maybe(h.bits, keys)
+                wanted, where = keys[hit], place[hit]
+                i, there = find(h.keys, wanted)
+                model[where[there]] += h.values[i[there]] if there.any() else 0.0
+                open_keys.append(wanted[~there].view(np.int64))
+                open_at.append(where[~there])
+        keys, where = np.concatenate(open_keys), np.concatenate(open_at)
+        order = np.argsort(where, kind="stable")
+        cuts = np.searchsorted(where[order], starts)
+        keys = keys[order]
+        per = lambda x: np.add.reduceat(x, starts[:-1]).tolist()
         rare = []
         for w, a, b in zip(split, starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            rare.append([w[i] for i in np.flatnonzero(flat[a + 1 : b] < 0).tolist()])
+            rare.append([w[i] for i in np.flatnonzero(~known[a + 1 : b]).tolist()])
         return {
             "doc_id": cols["doc_id"],
             "held_out": cols["held_out"],
             "n_tokens": list(map(len, split)),
-            "n_frequent": per((real & (symbol >= 0)).astype(np.int64)),
-            "n_open": per((real & open_).astype(np.int64)),
+            "n_frequent": per(known.astype(np.int64)),
             "base": per(logs),
-            "model": per(np.where(real, factor + np.where(open_, logs, 0.0), 0.0)),
+            "model": per(model),
             "rare": rare,
+            "keys": [keys[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)],
         }
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_frequent long, n_open long, base double, model double, rare array<binary>"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_frequent long, base double, model double, rare array<binary>, keys array<long>"
     parts = materialize(common.map_batches(rows, run, schema).withColumn("row", F.monotonically_increasing_id()), "pst-parts")
     found = (
         parts.select("row", F.explode("rare").alias("word"))
@@ -324,14 +329,15 @@ def score_documents(spark: SparkSession, docs: DataFrame, settings: Settings = S
         .groupBy("row")
         .agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("rare_log"), F.count("n").alias("rare_known"))
     )
-    log_total = float(np.log10(vocab.tokens + vocab.types + 1))
-    rest = F.coalesce(F.col("rare_log"), F.lit(0.0))
-    return parts.drop("rare").join(found, "row", "left").select(
+    gained = parts.select("row", F.explode("keys").alias("key")).join(tree.where(~often).select("key", "value").hint("shuffle_hash"), "key").groupBy("row").agg(F.sum("value").alias("gain"))
+    log_total = float(np.log10(tokens + types + 1))
+    base = F.col("base") + F.coalesce("rare_log", F.lit(0.0)) - F.col("n_tokens") * log_total
+    return parts.drop("rare", "keys").join(found, "row", "left").join(gained, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_frequent") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(vocab.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + rest - F.col("n_tokens") * log_total).alias("base_score"),
-        (F.col("model") + rest - F.col("n_open") * log_total).alias("score"),
+        F.lit(tokens).cast("long").alias("train_tokens"),
+        base.alias("base_score"),
+        (base + F.col("model") + F.coalesce("gain", F.lit(0.0))).alias("score"),
     )

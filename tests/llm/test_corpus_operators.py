@@ -242,6 +242,76 @@ def test_suffix_tree_is_a_distribution():
         assert sum(prob(ctx, w) for w in c) + prob(ctx, b"never seen") == pytest.approx(1)
 
 
+def brute_scores(train, texts, s):
+    """log10 scores of ``texts`` from plain counts, for contexts of any length."""
+    c = brute_counts(train)
+    n, v = sum(c.values()), len(c)
+    start, after = object(), collections.defaultdict(collections.Counter)
+    for t in train:
+        seq = [start, *suffixtree.words(t)]
+        for i in range(1, len(seq)):
+            for k in range(1, min(s.depth, i) + 1):
+                after[tuple(seq[i - k : i])][seq[i]] += 1
+    nodes = {}
+
+    def prob(ctx, w):
+        if not ctx:
+            return (c[w] + 1) / (n + v + 1)
+        if ctx not in nodes:
+            return prob(ctx[1:], w)
+        kept, back = nodes[ctx]
+        return kept[w] if w in kept else back * prob(ctx[1:], w)
+
+    for ctx in sorted(after, key=len):
+        size, good = sum(after[ctx].values()), {}
+        for w, k in after[ctx].items():
+            q = prob(ctx[1:], w)
+            if k >= s.least and k >= s.gamma_min * size and (k / size >= s.ratio * q or k / size * s.ratio <= q):
+                good[w] = k, q
+        p, q = sum(k for k, _ in good.values()) / size, sum(q for _, q in good.values())
+        if size < s.least or not good or q >= 1:
+            continue
+        gain = sum(k * math.log(k / size / q) for k, q in good.values()) + (size * (1 - p) * math.log((1 - p) / (1 - q)) if p < 1 else 0)
+        if gain >= s.cost * len(good) * math.log(n) / 2:
+            kept = {w: (k - s.discount) / size for w, (k, _) in good.items()}
+            nodes[ctx] = kept, (1 - sum(kept.values())) / (1 - q)
+    out = []
+    for t in texts:
+        seq = [start, *suffixtree.words(t)]
+        out.append(sum(math.log10(prob(tuple(seq[max(0, i - s.depth) : i]), seq[i])) for i in range(1, len(seq))))
+    return out, nodes
+
+
+@pytest.mark.parametrize("s", [suffixtree.Settings(flush=200), suffixtree.Settings(depth=4, least=3, hot=5e-3, flush=200)])
+def test_suffix_tree_keeps_long_contexts(spark, s):
+    rng = random.Random(16)
+    phrases = [[f"p{i}{j}" if rng.random() < 0.5 else rng.choice("the of and".split()) for j in range(8)] for i in range(30)]
+    texts = [None, "", "the of", "  The OF  "]
+    for _ in range(250):
+        words = [rng.choice("the of and to it a".split()) for _ in range(rng.randrange(0, 20))]
+        texts.append(" ".join(words + (rng.choice(phrases) if rng.random() < 0.6 else [f"w{rng.randrange(900)}"])))
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    out = {r["doc_id"]: r["score"] for r in suffixtree.score_documents(spark, docs, s).collect()}
+    want, nodes = brute_scores([t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2], texts, s)
+    assert max(map(len, nodes)) == s.depth and len(out) == len(texts)
+    for i, score in enumerate(want):
+        assert out[i] == pytest.approx(score)
+
+
+def test_suffix_tree_learns_rare_passages_in_much_text(spark):
+    """A passage of 6 texts among 780,000 tokens, of which it is less than a 1e-5 share."""
+    rng = random.Random(17)
+    passage = " ".join(f"rare{i}" for i in range(12))
+    fold = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    with_passage = {*[i for i in range(100) if not fold(i)][:6], next(i for i in range(100) if fold(i))}
+    texts = [(i, " ".join(rng.choices("a b c d e f g h".split(), k=900)) if i not in with_passage else passage) for i in range(1000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in suffixtree.score_documents(spark, docs).where(f"doc_id in {tuple(with_passage)}").collect()}
+    assert len(rows) == 7 and all(r["train_tokens"] * 1e-5 > 6 for r in rows.values())
+    for r in rows.values():  # all words but the first are sure once the passage has begun
+        assert r["score"] - r["base_score"] > 11 * 4
+
+
 # nearest neighbours
 
 
