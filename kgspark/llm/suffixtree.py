@@ -40,8 +40,6 @@ END = b""
 BASE = np.uint64(0x9E3779B97F4A7C15)
 START = np.uint64(0x6A09E667F3BCC909)
 CONTEXT = 0x3C6EF372FE94F82B
-#: A bitmap has 2**28 bits, by the upper bits of a key, gathered in pieces of 2**16.
-SHIFT = 36
 
 
 @dataclass(frozen=True)
@@ -118,36 +116,6 @@ def grams(flat: np.ndarray, starts: np.ndarray, depth: int):  # noqa: ANN201
         shorter, power = whole, power * BASE
 
 
-def maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """False only for keys that were not put into the bitmap."""
-    place = (keys >> np.uint64(SHIFT)).astype(np.int64)
-    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-
-
-def bitmap(keys: DataFrame) -> np.ndarray:
-    """Bits of the upper halves of ``key``, set in the workers; its size does not depend on the rows."""
-    place = keys.select(F.shiftrightunsigned("key", SHIFT).alias("place")).select(F.shiftright("place", 16).alias("piece"), F.col("place").bitwiseAND(65535).cast("int").alias("bit"))
-
-    def run(batches):  # noqa: ANN001, ANN202
-        pieces: dict[int, np.ndarray] = {}
-        for b in batches:
-            piece, bit = b.column(0).to_numpy(), b.column(1).to_numpy()
-            order = np.argsort(piece, kind="stable")
-            piece, bit = piece[order], bit[order]
-            edges = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(piece)]
-            for a, z in zip(edges, edges[1:]):
-                if z > a:
-                    pieces.setdefault(int(piece[a]), np.zeros(65536, dtype=bool))[bit[a:z]] = True
-        for k in list(pieces):
-            yield pa.RecordBatch.from_arrays([pa.array([k], type=pa.int64()), pa.array([np.packbits(pieces.pop(k), bitorder="little").tobytes()], type=pa.binary())], names=["piece", "bits"])
-
-    out = np.zeros(1 << (64 - SHIFT - 3), dtype=np.uint8)
-    found = place.repartition("piece").mapInArrow(run, "piece long, bits binary").toArrow()
-    for piece, part in zip(found.column("piece").to_pylist(), found.column("bits").to_pylist(), strict=True):
-        out[piece * 8192 : (piece + 1) * 8192] = np.frombuffer(part, dtype=np.uint8)
-    return out
-
-
 def _batches(found: dict, arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(found), type=arrow[0].type), pa.array(list(found.values()), type=pa.int64())], schema=arrow)
 
@@ -193,8 +161,8 @@ def contexts(train: DataFrame, length: int, frequent, s: Settings) -> DataFrame:
                 flat, starts, _ = encode(batch.slice(at, common.SLICE_ROWS).column(0).to_pylist())
                 for k, (_, ctx, g, pg) in enumerate(grams(flat, starts, length), 1):
                     if k == length:
-                        ok = maybe(frequent.value, pg)
-                        ok[ok] = maybe(frequent.value, ctx[ok])
+                        ok = common.maybe(frequent.value, pg)
+                        ok[ok] = common.maybe(frequent.value, ctx[ok])
                         parts.append((g[ok], ctx[ok], pg[ok]))
                         size += int(ok.sum())
                 if size >= 10 * s.flush:
@@ -220,7 +188,7 @@ def grow(train: DataFrame, table: DataFrame, totals: tuple[int, int, int], s: Se
     out = None
     for k in range(1, s.depth + 1):
         sizes = sizes.unionByName(begin) if k == 1 else sizes
-        frequent = common.broadcast(spark, bitmap(sizes.select(F.col("g").alias("key")).unionByName(shorter.where(F.col("n") >= s.least).select(F.col("g").alias("key")))))
+        frequent = common.broadcast(spark, common.bitmap(sizes.select(F.col("g").alias("key")).unionByName(shorter.where(F.col("n") >= s.least).select(F.col("g").alias("key")))))
         found = contexts(train, k, frequent, s)
         n, size, q = F.col("n"), F.col("size"), F.col("q")
         good = (n >= s.gamma_min * size) & ((n / size >= s.ratio * q) | (n / size * s.ratio <= q))
@@ -284,7 +252,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, settings: Settings = S
     tokens, types, texts = totals = tuple(int(x or 0) for x in total)
     tree = materialize(grow(train, table, totals, s), "pst-tree")
     often = F.col("n") >= max(1.0, s.hot * tokens)  # at most 1/hot words, and as many rows of the tree of a length and kind
-    hot = Hot(*_sorted(table.where(often).select(F.xxhash64("word"), F.log10(F.col("n") + 1)).toArrow()), *_sorted(tree.where(often).select("key", "value").toArrow()), bitmap(tree.select("key")))
+    hot = Hot(*_sorted(table.where(often).select(F.xxhash64("word"), F.log10(F.col("n") + 1)).toArrow()), *_sorted(tree.where(often).select("key", "value").toArrow()), common.bitmap(tree.select("key")))
     shared = common.broadcast(spark, hot)
 
     def run(cols: dict[str, list]) -> dict[str, list]:
@@ -296,7 +264,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, settings: Settings = S
         model, open_keys, open_at = np.zeros(len(flat)), [], []
         for place, ctx, g, _ in grams(flat, starts, s.depth):
             for keys in (ctx ^ np.uint64(CONTEXT), g):
-                hit = maybe(h.bits, keys)
+                hit = common.maybe(h.bits, keys)
                 wanted, where = keys[hit], place[hit]
                 i, there = find(h.keys, wanted)
                 model[where[there]] += h.values[i[there]] if there.any() else 0.0

@@ -7,8 +7,9 @@ driver over a bounded, stratified sample of labelled rows. For scoring, the
 product of the embedding table with each filter slice is taken once, so a text
 costs a few table rows and sums for each word, wherever it lies in the text.
 
-Scores are calibrated on labelled rows kept from training: a logistic map for
-the score, and for each language the threshold of the best F1.
+Scores are calibrated on all labelled rows kept from training, in and outside the
+sample: they are scored in Spark, and histograms of their logits give a logistic
+map for the score and for each language the threshold of the best F1.
 """
 
 from __future__ import annotations
@@ -18,9 +19,12 @@ import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgspark.runtime import materialize
+
 from . import common
 
 WORDS = re.compile(r"[^\W\d_]+").findall
@@ -45,8 +49,8 @@ class Settings:
     rate_rows: float = 0.003
     shrink: float = 4.0
     seed: int = 11
-    #: Positive calibration rows below which a language uses the common threshold.
-    least_positives: int = 25
+    #: Steps of a unit of the logit in the histograms of the calibration.
+    steps: int = 256
 
 
 class WordBuckets:
@@ -148,12 +152,11 @@ def _log_odds(docs: list, y: np.ndarray, weight: np.ndarray, s: Settings, n: int
     return np.clip(odds, -1, 4).astype(np.float32)
 
 
-def fit(docs: list, y: np.ndarray, langs: list[str | None], weight: np.ndarray, s: Settings) -> Model:
-    """Train on three quarters of the rows, calibrate on the rest. ``weight``: rows each row stands for."""
+def fit(docs: list, y: np.ndarray, weight: np.ndarray, s: Settings) -> tuple[Model, list[int]]:
+    """Train on three quarters of the rows, and which these are. ``weight``: rows each row stands for."""
     y = np.asarray(y, dtype=np.float64)
     if not len(y) or y.min() == y.max():
-        return constant(s, float(y.mean()) if len(y) else 0.1)
-    raw_docs = docs
+        return constant(s, float(y.mean()) if len(y) else 0.1), []
     texts = np.bincount(np.concatenate([np.unique(np.asarray(d, dtype=np.int64)) for d in docs]), minlength=s.buckets)
     texts[0] = 0
     rows = np.where(texts >= s.least_texts, np.cumsum(texts >= s.least_texts), 0).astype(np.int32)
@@ -221,15 +224,36 @@ def fit(docs: list, y: np.ndarray, langs: list[str | None], weight: np.ndarray,
             row_grads[rows_hit == 0] = 0
             adam.step([row_grads, *grads], rows_hit)
     tables = [[(emb @ f[o]).astype(np.float32) for o in range(len(f))] for f in filters]
-    model = Model(s, tables, rows, bias, out, float(out_bias[0]))
-    calibrate(model, [i for i in range(len(y)) if held[i]] or train, raw_docs, y, langs, weight)
-    return model
+    return Model(s, tables, rows, bias, out, float(out_bias[0])), train
+
+
+def histogram(texts: DataFrame, rows: DataFrame, model: Model, used: np.ndarray) -> pa.Table:
+    """``lang, bin, toxic, n``: logits of all labelled documents but those of the keys in ``used``, which the fit bounds."""
+    spark, steps = texts.sparkSession, model.settings.steps
+    shared = common.broadcast(spark, (model, np.sort(used), common.bitmap(rows.select(F.xxhash64("key").alias("key")))))
+
+    def run(cols: dict[str, list]) -> dict[str, list]:
+        m, fitted, bits = shared.value
+        may = common.maybe(bits, np.array(cols["hash"], dtype=np.int64).view(np.uint64)) & ~np.isin(cols["key"], fitted)
+        keep = np.flatnonzero(may).tolist()
+        z = np.array(_by_chunks(m, m.logits, [cols["text"][i] for i in keep]), dtype=np.float64)
+        return {"key": [cols["key"][i] for i in keep], "lang": [cols["lang"][i] or "" for i in keep], "bin": np.rint(np.clip(z, -40, 40) * steps).astype(np.int32)}
+
+    able = texts.where(f"key is not null and {common.crc_text('key')} % 4 <> 2").select("key", F.xxhash64("key").alias("hash"), "lang", "text")
+    scored = common.map_batches(able, run, "key long, lang string, bin int")
+    return scored.join(rows, "key").groupBy("lang", "bin", "toxic").agg(F.count(F.lit(1)).alias("n")).orderBy("lang", "bin", "toxic").toArrow()
 
 
-def calibrate(model: Model, rows: list[int], docs: list, y: np.ndarray, langs: list[str | None], weight: np.ndarray) -> None:
-    """Logistic map of the logits by weighted likelihood, then thresholds of the best weighted F1."""
-    z = np.concatenate([model.logits([docs[i] for i in rows[a : a + 256]]) for a in range(0, len(rows), 256)]).astype(np.float64)
-    t, w = y[rows], weight[rows] / weight[rows].sum()
+def calibrate(model: Model, found: pa.Table, totals: dict[int, int]) -> None:
+    """Logistic map of the logits by weighted likelihood, then thresholds of the best weighted F1.
+
+    ``totals``: labelled rows of each class, for which the rows of ``found`` stand.
+    A language without a toxic row has no F1 and uses the common threshold.
+    """
+    z, t = found.column("bin").to_numpy() / model.settings.steps, found.column("toxic").to_numpy().astype(np.float64)
+    n = found.column("n").to_numpy().astype(np.float64)
+    w = n * np.where(t == 1, totals[1] / n[t == 1].sum(), totals[0] / n[t == 0].sum())
+    w /= w.sum()
     a, b = 1.0, 0.0
     for _ in range(60):  # Newton steps with a small ridge
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
@@ -241,10 +265,10 @@ def calibrate(model: Model, rows: list[int], docs: list, y: np.ndarray, langs: l
     model.scale = float(max(a, 0.05)), float(b)
     p = 1 / (1 + np.exp(-np.clip(model.scale[0] * z + b, -40, 40)))
     model.threshold = best_threshold(p, t, w)
-    names = np.array([x or "" for x in (langs[i] for i in rows)])
+    names = np.array(found.column("lang").to_pylist())
     for name in sorted(set(names.tolist())):
         own = names == name
-        if t[own].sum() >= model.settings.least_positives:
+        if t[own].any():
             model.by_lang[name] = best_threshold(p[own], t[own], w[own])
 
 
@@ -260,12 +284,13 @@ def best_threshold(p: np.ndarray, t: np.ndarray, w: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id") -> Model:
-    """Fit on a bounded sample of labelled rows, the same for the same data.
+    """Fit on a bounded sample of labelled rows, calibrated on all others; the same for the same data.
 
     Learns only from rows whose crc32(id as text) mod 4 is not 2. Repeated labels
     of a document count once, toxic if any is. Null ids and null labels are left out.
     """
     rows = labels.where(f"doc_id is not null and toxic is not null and {common.crc_text('doc_id')} % 4 <> 2").groupBy(F.col("doc_id").alias("key")).agg(F.max("toxic").cast("int").alias("toxic"))
+    rows = materialize(rows, "toxicity-labels")
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     pick = lambda label, n: rows.where(F.col("toxic") == label).orderBy(F.xxhash64("key"), "key").limit(n)
     sample = pick(1, settings.toxic_rows).unionByName(pick(0, settings.clean_rows))
@@ -274,15 +299,23 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
 
     def tokens(cols: dict[str, list]) -> dict[str, list]:
         words = _buckets(settings.buckets)
-        return {"key": cols["key"], "lang": cols["lang"], "toxic": cols["toxic"], "ids": [words(t or "") for t in cols["text"]]}
+        return {"key": cols["key"], "toxic": cols["toxic"], "ids": [words(t or "") for t in cols["text"]]}
 
-    found = common.map_batches(joined.select("key", "lang", "toxic", "text"), tokens, "key long, lang string, toxic int, ids array<int>").toArrow()
+    found = common.map_batches(joined.select("key", "toxic", "text"), tokens, "key long, toxic int, ids array<int>").toArrow()
     ids = [np.asarray(x.values.to_numpy(zero_copy_only=False), dtype=np.int64) for x in found.column("ids")]
-    y, keys, langs = found.column("toxic").to_numpy(), found.column("key").to_numpy(), found.column("lang").to_pylist()
+    y, keys = found.column("toxic").to_numpy(), found.column("key").to_numpy()
     order = np.lexsort([[len(i) for i in ids], keys]) if len(keys) else []
     kept = {label: max(1, int((y == label).sum())) for label in (0, 1)}
     weight = np.array([totals.get(int(v), 0) / kept[int(v)] for v in y], dtype=np.float64)
-    return fit([ids[i] for i in order], y[order] if len(y) else y, [langs[i] for i in order], weight[order] if len(y) else weight, settings)
+    if not len(y):
+        return fit([], y, weight, settings)[0]
+    model, used = fit([ids[i] for i in order], y[order], weight[order], settings)
+    if used:
+        seen = histogram(texts, rows, model, keys[order][used])
+        if len(set(seen.column("toxic").to_pylist())) < 2:  # too few labels to keep some of both kinds from the fit
+            seen = histogram(texts, rows, model, np.array([], dtype=np.int64))
+        calibrate(model, seen, totals)
+    return model
 
 
 _BUCKETS: dict[int, WordBuckets] = {}
@@ -296,15 +329,19 @@ def _buckets(n: int) -> WordBuckets:
 CHUNK_WORDS = 200_000
 
 
-def _score_texts(model: Model, texts: list) -> list[float]:
+def _by_chunks(model: Model, of, texts: list) -> list[float]:  # noqa: ANN001
     words, out, held, size = _buckets(model.settings.buckets), [], [], 0
     for t in texts:
         held.append(words(t or ""))
         size += len(held[-1])
         if size >= CHUNK_WORDS:
-            out += model.scores(held).tolist()
+            out += of(held).tolist()
             held, size = [], 0
-    return out + (model.scores(held).tolist() if held else [])
+    return out + (of(held).tolist() if held else [])
+
+
+def _score_texts(model: Model, texts: list) -> list[float]:
+    return _by_chunks(model, model.scores, texts)
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, model: Model, cut: float = 0.3, id_col: str = "doc_id") -> DataFrame:

@@ -210,6 +210,29 @@ def test_toxicity_learns_and_ignores_language(spark):
     assert toxicity.score_documents(spark, docs.where("false"), model).count() == 0
 
 
+def test_toxicity_calibrates_on_all_labels_kept_from_the_fit(spark, monkeypatch):
+    """A bounded sample for the fit; thresholds from every other label, with one for a language of few toxic rows."""
+    from kgspark.llm import toxicity
+
+    rng, rows, labels, seen = random.Random(5), [], [], []
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 7))) for _ in range(100)]
+    for i in range(1600):
+        lang, toxic = ("fr" if i % 10 == 0 else "en"), i % 50 < 10
+        rows.append((i, " ".join([*rng.choices(words, k=10), *(["idiot"] if toxic or rng.random() < 0.1 else [])]), lang))
+        labels.append((i, int(toxic)))
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    original = toxicity.calibrate
+    monkeypatch.setattr(toxicity, "calibrate", lambda model, found, totals: (seen.append(found), original(model, found, totals)))
+    s = toxicity.Settings(toxic_rows=40, clean_rows=80)
+    model = toxicity.train(docs, lab, s)
+    usable = [(i, t) for i, t in labels if zlib.crc32(str(i).encode()) % 4 != 2]
+    n = {t: sum(r["n"] for r in seen[0].to_pylist() if r["toxic"] == t) for t in (0, 1)}
+    assert n == {1: sum(t for _, t in usable) - 30, 0: sum(1 - t for _, t in usable) - 60}
+    assert set(model.by_lang) == {"en", "fr"}
+    z = {int(round(float(model.logits([toxicity._buckets(s.buckets)(text)])[0]) * s.steps)) for i, text, _ in rows if (i, 0) in usable or (i, 1) in usable}
+    assert all(any(abs(r["bin"] - x) <= 1 for x in z) for r in seen[0].to_pylist())
+
+
 def test_best_threshold_on_ties():
     from kgspark.llm.toxicity import best_threshold
 
