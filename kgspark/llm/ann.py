@@ -1,7 +1,9 @@
 """Approximate nearest neighbours on shifted space-filling curves.
 
 Unit vectors are turned by random rotations; the first coordinates of each turn,
-shifted at random, are ordered along a Hilbert curve. Each curve is cut at
+shifted at random, are ordered along a Hilbert curve, finely enough that vectors
+which differ only in their last float bits keep an order of their own on every
+curve. Each curve is cut at
 quantiles of its keys into cells of about equal size, so every cell is a range
 partition of the curve. A query visits its own cell and the neighbouring cells
 of every curve within its reach; each cell returns the query's best candidates
@@ -30,22 +32,25 @@ from . import common
 class Settings:
     k: int = 5
     curves: int = 12
-    #: Coordinates and bits a coordinate of a curve; together under 56 bits.
+    #: Coordinates and bits a coordinate of a curve; single-precision vectors differ within 40 bits of the range.
     coords: int = 6
-    bits: int = 8
+    bits: int = 40
     #: Cells on either side that a query visits, as a share of all cells: recall against work.
     share: float = 0.05
     cells: int = 40
     #: Few rows make fewer cells of at least this many, many rows more cells of at most that many.
     least_rows: int = 64
     cell_rows: int = 4096
+    #: Rows on which the borders of the cells are taken, and at least so many for each cell; every row is then placed.
+    border_rows: int = 40_000
+    border_cell: int = 64
     #: Rows of the sample on which the centre and the scales are fitted; the index itself holds every row.
     sample: int = 10_000
     seed: int = 3
 
 
-def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
-    """Position on the Hilbert curve of integer points (rows) of ``bits`` bits a coordinate."""
+def _turned(points: np.ndarray, bits: int) -> np.ndarray:
+    """Coordinates whose bits, dealt in turn from the highest on, are the position on the Hilbert curve."""
     x = points.astype(np.uint64).T.copy()
     m = len(x)
     level = 1 << (bits - 1)
@@ -64,6 +69,20 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
         turn ^= np.where((x[m - 1] & np.uint64(level)) != 0, np.uint64(level - 1), np.uint64(0))
         level >>= 1
     x ^= turn
+    return x
+
+
+def hilbert_bytes(points: np.ndarray, bits: int) -> np.ndarray:
+    """Position on the Hilbert curve as rows of bytes in the order of the curve, for any number of bits."""
+    x = _turned(points, bits)
+    steps = np.arange(bits - 1, -1, -1, dtype=np.uint64)
+    return np.packbits(((x.T[:, None, :] >> steps[None, :, None]) & np.uint64(1)).astype(np.uint8).reshape(x.shape[1], -1), axis=1)
+
+
+def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
+    """Position on the Hilbert curve of integer points (rows) of ``bits`` bits a coordinate, together at most 64."""
+    x = _turned(points, bits)
+    m = len(x)
     key = np.zeros(x.shape[1], dtype=np.uint64)
     for b in range(bits - 1, -1, -1):
         for i in range(m):
@@ -81,14 +100,16 @@ class Curves:
     bits: int
 
     def keys(self, vectors: np.ndarray, tie: np.ndarray) -> np.ndarray:
-        """One key for each vector and curve; the low 8 bits split vectors of one grid cell by ``tie``."""
+        """One key of bytes for each vector and curve; ``tie``, hashed for each curve, splits what equals in all bits."""
         unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True) - self.centre
-        out = np.empty((len(vectors), len(self.turns)), dtype=np.int64)
-        top = 1 << self.bits
+        out, top = [], 1 << self.bits
         for c, turn in enumerate(self.turns):
             y = (unit @ turn - self.low[c]) / self.width[c] * 0.9 + self.shift[c] * 0.1
-            out[:, c] = (hilbert(np.clip((y * top).astype(np.int64), 0, top - 1), self.bits) << np.uint64(8)).astype(np.int64) | (tie & 255)
-        return out
+            place = hilbert_bytes(np.clip((y * top).astype(np.int64), 0, top - 1), self.bits)
+            mixed = (tie.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * c) >> np.uint64(48)).astype(">u2").view(np.uint8).reshape(-1, 2)
+            whole = np.ascontiguousarray(np.hstack([place, mixed]))
+            out.append(whole.view(f"S{whole.shape[1]}").reshape(-1))
+        return np.stack(out, axis=1)
 
 
 def fit(sample: np.ndarray, s: Settings) -> Curves:
@@ -119,14 +140,25 @@ def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (q * c).sum(axis=-1) / (np.sqrt((q * q).sum(axis=-1)) * np.sqrt((c * c).sum(axis=-1)))
 
 
-def _best(queries: np.ndarray, rows: np.ndarray, unit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and exact cosines of each query's k best rows; a few more are reranked exactly."""
+#: Cosines by matrix product are this close to the exact ones.
+NEAR = 1e-13
+
+
+def _best(queries: np.ndarray, rows: np.ndarray, unit: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and exact cosines of each query's k best rows, ties to the smaller id; all that may be among them are reranked exactly."""
     near = (queries / np.linalg.norm(queries, axis=1, keepdims=True)) @ unit.T
     take = min(len(rows), k + 4)
     top = np.argpartition(-near, take - 1, axis=1)[:, :take] if take < len(rows) else np.tile(np.arange(len(rows)), (len(queries), 1))
     score = _exact(queries[:, None, :], rows[top])
-    order = np.argsort(-score, axis=1, kind="stable")[:, :k]
-    return np.take_along_axis(top, order, axis=1), np.take_along_axis(score, order, axis=1)
+    order = np.lexsort((ids[top], -score), axis=1)[:, :k]
+    top, score = np.take_along_axis(top, order, axis=1), np.take_along_axis(score, order, axis=1)
+    if take < len(rows):
+        for i in np.flatnonzero((near >= score[:, -1:] - NEAR).sum(axis=1) > take).tolist():
+            every = np.flatnonzero(near[i] >= score[i, -1] - NEAR)
+            exact = _exact(queries[i], rows[every])
+            order = np.lexsort((ids[every], -exact))[:k]
+            top[i], score[i] = every[order], exact[order]
+    return top, score
 
 
 def nearest(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", s: Settings = Settings(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -164,13 +196,21 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", s: Settings =
     def keyed(batches):  # noqa: ANN001, ANN202
         for b in batches:
             keys = curves.value.keys(_matrix(b.column(0)).astype(np.float64), b.column(1).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(keys.shape[1], dtype=np.int32), len(keys))), pa.array(keys.reshape(-1))], names=["curve", "key"])
-
-    cuts = [i / cells for i in range(1, cells)] or [1.0]  # a single cell needs no cut, but the function needs one
-    bounds = {r["curve"]: np.array(r["cuts"], dtype=np.int64) for r in classes.select("v", "v1").mapInArrow(keyed, "curve int, key long").groupBy("curve").agg(F.percentile_approx("key", cuts, 10_000).alias("cuts")).collect()}
-    held = common.broadcast(spark, [bounds[c][: cells - 1] for c in range(s.curves)])
+            width = keys.dtype.itemsize
+            flat = pa.Array.from_buffers(pa.binary(width), keys.size, [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(keys.shape[1], dtype=np.int32), len(keys))), flat], names=["curve", "key"])
+
+    def borders(part: pa.Table) -> pa.Table:
+        keys = np.sort(np.array(part.column("key").to_pylist(), dtype=bytes))
+        cuts = [keys[i * len(keys) // cells] for i in range(1, cells)]
+        return pa.table({"curve": part.column("curve")[:1], "cuts": pa.array([[bytes(x) for x in cuts]], type=pa.list_(pa.binary()))})
+
+    every = max(1, total // max(s.border_rows, s.border_cell * cells))
+    some = classes.where(F.pmod(F.col("v2"), F.lit(every)) == 0).select("v", "v1").mapInArrow(keyed, "curve int, key binary")
+    bounds = {r["curve"]: np.array([bytes(x) for x in r["cuts"]], dtype=bytes) for r in some.groupBy("curve").applyInArrow(borders, "curve int, cuts array<binary>").collect()}
+    held = common.broadcast(spark, [bounds[c] for c in range(s.curves)])
     reach = max(1, round(s.share * cells))
-    placed_schema = common.arrow_schema("curve int, cell int, query boolean, v1 long, v2 long, v array<float>")
+    placed_schema = common.arrow_schema("curve int, cell int, query boolean, v1 long, v2 long, id long, v array<float>")
 
     def placed(batches):  # noqa: ANN001, ANN202
         """Every class once a curve, and each asked class once for each cell in reach."""
@@ -184,8 +224,8 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", s: Settings =
                 take = np.concatenate([np.arange(len(keys)), np.repeat(asked_rows, inside.sum(axis=1))])
                 where = np.concatenate([cell, near[inside]]).astype(np.int32)
                 query = np.arange(len(take)) >= len(keys)
-                cols = [b.column(x).take(pa.array(take)) for x in ("v1", "v2", "v")]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), c, dtype=np.int32)), pa.array(where), pa.array(query), cols[0], cols[1], cols[2].cast(placed_schema[5].type)], schema=placed_schema)
+                cols = [b.column(x).take(pa.array(take)) for x in ("v1", "v2", "id", "v")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), c, dtype=np.int32)), pa.array(where), pa.array(query), *cols[:3], cols[3].cast(placed_schema[6].type)], schema=placed_schema)
 
     found_schema = common.arrow_schema("q1 long, q2 long, c1 long, c2 long, score double")
 
@@ -195,27 +235,27 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", s: Settings =
         for b in batches:
             cell = b.column("curve").to_numpy().astype(np.int64) * cells + b.column("cell").to_numpy()
             kind = b.column("query").to_numpy(zero_copy_only=False)
-            v1, v2, m = b.column("v1").to_numpy(), b.column("v2").to_numpy(), _matrix(b.column("v")).astype(np.float64)
+            v1, v2, first, m = b.column("v1").to_numpy(), b.column("v2").to_numpy(), b.column("id").to_numpy(), _matrix(b.column("v")).astype(np.float64)
             edges = np.flatnonzero((np.diff(cell) != 0) | (np.diff(kind.astype(np.int8)) != 0)) + 1
             for a, z in zip([0, *edges.tolist()], [*edges.tolist(), len(cell)], strict=True):
                 if cell[a] != at:
                     at, parts, ready = cell[a], [], None
                 if not kind[a]:
-                    parts.append((v1[a:z], v2[a:z], m[a:z]))
+                    parts.append((v1[a:z], v2[a:z], first[a:z], m[a:z]))
                     continue
                 if not parts:
                     continue
                 if ready is None:
-                    c1, c2, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    ready = c1, c2, c, c / np.linalg.norm(c, axis=1, keepdims=True)
-                c1, c2, c, unit = ready
+                    c1, c2, own, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    ready = c1, c2, own, c, c / np.linalg.norm(c, axis=1, keepdims=True)
+                c1, c2, own, c, unit = ready
                 for i in range(a, z, 256):
                     j = min(z, i + 256)
-                    top, score = _best(m[i:j], c, unit, s.k + 1)
+                    top, score = _best(m[i:j], c, unit, own, s.k + 1)
                     n = top.shape[1]
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(v1[i:j], n)), pa.array(np.repeat(v2[i:j], n)), pa.array(c1[top.reshape(-1)]), pa.array(c2[top.reshape(-1)]), pa.array(score.reshape(-1))], schema=found_schema)
 
-    spread = classes.select("v1", "v2", "v", "asked").mapInArrow(placed, "curve int, cell int, query boolean, v1 long, v2 long, v array<float>")
+    spread = classes.select("v1", "v2", F.col("ids")[0].alias("id"), "v", "asked").mapInArrow(placed, "curve int, cell int, query boolean, v1 long, v2 long, id long, v array<float>")
     hits = spread.repartition("curve", "cell").sortWithinPartitions("curve", "cell", "query").mapInArrow(search, "q1 long, q2 long, c1 long, c2 long, score double")
     merged = hits.groupBy("q1", "q2", "c1", "c2").agg(F.max("score").alias("score"))
     named = merged.join(ids.select(F.col("v1").alias("c1"), F.col("v2").alias("c2"), "ids"), ["c1", "c2"])

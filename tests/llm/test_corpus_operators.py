@@ -347,6 +347,34 @@ def test_nearest_recall_and_odd_vectors(spark):
     assert copies == [0, 1000, 1001, 1002, 1003]
 
 
+@pytest.mark.parametrize("noise", [1e-6, 5e-5])
+def test_nearest_in_a_clump(spark, noise):
+    """A third of the rows are nearly, but not quite, the same vector."""
+    rng = np.random.default_rng(18)
+    m = rng.standard_normal((9000, 32)).astype(np.float32)
+    m[::3] = (m[0] * (1 + noise * rng.standard_normal((3000, 32)))).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<float>")
+    found = collections.defaultdict(dict)
+    for r in ann.nearest(vectors).collect():
+        found[r["query_id"]][r["vec_id"]] = r["score"]
+    x = m.astype(np.float64)
+    norm, hits = np.sqrt((x * x).sum(axis=1)), []
+    for q in range(0, 9000, 150):  # the queries of the clump
+        score = (x * x[q]).sum(axis=1) / norm / norm[q]
+        score[q] = -2
+        least = np.sort(score)[-5] - 1e-15
+        hits.append(sum(score[j] >= least for j in found[q]) / 5)
+    assert np.mean(hits) >= 0.9
+
+
+def test_best_gives_ties_to_the_smaller_id():
+    rows = np.concatenate([np.outer(2.0 ** np.arange(40), [1.0, 1.0]), [[1.0, 0.0]]])  # rescaled copies
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    ids = np.concatenate([np.arange(40)[::-1], [99]])
+    top, score = ann._best(np.array([[1.0, 2.0]]), rows, unit, ids, 6)
+    assert ids[top[0]].tolist() == [0, 1, 2, 3, 4, 5] and len(set(score[0].tolist())) == 1
+
+
 def test_nearest_few_rows(spark):
     vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert rows_of(ann.nearest(vectors), "query_id", "rank", "vec_id") == [(0, 1, 1), (0, 2, 2)]
