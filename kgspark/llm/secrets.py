@@ -24,6 +24,10 @@ from .automaton import Automaton
 
 VALUE = "[A-Za-z0-9+/_.=-]"
 ASSIGN = "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?"
+#: A private key: its first line, all that may stand before its last line (with the escaped line ends of JSON), and the base64 lines of a key without one.
+PEM = "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"
+PEM_BODY = r"(?:[A-Za-z0-9+/=:,\\\x09\x0a\x0d\x20]|-[A-Za-z0-9])*"
+PEM_LINES = r"(?:(?:\x0d?\x0a|\\n)[A-Za-z0-9+/=]{16,})*"
 _ASSIGN_VALUE = re.compile((ASSIGN + f"({VALUE}+)").encode())
 
 
@@ -48,7 +52,7 @@ RULES = (
     Rule("hex", "[0-9a-f]+", "[0-9a-f]{16}", lambda s: len(s) >= 32, True),
     Rule("github", "gh[pousr]_[A-Za-z0-9]+", "gh[pousr]_[A-Za-z0-9]", lambda s: len(s) == 40),
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", "xox[abprs]-[A-Za-z0-9-]", lambda s: len(s) >= 15),
-    Rule("pem", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", lambda s: True),
+    Rule("pem", PEM + f"(?:{PEM_BODY}-----END (?:[A-Z]+ )*PRIVATE KEY-----|{PEM_LINES})", PEM, lambda s: True),
 )
 
 

@@ -181,6 +181,20 @@ def test_media_query_on_odd_rows(spark):
     assert out[2]["media_sha256"] == out[3]["media_sha256"] and len(out) == len(ODD) + 1
 
 
+def test_pem_takes_the_whole_key():
+    from kgspark.llm import secrets
+
+    body = "\n".join(["MIIEpAIBAAKCAQEA7bq+/x" + "Qz9" * 14] * 4 + ["c2hvcnQ="])
+    for kind in ("", "RSA ", "OPENSSH "):
+        key = f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----"
+        assert secrets.redact(f"a\n{key}\nb {key} c") == "a\n[PEM]\nb [PEM] c"
+        assert secrets.redact("é " + key.replace("\n", "\\n") + '"') == 'é [PEM]"'
+        assert secrets.redact(key.replace("KEY-----\n", "KEY-----\r\nProc-Type: 4,ENCRYPTED\r\nDEK-Info: AES-128-CBC,0AF3\r\n\r\n", 1)) == "[PEM]"
+    cut = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(body.split("\n")[:3])
+    assert secrets.redact(cut + "\nand prose, on and on") == "[PEM]\nand prose, on and on"
+    assert secrets.redact("-----BEGIN PRIVATE KEY----- is how a key begins") == "[PEM] is how a key begins"
+
+
 def test_toxicity_learns_and_ignores_language(spark):
     from kgspark.llm import toxicity
 
