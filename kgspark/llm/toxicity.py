@@ -32,11 +32,13 @@ WORDS = re.compile(r"[^\W\d_]+").findall
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds and sizes. ``toxic_rows`` and ``clean_rows`` bound the labelled sample."""
+    """Bounds and sizes. ``toxic_rows``, ``clean_rows`` and ``text_words`` bound the labelled sample that the fit reads."""
 
     toxic_rows: int = 3000
     clean_rows: int = 5000
-    #: Hash values, and sampled texts that must hold one for it to have a row of its own.
+    #: Longer texts are scored and calibrated on like all others, but not fitted on.
+    text_words: int = 25_000
+    #: Hash values, and sampled texts that must hold one for it to have a row of its own (rarer words are padding).
     buckets: int = 1 << 20
     least_texts: int = 3
     dim: int = 16
@@ -107,11 +109,13 @@ class Model:
             z = tables[0][flat[:ends]]
             for o in range(1, len(tables)):
                 z += tables[o][flat[o : ends + o]]
+            for o in range(1, len(tables)):
+                z[starts[1:] - o] = -np.inf  # these windows would reach into the next text
             pooled.append(np.maximum(np.maximum.reduceat(z, starts[:-1], axis=0) + bias, 0))
         return (np.concatenate(pooled, axis=1) * self.out).sum(axis=1) + self.out_bias
 
     def scores(self, docs: list) -> np.ndarray:
-        """Between 0 and 1; the batch that a text is in does not matter."""
+        """Between 0 and 1, each a function of its own text: no window crosses two texts."""
         x = self.logits(docs).astype(np.float64) * self.scale[0] + self.scale[1]
         return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -196,7 +200,7 @@ def fit(docs: list, y: np.ndarray, weight: np.ndarray, s: Settings) -> tuple[Mod
                 z = x[:ends] @ f[0]
                 for o in range(1, len(f)):
                     z += x[o : ends + o] @ f[o]
-                best = np.stack([starts[k] + z[starts[k] : starts[k + 1]].argmax(axis=0) for k in range(len(part))])
+                best = np.stack([starts[k] + z[starts[k] : starts[k + 1] - len(f) + 1].argmax(axis=0) for k in range(len(part))])
                 where.append(best)
                 pooled.append(np.take_along_axis(z, best, axis=0) + b)
             raw = np.concatenate(pooled, axis=1)
@@ -288,6 +292,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
 
     Learns only from rows whose crc32(id as text) mod 4 is not 2. Repeated labels
     of a document count once, toxic if any is. Null ids and null labels are left out.
+    Of documents that repeat a sampled id one text is fitted on (the least hash).
     """
     rows = labels.where(f"doc_id is not null and toxic is not null and {common.crc_text('doc_id')} % 4 <> 2").groupBy(F.col("doc_id").alias("key")).agg(F.max("toxic").cast("int").alias("toxic"))
     rows = materialize(rows, "toxicity-labels")
@@ -295,13 +300,13 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
     pick = lambda label, n: rows.where(F.col("toxic") == label).orderBy(F.xxhash64("key"), "key").limit(n)
     sample = pick(1, settings.toxic_rows).unionByName(pick(0, settings.clean_rows))
     texts = docs.select(F.col(id_col).cast("long").alias("key"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    joined = texts.join(F.broadcast(sample), "key")  # bounded by the two sample sizes
+    joined = texts.join(F.broadcast(sample), "key").groupBy("key", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # bounded by the two sample sizes
 
     def tokens(cols: dict[str, list]) -> dict[str, list]:
         words = _buckets(settings.buckets)
         return {"key": cols["key"], "toxic": cols["toxic"], "ids": [words(t or "") for t in cols["text"]]}
 
-    found = common.map_batches(joined.select("key", "toxic", "text"), tokens, "key long, toxic int, ids array<int>").toArrow()
+    found = common.map_batches(joined.select("key", "toxic", "text"), tokens, "key long, toxic int, ids array<int>").where(F.size("ids") <= settings.text_words).toArrow()
     ids = [np.asarray(x.values.to_numpy(zero_copy_only=False), dtype=np.int64) for x in found.column("ids")]
     y, keys = found.column("toxic").to_numpy(), found.column("key").to_numpy()
     order = np.lexsort([[len(i) for i in ids], keys]) if len(keys) else []
@@ -369,7 +374,12 @@ def score_documents(spark: SparkSession, docs: DataFrame, model: Model, cut: flo
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without the rows that the calibrated thresholds reject; columns as they are."""
+    """``docs`` without the rows that the calibrated thresholds reject; columns as they are.
+
+    Null and empty texts are scored as padding, null languages by the common
+    threshold. Equal texts of a language fare alike. Ids are not looked at, so
+    null and repeated ones pass; an empty table stays empty.
+    """
     held = common.broadcast(spark, model)
 
     def run(cols: dict[str, list]) -> dict[str, list]:

@@ -219,6 +219,8 @@ def test_toxicity_learns_and_ignores_language(spark):
     assert out[902]["score"] == pytest.approx(out[0]["score"]) and out[900]["score"] == out[901]["score"] and len(out) == 704
     kept = toxicity.drop_toxic(spark, docs, model)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in out.items() if not r["rejected"]}
+    twice = toxicity.train(docs.unionByName(docs), lab.unionByName(lab), toxicity.Settings(epochs=8))  # repeated rows are one row of the sample
+    assert twice.out.tolist() == model.out.tolist()
     none = toxicity.train(docs, lab.where("false"))
     assert {r["predicted"] for r in toxicity.score_documents(spark, docs, none).collect()} == {0}
     assert toxicity.score_documents(spark, docs.where("false"), model).count() == 0
@@ -247,6 +249,49 @@ def test_toxicity_calibrates_on_all_labels_kept_from_the_fit(spark, monkeypatch)
     assert all(any(abs(r["bin"] - x) <= 1 for x in z) for r in seen[0].to_pylist())
 
 
+def small_toxicity_model():
+    from kgspark.llm import toxicity
+
+    rng = np.random.default_rng(3)
+    s = toxicity.Settings(buckets=1 << 12, least_texts=1, epochs=3)
+    words = toxicity.WordBuckets(s.buckets)
+    vocabulary = [f"{a}{b}" for a in "abcdefgh" for b in "klmnop"]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(1, 30))) + (" idiot moron" if i % 4 == 0 else "") for i in range(200)]
+    y = np.array([i % 4 == 0 for i in range(200)], dtype=float)
+    model, _ = toxicity.fit([words(t) for t in texts], y, np.ones(200), s)
+    return model, words, texts
+
+
+def test_toxicity_score_is_a_function_of_the_text():
+    """Alone, first, last, in any order and beside any neighbour a text has the same bits."""
+    model, words, texts = small_toxicity_model()
+    docs = [words(t) for t in [*texts, "", "x", "idiot", "moron idiot", ""]]
+    alone = [model.scores([d])[0] for d in docs]
+    rng = random.Random(4)
+    for _ in range(20):
+        order = rng.sample(range(len(docs)), len(docs))
+        at, got = 0, []
+        while at < len(order):  # slices of any size
+            n = rng.randrange(1, 60)
+            got += model.scores([docs[i] for i in order[at : at + n]]).tolist()
+            at += n
+        assert got == [alone[i] for i in order]
+    assert alone[-1] == alone[-5] < 0.3 < max(alone)
+
+
+def test_toxicity_equals_a_forward_pass_by_loops():
+    model, words, texts = small_toxicity_model()
+    for text in [*texts[:40], "", "idiot", "a b"]:
+        ids = [int(model.rows[w]) for w in words(text)]
+        total = model.out_bias
+        for k, (tables, bias) in enumerate(zip(model.tables, model.bias, strict=True)):
+            padded = ids + [0] * max(len(tables), max(model.settings.widths))
+            for f in range(len(bias)):
+                best = max(sum(float(t[padded[i + o]][f]) for o, t in enumerate(tables)) for i in range(len(padded) - len(tables) + 1))
+                total += max(best + float(bias[f]), 0.0) * float(model.out[k * len(bias) + f])
+        assert model.logits([words(text)])[0] == pytest.approx(total, abs=1e-4)
+
+
 def test_best_threshold_on_ties():
     from kgspark.llm.toxicity import best_threshold
 
