@@ -1,6 +1,7 @@
 """Row-wise operators against their public libraries or brute force."""
 
 import hashlib
+import pickle
 import random
 import re
 import struct
@@ -128,11 +129,33 @@ def test_secrets_query_and_redaction(spark):
     assert secrets.find_secrets(spark, docs.where("false")).count() == 0
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from(["a(?:b|c){2,3}", "[^a]c+", "(?i:xy)?z", "ab*", "b{2}"]), min_size=1, max_size=3, unique=True), st.text("abcxyzXYZ", max_size=12))
+def longest_spans(pattern, text):
+    """Leftmost, then longest, non-overlapping matches by trying every begin and end."""
+    out, i = [], 0
+    while i < len(text):
+        j = next((j for j in range(len(text), i, -1) if re.fullmatch(pattern, text[i:j])), None)
+        if j:
+            out.append((i, j))
+        i = j or i + 1
+    return out
+
+
+PATTERNS = ["a(?:b|c){2,3}", "[^a]c+", "(?i:xy)?z", "ab*", "b{2}", "abcx|bc", "ab(?:c+x)?", "(?:ab)+c|b", "(?:a|b)*c(?:a|b)?", "b(?:.*c)?", "a{3,}"]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(PATTERNS), min_size=1, max_size=4, unique=True), st.text("abcxyzZ", max_size=14) | st.text("abc", max_size=14))
 def test_automaton_equals_regexes(patterns, text):
-    mask = automaton.Automaton(patterns, anywhere=True).scan(text.encode())
-    assert [bool(mask >> i & 1) for i in range(len(patterns))] == [bool(re.search(p, text)) for p in patterns]
+    made = automaton.Automaton(patterns)
+    want = sorted((i, k, j) for k, p in enumerate(patterns) for i, j in longest_spans(p, text))
+    assert sorted(made.spans(text.encode())) == want
+    assert sorted(pickle.loads(pickle.dumps(made)).spans(text.encode())) == want
+
+
+def test_automaton_is_minimal_and_rejects_empty_matches():
+    assert len(automaton.Automaton(["ab|cb"]).table) == len(automaton.Automaton(["[ac]b"]).table)
+    with pytest.raises(ValueError):
+        automaton.Automaton(["a*"])
 
 
 def png():
