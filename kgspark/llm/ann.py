@@ -1,17 +1,18 @@
 """Approximate nearest neighbours on shifted space-filling curves.
 
-Unit vectors are turned by random rotations; the first coordinates of each turn,
+Unit vectors are turned by random rotations; some coordinates of each turn,
 shifted at random, are ordered along a Hilbert curve, finely enough that vectors
 which differ only in their last float bits keep an order of their own on every
-curve. Each curve is cut at
-quantiles of its keys into cells of about equal size, so every cell is a range
-partition of the curve. A query visits its own cell and the neighbouring cells
-of every curve within its reach; each cell returns the query's best candidates
-by exact cosine, and the lists of all curves merge.
-
-Candidates lie in one cell a curve and are held there; queries stream past, so a
-task's memory is bounded by a cell. Equal vectors are one class that carries its
-``k`` + 1 smallest ids: enough for any query, whatever the number of copies.
+curve. Each curve is range-partitioned and sorted; a query's candidates are the
+``window`` rows on either side of it on every curve, each scored by the exact
+cosine, and the lists of all curves merge. Work is queries x curves x window,
+whatever the number of rows.
+
+A range is read as a stream in key order, so a task's memory is bounded by the
+window and a batch. A query near the border of a range also visits the next one,
+where its key sorts before or after all rows. Equal vectors are one class that
+carries its ``k`` + 1 smallest ids: enough for any query, whatever the number of
+copies.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as SqlWindow
 from pyspark.sql import functions as F
 
 from kgspark.runtime import materialize
@@ -31,19 +33,18 @@ from . import common
 @dataclass(frozen=True)
 class Settings:
     k: int = 5
-    curves: int = 12
+    #: Curves, and rows on either side of a query that are its candidates on each: recall against work.
+    curves: int = 40
+    window: int = 256
     #: Coordinates and bits a coordinate of a curve; single-precision vectors differ within 40 bits of the range.
-    coords: int = 6
+    coords: int = 8
     bits: int = 40
-    #: Cells on either side that a query visits, as a share of all cells: recall against work.
-    share: float = 0.05
-    cells: int = 40
-    #: Few rows make fewer cells of at least this many, many rows more cells of at most that many.
-    least_rows: int = 64
-    cell_rows: int = 4096
-    #: Rows on which the borders of the cells are taken, and at least so many for each cell; every row is then placed.
-    border_rows: int = 40_000
-    border_cell: int = 64
+    #: Ranges of a curve are tasks, not limits: of about so many rows, at most so many ranges.
+    range_rows: int = 8192
+    ranges: int = 512
+    #: Parts of a range (a query in an outer part visits the next range too), and sampled rows for each border.
+    parts: int = 8
+    border_rows: int = 64
     #: Rows of the sample on which the centre and the scales are fitted; the index itself holds every row.
     sample: int = 10_000
     seed: int = 3
@@ -118,10 +119,16 @@ def fit(sample: np.ndarray, s: Settings) -> Curves:
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     centre, dim = unit.mean(axis=0), sample.shape[1]
     coords = min(s.coords, dim)
-    turns = np.stack([np.linalg.qr(rng.standard_normal((dim, dim)))[0][:, :coords] for _ in range(s.curves)])
-    y = np.einsum("nd,cdm->cnm", unit - centre, turns)
+    each = dim // coords  # curves of one rotation look along different axes
+    turns, axes = [], np.zeros((0, 0))
+    for c in range(s.curves):
+        if c % each == 0:
+            axes = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
+        turns.append(axes[:, c % each * coords : (c % each + 1) * coords])
+    turned = np.stack(turns)
+    y = np.einsum("nd,cdm->cnm", unit - centre, turned)
     low, high = np.quantile(y, 0.001, axis=1), np.quantile(y, 0.999, axis=1)
-    return Curves(centre, turns, low, np.maximum(high - low, 1e-9), rng.random((s.curves, coords)), s.bits)
+    return Curves(centre, turned, low, np.maximum(high - low, 1e-9), rng.random((s.curves, coords)), s.bits)
 
 
 def usable(vector: Column) -> Column:
@@ -131,8 +138,9 @@ def usable(vector: Column) -> Column:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
+    """Vectors as rows of doubles, each scaled by a power of two to at most 1: exact, and squares neither overflow nor vanish."""
+    rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1]) if rows.size else rows
 
 
 def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -144,21 +152,51 @@ def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 NEAR = 1e-13
 
 
-def _best(queries: np.ndarray, rows: np.ndarray, unit: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and exact cosines of each query's k best rows, ties to the smaller id; all that may be among them are reranked exactly."""
-    near = (queries / np.linalg.norm(queries, axis=1, keepdims=True)) @ unit.T
-    take = min(len(rows), k + 4)
-    top = np.argpartition(-near, take - 1, axis=1)[:, :take] if take < len(rows) else np.tile(np.arange(len(rows)), (len(queries), 1))
-    score = _exact(queries[:, None, :], rows[top])
-    order = np.lexsort((ids[top], -score), axis=1)[:, :k]
-    top, score = np.take_along_axis(top, order, axis=1), np.take_along_axis(score, order, axis=1)
-    if take < len(rows):
-        for i in np.flatnonzero((near >= score[:, -1:] - NEAR).sum(axis=1) > take).tolist():
-            every = np.flatnonzero(near[i] >= score[i, -1] - NEAR)
-            exact = _exact(queries[i], rows[every])
-            order = np.lexsort((ids[every], -exact))[:k]
-            top[i], score[i] = every[order], exact[order]
-    return top, score
+def best(query: np.ndarray, rows: np.ndarray, unit: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and exact cosines of the k best rows, ties to the smaller id; every row that may be among them is scored exactly."""
+    near = unit @ (query / np.linalg.norm(query))
+    some = np.flatnonzero(near >= np.partition(near, len(near) - k)[len(near) - k] - 2 * NEAR) if len(near) > k else np.arange(len(near))
+    score = _exact(query, rows[some])
+    order = np.lexsort((ids[some], -score))[:k]
+    return some[order], score[order]
+
+
+class Window:
+    """The rows of one range of a curve, read in key order, and the queries whose window is not complete yet."""
+
+    def __init__(self, width: int, k: int) -> None:
+        self.width, self.k = width, k
+        self.first = 0  # place of the first row that is held
+        self.rows: list[np.ndarray] = []  # c1, c2, id, vector, unit vector
+        self.waiting: list[tuple[int, int, int, np.ndarray]] = []  # place, q1, q2, vector
+
+    def add(self, v1: np.ndarray, v2: np.ndarray, ids: np.ndarray, m: np.ndarray, asked: np.ndarray, visitor: np.ndarray) -> None:
+        own = ~visitor
+        held = len(self.rows[0]) if self.rows else 0
+        place = self.first + held + np.cumsum(own) - own
+        unit = m[own] / np.linalg.norm(m[own], axis=1, keepdims=True)
+        new = [v1[own], v2[own], ids[own], m[own], unit]
+        self.rows = [np.concatenate(x) for x in zip(self.rows, new, strict=True)] if self.rows else new
+        self.waiting += [(int(place[i]), int(v1[i]), int(v2[i]), m[i]) for i in np.flatnonzero(asked).tolist()]
+
+    def take(self, ended: bool) -> pa.RecordBatch:
+        """Lists of the queries that have seen all their candidates; rows that no query needs go."""
+        end = self.first + len(self.rows[0])
+        n = len(self.waiting) if ended else sum(p + self.width < end for p, *_ in self.waiting)
+        parts = []
+        for p, q1, q2, vector in self.waiting[:n]:
+            low, high = max(0, p - self.width - self.first), p + self.width + 1 - self.first
+            c1, c2, ids, rows, unit = (x[low:high] for x in self.rows)
+            if len(ids):
+                top, score = best(vector, rows, unit, ids, self.k)
+                parts.append((np.full(len(top), q1), np.full(len(top), q2), c1[top], c2[top], score))
+        del self.waiting[:n]
+        need = (self.waiting[0][0] if self.waiting else end) - self.width
+        if need > self.first:
+            self.rows = [x[need - self.first :] for x in self.rows]
+            self.first = need
+        cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, t) for t in (np.int64,) * 4 + (np.float64,)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["q1", "q2", "c1", "c2", "score"])
 
 
 def nearest(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", s: Settings = Settings(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -171,16 +209,17 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", s: Settings =
     common one (the larger on ties). A row that repeats a query's id is not its
     candidate. Empty input gives no rows; other columns are not carried.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: x.cast("float") + F.lit(0.0).cast("float")).alias("v"))
+    element = vectors.schema[vector_col].dataType.elementType.typeName()
+    kind = "float" if element == "float" else "double"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: x.cast(kind) + F.lit(0.0).cast(kind)).alias("v"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    schema = "query_id long, rank int, vec_id long, score double"
     spark = vectors.sparkSession
     if lengths is None:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == lengths["d"]).withColumns({"v1": F.xxhash64("v"), "v2": F.xxhash64(F.lit(7), "v")})
 
-    by_vector = Window.partitionBy("v1", "v2").orderBy("vec_id")
+    by_vector = SqlWindow.partitionBy("v1", "v2").orderBy("vec_id")
     few = rows.select("v1", "v2", "vec_id").distinct().withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= s.k + 1)  # cut on both sides of the shuffle
     ids = few.groupBy("v1", "v2").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     queries = materialize(rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v1", "v2").distinct(), "ann-queries")
@@ -189,81 +228,76 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", s: Settings =
     classes = materialize(shapes.join(ids, ["v1", "v2"]).join(asked, ["v1", "v2"], "left").withColumn("asked", F.coalesce("asked", F.lit(False))), "ann-classes")
 
     total = classes.count()
-    sample = _matrix(classes.orderBy("v2", "v1").limit(s.sample).select("v").toArrow().column(0).combine_chunks()).astype(np.float64)
+    sample = _matrix(classes.orderBy("v2", "v1").limit(s.sample).select("v").toArrow().column(0).combine_chunks())
     curves = common.broadcast(spark, fit(sample, s))
-    cells = max(1, min(s.cells, total // s.least_rows), -(-total // s.cell_rows))
+    ranges = max(1, min(s.ranges, total // s.range_rows))
+    cuts = ranges * s.parts
 
     def keyed(batches):  # noqa: ANN001, ANN202
         for b in batches:
-            keys = curves.value.keys(_matrix(b.column(0)).astype(np.float64), b.column(1).to_numpy())
-            width = keys.dtype.itemsize
-            flat = pa.Array.from_buffers(pa.binary(width), keys.size, [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
+            keys = curves.value.keys(_matrix(b.column(0)), b.column(1).to_numpy())
+            flat = pa.Array.from_buffers(pa.binary(keys.dtype.itemsize), keys.size, [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(keys.shape[1], dtype=np.int32), len(keys))), flat], names=["curve", "key"])
 
     def borders(part: pa.Table) -> pa.Table:
         keys = np.sort(np.array(part.column("key").to_pylist(), dtype=bytes))
-        cuts = [keys[i * len(keys) // cells] for i in range(1, cells)]
-        return pa.table({"curve": part.column("curve")[:1], "cuts": pa.array([[bytes(x) for x in cuts]], type=pa.list_(pa.binary()))})
+        at = [keys[i * len(keys) // cuts] for i in range(1, cuts)]
+        return pa.table({"curve": part.column("curve")[:1], "cuts": pa.array([[bytes(x) for x in at]], type=pa.list_(pa.binary()))})
 
-    every = max(1, total // max(s.border_rows, s.border_cell * cells))
+    every = max(1, total // (s.border_rows * cuts))
     some = classes.where(F.pmod(F.col("v2"), F.lit(every)) == 0).select("v", "v1").mapInArrow(keyed, "curve int, key binary")
     bounds = {r["curve"]: np.array([bytes(x) for x in r["cuts"]], dtype=bytes) for r in some.groupBy("curve").applyInArrow(borders, "curve int, cuts array<binary>").collect()}
-    held = common.broadcast(spark, [bounds[c] for c in range(s.curves)])
-    reach = max(1, round(s.share * cells))
-    placed_schema = common.arrow_schema("curve int, cell int, query boolean, v1 long, v2 long, id long, v array<float>")
+    held = common.broadcast(spark, [bounds.get(c, np.array([], dtype=bytes)) for c in range(s.curves)])
+    place = f"curve int, part int, key binary, v1 long, v2 long, id long, v array<{kind}>, asked boolean, visitor boolean"
+    placed_schema = common.arrow_schema(place)
 
     def placed(batches):  # noqa: ANN001, ANN202
-        """Every class once a curve, and each asked class once for each cell in reach."""
-        for b in batches:
-            keys = curves.value.keys(_matrix(b.column("v")).astype(np.float64), b.column("v1").to_numpy())
-            asked_rows = np.flatnonzero(b.column("asked").to_numpy(zero_copy_only=False))
-            for c, cut in enumerate(held.value):
-                cell = np.searchsorted(cut, keys[:, c], side="right")
-                near = cell[asked_rows][:, None] + np.arange(-reach, reach + 1)
-                inside = (near >= 0) & (near < cells)
-                take = np.concatenate([np.arange(len(keys)), np.repeat(asked_rows, inside.sum(axis=1))])
-                where = np.concatenate([cell, near[inside]]).astype(np.int32)
-                query = np.arange(len(take)) >= len(keys)
-                cols = [b.column(x).take(pa.array(take)) for x in ("v1", "v2", "id", "v")]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), c, dtype=np.int32)), pa.array(where), pa.array(query), *cols[:3], cols[3].cast(placed_schema[6].type)], schema=placed_schema)
-
-    found_schema = common.arrow_schema("q1 long, q2 long, c1 long, c2 long, score double")
+        """Every class once a curve, and each asked class near a border once more for the next range."""
+        for whole in batches:
+            for at in range(0, whole.num_rows, common.SLICE_ROWS):
+                b = whole.slice(at, common.SLICE_ROWS)
+                keys = curves.value.keys(_matrix(b.column("v")), b.column("v1").to_numpy())
+                asked_rows = np.flatnonzero(b.column("asked").to_numpy(zero_copy_only=False))
+                for c, cut in enumerate(held.value):
+                    inner = np.searchsorted(cut, keys[:, c], side="right")
+                    own, outer = inner // s.parts, inner[asked_rows] % s.parts
+                    before = asked_rows[(outer == 0) & (own[asked_rows] > 0)]
+                    after = asked_rows[(outer == s.parts - 1) & (own[asked_rows] < ranges - 1)]
+                    take = np.concatenate([np.arange(len(keys)), before, after])
+                    where = np.concatenate([own, own[before] - 1, own[after] + 1]).astype(np.int32)
+                    key = pa.array([bytes(x) for x in keys[take, c].view(f"V{keys.dtype.itemsize}")], type=pa.binary())
+                    cols = [b.column(x).take(pa.array(take)) for x in ("v1", "v2", "id", "v", "asked")]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), c, dtype=np.int32)), pa.array(where), key, *cols[:3], cols[3].cast(placed_schema[6].type), cols[4], pa.array(np.arange(len(take)) >= len(keys))], schema=placed_schema)
 
     def search(batches):  # noqa: ANN001, ANN202
-        """Sorted by cell, candidates before queries: hold a cell, let its queries pass."""
-        at, parts, ready = None, [], None
+        """Sorted by curve, range and key: windows slide over the rows."""
+        name, window = None, None
         for b in batches:
-            cell = b.column("curve").to_numpy().astype(np.int64) * cells + b.column("cell").to_numpy()
-            kind = b.column("query").to_numpy(zero_copy_only=False)
-            v1, v2, first, m = b.column("v1").to_numpy(), b.column("v2").to_numpy(), b.column("id").to_numpy(), _matrix(b.column("v")).astype(np.float64)
-            edges = np.flatnonzero((np.diff(cell) != 0) | (np.diff(kind.astype(np.int8)) != 0)) + 1
-            for a, z in zip([0, *edges.tolist()], [*edges.tolist(), len(cell)], strict=True):
-                if cell[a] != at:
-                    at, parts, ready = cell[a], [], None
-                if not kind[a]:
-                    parts.append((v1[a:z], v2[a:z], first[a:z], m[a:z]))
-                    continue
-                if not parts:
+            group = b.column("curve").to_numpy().astype(np.int64) * ranges + b.column("part").to_numpy()
+            cols = [b.column(x).to_numpy(zero_copy_only=False) for x in ("v1", "v2", "id")]
+            m, flags = _matrix(b.column("v")), [b.column(x).to_numpy(zero_copy_only=False) for x in ("asked", "visitor")]
+            edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+            for a, z in zip(edges, edges[1:]):
+                if a == z:
                     continue
-                if ready is None:
-                    c1, c2, own, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    ready = c1, c2, own, c, c / np.linalg.norm(c, axis=1, keepdims=True)
-                c1, c2, own, c, unit = ready
-                for i in range(a, z, 256):
-                    j = min(z, i + 256)
-                    top, score = _best(m[i:j], c, unit, own, s.k + 1)
-                    n = top.shape[1]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(v1[i:j], n)), pa.array(np.repeat(v2[i:j], n)), pa.array(c1[top.reshape(-1)]), pa.array(c2[top.reshape(-1)]), pa.array(score.reshape(-1))], schema=found_schema)
-
-    spread = classes.select("v1", "v2", F.col("ids")[0].alias("id"), "v", "asked").mapInArrow(placed, "curve int, cell int, query boolean, v1 long, v2 long, id long, v array<float>")
-    hits = spread.repartition("curve", "cell").sortWithinPartitions("curve", "cell", "query").mapInArrow(search, "q1 long, q2 long, c1 long, c2 long, score double")
+                if group[a] != name:
+                    if window:
+                        yield window.take(True)
+                    name, window = group[a], Window(s.window, s.k + 1)
+                window.add(*(x[a:z] for x in (*cols, m, *flags)))
+                yield window.take(False)
+        if window:
+            yield window.take(True)
+
+    spread = classes.select("v1", "v2", F.col("ids")[0].alias("id"), "v", "asked").mapInArrow(placed, place)
+    hits = spread.repartition("curve", "part").sortWithinPartitions("curve", "part", "key").mapInArrow(search, "q1 long, q2 long, c1 long, c2 long, score double")
     merged = hits.groupBy("q1", "q2", "c1", "c2").agg(F.max("score").alias("score"))
     named = merged.join(ids.select(F.col("v1").alias("c1"), F.col("v2").alias("c2"), "ids"), ["c1", "c2"])
-    best = Window.partitionBy("q1", "q2").orderBy(F.desc("score"), F.col("ids")[0])
-    named = named.withColumn("n", F.row_number().over(best)).where(F.col("n") <= s.k + 1)
+    nearest_first = SqlWindow.partitionBy("q1", "q2").orderBy(F.desc("score"), F.col("ids")[0])
+    named = named.withColumn("n", F.row_number().over(nearest_first)).where(F.col("n") <= s.k + 1)
     options = queries.join(named.withColumnsRenamed({"q1": "v1", "q2": "v2"}), ["v1", "v2"]).select("query_id", "v1", "v2", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
-    place = Window.partitionBy("query_id", "v1", "v2").orderBy(F.desc("score"), "vec_id")
-    return options.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= s.k).select("query_id", "rank", "vec_id", "score")
+    in_order = SqlWindow.partitionBy("query_id", "v1", "v2").orderBy(F.desc("score"), "vec_id")
+    return options.withColumn("rank", F.row_number().over(in_order)).where(F.col("rank") <= s.k).select("query_id", "rank", "vec_id", "score")
 
 
 def recall(found: DataFrame, exact: DataFrame) -> float:

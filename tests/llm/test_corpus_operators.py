@@ -371,8 +371,51 @@ def test_best_gives_ties_to_the_smaller_id():
     rows = np.concatenate([np.outer(2.0 ** np.arange(40), [1.0, 1.0]), [[1.0, 0.0]]])  # rescaled copies
     unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
     ids = np.concatenate([np.arange(40)[::-1], [99]])
-    top, score = ann._best(np.array([[1.0, 2.0]]), rows, unit, ids, 6)
-    assert ids[top[0]].tolist() == [0, 1, 2, 3, 4, 5] and len(set(score[0].tolist())) == 1
+    top, score = ann.best(np.array([1.0, 2.0]), rows, unit, ids, 6)
+    assert ids[top].tolist() == [0, 1, 2, 3, 4, 5] and len(set(score.tolist())) == 1
+
+
+def test_nearest_ties_of_parallel_doubles(spark):
+    """40 vectors of one direction are distinct and equally near; components beyond single precision stay."""
+    rows = [(0, [1.0, 2.0, 0.5])] + [(i, [2.0**i, 2.0**i, 0.0]) for i in range(1, 41)] + [(50, [1e39, 1e39, 1e39]), (51, [1e-200, 2e-200, 0.5e-200]), (52, [1e300, 2.0000001e300, 0.5e300])]
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    found = {q: [r["vec_id"] for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 50)}
+    assert found[0] == [51, 52, 1, 2, 3]
+    one = {r["vec_id"]: r["score"] for r in out if r["query_id"] == 0}
+    assert one[51] == pytest.approx(1, abs=1e-15) and 1 - 1e-13 < one[52] < 1
+    tied = ann.nearest(spark.createDataFrame(rows[:1] + rows[1:41], "vec_id long, embedding array<double>")).collect()
+    assert [r["vec_id"] for r in sorted(tied, key=lambda r: r["rank"])] == [1, 2, 3, 4, 5] and len({r["score"] for r in tied}) == 1
+
+
+def test_windows_across_ranges_equal_whole_curves(spark):
+    """Every query sees its whole window: results are those of one range, and work does not grow with the rows."""
+    rng = np.random.default_rng(28)
+    m = rng.standard_normal((3000, 12)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<float>")
+    few = {"curves": 3, "window": 20, "coords": 4}
+    one = rows_of(ann.nearest(vectors, s=ann.Settings(**few, range_rows=10_000)))
+    many = rows_of(ann.nearest(vectors, s=ann.Settings(**few, range_rows=300)))
+    best = lambda rows: {(q, r): score for q, r, _, score in rows}
+    a, b = best(one), best(many)
+    assert a.keys() == b.keys() and all(b[k] >= a[k] for k in a)  # a visitor sees a full window of the next range
+    assert np.mean([b[k] == a[k] for k in a]) > 0.9
+
+
+def test_window_holds_no_more_than_it_needs():
+    rng = np.random.default_rng(29)
+    m, w, seen = rng.standard_normal((5000, 6)), ann.Window(30, 4), {}
+    ids = np.arange(5000)
+    for a in range(0, 5000, 700):
+        part = slice(a, a + 700)
+        w.add(ids[part], ids[part], ids[part], m[part], ids[part] % 50 == 0, np.zeros(len(ids[part]), dtype=bool))
+        for last in (False, True) if a + 700 >= 5000 else (False,):
+            for r in w.take(last).to_pylist():
+                seen.setdefault(r["q1"], []).append(r["c1"])
+        assert len(w.rows[0]) <= 2 * 30 + 50 + 1
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    for q in range(0, 5000, 50):
+        near = range(max(0, q - 30), min(5000, q + 31))
+        assert seen[q] == sorted(near, key=lambda i: -(unit[i] @ unit[q]))[:4]
 
 
 def test_nearest_few_rows(spark):
