@@ -1,22 +1,24 @@
 """N-gram Jaccard join with a MinHash LSH forest and exact verification.
 
-Texts become sets of five-word shingles. Each of several prefix trees orders the
-signatures by its own sequence of min-hashes. Matched prefixes start at the
-longest and are shortened until a pair at the threshold shares one in some tree
-with the target probability; nodes that share a prefix of that length are one
-run of the sorted tree, which a group-by on (tree, prefix) yields.
+Texts become sets of five-word shingles. Each tree of the forest orders the
+signatures by its own sequence of min-hashes: sorted, they are a prefix trie, and
+the texts that share a prefix are one run of the sorted rows. A pair at the
+threshold shares the ``least`` first hashes in some tree with the target
+probability, so matched prefixes are shortened from ``longest`` down to there.
 
 From candidates to links, without emitting all pairs of a group:
 
 1. Texts with equal shingle sets are one node; copies are counted, not joined.
-2. In each run every member is compared with the run's least node only, on
-   signatures. Edges that pass join nodes to clusters (bounded edges a node).
+2. One pass over each sorted tree ties a node to the first node of the longest
+   prefix that it shares, and, as that one may not be near, of each shorter
+   prefix that begins elsewhere: at most ``longest - least + 1`` edges a tree.
+   Edges whose signatures agree join nodes to clusters.
 3. Inside a cluster *all* pairs are verified exactly, in blocks: large clusters
    are cut into chunks and each pair of chunks is one task. A task sends out
    counts and one edge a node, not pairs.
-4. Runs that hold several clusters compare signatures across clusters, again in
-   blocks; only pairs whose estimate comes near the threshold are sent out, and
-   each is then verified on its texts.
+4. Runs of the shortest prefix that hold several clusters compare signatures
+   across clusters, again in blocks; only pairs whose estimate comes near the
+   threshold are sent out, and each is then verified on its texts.
 
 Links of both kinds give components, which are the classes.
 """
@@ -24,8 +26,10 @@ Links of both kinds give components, which are the classes.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from uuid import uuid4
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +52,8 @@ class Settings:
     words: int = 5
     threshold: float = 0.8
     trees: int = 20
-    longest: int = 12
+    #: Hashes of a tree's sequence; a node is matched by as many of them as it shares with another.
+    longest: int = 8
     target: float = 0.999
     #: Standard deviations below the threshold at which a signature estimate still counts as a candidate.
     slack: float = 3.75
@@ -56,8 +61,8 @@ class Settings:
     chunk: int = 192
 
     @property
-    def depth(self) -> int:
-        """Prefixes are shortened from the longest until the target recall is reached at the threshold."""
+    def least(self) -> int:
+        """Shortest prefix: the longest at which a pair at the threshold still meets in some tree with the target probability."""
         d = self.longest
         while d > 1 and 1 - (1 - self.threshold**d) ** self.trees < self.target:
             d -= 1
@@ -65,7 +70,7 @@ class Settings:
 
     @property
     def least_agree(self) -> int:
-        n = self.trees * self.depth
+        n = self.trees * self.longest
         return int(n * self.threshold - self.slack * (n * self.threshold * (1 - self.threshold)) ** 0.5)
 
 
@@ -115,7 +120,7 @@ def set_id(shingles: np.ndarray) -> bytes:
 
 def signatures(sets: list[np.ndarray], s: Settings) -> np.ndarray:
     """Min-hashes (32 bits) of each non-empty set, one column for each function; sets are taken in cache-sized runs."""
-    n = s.trees * s.depth
+    n = s.trees * s.longest
     rng = np.random.default_rng(5)
     mul = rng.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 1 << 63, n, dtype=np.uint64)
@@ -135,16 +140,10 @@ def signatures(sets: list[np.ndarray], s: Settings) -> np.ndarray:
     return out
 
 
-def prefix_keys(sig: np.ndarray, s: Settings) -> np.ndarray:
-    """One 64-bit name for each (tree, prefix)."""
-    out = np.empty((len(sig), s.trees), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for t in range(s.trees):
-            x = np.full(len(sig), np.uint64(t + 1), dtype=np.uint64)
-            for d in range(s.depth):
-                x = _mix(x * PRIME + sig[:, t * s.depth + d].astype(np.uint64))
-            out[:, t] = x
-    return out.view(np.int64)
+def labels(sig: np.ndarray, s: Settings) -> np.ndarray:
+    """Each tree's sequence of 16-bit hashes as bytes that sort as a trie does; rows x trees."""
+    short = np.ascontiguousarray((sig & np.uint32(0xFFFF)).astype(">u2"))
+    return short.view(f"V{2 * s.longest}").reshape(len(sig), s.trees)
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -189,21 +188,89 @@ def _roots(link: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, s: Settings, id_col: str = "doc_id") -> DataFrame:
-    """Every row with ``node`` (null without words), ``sig`` (8 bits of each min-hash) and ``keys``."""
+    """Every row with ``node`` (null without words), ``th`` (hash of the text), ``sig`` (8 bits of each min-hash) and ``labels``."""
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         sets = shingler(s.words)(cols["text"])
         full = [i for i, x in enumerate(sets) if len(x)]
-        out = {"doc_id": cols["doc_id"], "node": [None] * len(sets), "sig": [None] * len(sets), "keys": [None] * len(sets)}
+        out = {"doc_id": cols["doc_id"], "th": cols["th"], "node": [None] * len(sets), "sig": [None] * len(sets), "labels": [None] * len(sets)}
         if full:
             sig = signatures([sets[i] for i in full], s)
-            keys, short = prefix_keys(sig, s), (sig & np.uint32(255)).astype(np.uint8).view(np.int8)
+            trees, short = labels(sig, s), (sig & np.uint32(255)).astype(np.uint8).view(np.int8)
             for k, i in enumerate(full):
-                out["node"][i], out["sig"][i], out["keys"][i] = set_id(sets[i]), short[k], keys[k]
+                out["node"][i], out["sig"][i], out["labels"][i] = set_id(sets[i]), short[k], [bytes(x) for x in trees[k]]
+        return out
+
+    return common.map_batches(_rows(docs, id_col), run, "doc_id long, th long, node binary, sig array<tinyint>, labels array<binary>")
+
+
+def _rows(docs: DataFrame, id_col: str) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
+def shared(a: bytes, b: bytes) -> int:
+    """Hashes in the common prefix of two labels."""
+    n = 0
+    while a[2 * n : 2 * n + 2] == b[2 * n : 2 * n + 2] and 2 * n < len(a):
+        n += 1
+    return n
+
+
+class Climb:
+    """Walks sorted labels of one tree; keeps the first node of the current run of each prefix length."""
+
+    def __init__(self, s: Settings) -> None:
+        self.s, self.key, self.label, self.heads = s, None, b"", {}
+
+    def step(self, key: int, label: bytes, node: bytes) -> list[tuple[int, bytes, bytes, int, bool]]:
+        """(key, node, head, depth, whether the node's first row of the run) of the heads that the node meets, longest prefix first; a run's own head comes with depth 0 before its second node."""
+        least, longest = self.s.least, self.s.longest
+        if key != self.key:
+            self.key, self.label, self.heads = key, label, dict.fromkeys(range(least, longest + 1), (node, True))
+            return []
+        depth, self.label = shared(self.label, label), label
+        out, met = [], set()
+        root, alone = self.heads[least]
+        if alone:
+            out.append((key, root, root, 0, True))
+            self.heads = {d: (h, False) for d, (h, _) in self.heads.items()}
+        for d in range(depth, least - 1, -1):
+            head = self.heads[d][0]
+            if head not in met:
+                out.append((key, node, head, d, not met))
+                met.add(head)
+        for d in range(max(depth, least - 1) + 1, longest + 1):
+            self.heads[d] = node, False
         return out
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return common.map_batches(rows, run, "doc_id long, node binary, sig array<tinyint>, keys array<long>")
+
+def forest(nodes: DataFrame, s: Settings) -> DataFrame:
+    """``key, node, hub, depth, first``: members of every run of the shortest prefix with more than one node, and the heads that they meet.
+
+    ``key`` names the run. Rows of one run are sorted and read as a stream, so
+    the memory of a task does not depend on the size of a run.
+    """
+    schema = "key long, node binary, hub binary, depth int, first boolean"
+    arrow = common.arrow_schema(schema)
+
+    def run(batches):  # noqa: ANN001, ANN202
+        climb = Climb(s)  # the first and last row of a batch always count: runs cross batches
+        for b in batches:
+            key = b.column(0).to_numpy()
+            keep = np.zeros(len(key), dtype=bool)
+            keep[1:] = key[1:] == key[:-1]
+            keep[:-1] |= keep[1:]
+            keep[-1:] = keep[:1] = True
+            some = np.flatnonzero(keep)
+            label, node = b.column(1).take(pa.array(some)).to_pylist(), b.column(2).take(pa.array(some)).to_pylist()
+            out = [x for k, l, n in zip(key[some].tolist(), label, node, strict=True) for x in climb.step(k, l, n)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    rows = nodes.select("node", F.posexplode("labels").alias("tree", "label"))
+    keyed = rows.select(F.xxhash64("tree", F.substring("label", 1, 2 * s.least)).alias("key"), "label", "node")
+    return keyed.repartition("key").sortWithinPartitions("key", "label", "node").mapInArrow(run, schema)
 
 
 def _agree(x: Column, y: Column) -> Column:
@@ -220,8 +287,6 @@ def _paired(members: DataFrame, size: Column, chunk: int) -> DataFrame:
 
 def _by_group(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:  # noqa: ANN001
     """Apply ``fn(group as dict of lists) -> dict of lists`` to each group of ``keys``; groups are blocks of bounded size."""
-    import pyarrow as pa
-
     arrow = common.arrow_schema(schema)
 
     def run(batches):  # noqa: ANN001, ANN202
@@ -241,16 +306,17 @@ def _by_group(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:  #
 
 
 def _texts(docs: DataFrame, members: DataFrame, id_col: str) -> DataFrame:
-    """``members`` (with ``rid``) joined with the texts of the documents of that id."""
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("rid"), F.col("text").cast("string").alias("text"))
-    return members.join(texts, "rid").drop("rid")
+    """``members`` (with ``rid`` and ``th``) joined with the one text of that id and hash, however many rows hold it."""
+    texts = _rows(docs, id_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("rid"), "th", "text")
+    texts = texts.join(members.select("rid", "th"), ["rid", "th"], "left_semi").dropDuplicates(["rid", "th"])
+    return members.join(texts, ["rid", "th"]).drop("rid", "th")
 
 
 def _within(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, s: Settings, id_col: str) -> DataFrame:
     """Links between members of one cluster: (a, b, links), b the least node that a's block ties it to."""
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    members = nodes.select("node", "rid", "copies").join(clusters, "node").join(sizes, "cluster")
-    blocks = _texts(docs, _paired(members, F.col("size"), s.chunk).select("cluster", "lo", "hi", "own", "node", "copies", "rid"), id_col)
+    members = nodes.select("node", "rid", "th", "copies").join(clusters, "node").join(sizes, "cluster")
+    blocks = _texts(docs, _paired(members, F.col("size"), s.chunk).select("cluster", "lo", "hi", "own", "node", "copies", "rid", "th"), id_col)
 
     def run(g: dict[str, list]) -> dict[str, list]:
         found = {}
@@ -275,7 +341,7 @@ def _within(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, s: Settings,
 
 def _across(docs: DataFrame, nodes: DataFrame, runs: DataFrame, clusters: DataFrame, s: Settings, id_col: str) -> DataFrame:
     """Links between nodes of different clusters that share a prefix: (a, b, links), both ways."""
-    placed = runs.select("key", "node").join(clusters, "node", "left").select("key", "node", F.coalesce("cluster", "node").alias("cluster"))
+    placed = runs.where("first").select("key", "node").join(clusters, "node", "left").select("key", "node", F.coalesce("cluster", "node").alias("cluster"))
     mixed = placed.groupBy("key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("key", "size")
     members = placed.join(mixed, "key").join(nodes.select("node", "sig"), "node")
     least = s.least_agree
@@ -299,8 +365,8 @@ def _across(docs: DataFrame, nodes: DataFrame, runs: DataFrame, clusters: DataFr
 
     blocks = _paired(members, F.col("size"), s.chunk * 4).select("key", "lo", "hi", "own", "node", "cluster", "sig")
     pairs = _by_group(blocks, ["key", "lo", "hi"], run, "a binary, b binary").distinct()
-    info = nodes.select("node", "rid", "copies")
-    side = lambda name: info.select(F.col("node").alias(name), F.col("rid"), F.col("copies").alias(f"copies_{name}"))
+    info = nodes.select("node", "rid", "th", "copies")
+    side = lambda name: info.select(F.col("node").alias(name), "rid", "th", F.col("copies").alias(f"copies_{name}"))
     first = _texts(docs, pairs.join(side("a"), "a"), id_col).withColumnRenamed("text", "text_a")
     both = _texts(docs, first.join(side("b"), "b"), id_col).withColumnRenamed("text", "text_b")
 
@@ -334,14 +400,10 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
     """
     rows = materialize(sketch(docs, s, id_col), "near-rows")
     rid = F.coalesce("doc_id", F.lit(NO_ID))
-    nodes = materialize(
-        rows.where("node is not null").groupBy("node").agg(F.min(rid).alias("rid"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("keys").alias("keys")),
-        "near-nodes",
-    )
-    prefixes = nodes.select("node", F.explode("keys").alias("key"))
-    hubs = prefixes.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    runs = materialize(prefixes.join(hubs, "key"), "near-runs")
-    star = runs.where("node <> hub").select("node", "hub").distinct()
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min(F.struct(rid.alias("rid"), "th")).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("labels").alias("labels"))
+    nodes = materialize(nodes.select("node", "least.*", "copies", "sig", "labels"), "near-nodes")
+    runs = materialize(forest(nodes, s), "near-runs")
+    star = runs.where("depth > 0").select("node", "hub").distinct()
     star = star.join(nodes.select("node", F.col("sig").alias("sig_a")), "node").join(nodes.select(F.col("node").alias("hub"), F.col("sig").alias("sig_b")), "hub")
     clusters = materialize(connected_components(star.where(_agree(F.col("sig_a"), F.col("sig_b")) >= s.least_agree), "node", "hub").withColumnRenamed("component", "cluster"), "near-clusters")
     links = materialize(_within(docs, nodes, clusters, s, id_col).unionByName(_across(docs, nodes, runs, clusters, s, id_col)), "near-links")
@@ -368,17 +430,18 @@ def keep_first(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id"
     stays. Texts without words all stay. Columns are as they were.
     """
     marked = near_duplicates(docs, s, id_col)
+    r, n = (f"{name}_{uuid4().hex}" for name in ("rid", "node"))  # no column of ``docs`` has these names
     rid = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    chosen = marked.where("is_first and node is not null").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("near_rid_"), F.col("node").alias("near_node_")).distinct()
+    chosen = marked.where("is_first and node is not null").select(F.coalesce("doc_id", F.lit(NO_ID)).alias(r), F.col("node").alias(n)).distinct()
     blank = F.coalesce(F.col("text"), F.lit("")).rlike(BLANK)
-    schema = StructType([*docs.schema.fields, StructField("near_node_", BinaryType())])
+    schema = StructType([*docs.schema.fields, StructField(n, BinaryType())])
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        return cols | {"near_node_": [set_id(x) if len(x) else None for x in shingler(s.words)(cols["text"])]}
+        return cols | {n: [set_id(x) if len(x) else None for x in shingler(s.words)(cols["text"])]}
 
     # one shuffle of the texts: the join and the deduplication share its keys
-    tagged = common.map_batches(docs.where(~blank), run, schema).withColumn("near_rid_", rid)
-    one = tagged.join(chosen, ["near_rid_", "near_node_"], "left_semi").dropDuplicates(["near_rid_", "near_node_"])
+    tagged = common.map_batches(docs.where(~blank), run, schema).withColumn(r, rid)
+    one = tagged.join(chosen, [r, n], "left_semi").dropDuplicates([r, n])
     return one.select(*docs.columns).unionByName(docs.where(blank))
 
 

@@ -498,4 +498,62 @@ def test_overlaps_are_exact():
 
 def test_prefix_is_shortened_to_the_target():
     s = neardup.Settings()
-    assert 1 - (1 - 0.8**s.depth) ** s.trees >= s.target > 1 - (1 - 0.8 ** (s.depth + 1)) ** s.trees
+    assert 1 - (1 - 0.8**s.least) ** s.trees >= s.target > 1 - (1 - 0.8 ** (s.least + 1)) ** s.trees and s.least < s.longest
+
+
+def test_forest_matches_the_longest_prefix_first():
+    """Walking a sorted trie: each node meets the head of its deepest run, then of shorter ones, by the labels' own prefixes."""
+    s, rng = neardup.Settings(trees=1), random.Random(31)
+    for _ in range(60):
+        rows = sorted({(bytes([1] * 2 * s.least) + bytes(x for _ in range(s.longest - s.least) for x in (0, rng.randrange(3)))): i for i in range(rng.randrange(1, 40))}.items())
+        climb, out = neardup.Climb(s), []
+        for label, i in rows:
+            out += climb.step(7, label, str(i).encode())
+        seen = []
+        for label, i in rows:
+            node = str(i).encode()
+            met = [(n, h, d) for _, n, h, d, _ in out if n == node and d]
+            want, heads = [], set()
+            for d in range(s.longest, s.least - 1, -1):
+                head = next((str(j).encode() for other, j in seen if other[: 2 * d] == label[: 2 * d]), None)
+                if head and head not in heads:
+                    heads.add(head)
+                    want.append((node, head, d))
+            assert met == want
+            seen.append((label, i))
+        assert sorted(x[1] for x in out if x[4]) == sorted(str(i).encode() for _, i in rows) * (len(rows) > 1)
+        assert ([x for x in out if x[3] == 0] != []) == (len(rows) > 1)
+
+
+def test_forest_runs_cross_batches(spark):
+    """Members of every run of the shortest prefix, whatever the batches of Arrow."""
+    rng, s = random.Random(32), neardup.Settings(trees=2)
+    data = [(i.to_bytes(4, "big"), [bytes([0, rng.randrange(2)] * s.least) + rng.randbytes(2 * (s.longest - s.least)) for _ in range(2)]) for i in range(300)]
+    nodes = spark.createDataFrame(data, "node binary, labels array<binary>")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = neardup.forest(nodes, s).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    runs = collections.defaultdict(set)
+    for r in rows:
+        assert not r["first"] or bytes(r["node"]) not in runs[r["key"]]
+        runs[r["key"]].add(bytes(r["node"]))
+    want = collections.defaultdict(set)
+    for node, trees in data:
+        for t, label in enumerate(trees):
+            want[t, label[: 2 * s.least]].add(node)
+    assert sorted(map(sorted, runs.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+
+
+def test_near_duplicates_with_a_hot_id(spark):
+    """Null ids and a repeated id over many texts; input columns of any name."""
+    base = [f"w{i}" for i in range(50)]
+    rows = [(None, " ".join(f"n{k}x{j}" for j in range(30))) for k in range(60)] + [(7, " ".join(f"h{k}x{j}" for j in range(30))) for k in range(60)] + [(None, " ".join(base)), (7, " ".join(base)), (8, " ".join([*base[:-1], "z"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'a' AS near_rid_", "'b' AS near_node_", "1 AS th", "2 AS node")
+    out = neardup.near_duplicates(docs).collect()
+    assert len(out) == 123 and sum(r["n_links"] for r in out) == 6 and [r["class_id"] for r in out if r["n_links"]] == [7, 7, 7]
+    kept = neardup.keep_first(docs)
+    assert kept.columns == docs.columns and kept.count() == 121
+    assert {(r["near_rid_"], r["near_node_"]) for r in kept.collect()} == {("a", "b")}
