@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -25,13 +26,31 @@ from . import common
 
 #: Payloads are filled with bytes of this value to a positive multiple of UNIT.
 FILL, UNIT = 255, 576
+#: End marks that are searched together with the magics (fixed values).
+JPEG_END, PDF_END, PDF_TABLE, ZIP_END = b"\xff\xd9", b"%%EOF", b"startxref", b"PK\x05\x06"
 #: Samples a second written to the container's header.
 RATE = 8000
 
 
-def _wave(data: bytes, at: int) -> int | None:
-    """RIFF/WAVE: the declared length fits, and the chunks fill it, with format before data."""
-    if at + 44 > len(data) or data[at + 8 : at + 12] != b"WAVE":
+class Marks:
+    """Places of the end marks that the search for magics also found; the first or last in a range by bisection."""
+
+    def __init__(self, places: dict[bytes, list[int]]) -> None:
+        self.places = places
+
+    def first(self, mark: bytes, low: int) -> int:
+        """Place of the first mark at or after ``low``, or -1."""
+        own = self.places.get(mark, [])
+        i = bisect_left(own, low)
+        return own[i] if i < len(own) else -1
+
+    def between(self, mark: bytes, low: int, high: int) -> bool:
+        return low <= self.first(mark, low) < high
+
+
+def _chunks(data: bytes, at: int, kind: bytes) -> tuple[int, list[bytes]] | None:
+    """Size and chunk names of a RIFF object of ``kind`` whose declared length fits and is filled by its chunks."""
+    if at + 12 > len(data) or data[at + 8 : at + 12] != kind:
         return None
     size = struct.unpack_from("<I", data, at + 4)[0] + 8
     if at + size > len(data):
@@ -41,10 +60,62 @@ def _wave(data: bytes, at: int) -> int | None:
         name, length = struct.unpack_from("<4sI", data, pos)
         seen.append(name)
         pos += 8 + length + (length & 1)
-    return size if pos == at + size and seen[:1] == [b"fmt "] and b"data" in seen else None
+    return (size, seen) if pos == at + size else None
+
+
+def _wave(data: bytes, at: int, marks: Marks | None = None) -> int | None:
+    """RIFF/WAVE: format before data."""
+    found = _chunks(data, at, b"WAVE")
+    return found[0] if found and found[1][:1] == [b"fmt "] and b"data" in found[1] else None
 
 
-def _png(data: bytes, at: int) -> int | None:
+def _webp(data: bytes, at: int, marks: Marks) -> int | None:
+    """RIFF/WEBP: begins with one of the three image chunks."""
+    found = _chunks(data, at, b"WEBP")
+    return found[0] if found and found[1][:1] in ([b"VP8 "], [b"VP8L"], [b"VP8X"]) else None
+
+
+#: Remainders of the Ogg checksum: polynomial 04C11DB7, highest bit first.
+_OGG_CRC = []
+for _byte in range(256):
+    _value = _byte << 24
+    for _ in range(8):
+        _value = (_value << 1 ^ 0x04C11DB7 if _value >> 31 else _value << 1) & 0xFFFFFFFF
+    _OGG_CRC.append(_value)
+
+
+def _ogg(data: bytes, at: int, marks: Marks) -> int | None:
+    """Ogg: pages with right checksums from one that begins a stream to one that ends it."""
+    pos = at
+    while data[pos : pos + 5] == b"OggS\0" and pos + 27 <= len(data):
+        flags, segments = data[pos + 5], data[pos + 26]
+        end = pos + 27 + segments + sum(data[pos + 27 : pos + 27 + segments])
+        if end > len(data) or pos == at and not flags & 2:
+            return None
+        crc = 0
+        for byte in data[pos : pos + 22] + b"\0\0\0\0" + data[pos + 26 : end]:
+            crc = (crc << 8 & 0xFFFFFFFF) ^ _OGG_CRC[crc >> 24 ^ byte]
+        if crc != struct.unpack_from("<I", data, pos + 22)[0]:
+            return None
+        if flags & 4:
+            return end - at
+        pos = end
+    return None
+
+
+def _mp4(data: bytes, at: int, marks: Marks) -> int | None:
+    """MP4: boxes of printable names whose lengths follow each other, the movie's header and its media among them."""
+    pos, seen = at, []
+    while pos + 8 <= len(data):
+        length, name = struct.unpack_from(">I4s", data, pos)
+        if length < 8 or pos + length > len(data) or not (name.isalnum() and name.isascii()):
+            break
+        seen.append(name)
+        pos += length
+    return pos - at if seen[:1] == [b"ftyp"] and b"moov" in seen and {b"mdat", b"moof"} & set(seen) else None
+
+
+def _png(data: bytes, at: int, marks: Marks) -> int | None:
     """PNG: chunks with right checksums from IHDR to IEND."""
     pos, first = at + 8, True
     while pos + 12 <= len(data):
@@ -60,7 +131,7 @@ def _png(data: bytes, at: int) -> int | None:
     return None
 
 
-def _gif(data: bytes, at: int) -> int | None:
+def _gif(data: bytes, at: int, marks: Marks) -> int | None:
     """GIF: blocks of known kinds, sub-blocks closed by 0, then the trailer."""
     if at + 13 > len(data):
         return None
@@ -83,7 +154,7 @@ def _gif(data: bytes, at: int) -> int | None:
     return None
 
 
-def _jpeg(data: bytes, at: int) -> int | None:
+def _jpeg(data: bytes, at: int, marks: Marks) -> int | None:
     """JPEG: marker segments by their lengths up to the scan, then the end mark."""
     pos = at + 2
     while pos + 4 <= len(data) and data[pos] == 0xFF:
@@ -92,20 +163,20 @@ def _jpeg(data: bytes, at: int) -> int | None:
             return None
         pos += 2 + length
         if marker == 0xDA:
-            end = data.find(b"\xff\xd9", pos)
+            end = marks.first(JPEG_END, pos)
             return end + 2 - at if end >= 0 else None
     return None
 
 
-def _pdf(data: bytes, at: int) -> int | None:
+def _pdf(data: bytes, at: int, marks: Marks) -> int | None:
     """PDF: a version digit and an end-of-file mark after a cross-reference offset."""
     if not data[at + 5 : at + 6].isdigit():
         return None
-    end = data.find(b"%%EOF", at)
-    return end + 5 - at if end > 0 and data.rfind(b"startxref", at, end) > 0 else None
+    end = marks.first(PDF_END, at)
+    return end + 5 - at if end > 0 and marks.between(PDF_TABLE, at, end) else None
 
 
-def _gzip(data: bytes, at: int) -> int | None:
+def _gzip(data: bytes, at: int, marks: Marks) -> int | None:
     """GZIP: the member inflates and its checksum holds."""
     reader = zlib.decompressobj(31)
     try:
@@ -118,16 +189,16 @@ def _gzip(data: bytes, at: int) -> int | None:
     return min(step, len(data)) - len(reader.unused_data) - at if reader.eof else None
 
 
-def _zip(data: bytes, at: int) -> int | None:
+def _zip(data: bytes, at: int, marks: Marks) -> int | None:
     """ZIP: a local header, and an end record whose directory offset and size agree."""
-    end = data.find(b"PK\x05\x06", at)
+    end = marks.first(ZIP_END, at)
     if end < 0 or end + 22 > len(data):
         return None
     size, offset, comment = struct.unpack_from("<IIH", data, end + 12)
     return end + 22 + comment - at if at + offset + size == end and end + 22 + comment <= len(data) else None
 
 
-def _bmp(data: bytes, at: int) -> int | None:
+def _bmp(data: bytes, at: int, marks: Marks) -> int | None:
     """BMP: declared length fits, reserved words are 0 and the pixel offset lies inside."""
     if at + 26 > len(data):
         return None
@@ -136,8 +207,11 @@ def _bmp(data: bytes, at: int) -> int | None:
 
 
 #: Magic bytes, media type and validator of each format (fixed values).
-FORMATS: tuple[tuple[bytes, str, Callable[[bytes, int], int | None]], ...] = (
+FORMATS: tuple[tuple[bytes, str, Callable[[bytes, int, Marks], int | None]], ...] = (
     (b"RIFF", "audio/wav", _wave),
+    (b"RIFF", "image/webp", _webp),
+    (b"OggS", "application/ogg", _ogg),
+    (b"ftyp", "video/mp4", _mp4),
     (b"\x89PNG\r\n\x1a\n", "image/png", _png),
     (b"GIF87a", "image/gif", _gif),
     (b"GIF89a", "image/gif", _gif),
@@ -149,25 +223,36 @@ FORMATS: tuple[tuple[bytes, str, Callable[[bytes, int], int | None]], ...] = (
 )
 
 
+#: Bytes before a format's magic.
+_BEFORE = {b"ftyp": 4}
+
+
 @lru_cache(maxsize=1)
 def _finder() -> ahocorasick.Automaton:
-    """Magics as Latin-1 strings: one character for each byte."""
+    """Magics and end marks as Latin-1 strings: one character for each byte."""
     a = ahocorasick.Automaton()
-    for i, (magic, _, _) in enumerate(FORMATS):
-        a.add_word(magic.decode("latin-1"), i)
+    for word in {magic for magic, _, _ in FORMATS} | {JPEG_END, PDF_END, PDF_TABLE, ZIP_END}:
+        a.add_word(word.decode("latin-1"), word)
     a.make_automaton()
     return a
 
 
 def sniff(data: bytes) -> list[tuple[int, int, str]]:
-    """(offset, length, type) of every sound object, outer ones first; a format inside a found one of its own type counts too."""
-    out = []
-    for end, i in _finder().iter(data.decode("latin-1")):
-        magic, kind, valid = FORMATS[i]
-        at = end + 1 - len(magic)
-        length = valid(data, at)
-        if length:
-            out.append((at, length, kind))
+    """(offset, length, type) of every sound object, outer ones first; a format inside a found one of its own type counts too.
+
+    One search finds magics and end marks, so a magic without its end costs a
+    bisection, not another search to the end of the data.
+    """
+    places: dict[bytes, list[int]] = {}
+    for end, word in _finder().iter(data.decode("latin-1")):
+        places.setdefault(word, []).append(end + 1 - len(word))
+    marks, out = Marks(places), []
+    for magic, kind, valid in FORMATS:
+        for at in places.get(magic, ()):
+            at -= _BEFORE.get(magic, 0)
+            length = valid(data, at, marks) if at >= 0 else None
+            if length:
+                out.append((at, length, kind))
     return sorted(out, key=lambda x: (x[0], -x[1]))
 
 

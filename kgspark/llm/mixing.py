@@ -17,12 +17,15 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Name of the lane of null and unlisted sources.
 OTHER = "(other)"
+#: Buckets of the null ids of a lane.
+NULL_PARTS = 64
 
 
 def shares(weights: dict[str, float], other: float, period: int) -> dict[str, int]:
@@ -93,12 +96,16 @@ def mixed(rows: DataFrame, mix: Mix, id_col: str = "doc_id", source_col: str = "
     ``deadline`` (in slots), ``position`` (0, 1, ... over all rows, the order of
     the mix). Within a lane rows follow the md5 of their id as text (null: empty),
     then the id: a fixed shuffle. Rows that repeat an id are in some order among
-    themselves. Null and unlisted sources share a lane. Input columns stay, and
-    an empty table stays empty; columns of the same names must not exist already.
+    themselves. Null and unlisted sources share a lane. An empty table stays
+    empty. Input columns stay, whatever their names, but for those that bear the
+    name of a column of the result: the result's column replaces them, so choose
+    another ``prefix`` to keep them.
 
     Row numbers need no lane in one task: rows are numbered inside hash buckets
     of a lane, and a running sum over the counts of the buckets (a table of at
-    most lanes x 16**digits rows) gives each bucket's first number.
+    most lanes x (16**digits + ``NULL_PARTS`` + 1) rows) gives each bucket's first
+    number. Null ids, which all have one md5, are dealt to buckets of their own
+    by the hash of the whole row.
     """
     lanes = mix.lanes()
     names, share = list(lanes), list(lanes.values())
@@ -109,28 +116,34 @@ def mixed(rows: DataFrame, mix: Mix, id_col: str = "doc_id", source_col: str = "
         places[lane].append(slot)
 
     c = {k: prefix + k for k in ("lane", "block", "slot", "release", "deadline", "position")}
-    key, bucket, lane = prefix + "key", prefix + "bucket", F.col(c["lane"])
+    rows = rows.drop(*c.values())
+    own_name = uuid4().hex  # no input column bears the names of intermediate ones
+    key, bucket, count, first, place, index_name = (f"{x}_{own_name}" for x in ("key", "bucket", "count", "first", "in", "index"))
+    lane = F.col(c["lane"])
     position = mix.lane_of(F.col(source_col))  # 1.. for listed lanes, 0 for the rest
     keyed = rows.withColumns({c["lane"]: F.when(position > 0, position - 1).otherwise(n - 1), key: F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))})
-    keyed = keyed.withColumn(bucket, F.conv(F.substring(key, 1, mix.digits), 16, 10).cast("int"))
+    # parts of a bucket in order: keys below that of the null ids, the null ids' parts, all other keys
+    hashed = [F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    part = F.when(F.col(id_col).isNull(), 1 + F.pmod(F.xxhash64(*hashed), F.lit(NULL_PARTS))).when(F.col(key) < F.md5(F.lit("").cast("binary")), 0).otherwise(NULL_PARTS + 1)
+    keyed = keyed.withColumn(bucket, F.conv(F.substring(key, 1, mix.digits), 16, 10).cast("long") * (NULL_PARTS + 2) + part)
 
-    counts = keyed.groupBy(c["lane"], bucket).agg(F.count(F.lit(1)).alias(prefix + "n"))
+    counts = keyed.groupBy(c["lane"], bucket).agg(F.count(F.lit(1)).alias(count))
     before = Window.partitionBy(c["lane"]).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(lane, bucket, F.coalesce(F.sum(prefix + "n").over(before), F.lit(0)).alias(prefix + "first"))
-    totals = counts.groupBy(c["lane"]).agg(F.sum(prefix + "n").alias(prefix + "total"))
+    offsets = counts.select(lane, bucket, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(first))
+    totals = counts.groupBy(c["lane"]).agg(F.sum(count).alias("total"))
     # lane sizes: at most one row a lane, read as constants of the closed form below
     sizes = [0] * n
     for r in totals.collect():
         sizes[r[0]] = r[1]
 
     inside = Window.partitionBy(c["lane"], bucket).orderBy(key, id_col)
-    numbered = keyed.withColumn(prefix + "in", F.row_number().over(inside) - 1).join(offsets, [c["lane"], bucket])
-    index = F.col(prefix + "first") + F.col(prefix + "in")
+    numbered = keyed.withColumn(place, F.row_number().over(inside) - 1).join(offsets, [c["lane"], bucket])
+    index = F.col(first) + F.col(place)
     block = F.floor(index / mix.block)
     own = F.element_at(_literal(share), lane + 1).cast("long")
     first_place = [sum(share[:k]) for k in range(n)]
     flat = [s for lane_places in places for s in lane_places]
-    out = numbered.withColumns({prefix + "index": index, c["block"]: block + 1})
+    out = numbered.withColumns({index_name: index, c["block"]: block + 1})
     turn, rest = F.floor(F.col(c["block"]) - 1) % own, F.floor((F.col(c["block"]) - 1) / own)
     at = F.element_at(_literal(first_place), lane + 1)
     out = out.withColumn(c["slot"], F.element_at(_literal(flat), (at + turn + 1).cast("int")).cast("long") + rest * q)
@@ -145,8 +158,8 @@ def mixed(rows: DataFrame, mix: Mix, id_col: str = "doc_id", source_col: str = "
     for k in range(n):
         blocks = F.floor(slot / q) * share[k] + F.element_at(_literal([d[k] for d in done]), (slot % q + 1).cast("int"))
         ahead = ahead + F.least(blocks * mix.block, F.lit(sizes[k]).cast("long"))
-    out = out.withColumn(c["position"], ahead + F.col(prefix + "index") % mix.block)
-    return out.drop(key, bucket, prefix + "first", prefix + "in", prefix + "index")
+    out = out.withColumn(c["position"], ahead + F.col(index_name) % mix.block)
+    return out.drop(key, bucket, first, place, index_name)
 
 
 def oracle_sql(mix: Mix, table: str = "documents", id_col: str = "doc_id", source_col: str = "source") -> str:

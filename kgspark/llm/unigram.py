@@ -14,6 +14,8 @@ to bytes if all their byte entries exist, else they count as one.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from functools import lru_cache
 
 import ahocorasick
@@ -117,33 +119,44 @@ def counter(path: str) -> Counter:
     return Counter(read_model(path))
 
 
-def count_tokens(spark: SparkSession, docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def read_unigram(path: str) -> list[tuple[str, float, str]]:
+    """(piece, score, kind) by id, of a ``tokenizers`` JSON file with a Unigram model."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    if model["type"] != "Unigram":
+        raise ValueError(f"a {model['type']} model is no Unigram model")
+    names = {f"<0x{b:02X}>" for b in range(256)} if model.get("byte_fallback") else set()
+    kind = lambda i, piece: "unknown" if i == model.get("unk_id") else "byte" if piece in names else "normal"
+    return [(piece, score, kind(i, piece)) for i, (piece, score) in enumerate(model["vocab"])]
+
+
+def count_tokens(spark: SparkSession, docs: DataFrame, model: str | list[tuple[str, float, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Exact token count and best path score of every document.
 
+    ``model``: a sentencepiece file, or a vocabulary as ``read_unigram`` gives.
     One row out for each row in. Null and empty texts have no tokens and score
     0. Null ids and repeated rows pass through; other columns are not carried.
     Scores of a text are the sums of its words' scores, left to right. The
     vocabulary is as large as the tokenizer file, and is broadcast.
     """
-    held = common.broadcast(spark, counter(model_path).vocab)
-    made: dict[int, Counter] = {}
+    vocab = counter(model).vocab if isinstance(model, str) else model
+    held = common.broadcast(spark, vocab)
+    name = hashlib.sha256(repr(vocab).encode("utf-8", "replace")).hexdigest()
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        if 0 not in made:
-            made[0] = _worker_counter(held)
-        rows = [made[0].text(t or "") for t in cols["text"]]
+        count = _worker_counter(name, held).text
+        rows = [count(t or "") for t in cols["text"]]
         return {"doc_id": cols["doc_id"], "n_tokens": [r[0] for r in rows], "best_score": [r[1] for r in rows]}
 
     return common.map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, n_tokens long, best_score double")
 
 
-_KEPT: dict[int, Counter] = {}
+_KEPT: dict[str, Counter] = {}
 
 
-def _worker_counter(held) -> Counter:  # noqa: ANN001
-    """One counter for each vocabulary in a Python worker, kept from task to task."""
-    key = hash((len(held.value), held.value[-1] if held.value else None))
-    if key not in _KEPT:
+def _worker_counter(name: str, held) -> Counter:  # noqa: ANN001
+    """One counter in a Python worker, kept from task to task as long as the vocabulary of that digest is asked for."""
+    if name not in _KEPT:
         _KEPT.clear()
-        _KEPT[key] = Counter(held.value)
-    return _KEPT[key]
+        _KEPT[name] = Counter(held.value)
+    return _KEPT[name]

@@ -138,6 +138,24 @@ def test_mixing_equals_a_simulation_and_sql(spark):
     assert mixing.mixed(docs.where("false"), mix).count() == 0
 
 
+def test_mixing_keeps_input_columns_and_splits_null_ids(spark):
+    mix = mixing.Mix({"a": 0.5, "b": 0.3}, other=0.2, period=10, block=4)
+    rows = [(i if i % 3 else None, "ab"[i % 2], f"v{i}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, mix_key string").selectExpr("*", "'kept' AS mix_in", "'gone' AS mix_position", "map(1, 2) AS m")
+    out = mixing.mixed(docs, mix)
+    assert sorted(out.columns) == sorted([*docs.columns, "mix_lane", "mix_block", "mix_slot", "mix_release", "mix_deadline"])
+    got = out.collect()
+    assert sorted(r["mix_position"] for r in got) == list(range(600)) and {r["mix_in"] for r in got} == {"kept"}
+    assert sorted(r["mix_key"] for r in got) == sorted(r[2] for r in rows)
+    import hashlib
+
+    for lane in ("a", "b"):  # the fixed shuffle, null ids among the others
+        own = [r["doc_id"] for r in sorted(got, key=lambda r: r["mix_position"]) if r["source"] == lane]
+        assert own == sorted(own, key=lambda i: hashlib.md5(b"" if i is None else str(i).encode()).hexdigest())
+    other = mixing.mixed(docs, mix, prefix="own_")
+    assert {r["mix_position"] for r in other.collect()} == {"gone"}
+
+
 def test_shares_add_up():
     lanes = registry.MIX.lanes()
     assert sum(lanes.values()) == registry.MIX.period and min(lanes.values()) >= 1

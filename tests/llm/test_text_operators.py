@@ -97,6 +97,36 @@ def test_unigram_query_on_odd_rows(spark):
     assert sentencepiece.SentencePieceProcessor(model_file=PIECES).get_piece_size() == len(VOCAB)
 
 
+def test_unigram_vocabularies_do_not_share_a_counter(spark):
+    """Equal length and last entry; the worker keeps one counter for each vocabulary."""
+    docs = spark.createDataFrame([(1, "az")], "doc_id long, text string").coalesce(1)
+    one = [("▁", -1.0, "normal"), ("a", -1.0, "normal"), ("z", -1.0, "normal")]
+    two = [("▁az", -1.0, "normal"), ("a", -1.0, "normal"), ("z", -1.0, "normal")]
+    assert [unigram.count_tokens(spark, docs, v).first()["n_tokens"] for v in (one, two, one)] == [3, 1, 3]
+
+
+def test_unigram_list_with_real_log_probabilities(spark, tmp_path):
+    """A Unigram file: scores are log probabilities of counted pieces; the library's own counts are the standard."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdeo") for _ in range(rng.randrange(1, 7))) for _ in range(200)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(0, 40))) for _ in range(60)]
+    seen: dict[str, int] = {}
+    for t in texts:
+        for w in t.split():
+            w = "▁" + w
+            for i in range(len(w)):
+                for j in range(i + 1, min(len(w), i + 5) + 1):
+                    seen[w[i:j]] = seen.get(w[i:j], 0) + 1
+    total = sum(seen.values())
+    vocab = [("<unk>", 0.0)] + [(p, float(np.log(n / total))) for p, n in sorted(seen.items())]
+    tokenizer = Tokenizer(models.Unigram(vocab, 0, False))
+    tokenizer.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    tokenizer.save(f"{tmp_path}/unigram.json")
+    docs = spark.createDataFrame([*enumerate([*texts, "zz a zz", ""])], "doc_id long, text string")
+    out = {r["doc_id"]: r["n_tokens"] for r in unigram.count_tokens(spark, docs, unigram.read_unigram(f"{tmp_path}/unigram.json")).collect()}
+    assert out == {i: len(tokenizer.encode(t).ids) for i, t in enumerate([*texts, "zz a zz", ""])}
+
+
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
@@ -186,6 +216,64 @@ def test_sniffing_corrects_and_carves():
     assert media.corrected(bytes(broken), "image/png") == ("image/png", []) and media.sniff(bytes(broken)) == []
 
 
+def boxes(*parts):
+    return b"".join(struct.pack(">I4s", 8 + len(body), name) + body for name, body in parts)
+
+
+def ogg_page(flags, body, seq):
+    head = struct.pack("<4sBBqIII", b"OggS", 0, flags, 0, 7, seq, 0) + bytes([1, len(body)])
+    crc = 0
+    for byte in head + body:  # bit by bit
+        crc ^= byte << 24
+        for _ in range(8):
+            crc = (crc << 1) ^ (0x104C11DB7 if crc >> 31 else 0)
+    return head[:22] + struct.pack("<I", crc) + head[26:] + body
+
+
+def test_sniffing_of_containers():
+    mp4 = boxes((b"ftyp", b"isom\0\0\0\0"), (b"moov", b"x" * 20), (b"mdat", b"y" * 9))
+    ogg = ogg_page(2, b"first", 0) + ogg_page(4, b"last", 1)
+    webp = b"RIFF" + struct.pack("<I", 4 + 8 + 6) + b"WEBP" + b"VP8L" + struct.pack("<I", 6) + b"abcdef"
+    for data, kind in ((mp4, "video/mp4"), (ogg, "application/ogg"), (webp, "image/webp")):
+        assert media.corrected(data, None) == (kind, [])
+        assert media.corrected(b"text " + data + b" more text", "text/plain") == ("text/plain", [(5, len(data), kind)])
+        assert media.sniff(data[:-1]) == []
+    broken = bytearray(ogg)
+    broken[-1] ^= 1
+    assert media.sniff(bytes(broken)) == []
+
+
+def test_false_magics_cost_no_second_search():
+    import time
+
+    def seconds(data):
+        begin = time.process_time()
+        assert media.sniff(data) == []
+        return time.process_time() - begin
+
+    for magic in (b"PK\x03\x04", b"%PDF-1", b"\xff\xd8\xff\xda\0\2", b"GIF89a", b"OggS\0", b"RIFF"):
+        assert seconds(magic * 80_000) < 5
+
+
+def test_stored_form_equals_the_standard_librarys():
+    import io
+    import wave
+
+    for text in ("", "abc", "é" * 1000):
+        payload, _ = media.to_payload(text)
+        buffer = io.BytesIO()
+        with wave.open(buffer, "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(1)
+            w.setframerate(media.RATE)
+            w.writeframes(payload)
+        row = media.describe(media.to_wave(payload), "application/octet-stream")
+        assert row["media_sha256"] == hashlib.sha256(buffer.getvalue()).hexdigest() and row["media_bytes"] == len(buffer.getvalue())
+        with wave.open(io.BytesIO(media.to_wave(payload))) as w:
+            assert w.readframes(w.getnframes()) == payload
+            assert row["feature"] == f"type=audio/wav;declared=application/octet-stream;samples={w.getnframes()};carved=0"
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(max_size=1500))
 def test_media_round_trip(text):
