@@ -75,13 +75,13 @@ def _webp(data: bytes, at: int, marks: Marks) -> int | None:
     return found[0] if found and found[1][:1] in ([b"VP8 "], [b"VP8L"], [b"VP8X"]) else None
 
 
-#: Remainders of the Ogg checksum: polynomial 04C11DB7, highest bit first.
-_OGG_CRC = []
-for _byte in range(256):
-    _value = _byte << 24
-    for _ in range(8):
-        _value = (_value << 1 ^ 0x04C11DB7 if _value >> 31 else _value << 1) & 0xFFFFFFFF
-    _OGG_CRC.append(_value)
+#: Bytes with their bits in the other order: Ogg's checksum has the polynomial of CRC-32, highest bit first.
+_MIRROR = bytes(int(f"{byte:08b}"[::-1], 2) for byte in range(256))
+
+
+def _ogg_crc(data: bytes) -> int:
+    """CRC-32 with mirrored bits, begun at 0 and not inverted."""
+    return int(f"{zlib.crc32(data.translate(_MIRROR), 0xFFFFFFFF) ^ 0xFFFFFFFF:032b}"[::-1], 2)
 
 
 def _ogg(data: bytes, at: int, marks: Marks) -> int | None:
@@ -90,12 +90,9 @@ def _ogg(data: bytes, at: int, marks: Marks) -> int | None:
     while data[pos : pos + 5] == b"OggS\0" and pos + 27 <= len(data):
         flags, segments = data[pos + 5], data[pos + 26]
         end = pos + 27 + segments + sum(data[pos + 27 : pos + 27 + segments])
-        if end > len(data) or pos == at and not flags & 2:
+        if end > len(data) or flags > 7 or pos == at and not flags & 2:
             return None
-        crc = 0
-        for byte in data[pos : pos + 22] + b"\0\0\0\0" + data[pos + 26 : end]:
-            crc = (crc << 8 & 0xFFFFFFFF) ^ _OGG_CRC[crc >> 24 ^ byte]
-        if crc != struct.unpack_from("<I", data, pos + 22)[0]:
+        if _ogg_crc(data[pos : pos + 22] + b"\0\0\0\0" + data[pos + 26 : end]) != struct.unpack_from("<I", data, pos + 22)[0]:
             return None
         if flags & 4:
             return end - at
