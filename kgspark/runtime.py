@@ -28,18 +28,44 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Spark setting under which the shuffle files of a query go when the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared scratch folder and read it back.
 
     Cuts the lineage as ``checkpoint()`` does, but keeps column pruning,
     compression and file statistics. Lost executors cost nothing: the rows are
-    in shared storage. ``release`` removes the folders.
+    in shared storage. The shuffle files of the write are not needed any more
+    and go with it. ``discard`` removes one folder, ``release`` all.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/kgspark/{tag}-{uuid.uuid4().hex}"
     _SCRATCH.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)  # a query of its own, planned under the setting
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of tables from ``materialize`` that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "scratch_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+            _SCRATCH[:] = [x for x in _SCRATCH if x[1] != path]
 
 
 def release() -> None:
@@ -47,9 +73,7 @@ def release() -> None:
     while _SCRATCH:
         spark, path = _SCRATCH.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session is gone; the folder's owner clears it
             return
 
