@@ -13,33 +13,42 @@ add-one unigrams over every word of the corpus.
 The tree and the unigrams are distributed tables keyed by 64-bit hashes. A score
 is a sum of table values: log10 of the unigram, of the back-off factor of every
 retained context, and for a kept symbol its gain over what it would have backed
-off to. So the most frequent keys are added in the workers, and all others by one
-join. A bitmap of fixed size tells which keys may be in a table; it only saves
-rows that the join would not match.
+off to. So the most frequent keys are added in the workers, and all others meet
+their table rows in buckets of the hashes, to which both sides are dealt. A bitmap
+of fixed size tells which contexts may be in the tree; it only saves lookups that
+would find nothing.
+
+Counts and lookups travel as packed arrays (``pack``), sorted within a bucket, not
+as rows: hashes dominate them, and the rows' overhead would double their size.
+Buckets are as many as the tokens ask for, so that a worker holds one at a time.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.runtime import materialize
+from kgspark.runtime import discard, materialize
 
 from . import common
+from .packs import narrow, pack, unpack
 
 END = b""
 
 
-#: Base of the rolling hash, the hash of a text's beginning, and the mark of a context's key.
+#: Base of the rolling hash, its inverse, and the hash of a text's beginning.
 BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 START = np.uint64(0x6A09E667F3BCC909)
-CONTEXT = 0x3C6EF372FE94F82B
 
 
 @dataclass(frozen=True)
@@ -57,6 +66,12 @@ class Settings:
     hot: float = 1e-5
     #: Words or codes gathered in a worker before they are counted and sent on; bounds memory, not input.
     flush: int = 300_000
+    #: Training tokens for which there is one bucket.
+    bucket: int = 400_000
+
+    def buckets(self, tokens: int) -> int:
+        """A power of two: a bucket is a range of the upper bits of a hash."""
+        return 1 << max(0, -(-tokens // self.bucket) - 1).bit_length()
 
 
 def words(text: str | None) -> list[bytes]:
@@ -113,7 +128,18 @@ def grams(flat: np.ndarray, starts: np.ndarray, depth: int):  # noqa: ANN201
         whole = flat.copy()
         whole[k:] = flat[:-k] * power + shorter[k:]
         yield at, shorter[at - 1], whole[at], shorter[at]
-        shorter, power = whole, power * BASE
+        shorter, power = whole, _power(k + 1)
+
+
+def _power(k: int) -> np.uint64:
+    return np.uint64(pow(int(BASE), k, 1 << 64))
+
+
+def _slices(order_key: np.ndarray, buckets: int):  # noqa: ANN202
+    """(bucket, slice) of the non-empty buckets of sorted hashes."""
+    edges = np.searchsorted(order_key >> np.uint64(64 - buckets.bit_length() + 1) if buckets > 1 else np.zeros(len(order_key), np.uint64), np.arange(buckets + 1, dtype=np.uint64))
+    for k in np.flatnonzero(np.diff(edges)).tolist():
+        yield k, slice(int(edges[k]), int(edges[k + 1]))
 
 
 def _batches(found: dict, arrow: pa.Schema) -> pa.RecordBatch:
@@ -139,62 +165,87 @@ def unigrams(train: DataFrame, s: Settings) -> DataFrame:
     return train.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def contexts(train: DataFrame, length: int, frequent, s: Settings) -> DataFrame:  # noqa: ANN001
+def contexts(train: DataFrame, length: int, frequent, buckets: int, s: Settings) -> DataFrame:  # noqa: ANN001
     """``g, ctx, pg, n``: counts of ``length`` words and the next, at least ``s.least``.
 
     ``frequent`` is the broadcast bitmap of what occurs that often one word
-    shorter; a sequence can only do so if both its shorter parts do.
+    shorter; a sequence can only do so if both its shorter parts do. A sequence
+    travels as its hash with its oldest and newest word, from which the hashes of
+    its parts follow.
     """
     schema = "g long, ctx long, pg long, n long"
-    arrow = common.arrow_schema(schema)
-
-    def batch_of(parts: list) -> pa.RecordBatch:
-        g, ctx, pg = (np.concatenate(x) for x in zip(*parts, strict=True))
-        _, first, n = np.unique(g, return_index=True, return_counts=True)
-        cols = [x[first].view(np.int64) for x in (g, ctx, pg)]
-        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(n, type=pa.int64())], schema=arrow)
-
-    def run(batches):  # noqa: ANN001, ANN202
+    arrow, packed = common.arrow_schema(schema), common.arrow_schema("bucket int, blob binary")
+    power = _power(length)
+
+    def blobs(parts: list) -> pa.RecordBatch:
+        g, old, new = (np.concatenate(x) for x in zip(*parts, strict=True))
+        g, first, n = np.unique(g, return_index=True, return_counts=True)
+        old, new = old[first], new[first]
+        rows = []
+        for k, part in _slices(g, buckets):
+            words, place = np.unique(np.concatenate([old[part], new[part]]), return_inverse=True)
+            half = len(place) // 2
+            rows.append((k, pack(g[part], words, narrow(place[:half]), narrow(place[half:]), narrow(n[part]))))
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), packed, strict=True)], schema=packed)
+
+    def send(batches):  # noqa: ANN001, ANN202
         parts, size = [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, common.SLICE_ROWS):
                 flat, starts, _ = encode(batch.slice(at, common.SLICE_ROWS).column(0).to_pylist())
-                for k, (_, ctx, g, pg) in enumerate(grams(flat, starts, length), 1):
+                for k, (place, ctx, g, pg) in enumerate(grams(flat, starts, length), 1):
                     if k == length:
                         ok = common.maybe(frequent.value, pg)
                         ok[ok] = common.maybe(frequent.value, ctx[ok])
-                        parts.append((g[ok], ctx[ok], pg[ok]))
+                        parts.append((g[ok], flat[place[ok] - length], flat[place[ok]]))
                         size += int(ok.sum())
                 if size >= 10 * s.flush:
-                    yield batch_of(parts)
+                    yield blobs(parts)
                     parts, size = [], 0
         if size:
-            yield batch_of(parts)
-
-    return train.mapInArrow(run, schema).groupBy("g").agg(F.first("ctx").alias("ctx"), F.first("pg").alias("pg"), F.sum("n").alias("n")).where(F.col("n") >= s.least)
-
-
-def grow(train: DataFrame, table: DataFrame, totals: tuple[int, int, int], s: Settings) -> DataFrame:
-    """The tree as ``key, value, n``: what log10 of a probability gains by a retained context and by a kept symbol.
-
-    A level's estimates rest on those of the level below, by one join on the
-    sequence without its oldest word.
+            yield blobs(parts)
+
+    def count(batches):  # noqa: ANN001, ANN202
+        for group in common.groups(batches, ["bucket"]):
+            cols = [[], [], [], []]
+            for blob in group["blob"]:
+                g, words, old, new, n = unpack(blob)
+                for held, x in zip(cols, (g, words[old], words[new], n.astype(np.int64)), strict=True):
+                    held.append(x)
+            g, old, new, n = (np.concatenate(x) for x in cols)
+            g, first, place = np.unique(g, return_index=True, return_inverse=True)
+            n = np.bincount(place, weights=n).astype(np.int64)
+            some = np.flatnonzero(n >= s.least)
+            g, old, new, n = g[some], old[first[some]], new[first[some]], n[some]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g.view(np.int64), ((g - new) * INVERSE).view(np.int64), (g - old * power).view(np.int64), n)], schema=arrow)
+
+    return train.mapInArrow(send, "bucket int, blob binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, schema)
+
+
+def grow(train: DataFrame, table: DataFrame, totals: tuple[int, int, int], s: Settings) -> list[DataFrame]:
+    """The tree as tables of ``ctx, g, value, n``: what log10 of a probability gains by a retained context (null ``g``) and by a symbol kept in it.
+
+    ``n`` counts the context. A level's estimates rest on those of the level
+    below, by one join on the sequence without its oldest word.
     """
     tokens, types, texts = totals
     spark, least = train.sparkSession, max(s.least, s.p_min * tokens)
     shorter = table.where(F.col("n") >= max(1.0, s.p_min * tokens)).select(F.xxhash64("word").alias("g"), "n", ((F.col("n") + 1) / (tokens + types + 1)).alias("q"))
     begin = spark.createDataFrame([(int(START.view(np.int64)), texts)], "g long, n long")
     sizes = shorter.where(F.col("n") >= least).select("g", "n")
-    out = None
+    out: list[DataFrame] = []
+    level = None
     for k in range(1, s.depth + 1):
         sizes = sizes.unionByName(begin) if k == 1 else sizes
         frequent = common.broadcast(spark, common.bitmap(sizes.select(F.col("g").alias("key")).unionByName(shorter.where(F.col("n") >= s.least).select(F.col("g").alias("key")))))
-        found = contexts(train, k, frequent, s)
+        found = materialize(contexts(train, k, frequent, s.buckets(tokens), s), f"pst-found-{k}")
         n, size, q = F.col("n"), F.col("size"), F.col("q")
         good = (n >= s.gamma_min * size) & ((n / size >= s.ratio * q) | (n / size * s.ratio <= q))
-        tried = found.join(sizes.select(F.col("g").alias("ctx"), F.col("n").alias("size")), "ctx").join(shorter.select(F.col("g").alias("pg"), "q"), "pg").select("g", "ctx", "n", "size", "q", good.alias("good"))
-        tried = materialize(tried, f"pst-tried-{k}")
+        sized = materialize(found.join(sizes.select(F.col("g").alias("ctx"), F.col("n").alias("size")), "ctx"), f"pst-sized-{k}")
         frequent.destroy()
+        discard(found)
+        tried = materialize(sized.join(shorter.select(F.col("g").alias("pg"), "q"), "pg").select("g", "ctx", "n", "size", "q", good.alias("good")), f"pst-tried-{k}")
+        discard(sized, level)
         sums = tried.where("good").groupBy("ctx", "size").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("kept"), F.sum("q").alias("q_sum"), F.sum(n * F.log(n / size / q)).alias("gain")).where("q_sum < 1")
         p = F.col("kept") / size
         gain = F.col("gain") + F.when(F.col("kept") < size, size * (1 - p) * F.log((1 - p) / (1 - F.col("q_sum")))).otherwise(0.0)
@@ -202,23 +253,29 @@ def grow(train: DataFrame, table: DataFrame, totals: tuple[int, int, int], s: Se
         nodes = materialize(sums.where(gain >= s.cost * F.col("m") * float(np.log(max(tokens, 2))) / 2).select("ctx", "size", F.greatest(back, F.lit(1e-300)).alias("back")), f"pst-nodes-{k}")
         own = tried.join(nodes.select("ctx", "back"), "ctx", "left")
         kept = F.col("good") & F.col("back").isNotNull()
-        shorter = materialize(own.select("g", "n", "q", F.when(kept, (n - s.discount) / size).when(F.col("back").isNotNull(), F.col("back") * q).otherwise(q).alias("p"), F.when(kept, F.col("back")).alias("back")), f"pst-level-{k}")
-        rows = nodes.select(F.col("ctx").bitwiseXOR(F.lit(CONTEXT)).alias("key"), F.log10("back").alias("value"), F.col("size").alias("n"))
-        rows = rows.unionByName(shorter.where("back is not null").select(F.col("g").alias("key"), (F.log10("p") - F.log10("q") - F.log10("back")).alias("value"), "n"))
-        out = rows if out is None else out.unionByName(rows)
-        shorter = shorter.select("g", "n", F.col("p").alias("q"))
+        level = own.select("g", "n", "q", F.when(kept, (n - s.discount) / size).when(F.col("back").isNotNull(), F.col("back") * q).otherwise(q).alias("p"), F.when(kept, F.col("back")).alias("back"), F.when(kept, F.col("ctx")).alias("ctx"), F.when(kept, size).alias("size"))
+        level = materialize(level, f"pst-level-{k}")
+        discard(tried)
+        rows = nodes.select("ctx", F.lit(None).cast("long").alias("g"), F.log10("back").alias("value"), F.col("size").alias("n"))
+        rows = rows.unionByName(level.where("back is not null").select("ctx", "g", (F.log10("p") - F.log10("q") - F.log10("back")).alias("value"), F.col("size").alias("n")))
+        out.append(materialize(rows, f"pst-tree-{k}"))
+        discard(nodes)
+        shorter = level.select("g", "n", F.col("p").alias("q"))
         sizes = shorter.where(F.col("n") >= least).select("g", "n")
+    discard(level)
     return out
 
 
 @dataclass
 class Hot:
-    """Sorted keys of the most frequent words and tree rows with their values, and the bitmap of all keys of the tree."""
+    """Sorted keys and values of the most frequent words, of the most frequent retained contexts and of all symbols kept in these; and the bitmap of all retained contexts."""
 
     words: np.ndarray
     logs: np.ndarray
-    keys: np.ndarray
-    values: np.ndarray
+    contexts: np.ndarray
+    backs: np.ndarray
+    kept: np.ndarray
+    gains: np.ndarray
     bits: np.ndarray
 
 
@@ -236,6 +293,115 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == wanted
 
 
+def _symbol(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Name of a symbol kept in a context, from the lower half of the word's hash."""
+    return ctx * BASE ^ (word & np.uint64(0xFFFFFFFF)) * INVERSE
+
+
+#: What a packed row holds: rows of the tree, rows of the unigrams, lookups in either, and a document's own sums.
+TREE, WORDS, IN_TREE, IN_WORDS, OWN = range(5)
+_PACKED = "bucket int, kind int, blob binary, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double"
+_SUMS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double"
+_SUMS_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
+_PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary()), *_SUMS_ARROW])
+
+
+def _packed_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _PACKED_ARROW, strict=True)], schema=_PACKED_ARROW)
+
+
+def _packed_table(table: DataFrame, kind: int, buckets: int) -> DataFrame:
+    """A table's rows (key, other longs or doubles) as packed arrays by the bucket of the key."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            cols = [c.fill_null(0).to_numpy() for c in b.columns]
+            key = cols[0].astype(np.int64).view(np.uint64)
+            order = np.argsort(key)
+            rows = [(k, kind, pack(key[order][part], *(c[order][part] for c in cols[1:])), *[None] * 7) for k, part in _slices(key[order], buckets)]
+            if rows:
+                yield _packed_batch(rows)
+
+    return table.mapInArrow(run, _PACKED)
+
+
+def _meet(batches):  # noqa: ANN001, ANN202
+    """Sorted by bucket and kind: hold a bucket's table rows, let its lookups pass, sum by document."""
+    arrow, none = _SUMS_ARROW, (np.zeros(0, np.uint64), np.zeros(0))
+    bucket, tables, ready = None, {}, {}
+
+    def table(kind: int) -> tuple[np.ndarray, ...]:
+        """Sorted keys and values: of retained contexts and of kept symbols, or of words."""
+        if kind not in tables:
+            return none * 2 if kind == TREE else none
+        if kind not in ready:
+            parts = [np.concatenate(x) for x in zip(*tables[kind], strict=True)]
+            if kind == TREE:
+                ctx, g, value, is_back = parts
+                is_back = is_back.astype(bool)
+                names = np.where(is_back, ctx, _symbol(ctx, g.view(np.uint64) - ctx * BASE))
+                sides = [(names[m], value[m]) for m in (is_back, ~is_back)]
+                ready[kind] = tuple(x for key, v in sides for x in (np.sort(key), v[np.argsort(key)]))
+            else:
+                order = np.argsort(parts[0])
+                ready[kind] = parts[0][order], parts[1][order]
+        return ready[kind]
+
+    for batch in batches:
+        own = batch.filter(pc.equal(batch.column("kind"), OWN))
+        if own.num_rows:
+            yield own.select(arrow.names).cast(arrow)
+        for b, kind, blob in zip(*(batch.column(x).to_pylist() for x in ("bucket", "kind", "blob")), strict=True):
+            if b != bucket:
+                bucket, tables, ready = b, {}, {}
+            if kind in (TREE, WORDS):
+                tables.setdefault(kind, []).append(unpack(blob))
+            elif kind != OWN:
+                first, doc, key, *word = unpack(blob)
+                n = int(doc.max()) + 1
+                if kind == IN_TREE:
+                    backs, factor, kept, gain = table(TREE)
+                    value = _values(backs, factor, key) + _values(kept, gain, _symbol(key, word[0].astype(np.uint64)))
+                    sums = np.zeros(n, np.int64), np.zeros(n), np.bincount(doc, value, n)
+                else:
+                    words, logs = table(WORDS)
+                    there = find(words, key)[1]
+                    sums = np.bincount(doc, there, n).astype(np.int64), np.bincount(doc, _values(words, logs, key), n), np.zeros(n)
+                some = np.flatnonzero((sums[0] != 0) | (sums[1] != 0) | (sums[2] != 0))
+                empty = [pa.nulls(len(some), f.type) for f in arrow][1:4]
+                yield pa.RecordBatch.from_arrays([pa.array(int(first[0]) + some), *empty, *(pa.array(x[some]) for x in sums)], schema=arrow)
+
+
+def _values(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Values of the wanted keys, 0 where there is none."""
+    at, there = find(keys, wanted)
+    return np.where(there, values[at], 0.0) if len(keys) else np.zeros(len(wanted))
+
+
+class _Lookups:
+    """Lookups gathered in a worker over the documents from ``first`` on, sent as packed arrays by bucket."""
+
+    def __init__(self, first: int, buckets: int) -> None:
+        self.first, self.buckets, self.size = first, buckets, 0
+        self.held: dict[int, list] = {IN_TREE: [], IN_WORDS: []}
+
+    def add(self, kind: int, doc: np.ndarray, *key: np.ndarray) -> None:
+        self.held[kind].append((doc - self.first, *key))
+        self.size += len(doc)
+
+    def rows(self) -> list[tuple]:
+        out = []
+        for kind, parts in self.held.items():
+            if parts:
+                doc, key, *word = (np.concatenate(x) for x in zip(*parts, strict=True))
+                order = np.argsort(key, kind="stable")
+                doc, key, word = doc[order], key[order], [w[order] for w in word]
+                for k, part in _slices(key, self.buckets):
+                    out.append((k, kind, pack(np.array([self.first]), narrow(doc[part]), key[part], *(w[part].astype(np.uint32) for w in word)), *[None] * 7))
+        return out
+
+
 def score_documents(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of every whole text by a tree learnt from those with crc32(id as text) mod 7 not 2.
 
@@ -250,62 +416,52 @@ def score_documents(spark: SparkSession, docs: DataFrame, settings: Settings = S
     table = materialize(unigrams(train, s), "pst-unigrams")
     total = table.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.when(F.length("word") == 0, F.col("n")))).first()
     tokens, types, texts = totals = tuple(int(x or 0) for x in total)
-    tree = materialize(grow(train, table, totals, s), "pst-tree")
-    often = F.col("n") >= max(1.0, s.hot * tokens)  # at most 1/hot words, and as many rows of the tree of a length and kind
-    hot = Hot(*_sorted(table.where(often).select(F.xxhash64("word"), F.log10(F.col("n") + 1)).toArrow()), *_sorted(tree.where(often).select("key", "value").toArrow()), common.bitmap(tree.select("key")))
+    tree = reduce(DataFrame.unionByName, grow(train, table, totals, s))
+    buckets = s.buckets(tokens)
+    often = F.col("n") >= max(1.0, s.hot * tokens)  # at most 1/hot words and contexts of a length, and 1/gamma_min symbols in each
+    logs = table.select(F.xxhash64("word").alias("key"), F.log10(F.col("n") + 1).alias("value"), "n")
+    backs, kept = tree.where("g is null").select("ctx", "value", "n"), tree.where("g is not null").select("g", "value", "n")
+    hot = Hot(*(x for side in (logs, backs, kept) for x in _sorted(side.where(often).drop("n").toArrow())), common.bitmap(tree.where("g is null").select(F.col("ctx").alias("key"))))
     shared = common.broadcast(spark, hot)
 
-    def run(cols: dict[str, list]) -> dict[str, list]:
-        h = shared.value
-        flat, starts, split = encode(cols["text"])
-        at, known = find(h.words, flat)
-        known[starts[:-1]] = False
-        logs = np.where(known, np.append(h.logs, 0.0)[at], 0.0)
-        model, open_keys, open_at = np.zeros(len(flat)), [], []
-        for place, ctx, g, _ in grams(flat, starts, s.depth):
-            for keys in (ctx ^ np.uint64(CONTEXT), g):
-                hit = common.maybe(h.bits, keys)
-                wanted, where = keys[hit], place[hit]
-                i, there = find(h.keys, wanted)
-                model[where[there]] += h.values[i[there]] if there.any() else 0.0
-                open_keys.append(wanted[~there].view(np.int64))
-                open_at.append(where[~there])
-        keys, where = np.concatenate(open_keys), np.concatenate(open_at)
-        order = np.argsort(where, kind="stable")
-        cuts = np.searchsorted(where[order], starts)
-        keys = keys[order]
-        per = lambda x: np.add.reduceat(x, starts[:-1]).tolist()
-        rare = []
-        for w, a, b in zip(split, starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            rare.append([w[i] for i in np.flatnonzero(~known[a + 1 : b]).tolist()])
-        return {
-            "doc_id": cols["doc_id"],
-            "held_out": cols["held_out"],
-            "n_tokens": list(map(len, split)),
-            "n_frequent": per(known.astype(np.int64)),
-            "base": per(logs),
-            "model": per(model),
-            "rare": rare,
-            "keys": [keys[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)],
-        }
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_frequent long, base double, model double, rare array<binary>, keys array<long>"
-    parts = materialize(common.map_batches(rows, run, schema).withColumn("row", F.monotonically_increasing_id()), "pst-parts")
-    found = (
-        parts.select("row", F.explode("rare").alias("word"))
-        .join(table.hint("shuffle_hash"), "word", "left")
-        .groupBy("row")
-        .agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("rare_log"), F.count("n").alias("rare_known"))
-    )
-    gained = parts.select("row", F.explode("keys").alias("key")).join(tree.where(~often).select("key", "value").hint("shuffle_hash"), "key").groupBy("row").agg(F.sum("value").alias("gain"))
-    log_total = float(np.log10(tokens + types + 1))
-    base = F.col("base") + F.coalesce("rare_log", F.lit(0.0)) - F.col("n_tokens") * log_total
-    return parts.drop("rare", "keys").join(found, "row", "left").join(gained, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_frequent") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
-        (base + F.col("model") + F.coalesce("gain", F.lit(0.0))).alias("score"),
-    )
+    def run(batches):  # noqa: ANN001, ANN202
+        h, first = shared.value, TaskContext.get().partitionId() << 33
+        open_ = _Lookups(first, buckets)
+        for batch in batches:
+            for at in range(0, batch.num_rows, common.SLICE_ROWS):
+                cols = batch.slice(at, common.SLICE_ROWS).to_pydict()
+                flat, starts, split = encode(cols["text"])
+                doc = np.repeat(first + np.arange(len(split)), np.diff(starts))
+                i, known = find(h.words, flat)
+                known[starts[:-1]] = False
+                logs = np.where(known, np.append(h.logs, 0.0)[i], 0.0)
+                rare = ~known
+                rare[starts[:-1]] = False
+                open_.add(IN_WORDS, doc[rare], flat[rare])
+                model = np.zeros(len(flat))
+                for place, ctx, g, _ in grams(flat, starts, s.depth):
+                    hit = common.maybe(h.bits, ctx)
+                    place, ctx, g = place[hit], ctx[hit], g[hit]
+                    there = find(h.contexts, ctx)[1]
+                    model[place[there]] += _values(h.contexts, h.backs, ctx[there]) + _values(h.kept, h.gains, g[there])
+                    open_.add(IN_TREE, doc[place[~there]], ctx[~there], flat[place[~there]] & np.uint64(0xFFFFFFFF))
+                per = lambda x: np.add.reduceat(x, starts[:-1]).tolist()  # noqa: B023, E731
+                rows = list(range(first, first + len(split)))
+                buckets_of = [r % buckets for r in rows]
+                yield _packed_batch(list(zip(buckets_of, [OWN] * len(rows), [None] * len(rows), rows, cols["doc_id"], cols["held_out"], map(len, split), per(known.astype(np.int64)), per(logs), per(model), strict=True)))
+                first += len(split)
+                if open_.size >= 10 * s.flush:
+                    yield _packed_batch(open_.rows())
+                    open_ = _Lookups(first, buckets)
+        if open_.size:
+            yield _packed_batch(open_.rows())
+
+    sides = [
+        _packed_table(tree.where(~often).select("ctx", "g", "value", F.col("g").isNull().cast("tinyint")), TREE, buckets),
+        _packed_table(logs.where(~often).select("key", "value"), WORDS, buckets),
+        rows.select("doc_id", "held_out", "text").mapInArrow(run, _PACKED),
+    ]
+    met = reduce(DataFrame.unionByName, sides).repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_meet, _SUMS)
+    sums = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("model").alias("model"))
+    base = F.col("base") - F.col("n_tokens") * float(np.log10(tokens + types + 1))
+    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("model")).alias("score"))

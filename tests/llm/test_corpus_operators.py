@@ -300,7 +300,17 @@ def brute_scores(train, texts, s):
     return out, nodes
 
 
-@pytest.mark.parametrize("s", [suffixtree.Settings(flush=200), suffixtree.Settings(depth=4, least=3, hot=5e-3, flush=200)])
+def test_packed_columns_come_back():
+    from kgspark.llm.packs import narrow, pack, unpack
+
+    rng = np.random.default_rng(40)
+    for n in (0, 1, 1000):
+        columns = [np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64)), rng.standard_normal(n), narrow(rng.integers(0, 70_000, n)), np.zeros(3, np.int8)]
+        got = unpack(pack(*columns))
+        assert all(a.dtype == b.dtype and a.tolist() == b.tolist() for a, b in zip(columns, got, strict=True))
+
+
+@pytest.mark.parametrize("s", [suffixtree.Settings(flush=200, bucket=500), suffixtree.Settings(depth=4, least=3, hot=5e-3, flush=200)])
 def test_suffix_tree_keeps_long_contexts(spark, s):
     rng = random.Random(16)
     phrases = [[f"p{i}{j}" if rng.random() < 0.5 else rng.choice("the of and".split()) for j in range(8)] for i in range(30)]
