@@ -137,17 +137,38 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _raw(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _scaled(rows: np.ndarray) -> np.ndarray:
     """Vectors as rows of doubles, each scaled by a power of two to at most 1: exact, and squares neither overflow nor vanish."""
-    rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    rows = rows.astype(np.float64)
     return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1]) if rows.size else rows
 
 
+def _blobs(rows: np.ndarray) -> pa.Array:
+    """Rows of an array as binary values; cheaper to move than lists of numbers."""
+    if not len(rows):
+        return pa.array([], type=pa.binary())
+    rows = np.ascontiguousarray(rows)
+    width = rows.nbytes // len(rows)
+    return pa.Array.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
+
+
+def _from_blobs(column: pa.Array, kind: str, dim: int) -> np.ndarray:
+    width = dim * np.dtype(kind).itemsize
+    fixed = column.cast(pa.binary(width))
+    return np.frombuffer(fixed.buffers()[1], dtype=np.uint8)[fixed.offset * width : (fixed.offset + len(fixed)) * width].view(kind).reshape(-1, dim)
+
+
 def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Cosine of row pairs in double precision; each depends on its two rows only."""
     return (q * c).sum(axis=-1) / (np.sqrt((q * q).sum(axis=-1)) * np.sqrt((c * c).sum(axis=-1)))
 
 
+#: Rows whose keys are made at once in a worker; bounds memory, not input.
+BLOCK = 4096
 #: Cosines by matrix product are this close to the exact ones.
 NEAR = 1e-13
 
@@ -228,16 +249,16 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", s: Settings =
     classes = materialize(shapes.join(ids, ["v1", "v2"]).join(asked, ["v1", "v2"], "left").withColumn("asked", F.coalesce("asked", F.lit(False))), "ann-classes")
 
     total = classes.count()
-    sample = _matrix(classes.orderBy("v2", "v1").limit(s.sample).select("v").toArrow().column(0).combine_chunks())
+    sample = _scaled(_raw(classes.orderBy("v2", "v1").limit(s.sample).select("v").toArrow().column(0).combine_chunks()))
+    dtype, dim = ("f4" if kind == "float" else "f8"), lengths["d"]
     curves = common.broadcast(spark, fit(sample, s))
     ranges = max(1, min(s.ranges, total // s.range_rows))
     cuts = ranges * s.parts
 
     def keyed(batches):  # noqa: ANN001, ANN202
         for b in batches:
-            keys = curves.value.keys(_matrix(b.column(0)), b.column(1).to_numpy())
-            flat = pa.Array.from_buffers(pa.binary(keys.dtype.itemsize), keys.size, [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(keys.shape[1], dtype=np.int32), len(keys))), flat], names=["curve", "key"])
+            keys = curves.value.keys(_scaled(_raw(b.column(0))), b.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(keys.shape[1], dtype=np.int32), len(keys))), _blobs(keys.reshape(-1))], names=["curve", "key"])
 
     def borders(part: pa.Table) -> pa.Table:
         keys = np.sort(np.array(part.column("key").to_pylist(), dtype=bytes))
@@ -248,15 +269,16 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", s: Settings =
     some = classes.where(F.pmod(F.col("v2"), F.lit(every)) == 0).select("v", "v1").mapInArrow(keyed, "curve int, key binary")
     bounds = {r["curve"]: np.array([bytes(x) for x in r["cuts"]], dtype=bytes) for r in some.groupBy("curve").applyInArrow(borders, "curve int, cuts array<binary>").collect()}
     held = common.broadcast(spark, [bounds.get(c, np.array([], dtype=bytes)) for c in range(s.curves)])
-    place = f"curve int, part int, key binary, v1 long, v2 long, id long, v array<{kind}>, asked boolean, visitor boolean"
+    place = f"curve int, part int, key binary, v1 long, v2 long, id long, v binary, asked boolean, visitor boolean"
     placed_schema = common.arrow_schema(place)
 
     def placed(batches):  # noqa: ANN001, ANN202
         """Every class once a curve, and each asked class near a border once more for the next range."""
         for whole in batches:
-            for at in range(0, whole.num_rows, common.SLICE_ROWS):
-                b = whole.slice(at, common.SLICE_ROWS)
-                keys = curves.value.keys(_matrix(b.column("v")), b.column("v1").to_numpy())
+            for at in range(0, whole.num_rows, BLOCK):
+                b = whole.slice(at, BLOCK)
+                raw = _raw(b.column("v"))
+                keys = curves.value.keys(_scaled(raw), b.column("v1").to_numpy())
                 asked_rows = np.flatnonzero(b.column("asked").to_numpy(zero_copy_only=False))
                 for c, cut in enumerate(held.value):
                     inner = np.searchsorted(cut, keys[:, c], side="right")
@@ -265,9 +287,8 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", s: Settings =
                     after = asked_rows[(outer == s.parts - 1) & (own[asked_rows] < ranges - 1)]
                     take = np.concatenate([np.arange(len(keys)), before, after])
                     where = np.concatenate([own, own[before] - 1, own[after] + 1]).astype(np.int32)
-                    key = pa.array([bytes(x) for x in keys[take, c].view(f"V{keys.dtype.itemsize}")], type=pa.binary())
-                    cols = [b.column(x).take(pa.array(take)) for x in ("v1", "v2", "id", "v", "asked")]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), c, dtype=np.int32)), pa.array(where), key, *cols[:3], cols[3].cast(placed_schema[6].type), cols[4], pa.array(np.arange(len(take)) >= len(keys))], schema=placed_schema)
+                    cols = [b.column(x).take(pa.array(take)) for x in ("v1", "v2", "id", "asked")]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), c, dtype=np.int32)), pa.array(where), _blobs(keys[take, c]), *cols[:3], _blobs(raw[take]), cols[3], pa.array(np.arange(len(take)) >= len(keys))], schema=placed_schema)
 
     def search(batches):  # noqa: ANN001, ANN202
         """Sorted by curve, range and key: windows slide over the rows."""
@@ -275,7 +296,7 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", s: Settings =
         for b in batches:
             group = b.column("curve").to_numpy().astype(np.int64) * ranges + b.column("part").to_numpy()
             cols = [b.column(x).to_numpy(zero_copy_only=False) for x in ("v1", "v2", "id")]
-            m, flags = _matrix(b.column("v")), [b.column(x).to_numpy(zero_copy_only=False) for x in ("asked", "visitor")]
+            m, flags = _scaled(_from_blobs(b.column("v"), dtype, dim)), [b.column(x).to_numpy(zero_copy_only=False) for x in ("asked", "visitor")]
             edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
             for a, z in zip(edges, edges[1:]):
                 if a == z:
