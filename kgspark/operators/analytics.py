@@ -6,9 +6,11 @@ the arrays steps, triplets, entities and relations as counts where noted.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def query_metrics(log: DataFrame, max_depth: str = "search_depth") -> DataFrame:
     """Per query: totals, ratios by step, efficiency = triplets / entities, share of the allowed depth. Divisions by 0 give 0."""
@@ -34,17 +36,17 @@ def p95(values: Column) -> Column:
 
 
 def p95_ranked(rows: DataFrame, value: str, *group: str) -> DataFrame:
-    """The same for groups of any size: two order statistics by rank, no group is collected."""
+    """The same for groups of any size: two order statistics by rank; no group is collected or sorted in one task."""
     keys = list(group)
-    w = Window.partitionBy(*keys).orderBy(value)
-    sized = rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), F.avg(value).alias("mean"))
-    sized = sized.withColumn("j", F.greatest(F.lit(1), F.least(F.floor(19 * (F.col("m") + 1) / 20), F.col("m") - 1)).cast("int"))
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("r", F.row_number().over(w))
-    at = ranked.join(F.broadcast(sized), keys) if keys else ranked.crossJoin(F.broadcast(sized))
-    rest = 19 * (F.col("m") + 1) - 20 * F.col("j")
-    low, high = F.max(F.when(F.col("r") == F.col("j"), F.col(value))), F.max(F.when(F.col("r") == F.col("j") + 1, F.col(value)))
-    out = at.groupBy(*keys, "m", "j", "mean").agg(low.alias("low"), high.alias("high"))
-    return out.select(*keys, F.when(F.col("m") < 20, F.col("mean")).otherwise((F.col("low") * (20 - rest) + F.col("high") * rest) / 20).alias("p95"))
+    placed = numbered(rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v")), [*keys, "v"])
+    sized = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), F.avg("v").alias("mean"), F.min("r").alias("start"))
+    m, j = F.col("m"), F.col("j")
+    sized = sized.withColumn("j", F.greatest(F.lit(1), F.least(F.floor(19 * (m + 1) / 20), m - 1)))
+    # the ranks asked for, two a group, meet the rows by their numbers, which no two rows share
+    wanted = sized.select(*[F.col(k).alias(f"key_{k}") for k in keys], "m", "j", "mean", F.explode(F.array(F.col("start") + j - 1, F.col("start") + F.least(j, m - 1))).alias("r"), "start")
+    met = wanted.join(placed.select("r", "v"), "r").groupBy(*[f"key_{k}" for k in keys], "m", "j", "mean").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    rest = 19 * (m + 1) - 20 * j
+    return met.select(*[F.col(f"key_{k}").alias(k) for k in keys], F.when(m < 20, F.col("mean")).otherwise((F.col("low") * (20 - rest) + F.col("high") * rest) / 20).alias("p95"))
 
 
 def aggregate_metrics(log: DataFrame) -> DataFrame:
@@ -86,9 +88,9 @@ def histogram(rows: DataFrame, value: str, bins: int = 5, inclusive: bool = Fals
 
 def trend(rows: DataFrame, value: str, order: list[str], floor: float = 0.001, stable: float = 0.05) -> DataFrame:
     """Mean of the first and the second half in ``order``; under 5 % relative change is stable."""
-    n = rows.agg(F.count(F.lit(1)).alias("n"))
-    placed = rows.withColumn("r", F.row_number().over(Window.orderBy(*order)))
-    halves = placed.crossJoin(F.broadcast(n)).agg(F.avg(F.when(F.col("r") <= F.floor(F.col("n") / 2), F.col(value))).alias("first"), F.avg(F.when(F.col("r") > F.floor(F.col("n") / 2), F.col(value))).alias("second"))
+    placed = numbered(rows.select(*order, F.col(value).alias("v")), order)
+    half = F.floor(F.lit(placed.count()) / 2)
+    halves = placed.agg(F.avg(F.when(F.col("r") <= half, F.col("v"))).alias("first"), F.avg(F.when(F.col("r") > half, F.col("v"))).alias("second"))
     change = (F.col("second") - F.col("first")) / F.greatest(F.abs("first"), F.lit(floor))
     return halves.select("first", "second", F.when(F.abs(change) < stable, "stable").when(change > 0, "increasing").otherwise("decreasing").alias("trend"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,30 +58,54 @@ def upsert_claims(claims: DataFrame) -> DataFrame:
     return keyed.groupBy("claim_id").agg(*first, F.count(F.lit(1)).alias("occurrence_count"))
 
 
+def _grams(text: Column, n: int) -> Column:
+    """Distinct substrings of ``n`` characters."""
+    last = F.length(text) - n + 1
+    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def containments(needles: DataFrame, hay: DataFrame) -> DataFrame:
+    """``needle, hay`` for every non-empty needle inside a text of ``hay`` (columns of these names, distinct).
+
+    A needle of three characters or more meets the texts by the rarest of its
+    trigrams, which any text around it has; a shorter one by itself. The meeting
+    is an equi-join and is then verified.
+    """
+    grams = hay.select("hay", F.explode(F.concat(*(_grams(F.col("hay"), n) for n in (1, 2, 3)))).alias("gram"))
+    seen = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    own = needles.where("needle <> ''").select("needle", F.explode(F.when(F.length("needle") < 3, F.array("needle")).otherwise(_grams(F.col("needle"), 3))).alias("gram"))
+    rarest = own.join(seen, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))["gram"].alias("gram"))
+    return rarest.join(grams, "gram").where(F.contains("hay", "needle")).select("needle", "hay")
+
+
 def link_names(claims: DataFrame, entities: DataFrame, name_col: str) -> DataFrame:
     """Best entity for each claim's ``name_col``: ``claim_id, entity_id, strategy``.
 
-    1 equal; 2 equal ignoring case; 3 one without parentheses is the other's
-    prefix or equal; 4 one contains the other. The lowest strategy wins, then the
-    shortest name, then the least id. Steps 1 and 2 are equi-joins. Steps 3 and 4
-    run only for distinct names without a match so far, against distinct entity
-    names, on candidates that share a word.
+    1 equal; 2 equal ignoring case; 3 one without parenthesised parts is the
+    other's prefix or equal; 4 the wanted name without parenthesised parts and an
+    entity's name without parenthesis characters, one inside the other, also
+    inside a word. The lowest strategy wins, then the shortest name, then the
+    least id. Steps 1 and 2 are equi-joins. Steps 3 and 4 run only for distinct
+    names without a match so far, on the candidates of ``containments``; a name
+    of which nothing is left takes no part in them.
     """
     names = claims.select(F.col(name_col).alias("wanted")).where("wanted is not null and trim(wanted) <> ''").distinct()
     named = entities.groupBy("name").agg(F.min("id").alias("entity_id"))
     exact = names.join(named, names.wanted == named.name).select("wanted", "entity_id", "name", F.lit(1).alias("strategy"))
     folded = names.join(named, F.lower("wanted") == F.lower("name")).select("wanted", "entity_id", "name", F.lit(2).alias("strategy"))
-    rest = names.join(folded.select("wanted").distinct(), "wanted", "left_anti")
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    left = rest.select("wanted", F.explode(words("wanted")).alias("w"))
-    right = named.select("name", "entity_id", F.explode(words("name")).alias("w"))
-    near = left.join(right, "w").drop("w").dropDuplicates(["wanted", "name"])
-    a, b = F.lower(T.strip_parens(F.col("wanted"))), F.lower(T.strip_parens(F.col("name")))
-    third = F.startswith(b, a) | F.startswith(a, b)
-    fourth = F.contains(F.lower("wanted"), F.lower("name")) | F.contains(F.lower("name"), F.lower("wanted"))
-    fuzzy = near.withColumn("strategy", F.when(third, 3).when(fourth, 4)).where("strategy is not null").select("wanted", "entity_id", "name", "strategy")
+    rest = names.join(folded.select("wanted").distinct(), "wanted", "left_anti").select("wanted", F.lower(T.strip_parens(F.col("wanted"))).alias("w"))
+    both = [exact, folded]
+    for strategy, cleaned in ((3, T.strip_parens(F.col("name"))), (4, T.drop_paren_chars(F.col("name")))):
+        other = named.select("name", "entity_id", F.lower(cleaned).alias("c"))
+        w, c = rest.select("w").distinct(), other.select("c").distinct()
+        inside = containments(w.select(F.col("w").alias("needle")), c.select(F.col("c").alias("hay"))).select(F.col("needle").alias("w"), F.col("hay").alias("c"))
+        around = containments(c.select(F.col("c").alias("needle")), w.select(F.col("w").alias("hay"))).select(F.col("hay").alias("w"), F.col("needle").alias("c"))
+        met = inside.unionByName(around).distinct()
+        if strategy == 3:
+            met = met.where(F.startswith("w", "c") | F.startswith("c", "w"))
+        both.append(rest.join(met, "w").join(other, "c").select("wanted", "entity_id", "name", F.lit(strategy).alias("strategy")))
     order = Window.partitionBy("wanted").orderBy("strategy", F.length("name"), "entity_id")
-    best = exact.union(folded).union(fuzzy).withColumn("n", F.row_number().over(order)).where("n = 1")
+    best = reduce(DataFrame.unionByName, both).withColumn("n", F.row_number().over(order)).where("n = 1")
     return claims.select("claim_id", F.col(name_col).alias("wanted")).join(best, "wanted").select("claim_id", "entity_id", "strategy")
 
 

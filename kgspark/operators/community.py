@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Callable
 
 import pandas as pd
@@ -22,10 +22,11 @@ def _moved(adj: list[dict[int, float]], size: list[float], part: list[int], m2:
     total: dict[int, float] = defaultdict(float)
     for v, c in enumerate(part):
         total[c] += size[v]
-    queue, waiting, changed = list(range(len(adj))), set(range(len(adj))), False
-    rng.shuffle(queue)
+    order, waiting, changed = list(range(len(adj))), set(range(len(adj))), False
+    rng.shuffle(order)
+    queue = deque(order)
     while queue:
-        v = queue.pop(0)
+        v = queue.popleft()
         waiting.discard(v)
         own = part[v]
         total[own] -= size[v]
@@ -189,14 +190,6 @@ def assignments(levels: DataFrame) -> DataFrame:
     return levels.select(F.col("id").alias("entity_id"), F.col("community").alias("community_id"), F.col("level").alias("community_level"), F.when(F.col("level") == 0, 0.95).otherwise(0.85).alias("confidence"))
 
 
-def detect_incrementally(edges: DataFrame, old: DataFrame, changed: DataFrame, seed: int = 42) -> DataFrame:
-    """``id, community`` after a change: the changed nodes and their neighbours are clustered anew, the rest keep theirs."""
-    start = changed.select(F.col(changed.columns[0]).alias("id")).distinct()
-    near = start.union(graph.undirected(edges).join(start, F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id"))).distinct()
-    fresh = detect_communities(graph.induced(edges, near), seed).where("level = 0").select("id", F.concat(F.lit("new:"), "community").alias("community"))
-    return old.select("id", "community").join(fresh.select("id"), "id", "left_anti").unionByName(fresh)
-
-
 def statistics(membership: DataFrame) -> DataFrame:
     """One row: communities, members, mean, least and largest size; zeros for an empty table."""
     sizes = membership.groupBy("community").agg(F.count_distinct("id").alias("size"))

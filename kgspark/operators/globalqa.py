@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import extraction, rank
 from .clients import first_sentence
+from .numbering import numbered
 
 
 def batches(communities: DataFrame, size: int = 10) -> DataFrame:
-    """``communities`` with ``batch``: consecutive groups of ``size`` by community, numbered in one sorted pass over one row a community."""
-    w = Window.orderBy("community")
-    return communities.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    """``communities`` with ``batch``: consecutive groups of ``size`` by community."""
+    placed = numbered(communities, ["community"], "batch")
+    return placed.withColumn("batch", F.floor((F.col("batch") - 1) / size).cast("long"))
 
 
 def map_reduce(communities: DataFrame, question: str, size: int = 10, generate: Callable[[str], str] = first_sentence) -> tuple[DataFrame, str]:

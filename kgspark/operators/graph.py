@@ -69,6 +69,21 @@ def shortest_path(edges: DataFrame, start: str, goal: str, most: int = 3) -> Dat
     raise AssertionError
 
 
+def path_between(edges: DataFrame, membership: DataFrame, start: str, goal: str, most: int = 3) -> DataFrame:
+    """``kind, n_edges, hops, path``: members of one community (at any level) have the number of their direct edges, others a shortest path."""
+    shared = membership.where(F.col("id") == start).select("community").join(membership.where(F.col("id") == goal).select("community"), "community", "left_semi")
+    if shared.isEmpty():
+        return shortest_path(edges, start, goal, most).select(F.lit("path").alias("kind"), F.lit(None).cast("long").alias("n_edges"), "hops", "path")
+    direct = edges.where(((F.col("src") == start) & (F.col("dst") == goal)) | ((F.col("src") == goal) & (F.col("dst") == start)))
+    return direct.agg(F.count(F.lit(1)).alias("n_edges")).select(F.lit("same_community").alias("kind"), "n_edges", F.lit(None).cast("int").alias("hops"), F.lit(None).cast("array<string>").alias("path"))
+
+
+def context_texts(mentions: DataFrame, text_units: DataFrame, centre: DataFrame, n: int = 10) -> DataFrame:
+    """The first ``n`` text units that mention the entities of ``centre``: ``text_unit_id, start_char, text``."""
+    own = mentions.join(F.broadcast(centre.select(F.col(centre.columns[0]).alias("entity_id"))), "entity_id", "left_semi").select("text_unit_id").distinct()
+    return own.join(text_units.select(F.col("id").alias("text_unit_id"), "start_char", "text"), "text_unit_id").orderBy("start_char", "text_unit_id").limit(n)
+
+
 def top_per_group(rows: DataFrame, group: list[str], order: list, n: int) -> DataFrame:
     """The first ``n`` rows of each group in ``order``, with their ``rank``."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= n)

@@ -29,53 +29,87 @@ def sequence_ratio(a: Column, b: Column) -> Column:
 
 def levenshtein_ratio(a: Column, b: Column) -> Column:
     """Another metric, in the JVM: 1 - edit distance / longer length."""
-    x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
+    x, y = normal(a), normal(b)
     longest = F.greatest(F.length(x), F.length(y))
     return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(x, y) / longest)
 
 
-def _letters(name: Column) -> Column:
-    return F.sort_array(F.filter(F.split(F.lower(F.trim(name)), ""), lambda c: c != ""))
+#: White space as the metric trims it, in Java's notation (fixed values).
+BLANKS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
+def normal(name: Column) -> Column:
+    """A name as the metric compares it: lower case, without white space at either end."""
+    return F.regexp_replace(F.lower(name), rf"\A{BLANKS}|{BLANKS}\z", "")
 
 
 def possible(a: Column, b: Column, threshold: float) -> Column:
     """No pair that fails this reaches the threshold: ratio <= 2 min(length) / sum of lengths."""
-    x, y = F.length(F.trim(a)), F.length(F.trim(b))
-    return 2 * F.least(x, y) >= threshold * (x + y)
+    x, y = F.length(normal(a)), F.length(normal(b))
+    return 2 * F.least(x, y) >= threshold * (x + y) - 1e-9
 
 
-def duplicate_pairs(entities: DataFrame, threshold: float = 0.85, metric=sequence_ratio) -> DataFrame:  # noqa: ANN001
-    """Pairs of one type at or above ``threshold``: ``id1, name1, id2, name2, type, similarity``.
+def _numbered_items(items: Column) -> Column:
+    """Sorted items with the count of equal ones so far, so that a multiset is a set."""
+    held = F.sort_array(items)
+    return F.transform(held, lambda x, i: F.concat(x, F.lit(":"), (i - F.array_position(held, x) + 1).cast("string")))
+
+
+def _meeting(names: DataFrame, items: Column, need: Column, threshold: float) -> DataFrame:
+    """``type, n1, n2`` (n1 < n2) of names that share one of their rarest items and pass the length bound.
 
-    The pair's order is that of (type, name, id). Candidates come from an exact
-    blocking: with a ratio of t, names of lengths x and y share a run of
-    characters, and the ratio bounds how many letters one may have that the other
-    lacks, so among the rarest letters of each name (all but the number that must
-    be shared) at least one is common to both. Pairs meet on (type, letter) of
-    that prefix and pass the length bound before the metric runs.
+    Pairs at the threshold share at least ``need`` items, so of each name all but
+    ``need`` - 1 of its items, the rarest first, are enough to meet.
     """
-    letters = F.transform(_letters(F.col("name")), lambda c, i: F.concat(c, F.lit("")))
-    base = entities.select("id", "name", "type", letters.alias("letters"))
-    # number repeated letters, so that the multiset is a set
-    marked = base.withColumn("items", F.transform("letters", lambda c, i: F.concat(c, F.lit(":"), (i - F.array_position("letters", c) + 1).cast("string"))))
-    counts = marked.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("df"))
-    items = marked.select("id", F.size("items").alias("n"), F.explode("items").alias("item")).join(counts, "item")
-    # a ratio of t needs 2 * shared >= t * (n + m) with m >= shared, so shared >= n * t / (2 - t)
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "item"))
-    kept = items.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold / (2 - threshold) - 1e-9) + 1)
-    keys = kept.join(base.select("id", "type", "name"), "id").select("id", "type", "name", "item", "n")
+    marked = names.select("type", "n", F.length("n").alias("x"), need.alias("need"), _numbered_items(items).alias("items"))
+    single = marked.select("type", "n", "x", "need", F.size("items").alias("size"), F.explode("items").alias("item"))
+    counts = single.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("type", "n").orderBy("df", "item"))
+    keys = single.join(counts, "item").withColumn("place", place).where(F.col("place") <= F.col("size") - F.greatest("need", F.lit(1)) + 1).select("type", "n", "x", "item")
     a, b = keys.alias("a"), keys.alias("b")
-    before = F.struct("a.name", "a.id") < F.struct("b.name", "b.id")
-    bound = 2 * F.least("a.n", "b.n") >= threshold * (F.col("a.n") + F.col("b.n")) - 1e-9
-    cand = a.join(b, (F.col("a.type") == F.col("b.type")) & (F.col("a.item") == F.col("b.item")) & before & bound)
-    cand = cand.select(F.col("a.id").alias("id1"), F.col("a.name").alias("name1"), F.col("b.id").alias("id2"), F.col("b.name").alias("name2"), F.col("a.type").alias("type")).dropDuplicates(["id1", "id2"])
-    return cand.withColumn("similarity", metric(F.col("name1"), F.col("name2"))).where(F.col("similarity") >= threshold)
+    bound = 2 * F.least("a.x", "b.x") >= threshold * (F.col("a.x") + F.col("b.x")) - 1e-9
+    met = a.join(b, (F.col("a.type") == F.col("b.type")) & (F.col("a.item") == F.col("b.item")) & (F.col("a.n") < F.col("b.n")) & bound)
+    return met.select(F.col("a.type").alias("type"), F.col("a.n").alias("n1"), F.col("b.n").alias("n2")).distinct()
 
 
-def similar_entities(entities: DataFrame, name: str, kind: str, threshold: float = 0.85) -> DataFrame:
+def duplicate_pairs(entities: DataFrame, threshold: float = 0.85, metric=sequence_ratio) -> DataFrame:  # noqa: ANN001
+    """Pairs of one type at or above ``threshold``: ``id1, name1, id2, name2, type, similarity``.
+
+    The pair's order is that of (type, name, id). Null names and types pair with
+    nothing; names that are equal once normalised, empty ones too, always pair.
+
+    Blocking is exact. A ratio of t between names of x and y characters needs M >=
+    t (x + y) / 2 matched ones in order. Each of the x - M characters that go
+    breaks at most two bigrams of the first name, each of the y - M that come
+    breaks at most one, so 3M - x - y - 1 bigrams are shared: with y >= x t / (2 -
+    t) at least (3t/2 - 1) 2x / (2 - t) - 1. Names too short for one sure bigram
+    meet by their letters, of which M are shared. Pairs are sought among distinct
+    names of a type; the metric runs once for each pair of spellings.
+    """
+    named = entities.where("name is not null and type is not null").select("id", "name", "type", normal(F.col("name")).alias("n"))
+    names = named.select("type", "n").distinct()
+    x = F.length("n")
+    need = F.ceil((1.5 * threshold - 1) * 2 * x / (2 - threshold) - 1 - 1e-9)
+    bigrams = F.when(x >= 2, F.transform(F.sequence(F.lit(1), F.greatest(x - 1, F.lit(1))), lambda i: F.substr(F.col("n"), i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    letters = F.filter(F.split("n", ""), lambda c: c != "")
+    long_ = _meeting(names.where(x >= 2), bigrams, need, threshold)
+    short = _meeting(names.where((need <= 0) & (x >= 1)), letters, F.ceil(x * threshold / (2 - threshold) - 1e-9), threshold)
+    same = names.select("type", F.col("n").alias("n1"), F.col("n").alias("n2"))
+    met = long_.unionByName(short).distinct().unionByName(same)
+    spelled = named.select("type", "n", "name").distinct()
+    one, two = spelled.select("type", F.col("n").alias("n1"), F.col("name").alias("u")), spelled.select("type", F.col("n").alias("n2"), F.col("name").alias("v"))
+    pairs = met.join(one, ["type", "n1"]).join(two, ["type", "n2"])
+    pairs = pairs.select("type", F.least("u", "v").alias("name1"), F.greatest("u", "v").alias("name2")).distinct()
+    pairs = pairs.withColumn("similarity", metric(F.col("name1"), F.col("name2"))).where(F.col("similarity") >= threshold)
+    ids = named.select("type", "name", "id")
+    out = pairs.join(ids.withColumnsRenamed({"name": "name1", "id": "id1"}), ["type", "name1"]).join(ids.withColumnsRenamed({"name": "name2", "id": "id2"}), ["type", "name2"])
+    return out.where((F.col("name1") < F.col("name2")) | (F.col("id1") < F.col("id2"))).select("id1", "name1", "id2", "name2", "type", "similarity")
+
+
+def similar_entities(entities: DataFrame, name: str, kind: str, threshold: float = 0.85, metric=sequence_ratio) -> DataFrame:  # noqa: ANN001
     """Entities of one type with threshold <= similarity < 1 to ``name``, best first, rounded to 3 places."""
     near = entities.where((F.col("type") == kind) & possible(F.lit(name), F.col("name"), threshold))
-    scored = near.withColumn("similarity", sequence_ratio(F.lit(name), F.col("name"))).where((F.col("similarity") >= threshold) & (F.col("similarity") < 1))
+    scored = near.withColumn("similarity", metric(F.lit(name), F.col("name"))).where((F.col("similarity") >= threshold) & (F.col("similarity") < 1))
     return scored.withColumn("similarity", F.round("similarity", 3)).orderBy(F.desc("similarity"), "id")
 
 
@@ -131,9 +165,9 @@ def rename_conflicts(entities: DataFrame, names: DataFrame) -> DataFrame:
     return wanted.join(hit, "id", "left").select("id", "new_name", F.coalesce("conflict", F.lit(False)).alias("conflict"))
 
 
-def best_match(entities: DataFrame, name: str, above: float = 0.8) -> DataFrame:
+def best_match(entities: DataFrame, name: str, above: float = 0.8, metric=sequence_ratio) -> DataFrame:  # noqa: ANN001
     """The entity most similar to ``name``, strictly above the bar; first by id on ties."""
-    scored = entities.where(possible(F.lit(name), F.col("name"), above)).withColumn("similarity", sequence_ratio(F.lit(name), F.col("name")))
+    scored = entities.where(possible(F.lit(name), F.col("name"), above)).withColumn("similarity", metric(F.lit(name), F.col("name")))
     return scored.where(F.col("similarity") > above).orderBy(F.desc("similarity"), "id").limit(1)
 
 
@@ -144,4 +178,7 @@ def question_entities(entities: DataFrame, question: str, n: int = 3, above: flo
     score = F.when(inside, F.lit(1.0))
     if words:
         score = score.otherwise(F.greatest(*(sequence_ratio(F.lit(w), F.col("name")) for w in words), F.lit(0.0)))
-    return entities.withColumn("score", F.coalesce(score, F.lit(0.0))).where(F.col("score") > above).orderBy(F.desc("score"), "id").limit(n)
+    near = inside
+    for w in words:  # the metric only sees names that may pass
+        near = near | possible(F.lit(w), F.col("name"), above)
+    return entities.where(near).withColumn("score", F.coalesce(score, F.lit(0.0))).where(F.col("score") > above).orderBy(F.desc("score"), "id").limit(n)

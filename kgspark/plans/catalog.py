@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of ``kgspark.plans`` that define QUERIES and SQL.
-MODULES: tuple[str, ...] = ("star", "texts", "ranking")
+MODULES: tuple[str, ...] = ("star", "texts", "ranking", "answers")
 
 
 def _all(attribute: str) -> dict:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.operators import analytics, build, globalqa, graph, incremental, rank, reason
+from kgspark.operators.numbering import numbered
 from kgspark.runtime import table
 from kgspark.streaming import events as stream
 
@@ -144,7 +145,8 @@ def tog7(spark: SparkSession, d: str) -> DataFrame:
     return reason.answer_context(g.entities().join(F.broadcast(top), "id", "left_semi"), chunks)
 
 
-@query("tog5_sufficiency")
+@query("tog5_sufficiency", """WITH q(question) AS (VALUES ('nation_7 nation_9'), ('nation_7 atlantis'), (''), ('to be')), w AS (SELECT question, unnest(list_distinct(list_filter(string_split(question, ' '), lambda x: len(x) > 2))) AS w FROM q)
+SELECT question, coalesce((SELECT avg(CASE WHEN EXISTS (SELECT 1 FROM nation WHERE contains(lower(n_name), w.w)) THEN 1.0 ELSE 0.0 END) FROM w WHERE w.question = q.question), 1.0)::DOUBLE AS score FROM q""", prelude=False)
 def tog5(spark: SparkSession, d: str) -> DataFrame:
     names = [r["n_name"] for r in table(spark, d, "nation").select("n_name").collect()]
     rows = [(q, reason.sufficient(q, names)) for q in ("nation_7 nation_9", "nation_7 atlantis", "", "to be")]
@@ -190,7 +192,8 @@ def glb3(spark: SparkSession, d: str) -> DataFrame:
     return out.orderBy(F.desc("score"), "claim_id").limit(20)
 
 
-@query("glb3_local_answer")
+@query("glb3_local_answer", """SELECT text_unit_id, count(DISTINCT entity_id) AS n_entities FROM m JOIN tu ON tu.id = text_unit_id WHERE entity_id IN (SELECT 'N7' UNION SELECT dst FROM und WHERE src = 'N7')
+GROUP BY text_unit_id, start_char ORDER BY count(DISTINCT entity_id) DESC, start_char, text_unit_id LIMIT 10""")
 def glb3b(spark: SparkSession, d: str) -> DataFrame:
     """Local answer: the neighbourhood of the question's entities and its evidence."""
     g = Star(spark, d)
@@ -198,7 +201,7 @@ def glb3b(spark: SparkSession, d: str) -> DataFrame:
     return reason.evidence(g.mentions(), g.text_units(), near.select("id"), 10).select("text_unit_id", "n_entities")
 
 
-@query("glb4_batch_validation")
+@query("glb4_batch_validation", "SELECT * FROM (VALUES ('one', true), ('none', false), ('eleven', false), ('long', false)) t(name, accepted)", prelude=False)
 def glb4(spark: SparkSession, d: str) -> DataFrame:
     def ok(questions: list[str]) -> bool:
         try:
@@ -265,12 +268,9 @@ def ana6(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ord9_halves", "SELECT half, count(*) AS n FROM (SELECT CASE WHEN row_number() OVER (ORDER BY ts, seq) <= (count(*) OVER ()) // 2 THEN 1 ELSE 2 END AS half FROM log) GROUP BY half")
 def ord9(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    log = Star(spark, d).log()
-    n = log.count()
-    r = F.row_number().over(Window.orderBy("ts", "seq"))
-    return log.select(F.when(r <= n // 2, 1).otherwise(2).alias("half")).groupBy("half").agg(F.count(F.lit(1)).alias("n"))
+    placed = numbered(Star(spark, d).log().select("ts", "seq"), ["ts", "seq"])
+    half = F.when(F.col("r") <= placed.count() // 2, 1).otherwise(2)
+    return placed.groupBy(half.alias("half")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("inc4_metrics_cache", "SELECT id FROM log WHERE ts > TIMESTAMP '2024-01-30 23:58:00' - INTERVAL 300 SECOND AND ts <= TIMESTAMP '2024-01-30 23:58:00'")
@@ -341,19 +341,22 @@ def msc14(spark: SparkSession, d: str) -> DataFrame:
 # streaming extensions, checked against batch SQL
 
 
-@query("ext_stream_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL", prelude=False)
+TUMBLING = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"
+
+
+@query("ext_stream_tumbling", TUMBLING, prelude=False)
 def tumbling(spark: SparkSession, d: str) -> DataFrame:
     out = stream.windowed(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("ext_stream_run")
+@query("ext_stream_run", TUMBLING, prelude=False)
 def streamed(spark: SparkSession, d: str) -> DataFrame:
     """The same windows by Structured Streaming over all available input."""
     import uuid
 
     out = stream.run_available(stream.windowed(stream.read_events(spark, d)), f"tumbling_{uuid.uuid4().hex}", "complete")
-    return out.select("start", "event_type", "n", F.round("total", 4).alias("total"))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("ext_stream_sessions", """WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),

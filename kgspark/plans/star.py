@@ -164,20 +164,20 @@ def bld4(spark: SparkSession, d: str) -> DataFrame:
     return build.upsert_claims(raw).select("claim_id", "subject", "object", "claim_type", "description", "occurrence_count")
 
 
-LINK_NAMES = """SELECT 'q' || n_nationkey AS claim_id, CASE n_nationkey % 4 WHEN 0 THEN n_name WHEN 1 THEN lower(n_name) WHEN 2 THEN n_name || ' (' || lower(n_name) || ' republic)' ELSE 'the ' || n_name || ' state' END AS subject FROM nation"""
+LINK_NAMES = """SELECT 'q' || n_nationkey AS claim_id, CASE n_nationkey % 6 WHEN 0 THEN n_name WHEN 1 THEN lower(n_name) WHEN 2 THEN n_name || ' (' || lower(n_name) || ' republic)' WHEN 3 THEN 'the ' || n_name || ' state' WHEN 4 THEN 'mega' || n_name || 'land' ELSE substr(n_name, 2) END AS subject FROM nation"""
+PLAIN = "lower(trim(regexp_replace({0}, '\\s*\\([^)]*\\)\\s*', '', 'g')))"
 
 
 @query("bld5_link_claims", f"""WITH c AS ({LINK_NAMES}), i AS (SELECT name, min(id) AS entity_id FROM e GROUP BY name), x AS (
 SELECT claim_id, entity_id, name, CASE WHEN subject = name THEN 1 WHEN lower(subject) = lower(name) THEN 2
-  WHEN starts_with(lower(trim(regexp_replace(subject, '\\s*\\([^)]*\\)\\s*', '', 'g'))), lower(trim(regexp_replace(name, '\\s*\\([^)]*\\)\\s*', '', 'g'))))
-    OR starts_with(lower(trim(regexp_replace(name, '\\s*\\([^)]*\\)\\s*', '', 'g'))), lower(trim(regexp_replace(subject, '\\s*\\([^)]*\\)\\s*', '', 'g')))) THEN 3
-  WHEN contains(lower(subject), lower(name)) OR contains(lower(name), lower(subject)) THEN 4 END AS strategy FROM c, i)
+  WHEN starts_with({PLAIN.format("subject")}, {PLAIN.format("name")}) OR starts_with({PLAIN.format("name")}, {PLAIN.format("subject")}) THEN 3
+  WHEN contains({PLAIN.format("subject")}, lower(translate(name, '()', ''))) OR contains(lower(translate(name, '()', '')), {PLAIN.format("subject")}) THEN 4 END AS strategy FROM c, i)
 SELECT claim_id, entity_id, CAST(strategy AS INTEGER) AS strategy FROM x WHERE strategy IS NOT NULL QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY strategy, length(name), entity_id) = 1""")
 def bld5(spark: SparkSession, d: str) -> DataFrame:
     g = Star(spark, d)
-    k, n = F.col("n_nationkey"), F.col("n_name")
-    subject = F.when(k % 4 == 0, n).when(k % 4 == 1, F.lower(n)).when(k % 4 == 2, F.concat(n, F.lit(" ("), F.lower(n), F.lit(" republic)"))).otherwise(F.concat(F.lit("the "), n, F.lit(" state")))
-    claims = g.t("nation").select(F.concat(F.lit("q"), k.cast("string")).alias("claim_id"), subject.alias("subject"))
+    k, n = F.col("n_nationkey") % 6, F.col("n_name")
+    subject = F.when(k == 0, n).when(k == 1, F.lower(n)).when(k == 2, F.concat(n, F.lit(" ("), F.lower(n), F.lit(" republic)"))).when(k == 3, F.concat(F.lit("the "), n, F.lit(" state"))).when(k == 4, F.concat(F.lit("mega"), n, F.lit("land"))).otherwise(F.substring(n, 2, 99))
+    claims = g.t("nation").select(F.concat(F.lit("q"), F.col("n_nationkey").cast("string")).alias("claim_id"), subject.alias("subject"))
     return build.link_names(claims, g.entities(), "subject")
 
 
@@ -435,12 +435,10 @@ def set3(spark: SparkSession, d: str) -> DataFrame:
 @query("set4_frontier_overlap", """WITH a AS (SELECT src, list(DISTINCT dst) AS x FROM rel GROUP BY src)
 SELECT src, round(len(list_intersect(x, (SELECT list(id) FROM e WHERE mention_count > 25))) / len(x), 6) AS overlap FROM a""")
 def set4(spark: SparkSession, d: str) -> DataFrame:
-    from kgspark.operators.reason import overlap
-
     g = Star(spark, d)
-    before = g.entities().where("mention_count > 25").agg(F.collect_set("id").alias("before"))
-    now = g.relationships().groupBy("src").agg(F.collect_set("dst").alias("now"))
-    return now.join(F.broadcast(before)).select("src", F.round(overlap(F.col("now"), F.col("before")), 6).alias("overlap"))
+    before = g.entities().where("mention_count > 25").select(F.col("id").alias("dst"), F.lit(1).alias("hit"))
+    now = g.relationships().select("src", "dst").distinct().join(before, "dst", "left")
+    return now.groupBy("src").agg(F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("overlap"))
 
 
 @query("set5_triplets", "SELECT DISTINCT src AS subject, rel_key AS relation, dst AS object FROM raw_rel")
@@ -652,9 +650,26 @@ def er2(spark: SparkSession, d: str) -> DataFrame:
 
 @query("er3_duplicate_pairs")
 def er3(spark: SparkSession, d: str) -> DataFrame:
-    """One entity for each (name, type): names that are equal ignoring case are one class already."""
-    e = Star(spark, d).entities().groupBy(F.lower(F.trim("name")).alias("name"), "type").agg(F.min("id").alias("id"))
-    return resolve.duplicate_pairs(e, 0.85)
+    return resolve.duplicate_pairs(Star(spark, d).entities(), 0.85)
+
+
+EDIT = "1 - levenshtein(lower(trim({0})), lower(trim({1}))) / greatest(length(trim({0})), length(trim({1})))"
+
+
+@query("er2_similar_by_edits", f"SELECT id, name, round({EDIT.format("'Supplier#000000001'", 'name')}, 3) AS similarity FROM e WHERE type = 'SUPPLIER' AND {EDIT.format("'Supplier#000000001'", 'name')} >= 0.85 AND {EDIT.format("'Supplier#000000001'", 'name')} < 1")
+def er2b(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.similar_entities(Star(spark, d).entities(), "Supplier#000000001", "SUPPLIER", metric=resolve.levenshtein_ratio).select("id", "name", "similarity")
+
+
+@query("er3_duplicates_by_edits", f"SELECT a.id AS id1, b.id AS id2, round({EDIT.format('a.name', 'b.name')}, 6) AS similarity FROM e a JOIN e b ON a.type = b.type AND (a.name, a.id) < (b.name, b.id) WHERE {EDIT.format('a.name', 'b.name')} >= 0.85")
+def er3b(spark: SparkSession, d: str) -> DataFrame:
+    """The same pairs by the metric that SQL has too; equal names pair."""
+    return resolve.duplicate_pairs(Star(spark, d).entities(), 0.85, resolve.levenshtein_ratio).select("id1", "id2", F.round("similarity", 6).alias("similarity"))
+
+
+@query("er9_best_by_edits", f"SELECT id, name, round({EDIT.format("'nation 12'", 'name')}, 6) AS similarity FROM e WHERE {EDIT.format("'nation 12'", 'name')} > 0.8 ORDER BY {EDIT.format("'nation 12'", 'name')} DESC, id LIMIT 1")
+def er9b(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.best_match(Star(spark, d).entities(), "nation 12", metric=resolve.levenshtein_ratio).select("id", "name", F.round("similarity", 6).alias("similarity"))
 
 
 @query("er9_best_match")

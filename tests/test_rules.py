@@ -81,6 +81,37 @@ def test_duplicate_pairs_equal_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.85, 0.9])
+@pytest.mark.parametrize("metric, plain", [("sequence_ratio", resolve.ratio), ("levenshtein_ratio", None)])
+def test_duplicate_pairs_are_complete(spark, threshold, metric, plain):
+    """Empty, equal and tab-padded names, all short lengths, and long names with few edits."""
+    rng = random.Random(14)
+    names = ["", " ", "\t", None, "abcdefgh", "\t\t\t\t\tabcdefgh", "Abcdefgh\u2003", "a", "A", "ab", "axb", "abc", "x" * 250, "x" * 249 + "y"]
+    names += ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 7))) for _ in range(40)]
+    for _ in range(25):
+        base = [rng.choice("abcdefghij ") for _ in range(rng.randrange(8, 25))]
+        names.append("".join(base))
+        for _ in range(rng.randrange(1, 4)):
+            i = rng.randrange(len(base))
+            base[i : i + rng.randrange(2)] = [rng.choice("abcdefghij")] * rng.randrange(3)
+        names.append("".join(base))
+    rows = [(i, n, rng.choice("xy") if i else None) for i, n in enumerate(names)]
+    got = values(resolve.duplicate_pairs(spark.createDataFrame(rows, "id int, name string, type string"), threshold, getattr(resolve, metric)), "id1", "id2")
+
+    def edits(a, b):
+        x, y = a.lower().strip(), b.lower().strip()
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, e in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != e))
+        return 1 - row[-1] / max(len(x), len(y)) if x or y else 1.0
+
+    score = plain or edits
+    known = [r for r in rows if r[1] is not None and r[2] is not None]
+    assert got == sorted((a[0], b[0]) for a in known for b in known if a[2] == b[2] and (a[1], a[0]) < (b[1], b[0]) and score(a[1], b[1]) >= threshold)
+
+
 def test_merge_chain_loop_and_alias(spark):
     e = spark.createDataFrame([("1", "A", "t", "d", 0.5, 3, ["B"]), ("2", "B", "t", None, 0.7, 2, None), ("3", "C", "t", None, 0.1, None, None), ("4", "D", "t", None, 0.1, 1, None)], "id string, name string, type string, description string, confidence double, mention_count long, aliases array<string>")
     mapping = resolve.merge_map(spark.createDataFrame([("1", "2"), ("2", "3")], "id1 string, id2 string"), e)
@@ -99,6 +130,110 @@ def test_claim_linking_cascade(spark):
     assert got == [("a", "1", 3), ("b", "2", 2), ("c", "3", 4), ("f", "2", 1)]
 
 
+def test_claim_linking_finds_names_inside_words(spark):
+    e = spark.createDataFrame([("1", "Bankers United"), ("2", "The Megabank"), ("3", "X(Y)Z corp"), ("4", "q"), ("5", "(only)")], "id string, name string")
+    wanted = [("a", "BANK"), ("b", "megaban"), ("c", "an XYZ corporation"), ("d", "faq"), ("e", "(gone)"), ("f", "kw"), ("g", "Bankers")]
+    got = values(build.link_names(spark.createDataFrame(wanted, "claim_id string, subject string"), e, "subject"))
+    assert got == [("a", "1", 3), ("b", "2", 4), ("c", "3", 4), ("d", "4", 4), ("g", "1", 3)]
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.text("abc(", max_size=5), max_size=12), st.lists(st.text("abc(", max_size=8), max_size=12))
+def test_containments_equal_brute_force(spark, needles, hay):
+    n = spark.createDataFrame([(x,) for x in set(needles)], "needle string")
+    h = spark.createDataFrame([(x,) for x in set(hay)], "hay string")
+    assert values(build.containments(n, h)) == sorted((x, y) for x in set(needles) for y in set(hay) if x and x in y)
+
+
+def test_numbered_is_consecutive(spark):
+    from kgspark.operators.numbering import numbered
+
+    rows = [(i % 7 if i % 11 else None, i % 5) for i in range(300)]
+    out = numbered(spark.createDataFrame(rows, "a int, b int").repartition(5), ["a", "b"]).collect()
+    assert sorted(r["r"] for r in out) == list(range(1, 301))
+    assert [(r["a"], r["b"]) for r in sorted(out, key=lambda r: r["r"])] == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert numbered(spark.createDataFrame([], "a int"), ["a"]).count() == 0
+
+
+def test_no_window_without_partition(spark, sf):
+    """No registered query of the log and the communities sorts a whole table in one task."""
+    from kgspark.plans import catalog
+
+    queries = catalog.queries()
+    for name in ("ana3_p95", "ana5_trend", "ord9_halves", "glb1_batches"):
+        plan = queries[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan or "windowspecdefinition(part_" in plan or "windowspecdefinition(o_custkey" in plan, name
+
+
+def test_chunks_of_repeated_passages_and_without_overlap():
+    paragraph = "\n\n".join(" ".join([w] * 30) for w in ("one", "two", "six"))
+    text = "\n\n".join([paragraph] * 4)
+    s = chunking.ChunkSettings(size=60, overlap=0, least=5)
+    out = chunking.chunks(text, s)
+    assert all(text[a:b] == c for c, a, b in out)
+    assert all(b1 <= a2 for (_, _, b1), (_, a2, _) in zip(out, out[1:], strict=False))
+    lapped = chunking.chunks(text, chunking.ChunkSettings(size=60, overlap=10, least=5))
+    assert all(a is None or text[a:b] == c for c, a, b in lapped)
+    assert [a for _, a, _ in lapped if a is not None] == sorted({a for _, a, _ in lapped if a is not None})
+
+
+def test_chunk_sizes_by_ranks():
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    count = chunking.rank_counter(path, public_tokenizers.PATTERN)()
+    import base64
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    words = "The quick brown fox jumps over the lazy dog; naïve façade, 東京. "
+    assert count(words) == len(library.encode_ordinary(words)) != chunking.tokens(words)
+    out = chunking.chunks("\n\n".join(words * k for k in range(1, 9)), chunking.ChunkSettings(size=120, overlap=20, least=10), count)
+    assert len(out) > 2 and all(count(c) <= 120 + 20 + 4 for c, _, _ in out)
+
+
+def test_generator_steps_keep_errors_in_their_rows(spark):
+    from kgspark.operators import generation
+
+    def make():
+        def reply(asked):
+            if "Name: bad" in asked:
+                raise ValueError("no")
+            return "not json" if "Name: text" in asked else '{"are_same": true}'
+
+        return reply
+
+    e = spark.createDataFrame([("1", "a", "t", None, None), ("2", "bad", "t", "d", 1), ("3", "text", "t", "d", 1), ("4", "b", "t", "d", 1)], "id string, name string, type string, description string, mention_count int")
+    pairs = spark.createDataFrame([("1", "2"), ("1", "3"), ("1", "4")], "id1 string, id2 string")
+    got = {r["id2"]: r for r in generation.same_entity(pairs, e, make, spacing=0.0, wait=0.0).collect()}
+    assert [got[k]["status"] for k in "234"] == ["error", "error", "success"]
+    assert (got["4"]["are_same"], got["4"]["confidence"], got["4"]["suggested_canonical_name"]) == (True, 0.0, "a") and not got["2"]["are_same"]
+    assert generation.generate(e.where("false").select("id", "name"), "name").count() == 0
+
+
+def test_milestones_and_stream_listener(spark, sf):
+    import time
+
+    from kgspark.streaming import events, progress
+
+    told = []
+    with pytest.raises(RuntimeError):
+        progress.run_stages([("a", 1, lambda: 1), ("b", 1, lambda: (_ for _ in ()).throw(RuntimeError("x")))], lambda p, s: told.append((p, s)))
+    assert told == [(0, "started"), (0, "a"), (50, "b"), (0, "failed: x")]
+    heard = []
+    listener = progress.watch(spark, lambda name, state, rows: heard.append((state, rows)))
+    try:
+        events.run_available(events.windowed(events.read_events(spark, sf)), "watched", "complete").count()
+        for _ in range(50):
+            if heard and heard[-1][0] == "completed":
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert heard[0] == ("started", 0) and heard[-1][0] == "completed" and heard[-1][1] > 0
+
+
 def test_paths_and_contexts(spark):
     rows = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "e"), ("x", "y")]
     edges = spark.createDataFrame([(*r, "k", 1.0) for r in rows], "src string, dst string, rel_key string, confidence double")
