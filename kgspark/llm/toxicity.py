@@ -276,13 +276,24 @@ def calibrate(model: Model, found: pa.Table, totals: dict[int, int]) -> None:
             model.by_lang[name] = best_threshold(p[own], t[own], w[own])
 
 
+#: Weighted precision that a threshold needs; without a cut that has it nothing is rejected.
+LEAST_PRECISION = 0.5
+NOTHING = 1.01
+
+
 def best_threshold(p: np.ndarray, t: np.ndarray, w: np.ndarray) -> float:
-    """The cut with the highest weighted F1, midway to the next lower score and within [0.2, 0.8]: outside, small samples decide."""
+    """The cut with the highest weighted F1 among those of ``LEAST_PRECISION``, midway to the next lower score and within [0.2, 0.8]: outside, small samples decide.
+
+    ``NOTHING`` if no cut is that precise: a model that cannot tell must not empty the corpus.
+    """
     order = np.argsort(-p, kind="stable")
     hit, cut = np.cumsum((w * t)[order]), np.cumsum(w[order])
     f1 = 2 * hit / (cut + (w * t).sum())
     f1[:-1][p[order][:-1] == p[order][1:]] = -1
+    f1[hit < LEAST_PRECISION * cut] = -1
     k = int(f1.argmax())
+    if f1[k] <= 0:
+        return NOTHING
     below = p[order][k + 1] if k + 1 < len(p) else 0.0
     return min(max(0.2, float(p[order][k] + below) / 2), 0.8)
 

@@ -408,3 +408,13 @@ def test_best_threshold_on_ties():
 
     p, t = np.array([0.9, 0.9, 0.4, 0.4]), np.array([1, 1, 0, 1])
     assert best_threshold(p, t, np.ones(4)) == 0.2
+
+
+def test_no_threshold_without_precision():
+    """A model that cannot tell the classes apart rejects nothing."""
+    from kgspark.llm.toxicity import best_threshold
+
+    rng = np.random.default_rng(50)
+    p, t = rng.random(400), (np.arange(400) % 5 == 0).astype(float)
+    assert best_threshold(np.full(400, 0.6), t, np.ones(400)) > 1
+    assert best_threshold(np.where(t == 1, 0.9, p * 0.5), t, np.ones(400)) < 0.9
