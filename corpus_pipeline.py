@@ -9,12 +9,13 @@ before the next one reads it. All stages but the last return the columns of
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from kgspark.llm import bpe, mixing, neardup, registry, secrets, toxicity
-from kgspark.runtime import materialize, table
+from kgspark.runtime import discard, materialize, table
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +36,9 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in the order of the mix, range-partitioned by position, so the written files follow it."""
-    placed = mixing.mixed(docs, registry.MIX)
-    return placed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+    prefix = f"mix_{uuid4().hex}_"  # no column of the documents has such a name
+    placed, order = mixing.mixed(docs, registry.MIX, prefix=prefix), f"{prefix}position"
+    return placed.repartitionByRange(order).sortWithinPartitions(order).select(*docs.columns)
 
 
 def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("byte_bpe", tokenization),
 ]
 
-#: The classifier cannot be expressed in SQL; tests hold each stage against a brute-force version.
+#: The classifier cannot be expressed in SQL; tests hold each stage against plain Python that shares no code with it.
 ORACLE_SQL = None
 
 
@@ -60,5 +62,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table of documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        kept = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(docs)  # the input itself is no such table and stays
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
