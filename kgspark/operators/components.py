@@ -28,7 +28,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         step = materialize(live.groupBy(F.col("b").alias("from")).agg(F.min("a").alias("to")), "cc-step")
         named = labels.join(step, F.col("component") == F.col("from"), "left").select("node", F.coalesce("to", "component").alias("component"))
         named = materialize(named, "cc-labels")
-        moved = live.join(step.select(F.col("from").alias("b"), F.col("to").alias("b2")), "b").join(step.select(F.col("from").alias("a"), F.col("to").alias("a2")), "a", "left")
+        # a hub's many edges are one row before they meet again on the hub's key
+        half = live.join(step.select(F.col("from").alias("b"), F.col("to").alias("b2")), "b").select("a", "b2").distinct()
+        moved = half.join(step.select(F.col("from").alias("a"), F.col("to").alias("a2")), "a", "left")
         moved = moved.select(F.coalesce("a2", "a").alias("x"), F.col("b2").alias("y")).where("x <> y")
         rest = materialize(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-edges")
         discard(live, step, labels)

@@ -304,8 +304,11 @@ def agg1(spark: SparkSession, d: str) -> DataFrame:
 @query("agg2_document_stats", "SELECT tu.document_id, count(DISTINCT tu.id) AS n_units, count(DISTINCT m.entity_id) AS n_entities FROM tu LEFT JOIN m ON tu.id = m.text_unit_id GROUP BY ALL")
 def agg2(spark: SparkSession, d: str) -> DataFrame:
     g = Star(spark, d)
-    joined = g.text_units().select("id", "document_id").join(g.mentions(), F.col("id") == F.col("text_unit_id"), "left")
-    return joined.groupBy("document_id").agg(F.count_distinct("id").alias("n_units"), F.count_distinct("entity_id").alias("n_entities"))
+    units = g.text_units().select("id", "document_id")
+    named = units.join(g.mentions(), F.col("id") == F.col("text_unit_id")).select("document_id", "entity_id").distinct()
+    n_entities = named.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_entities"))
+    n_units = units.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_units"))  # unit ids are unique
+    return n_units.join(n_entities, "document_id", "left").select("document_id", "n_units", F.coalesce("n_entities", F.lit(0)).alias("n_entities"))
 
 
 @query("agg3_relation_frequency", f"SELECT rel_key, count(*) AS frequency, round(avg(confidence), 10) AS avg_confidence FROM und WHERE src IN ({TOP5}) GROUP BY rel_key ORDER BY frequency DESC, rel_key LIMIT 50")

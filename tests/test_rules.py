@@ -401,3 +401,18 @@ def test_imports_without_the_training_data_folder():
 
     out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
     assert out.returncode == 0 and int(out.stdout) > 100, out.stderr
+
+
+def test_runs_from_a_copy_without_the_training_data_files(tmp_path):
+    """The files are gone, not masked: the entry imports, and no query of theirs is left."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/kgspark", f"{tmp_path}/kgspark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 150 and e.oracle_sql().keys() <= q.keys(); assert not [n for n in q if n.startswith('op') or n == 'pipeline']"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYTHONPATH": os.pathsep.join(p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p and p != root)}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
