@@ -43,6 +43,8 @@ from . import common
 from .packs import narrow, pack, unpack
 
 END = b""
+#: Rows encoded at once in a worker; bounds memory, not input.
+ROWS = 256
 
 
 #: Base of the rolling hash, its inverse, and the hash of a text's beginning.
@@ -63,11 +65,11 @@ class Settings:
     cost: float = 1.0
     discount: float = 0.5
     #: Keys of this share of all tokens are added in the workers, not by the join; where, not what, is added.
-    hot: float = 1e-5
+    hot: float = 2e-6
     #: Words or codes gathered in a worker before they are counted and sent on; bounds memory, not input.
-    flush: int = 300_000
+    flush: int = 80_000
     #: Training tokens for which there is one bucket.
-    bucket: int = 400_000
+    bucket: int = 1_500_000
 
     def buckets(self, tokens: int) -> int:
         """A power of two: a bucket is a range of the upper bits of a hash."""
@@ -84,7 +86,7 @@ def words(text: str | None) -> list[bytes]:
 class WordHashes:
     """Spark's ``xxhash64`` of words as bytes, remembered up to a bound and then forgotten."""
 
-    def __init__(self, most: int = 400_000) -> None:
+    def __init__(self, most: int = 150_000) -> None:
         self.known: dict[bytes, int] = {}
         self.most = most
 
@@ -153,14 +155,15 @@ def unigrams(train: DataFrame, s: Settings) -> DataFrame:
     def run(batches):  # noqa: ANN001, ANN202
         held: Counter = Counter()
         for batch in batches:
-            for at in range(0, batch.num_rows, common.SLICE_ROWS):
-                for t in batch.slice(at, common.SLICE_ROWS).column(0).to_pylist():
+            for at in range(0, batch.num_rows, ROWS):
+                for t in batch.slice(at, ROWS).column(0).to_pylist():
                     held.update(words(t))
                 if len(held) >= s.flush:
                     yield _batches(held, arrow)
                     held = Counter()
         if held:
             yield _batches(held, arrow)
+        common.relax()
 
     return train.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -191,8 +194,8 @@ def contexts(train: DataFrame, length: int, frequent, buckets: int, s: Settings)
     def send(batches):  # noqa: ANN001, ANN202
         parts, size = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, common.SLICE_ROWS):
-                flat, starts, _ = encode(batch.slice(at, common.SLICE_ROWS).column(0).to_pylist())
+            for at in range(0, batch.num_rows, ROWS):
+                flat, starts, _ = encode(batch.slice(at, ROWS).column(0).to_pylist())
                 for k, (place, ctx, g, pg) in enumerate(grams(flat, starts, length), 1):
                     if k == length:
                         ok = common.maybe(frequent.value, pg)
@@ -202,8 +205,10 @@ def contexts(train: DataFrame, length: int, frequent, buckets: int, s: Settings)
                 if size >= 10 * s.flush:
                     yield blobs(parts)
                     parts, size = [], 0
+                    common.relax()
         if size:
             yield blobs(parts)
+        common.relax()
 
     def count(batches):  # noqa: ANN001, ANN202
         for group in common.groups(batches, ["bucket"]):
@@ -217,6 +222,7 @@ def contexts(train: DataFrame, length: int, frequent, buckets: int, s: Settings)
             n = np.bincount(place, weights=n).astype(np.int64)
             some = np.flatnonzero(n >= s.least)
             g, old, new, n = g[some], old[first[some]], new[first[some]], n[some]
+            common.relax()
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g.view(np.int64), ((g - new) * INVERSE).view(np.int64), (g - old * power).view(np.int64), n)], schema=arrow)
 
     return train.mapInArrow(send, "bucket int, blob binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, schema)
@@ -409,6 +415,8 @@ def score_documents(spark: SparkSession, docs: DataFrame, settings: Settings = S
     score``, one row for each row in, repeated rows included. Null text is the
     empty text (its end mark only); a null id counts as the empty text in the
     fold. Without training texts every token has probability 1 / (0 + 0 + 1).
+    ``docs`` is read once a level and once for the scores, and rows are told apart
+    by their place in it: pass a stored table, not a plan that shuffles.
     """
     s = settings
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.expr(f"{common.crc_text(id_col)} % 7 = 2").alias("held_out"), F.col(text_col).cast("string").alias("text"))
@@ -428,8 +436,8 @@ def score_documents(spark: SparkSession, docs: DataFrame, settings: Settings = S
         h, first = shared.value, TaskContext.get().partitionId() << 33
         open_ = _Lookups(first, buckets)
         for batch in batches:
-            for at in range(0, batch.num_rows, common.SLICE_ROWS):
-                cols = batch.slice(at, common.SLICE_ROWS).to_pydict()
+            for at in range(0, batch.num_rows, ROWS):
+                cols = batch.slice(at, ROWS).to_pydict()
                 flat, starts, split = encode(cols["text"])
                 doc = np.repeat(first + np.arange(len(split)), np.diff(starts))
                 i, known = find(h.words, flat)
@@ -453,8 +461,10 @@ def score_documents(spark: SparkSession, docs: DataFrame, settings: Settings = S
                 if open_.size >= 10 * s.flush:
                     yield _packed_batch(open_.rows())
                     open_ = _Lookups(first, buckets)
+                    common.relax()
         if open_.size:
             yield _packed_batch(open_.rows())
+        common.relax()
 
     sides = [
         _packed_table(tree.where(~often).select("ctx", "g", "value", F.col("g").isNull().cast("tinyint")), TREE, buckets),
