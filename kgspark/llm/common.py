@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -27,16 +29,28 @@ def arrow_schema(schema: StructType | str) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def relax() -> None:
+    """Gives freed memory back to the system: an idle worker shares its machine's memory with the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str | StructType, rows: int = SLICE_ROWS) -> DataFrame:
     """``mapInArrow`` over small slices given and returned as dicts of column lists."""
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the column lists form no cycles, and collections would scan every memo
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                out = fn(batch.slice(at, rows).to_pydict())
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows):
+                    out = fn(batch.slice(at, rows).to_pydict())
+                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        finally:  # the worker goes on to other tasks, and a task's own functions do form cycles
+            gc.enable()
+            relax()
 
     return df.mapInArrow(run, schema)
 
