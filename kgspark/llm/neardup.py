@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from kgspark.operators.components import connected_components
-from kgspark.runtime import materialize
+from kgspark.runtime import discard, materialize
 
 from . import common
 
@@ -398,29 +398,39 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
     their own class. A null id sorts last and gives a null class_id if the whole
     class has none. Other columns are not carried.
     """
-    rows = materialize(sketch(docs, s, id_col), "near-rows")
+    return _marked(docs, s, id_col)[0]
+
+
+def _marked(docs: DataFrame, s: Settings, id_col: str) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows of ``near_duplicates``, and the tables that they are read from."""
+    sketched = materialize(sketch(docs, s, id_col), "near-rows")
     rid = F.coalesce("doc_id", F.lit(NO_ID))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min(F.struct(rid.alias("rid"), "th")).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("labels").alias("labels"))
+    nodes = sketched.where("node is not null").groupBy("node").agg(F.min(F.struct(rid.alias("rid"), "th")).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("labels").alias("labels"))
     nodes = materialize(nodes.select("node", "least.*", "copies", "sig", "labels"), "near-nodes")
+    rows = materialize(sketched.select("doc_id", "node"), "near-ids")
+    discard(sketched)
     runs = materialize(forest(nodes, s), "near-runs")
     star = runs.where("depth > 0").select("node", "hub").distinct()
     star = star.join(nodes.select("node", F.col("sig").alias("sig_a")), "node").join(nodes.select(F.col("node").alias("hub"), F.col("sig").alias("sig_b")), "hub")
-    clusters = materialize(connected_components(star.where(_agree(F.col("sig_a"), F.col("sig_b")) >= s.least_agree), "node", "hub").withColumnRenamed("component", "cluster"), "near-clusters")
+    tied = connected_components(star.where(_agree(F.col("sig_a"), F.col("sig_b")) >= s.least_agree), "node", "hub")
+    clusters = tied.withColumnRenamed("component", "cluster")
     links = materialize(_within(docs, nodes, clusters, s, id_col).unionByName(_across(docs, nodes, runs, clusters, s, id_col)), "near-links")
+    brief = materialize(nodes.select("node", "rid", "copies"), "near-brief")
+    discard(runs, tied, nodes)
 
     classes = connected_components(links)
     counts = links.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "node")
-    known = nodes.select("node", "rid", "copies").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = brief.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = known.groupBy("component").agg(F.min(F.struct("rid", "node")).alias("first"))
     known = known.join(first, "component").join(counts, "node", "left").select("node", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    joined = rows.select("doc_id", "node").join(known, "node", "left")
-    return joined.select(
+    marked = rows.join(known, "node", "left").select(
         "doc_id",
         F.when(F.col("first").isNull(), F.col("doc_id")).when(F.col("first.rid") != NO_ID, F.col("first.rid")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         "node",
         (F.col("first").isNull() | ((F.col("first.rid") == rid) & (F.col("first.node") == F.col("node")))).alias("is_first"),
     )
+    return marked, [rows, links, brief, classes]
 
 
 def keep_first(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id") -> DataFrame:
@@ -429,10 +439,12 @@ def keep_first(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id"
     Rows that repeat that id and shingle set are one document, of which one row
     stays. Texts without words all stay. Columns are as they were.
     """
-    marked = near_duplicates(docs, s, id_col)
+    marked, tables = _marked(docs, s, id_col)
     r, n = (f"{name}_{uuid4().hex}" for name in ("rid", "node"))  # no column of ``docs`` has these names
     rid = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     chosen = marked.where("is_first and node is not null").select(F.coalesce("doc_id", F.lit(NO_ID)).alias(r), F.col("node").alias(n)).distinct()
+    chosen = materialize(chosen, "near-chosen")
+    discard(*tables)
     blank = F.coalesce(F.col("text"), F.lit("")).rlike(BLANK)
     schema = StructType([*docs.schema.fields, StructField(n, BinaryType())])
 
