@@ -245,7 +245,9 @@ def histogram(texts: DataFrame, rows: DataFrame, model: Model, used: np.ndarray)
 
     able = texts.where(f"key is not null and {common.crc_text('key')} % 4 <> 2").select("key", F.xxhash64("key").alias("hash"), "lang", "text")
     scored = common.map_batches(able, run, "key long, lang string, bin int")
-    return scored.join(rows, "key").groupBy("lang", "bin", "toxic").agg(F.count(F.lit(1)).alias("n")).orderBy("lang", "bin", "toxic").toArrow()
+    found = scored.join(rows, "key").groupBy("lang", "bin", "toxic").agg(F.count(F.lit(1)).alias("n")).orderBy("lang", "bin", "toxic").toArrow()
+    shared.destroy()
+    return found
 
 
 def calibrate(model: Model, found: pa.Table, totals: dict[int, int]) -> None:
@@ -305,6 +307,12 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
     of a document count once, toxic if any is. Null ids and null labels are left out.
     Of documents that repeat a sampled id one text is fitted on (the least hash).
     """
+    model = _train(docs, labels, settings, id_col)
+    common.relax()  # the sample and the arrays of the fit are not needed any more
+    return model
+
+
+def _train(docs: DataFrame, labels: DataFrame, settings: Settings, id_col: str) -> Model:
     rows = labels.where(f"doc_id is not null and toxic is not null and {common.crc_text('doc_id')} % 4 <> 2").groupBy(F.col("doc_id").alias("key")).agg(F.max("toxic").cast("int").alias("toxic"))
     rows = materialize(rows, "toxicity-labels")
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
