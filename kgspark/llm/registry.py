@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kgspark.runtime import table
 
-from . import ann, bpe, media, mixing, neardup, secrets, suffixtree, toxicity, unigram, urlfilter
+from . import ann, bpe, decontaminate, divergence, media, mixing, neardup, secrets, spelling, suffixtree, toxicity, unigram, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,10 +62,22 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found = [f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.oracle_sql(MIX), "op6_jaccard_join": neardup.ORACLE_SQL}
+    return {"op2_mixing": mixing.oracle_sql(MIX), "op6_jaccard_join": neardup.ORACLE_SQL, "op11_divergence": divergence.ORACLE_SQL, "op12_decontaminate": decontaminate.ORACLE_SQL}
