@@ -5,9 +5,12 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kgspark.runtime import materialize
+
+from . import simjoin
 from .components import connected_components
 
 
@@ -49,27 +52,20 @@ def possible(a: Column, b: Column, threshold: float) -> Column:
     return 2 * F.least(x, y) >= threshold * (x + y) - 1e-9
 
 
-def _numbered_items(items: Column) -> Column:
-    """Sorted items with the count of equal ones so far, so that a multiset is a set."""
-    held = F.sort_array(items)
-    return F.transform(held, lambda x, i: F.concat(x, F.lit(":"), (i - F.array_position(held, x) + 1).cast("string")))
+def _reachable(a: Column, b: Column, threshold: float, edits: bool) -> Column:
+    """In the JVM: no pair of normalised names that fails this passes the metric.
 
+    With M characters matched in order, x + y - 2M go or come, so the edit
+    distance is at most that.
+    """
+    x, y = F.length(a), F.length(b)
+    m = simjoin.matched_column(x, y, threshold, edits)
+    most = F.greatest(x, y) - m if edits else x + y - 2 * m
+    return (m <= F.least(x, y)) & (F.levenshtein(a, b) <= most)
 
-def _meeting(names: DataFrame, items: Column, need: Column, threshold: float) -> DataFrame:
-    """``type, n1, n2`` (n1 < n2) of names that share one of their rarest items and pass the length bound.
 
-    Pairs at the threshold share at least ``need`` items, so of each name all but
-    ``need`` - 1 of its items, the rarest first, are enough to meet.
-    """
-    marked = names.select("type", "n", F.length("n").alias("x"), need.alias("need"), _numbered_items(items).alias("items"))
-    single = marked.select("type", "n", "x", "need", F.size("items").alias("size"), F.explode("items").alias("item"))
-    counts = single.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
-    place = F.row_number().over(Window.partitionBy("type", "n").orderBy("df", "item"))
-    keys = single.join(counts, "item").withColumn("place", place).where(F.col("place") <= F.col("size") - F.greatest("need", F.lit(1)) + 1).select("type", "n", "x", "item")
-    a, b = keys.alias("a"), keys.alias("b")
-    bound = 2 * F.least("a.x", "b.x") >= threshold * (F.col("a.x") + F.col("b.x")) - 1e-9
-    met = a.join(b, (F.col("a.type") == F.col("b.type")) & (F.col("a.item") == F.col("b.item")) & (F.col("a.n") < F.col("b.n")) & bound)
-    return met.select(F.col("a.type").alias("type"), F.col("a.n").alias("n1"), F.col("b.n").alias("n2")).distinct()
+def is_edits(metric) -> bool:  # noqa: ANN001
+    return metric is levenshtein_ratio
 
 
 def duplicate_pairs(entities: DataFrame, threshold: float = 0.85, metric=sequence_ratio) -> DataFrame:  # noqa: ANN001
@@ -77,25 +73,16 @@ def duplicate_pairs(entities: DataFrame, threshold: float = 0.85, metric=sequenc
 
     The pair's order is that of (type, name, id). Null names and types pair with
     nothing; names that are equal once normalised, empty ones too, always pair.
-
-    Blocking is exact. A ratio of t between names of x and y characters needs M >=
-    t (x + y) / 2 matched ones in order. Each of the x - M characters that go
-    breaks at most two bigrams of the first name, each of the y - M that come
-    breaks at most one, so 3M - x - y - 1 bigrams are shared: with y >= x t / (2 -
-    t) at least (3t/2 - 1) 2x / (2 - t) - 1. Names too short for one sure bigram
-    meet by their letters, of which M are shared. Pairs are sought among distinct
-    names of a type; the metric runs once for each pair of spellings.
+    Pairs are sought among the distinct normalised names of a type by
+    ``simjoin.name_pairs``, which loses none; what an edit distance in the JVM
+    cannot rule out goes to the metric, once for each pair of spellings.
     """
     named = entities.where("name is not null and type is not null").select("id", "name", "type", normal(F.col("name")).alias("n"))
     names = named.select("type", "n").distinct()
-    x = F.length("n")
-    need = F.ceil((1.5 * threshold - 1) * 2 * x / (2 - threshold) - 1 - 1e-9)
-    bigrams = F.when(x >= 2, F.transform(F.sequence(F.lit(1), F.greatest(x - 1, F.lit(1))), lambda i: F.substr(F.col("n"), i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    letters = F.filter(F.split("n", ""), lambda c: c != "")
-    long_ = _meeting(names.where(x >= 2), bigrams, need, threshold)
-    short = _meeting(names.where((need <= 0) & (x >= 1)), letters, F.ceil(x * threshold / (2 - threshold) - 1e-9), threshold)
+    met = simjoin.name_pairs(names.withColumn("side", F.lit(3)), threshold, is_edits(metric))
+    met = met.where(_reachable(F.col("n1"), F.col("n2"), threshold, is_edits(metric)))
     same = names.select("type", F.col("n").alias("n1"), F.col("n").alias("n2"))
-    met = long_.unionByName(short).distinct().unionByName(same)
+    met = met.unionByName(same)
     spelled = named.select("type", "n", "name").distinct()
     one, two = spelled.select("type", F.col("n").alias("n1"), F.col("name").alias("u")), spelled.select("type", F.col("n").alias("n2"), F.col("name").alias("v"))
     pairs = met.join(one, ["type", "n1"]).join(two, ["type", "n2"])
@@ -108,11 +95,36 @@ def duplicate_pairs(entities: DataFrame, threshold: float = 0.85, metric=sequenc
 
 def similar_entities(entities: DataFrame, name: str, kind: str, threshold: float = 0.85, metric=sequence_ratio) -> DataFrame:  # noqa: ANN001
     """Entities of one type with threshold <= similarity < 1 to ``name``, best first, rounded to 3 places."""
-    near = entities.where((F.col("type") == kind) & possible(F.lit(name), F.col("name"), threshold))
+    near = entities.where((F.col("type") == kind) & _reachable(normal(F.lit(name)), normal(F.col("name")), threshold, is_edits(metric)))
     scored = near.withColumn("similarity", metric(F.lit(name), F.col("name"))).where((F.col("similarity") >= threshold) & (F.col("similarity") < 1))
     return scored.withColumn("similarity", F.round("similarity", 3)).orderBy(F.desc("similarity"), "id")
 
 
+def similar_to_all(entities: DataFrame, wanted: DataFrame, threshold: float = 0.85, metric=sequence_ratio, by_type: bool = True) -> DataFrame:  # noqa: ANN001
+    """``key, id, similarity`` of all entities at or above ``threshold`` to the names of a table ``key, name`` (with ``type`` if ``by_type``).
+
+    One similarity join of both tables' distinct names; null names and types meet nothing.
+    """
+    kind = F.col("type") if by_type else F.lit("")
+    left = wanted.select("key", "name", kind.alias("type"), normal(F.col("name")).alias("n")).where("name is not null and type is not null")
+    right = entities.select("id", "name", kind.alias("type"), normal(F.col("name")).alias("n")).where("name is not null and type is not null")
+    sides = left.select("type", "n", F.lit(1).alias("side")).unionByName(right.select("type", "n", F.lit(2).alias("side")))
+    names = materialize(sides.groupBy("type", "n").agg(F.bit_or("side").alias("side")), "names")
+    met = simjoin.name_pairs(names, threshold, is_edits(metric)).where(_reachable(F.col("n1"), F.col("n2"), threshold, is_edits(metric)))
+    ways = met.union(met.select("type", "n2", "n1")).union(names.where("side = 3").select("type", F.col("n").alias("n1"), F.col("n").alias("n2")))
+    spelled = ways.join(left.select("type", F.col("n").alias("n1"), F.col("name").alias("u")).distinct(), ["type", "n1"]).join(right.select("type", F.col("n").alias("n2"), F.col("name").alias("v")).distinct(), ["type", "n2"])
+    scored = spelled.select("type", "u", "v", metric(F.col("u"), F.col("v")).alias("similarity")).where(F.col("similarity") >= threshold)
+    out = scored.join(left.select("key", "type", F.col("name").alias("u")), ["type", "u"]).join(right.select("id", "type", F.col("name").alias("v")), ["type", "v"])
+    return out.select("key", "id", "similarity")
+
+
+def best_matches(entities: DataFrame, wanted: DataFrame, above: float = 0.8, metric=sequence_ratio) -> DataFrame:  # noqa: ANN001
+    """``key, id, similarity``: for each name of a table ``key, name`` the most similar entity of any type, strictly above the bar; first by id on ties."""
+    found = similar_to_all(entities, wanted, above, metric, by_type=False).where(F.col("similarity") > above)
+    best = found.groupBy("key").agg(F.min(F.struct((-F.col("similarity")).alias("less"), "id")).alias("best"))
+    return best.select("key", "best.id", (-F.col("best.less")).alias("similarity"))
+
+
 def decide(pairs: DataFrame) -> DataFrame:
     """``decision`` merge (>= 0.95), ask (>= 0.85) or keep; ``primary_id`` has more mentions, the first on ties."""
     first = F.col("mentions1") >= F.col("mentions2")
@@ -167,7 +179,8 @@ def rename_conflicts(entities: DataFrame, names: DataFrame) -> DataFrame:
 
 def best_match(entities: DataFrame, name: str, above: float = 0.8, metric=sequence_ratio) -> DataFrame:  # noqa: ANN001
     """The entity most similar to ``name``, strictly above the bar; first by id on ties."""
-    scored = entities.where(possible(F.lit(name), F.col("name"), above)).withColumn("similarity", metric(F.lit(name), F.col("name")))
+    near = entities.where(_reachable(normal(F.lit(name)), normal(F.col("name")), above, is_edits(metric)))
+    scored = near.withColumn("similarity", metric(F.lit(name), F.col("name")))
     return scored.where(F.col("similarity") > above).orderBy(F.desc("similarity"), "id").limit(1)
 
 
