@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.runtime import materialize
+from kgspark.runtime import materialize, spread
 
 from . import simjoin
 from .components import connected_components
@@ -52,18 +52,6 @@ def possible(a: Column, b: Column, threshold: float) -> Column:
     return 2 * F.least(x, y) >= threshold * (x + y) - 1e-9
 
 
-def _reachable(a: Column, b: Column, threshold: float, edits: bool) -> Column:
-    """In the JVM: no pair of normalised names that fails this passes the metric.
-
-    With M characters matched in order, x + y - 2M go or come, so the edit
-    distance is at most that.
-    """
-    x, y = F.length(a), F.length(b)
-    m = simjoin.matched_column(x, y, threshold, edits)
-    most = F.greatest(x, y) - m if edits else x + y - 2 * m
-    return (m <= F.least(x, y)) & (F.levenshtein(a, b) <= most)
-
-
 def is_edits(metric) -> bool:  # noqa: ANN001
     return metric is levenshtein_ratio
 
@@ -74,19 +62,19 @@ def duplicate_pairs(entities: DataFrame, threshold: float = 0.85, metric=sequenc
     The pair's order is that of (type, name, id). Null names and types pair with
     nothing; names that are equal once normalised, empty ones too, always pair.
     Pairs are sought among the distinct normalised names of a type by
-    ``simjoin.name_pairs``, which loses none; what an edit distance in the JVM
-    cannot rule out goes to the metric, once for each pair of spellings.
+    ``simjoin.name_pairs``, which loses none; the metric runs once for each pair
+    of spellings that is left.
     """
     named = entities.where("name is not null and type is not null").select("id", "name", "type", normal(F.col("name")).alias("n"))
     names = named.select("type", "n").distinct()
-    met = simjoin.name_pairs(names.withColumn("side", F.lit(3)), threshold, is_edits(metric))
-    met = met.where(_reachable(F.col("n1"), F.col("n2"), threshold, is_edits(metric)))
+    names = materialize(names.withColumn("side", F.lit(3)), "names")
+    met = simjoin.name_pairs(names, threshold, is_edits(metric))
     same = names.select("type", F.col("n").alias("n1"), F.col("n").alias("n2"))
     met = met.unionByName(same)
     spelled = named.select("type", "n", "name").distinct()
     one, two = spelled.select("type", F.col("n").alias("n1"), F.col("name").alias("u")), spelled.select("type", F.col("n").alias("n2"), F.col("name").alias("v"))
     pairs = met.join(one, ["type", "n1"]).join(two, ["type", "n2"])
-    pairs = pairs.select("type", F.least("u", "v").alias("name1"), F.greatest("u", "v").alias("name2")).distinct()
+    pairs = spread(pairs.select("type", F.least("u", "v").alias("name1"), F.greatest("u", "v").alias("name2")), "type", "name1", "name2").distinct()
     pairs = pairs.withColumn("similarity", metric(F.col("name1"), F.col("name2"))).where(F.col("similarity") >= threshold)
     ids = named.select("type", "name", "id")
     out = pairs.join(ids.withColumnsRenamed({"name": "name1", "id": "id1"}), ["type", "name1"]).join(ids.withColumnsRenamed({"name": "name2", "id": "id2"}), ["type", "name2"])
@@ -95,7 +83,7 @@ def duplicate_pairs(entities: DataFrame, threshold: float = 0.85, metric=sequenc
 
 def similar_entities(entities: DataFrame, name: str, kind: str, threshold: float = 0.85, metric=sequence_ratio) -> DataFrame:  # noqa: ANN001
     """Entities of one type with threshold <= similarity < 1 to ``name``, best first, rounded to 3 places."""
-    near = entities.where((F.col("type") == kind) & _reachable(normal(F.lit(name)), normal(F.col("name")), threshold, is_edits(metric)))
+    near = entities.where((F.col("type") == kind) & simjoin.reachable(normal(F.lit(name)), normal(F.col("name")), threshold, is_edits(metric)))
     scored = near.withColumn("similarity", metric(F.lit(name), F.col("name"))).where((F.col("similarity") >= threshold) & (F.col("similarity") < 1))
     return scored.withColumn("similarity", F.round("similarity", 3)).orderBy(F.desc("similarity"), "id")
 
@@ -110,10 +98,10 @@ def similar_to_all(entities: DataFrame, wanted: DataFrame, threshold: float = 0.
     right = entities.select("id", "name", kind.alias("type"), normal(F.col("name")).alias("n")).where("name is not null and type is not null")
     sides = left.select("type", "n", F.lit(1).alias("side")).unionByName(right.select("type", "n", F.lit(2).alias("side")))
     names = materialize(sides.groupBy("type", "n").agg(F.bit_or("side").alias("side")), "names")
-    met = simjoin.name_pairs(names, threshold, is_edits(metric)).where(_reachable(F.col("n1"), F.col("n2"), threshold, is_edits(metric)))
+    met = simjoin.name_pairs(names, threshold, is_edits(metric))
     ways = met.union(met.select("type", "n2", "n1")).union(names.where("side = 3").select("type", F.col("n").alias("n1"), F.col("n").alias("n2")))
     spelled = ways.join(left.select("type", F.col("n").alias("n1"), F.col("name").alias("u")).distinct(), ["type", "n1"]).join(right.select("type", F.col("n").alias("n2"), F.col("name").alias("v")).distinct(), ["type", "n2"])
-    scored = spelled.select("type", "u", "v", metric(F.col("u"), F.col("v")).alias("similarity")).where(F.col("similarity") >= threshold)
+    scored = spread(spelled.select("type", "u", "v"), "type", "u", "v").select("type", "u", "v", metric(F.col("u"), F.col("v")).alias("similarity")).where(F.col("similarity") >= threshold)
     out = scored.join(left.select("key", "type", F.col("name").alias("u")), ["type", "u"]).join(right.select("id", "type", F.col("name").alias("v")), ["type", "v"])
     return out.select("key", "id", "similarity")
 
@@ -179,7 +167,7 @@ def rename_conflicts(entities: DataFrame, names: DataFrame) -> DataFrame:
 
 def best_match(entities: DataFrame, name: str, above: float = 0.8, metric=sequence_ratio) -> DataFrame:  # noqa: ANN001
     """The entity most similar to ``name``, strictly above the bar; first by id on ties."""
-    near = entities.where(_reachable(normal(F.lit(name)), normal(F.col("name")), above, is_edits(metric)))
+    near = entities.where(simjoin.reachable(normal(F.lit(name)), normal(F.col("name")), above, is_edits(metric)))
     scored = near.withColumn("similarity", metric(F.lit(name), F.col("name")))
     return scored.where(F.col("similarity") > above).orderBy(F.desc("similarity"), "id").limit(1)
 

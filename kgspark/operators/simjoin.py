@@ -11,9 +11,10 @@ matched in order. Three ways share the pairs, by how common the bigrams are:
   them when letters go: a pair with ``M`` letters in order has the same remains of
   ``M`` letters, so those that meet are those that are near;
 * pairs of names too long for that (more than ``most_variants`` remains) meet at
-  the hot bigram itself in blocks of some ``hot`` names, by classes of length.
+  the hot bigram itself in blocks, by classes of length.
 
-The pairs are complete and still to be verified by the metric.
+Every pair made is held against a bound on its edit distance at once. The pairs are
+complete and, where the metric is not the edit distance, still to be verified by it.
 """
 
 from __future__ import annotations
@@ -28,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgspark.runtime import materialize
+from kgspark.runtime import discard, materialize, spread
 
 EPS = 1e-9
+#: Names of a block at a hot bigram.
+BLOCK = 256
 #: Lengths of one class differ by less than this factor.
 CLASS = 1.15
 
@@ -61,6 +64,18 @@ def _limits(most_variants: int) -> list[int]:
     return out
 
 
+def reachable(a: Column, b: Column, threshold: float, edits: bool) -> Column:
+    """In the JVM: no pair of normalised names that fails this passes the metric.
+
+    With M characters matched in order, x + y - 2M go or come, so the edit
+    distance is at most that.
+    """
+    x, y = F.length(a), F.length(b)
+    m = matched_column(x, y, threshold, edits)
+    most = F.greatest(x, y) - m if edits else x + y - 2 * m
+    return (m <= F.least(x, y)) & (F.levenshtein(a, b) <= most)
+
+
 def most_gone(x: int, most_variants: int) -> int:
     return min(x, sum(x <= limit for limit in _limits(most_variants)))
 
@@ -111,10 +126,9 @@ def remains(name: str, gone: list[int], edits: bool) -> Iterator[tuple[str, int,
             yield "".join([*left, name[at:]]), d, gaps
 
 
-def _numbered_items(items: Column) -> Column:
-    """Sorted items with the count of equal ones so far, so that a multiset is a set."""
-    held = F.sort_array(items)
-    return F.transform(held, lambda x, i: F.concat(x, F.lit(":"), (i - F.array_position(held, x) + 1).cast("string")))
+def _numbered(items: str) -> Column:
+    """A sorted array column with the count of equal items so far, so that a multiset is a set."""
+    return F.transform(items, lambda x, i: F.concat(x, F.lit(":"), (i - F.array_position(F.col(items), x) + 1).cast("string")))
 
 
 def _sides() -> Column:
@@ -125,15 +139,18 @@ def _sides() -> Column:
 
 def _keyed(names: DataFrame, items: Column, need: Column, hot: int, tag: str) -> DataFrame:
     """Names with the keys by which they meet, rarest first: ``cold`` ones, then ``hot`` ones with their counts."""
-    marked = names.select("type", "n", "side", F.length("n").alias("x"), need.alias("need"), _numbered_items(items).alias("items"))
-    single = marked.select("type", "n", "side", "x", "need", F.size("items").alias("size"), F.explode("items").alias("item"))
+    # a column of its own: inside the lambda an expression would be computed once an item
+    marked = names.select("type", "n", "side", F.length("n").alias("x"), need.alias("need"), F.sort_array(items).alias("held"))
+    single = materialize(marked.select("type", "n", "side", "x", "need", F.size("held").alias("size"), F.explode(_numbered("held")).alias("text")).select("type", "n", "side", "x", "need", "size", F.xxhash64("text").alias("item")), tag)
     counts = single.groupBy("type", "item").agg(F.count(F.lit(1)).alias("df"))
     w = Window.partitionBy("type", "n").orderBy("df", "item")
     keys = single.join(counts, ["type", "item"]).withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.col("size") - F.greatest("need", F.lit(1)) + 1)
     listed = keys.groupBy("type", "n").agg(F.first("side").alias("side"), F.first("x").alias("x"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("place", "item", "df"))).alias("keys"))
     cold = F.filter("keys", lambda k: k["df"] <= hot)
     warm = F.filter("keys", lambda k: k["df"] > hot)
-    return materialize(listed.select("type", "n", "side", "x", "size", F.transform(cold, lambda k: k["item"]).alias("cold"), warm.alias("hot")), tag)
+    out = materialize(listed.select("type", "n", "side", "x", "size", F.transform(cold, lambda k: k["item"]).alias("cold"), warm.alias("hot")), tag)
+    discard(single)
+    return out
 
 
 def _meet(a: DataFrame, b: DataFrame, on: list[str], *more: Column) -> DataFrame:
@@ -149,14 +166,18 @@ def _meeting(names: DataFrame, items: Column, need: Column, threshold: float, ed
     x, y = F.col("a.x"), F.col("b.x")
     m = matched_column(x, y, threshold, edits)
     lengths = m <= F.least(x, y)
+    near = reachable(F.col("a.n"), F.col("b.n"), threshold, edits)
     shared = m if letters else 3 * m - x - y - 1
     room = 1 + F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place")) >= shared
     keyed = _keyed(names, items, need, hot, "names-keyed")
     one = keyed.select("type", "n", "side", "x", "size", "cold", F.posexplode("cold").alias("at", "item")).withColumn("place", F.col("at") + 1)
     first_cold = F.element_at(F.array_intersect("a.cold", "b.cold"), 1) == F.col("a.item")
-    rare = _meet(one, one, ["type", "item"], lengths, room, first_cold)
+    one = spread(one, "type", "item")
+    rare = _meet(one, one, ["type", "item"], lengths, room, near, first_cold)
 
     patterned = keyed.where(F.size("hot") > 0)
+    if patterned.isEmpty():
+        return rare
     own = [f.name for f in patterned.schema.fields]
     schema = "type string, n string, side int, x int, left string, gone int, gaps array<int>"
     t, most = threshold, most_variants
@@ -174,26 +195,28 @@ def _meeting(names: DataFrame, items: Column, need: Column, threshold: float, ed
             yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
     arrow = pa.schema([("type", pa.string()), ("n", pa.string()), ("side", pa.int32()), ("x", pa.int32()), ("left", pa.string()), ("gone", pa.int32()), ("gaps", pa.list_(pa.int32()))])
-    left = patterned.select("type", "n", "side", "x").mapInArrow(run, schema).withColumn("key", F.xxhash64("type", "left")).drop("left")
+    left = spread(patterned.select("type", "n", "side", "x"), "n").mapInArrow(run, schema).withColumn("key", F.xxhash64("type", "left")).drop("left")
     if edits:
         budget = F.floor((1 - F.lit(threshold)) * F.greatest(x, y) + EPS)
         close = F.col("a.gone") + F.col("b.gone") - F.size(F.array_intersect("a.gaps", "b.gaps")) <= budget
     else:
         left = left.drop("gaps")
         close = (x - F.col("a.gone") == m) & (y - F.col("b.gone") == m)
-    alike = _meet(left, left, ["key", "type"], lengths, close).distinct()
+    left = spread(left, "key", "type")
+    alike = _meet(left, left, ["key", "type"], lengths, close, near)
 
     classes = F.pandas_udf(lambda v: pd.Series([_plan(int(k), t, edits, most)[1] for k in v]), "array<int>")
     wide = patterned.withColumn("classes", classes("x")).where(F.size("classes") > 0).withColumn("class", F.floor(F.log("x") / math.log(CLASS) + F.lit(0.0)).cast("int"))
-    blocks = wide.select(*own, "classes", "class", F.explode("hot").alias("k")).select("*", F.col("k.item").alias("item"), F.col("k.place").alias("place"), F.ceil(F.col("k.df") / hot).cast("int").alias("blocks"))
+    blocks = wide.select(*own, "classes", "class", F.explode("hot").alias("k")).select("*", F.col("k.item").alias("item"), F.col("k.place").alias("place"), F.ceil(F.col("k.df") / BLOCK).cast("int").alias("blocks"))
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("n"), F.col("blocks")).cast("int"))
     blocks = blocks.withColumn("near_class", F.explode("classes")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocks = blocks.withColumns({"c1": F.least("class", "near_class"), "c2": F.greatest("class", "near_class"), "b1": F.least("block", "other"), "b2": F.greatest("block", "other")})
+    blocks = spread(blocks, "type", "item", "c1", "c2", "b1", "b2")
     both = (F.col("a.near_class") == F.col("b.class")) & (F.col("b.near_class") == F.col("a.class")) & ((F.col("a.block") == F.col("b.other")) & (F.col("b.block") == F.col("a.other")))
     far = (x - m > most_gone_column(x, most_variants)) | (y - m > most_gone_column(y, most_variants))
     items_of = lambda s: F.transform(F.col(f"{s}.hot"), lambda k: k["item"])
     first_hot = (F.element_at(F.array_intersect(items_of("a"), items_of("b")), 1) == F.col("a.item")) & ~F.arrays_overlap("a.cold", "b.cold")
-    long_ = _meet(blocks, blocks, ["type", "item", "c1", "c2", "b1", "b2"], both, lengths, far, room, first_hot)
+    long_ = _meet(blocks, blocks, ["type", "item", "c1", "c2", "b1", "b2"], both, lengths, far, room, near, first_hot)
     return rare.unionByName(alike).unionByName(long_)
 
 
@@ -213,5 +236,7 @@ def name_pairs(names: DataFrame, threshold: float, edits: bool = False, hot: int
     bigrams = F.when(x >= 2, F.transform(F.sequence(F.lit(1), F.greatest(x - 1, F.lit(1))), lambda i: F.substr(F.col("n"), i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
     letters = F.filter(F.split("n", ""), lambda c: c != "")
     by_bigram = _meeting(names.where(x >= 2), bigrams, need, threshold, edits, hot, most_variants)
+    if names.where((need <= 0) & (x >= 1)).isEmpty():
+        return by_bigram.distinct()
     by_letter = _meeting(names.where((need <= 0) & (x >= 1)), letters, F.ceil(x * threshold / (2 - threshold) - EPS), threshold, edits, hot, most_variants, letters=True)
     return by_bigram.unionByName(by_letter).distinct()

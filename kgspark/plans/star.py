@@ -675,6 +675,18 @@ def er9b(spark: SparkSession, d: str) -> DataFrame:
     return resolve.best_match(Star(spark, d).entities(), "nation 12", metric=resolve.levenshtein_ratio).select("id", "name", F.round("similarity", 6).alias("similarity"))
 
 
+@query("er9_best_of_all_names", f"""WITH w AS (SELECT n_nationkey AS key, 'the ' || n_name AS name FROM nation UNION ALL SELECT 1000 + s_suppkey, 'Suplier#' || right(s_name, 9) FROM supplier),
+x AS (SELECT key, e.id, {EDIT.format("w.name", "e.name")} AS similarity FROM w JOIN e ON abs(length(trim(w.name)) - length(trim(e.name))) <= 0.2 * greatest(length(trim(w.name)), length(trim(e.name))))
+SELECT key, id, round(similarity, 6) AS similarity FROM x WHERE similarity > 0.8 QUALIFY row_number() OVER (PARTITION BY key ORDER BY similarity DESC, id) = 1""")
+def er9c(spark: SparkSession, d: str) -> DataFrame:
+    """The best entity for every name of a table by one similarity join."""
+    g = Star(spark, d)
+    nations = g.t("nation").select(F.col("n_nationkey").cast("long").alias("key"), F.concat(F.lit("the "), "n_name").alias("name"))
+    suppliers = g.t("supplier").select((F.col("s_suppkey") + 1000).cast("long").alias("key"), F.concat(F.lit("Suplier#"), F.right("s_name", F.lit(9))).alias("name"))
+    out = resolve.best_matches(g.entities(), nations.union(suppliers), 0.8, resolve.levenshtein_ratio)
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
 @query("er9_best_match")
 def er9(spark: SparkSession, d: str) -> DataFrame:
     return resolve.best_match(Star(spark, d).entities(), "nation 12").select("id", "name", "similarity")

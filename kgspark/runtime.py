@@ -54,6 +54,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by hash of the keys over all shuffle partitions, for work that is large next to its bytes.
+
+    Adaptive execution merges partitions by their bytes, which says nothing of
+    the pairs that a join makes of them or of what a metric costs; it leaves a
+    stated number as it is.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
