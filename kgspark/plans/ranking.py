@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.operators import analytics, build, globalqa, graph, incremental, rank, reason
+from kgspark.operators import analytics, beam, build, globalqa, graph, incremental, rank, reason, scoring
 from kgspark.operators.numbering import numbered
-from kgspark.runtime import table
+from kgspark.runtime import materialize, table
 from kgspark.streaming import events as stream
 
 from .base import STAR_SQL, Registry, Star
@@ -131,11 +131,97 @@ def tog4(spark: SparkSession, d: str) -> DataFrame:
 @query("tog6_reasoning_loop")
 def tog6(spark: SparkSession, d: str) -> DataFrame:
     g = Star(spark, d)
-    e, r, m, u = g.entities().cache(), g.relationships().cache(), g.mentions(), g.text_units()
+    e, r, m, u = materialize(g.entities(), "entities"), materialize(g.relationships(), "edges"), g.mentions(), g.text_units()
     out = reason.answer("what does nation_7 supply", e, r, m, u, reason.Config(search_depth=2))
     return spark.createDataFrame(out.triplets, "subject string, relation string, object string, source string, confidence double")
 
 
+def _beam_sql(depth: int, width: int = 3, retain: int = 5) -> str:
+    """Triplets of the set-based loop with equal scores, one group of CTEs a depth."""
+    parts = ["f1 AS (SELECT s_suppkey AS q, 'N' || s_nationkey AS src FROM supplier)", "x0 AS (SELECT NULL::BIGINT AS q, '' AS rel_key WHERE false)", "s0 AS (SELECT q, src AS id FROM f1)"]
+    for k in range(1, depth + 1):
+        parts += [
+            f"st{k} AS (SELECT * FROM (SELECT * FROM (SELECT q, rel_key, count(*) AS n FROM f{k} JOIN und USING (src) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY q ORDER BY n DESC, rel_key) <= 50) ANTI JOIN x{k - 1} USING (q, rel_key))",
+            f"c{k} AS (SELECT q, rel_key FROM st{k} QUALIFY row_number() OVER (PARTITION BY q ORDER BY rel_key) <= {width})",
+            f"o{k} AS (SELECT f.q, f.src, c.rel_key, u.dst, max(u.confidence) AS conf, any_value(e.mention_count) AS mc FROM f{k} f JOIN c{k} c ON c.q = f.q JOIN und u ON u.src = f.src AND u.rel_key = c.rel_key JOIN e ON e.id = u.dst GROUP BY ALL)",
+            f"p{k} AS (SELECT * FROM o{k} QUALIFY row_number() OVER (PARTITION BY q, src, rel_key ORDER BY conf DESC, mc DESC, dst) = 1)",
+            f"n{k} AS (SELECT q, dst, max(conf) AS conf FROM p{k} WHERE (q, dst) NOT IN (SELECT q, id FROM s{k - 1}) GROUP BY q, dst)",
+            f"x{k} AS (SELECT * FROM x{k - 1} UNION ALL SELECT * FROM c{k})",
+            f"s{k} AS (SELECT * FROM s{k - 1} UNION ALL SELECT q, dst FROM n{k})",
+            f"f{k + 1} AS (SELECT q, dst AS src FROM n{k} QUALIFY row_number() OVER (PARTITION BY q ORDER BY conf DESC, dst) <= {retain})",
+        ]
+    rows = " UNION ALL ".join(f"SELECT q AS question_id, {k} AS depth, src AS subject, rel_key AS relation, dst AS object, conf AS confidence FROM p{k}" for k in range(1, depth + 1))
+    return f"WITH {', '.join(parts)} {rows}"
+
+
+@query("tog6_beam_search", _beam_sql(2))
+def tog6_all(spark: SparkSession, d: str) -> DataFrame:
+    """A question for every supplier, from its nation, all of them by the same joins."""
+    g = Star(spark, d)
+    s = g.t("supplier")
+    questions = s.select(F.col("s_suppkey").cast("long").alias("question_id"), F.concat(F.lit("zzz sold by "), "s_name").alias("question"), F.lit(None).cast("array<string>").alias("document_ids"))
+    starts = s.select(F.col("s_suppkey").cast("long").alias("question_id"), F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("id"))
+    out = beam.reason_all(questions, starts, g.entities(), g.relationships(), reason.Config(search_depth=2), scorer=scoring.constant)
+    return out.triplets
+
+
+@query("tog6_document_scope", """WITH w AS (SELECT c_custkey AS q, 'C' || c_custkey AS document_id FROM customer), sc AS (SELECT DISTINCT q, entity_id AS id FROM w JOIN tu USING (document_id) JOIN m ON m.text_unit_id = tu.id),
+f AS (SELECT q, min(id) AS src FROM sc WHERE id LIKE 'S%' GROUP BY q),
+r AS (SELECT f.q, rel_key, count(*) AS frequency, sum(confidence) / count(*) AS avg_confidence FROM f JOIN und USING (src) JOIN sc ON sc.q = f.q AND sc.id = und.dst WHERE confidence > 0.3 GROUP BY ALL)
+SELECT q AS question_id, rel_key, frequency, round(avg_confidence, 6) AS avg_confidence FROM r QUALIFY row_number() OVER (PARTITION BY q ORDER BY frequency DESC, rel_key) <= 50""")
+def tog6_scope(spark: SparkSession, d: str) -> DataFrame:
+    """Relations around one supplier of each customer's documents, inside those documents."""
+    g = Star(spark, d)
+    questions = g.t("customer").select(F.col("c_custkey").cast("long").alias("question_id"), F.array(F.concat(F.lit("C"), F.col("c_custkey").cast("string"))).alias("document_ids"))
+    scope = beam.scopes(questions, g.mentions(), g.text_units())
+    front = scope.where("id like 'S%'").groupBy("question_id").agg(F.min("id").alias("src")).withColumn("scoped", F.lit(True))
+    return beam.relations_of(front, graph.undirected(g.relationships(), "rel_key", "confidence"), scope).withColumn("avg_confidence", F.round("avg_confidence", 6))
+
+
+def _nation_questions(g: Star) -> DataFrame:
+    """Questions that name a nation exactly, misspell a supplier, or name nothing."""
+    n, s = g.t("nation"), g.t("supplier")
+    named = n.select(F.col("n_nationkey").cast("long").alias("question_id"), F.concat(F.lit("what is sold in "), "n_name", F.lit(" today")).alias("question"))
+    return named.union(s.select((F.col("s_suppkey") + 1000).cast("long"), F.concat(F.lit("tell me of suplier"), F.right("s_name", F.lit(9))))).withColumn("document_ids", F.lit(None).cast("array<string>"))
+
+
+@query("tog1_topic_entities_of_all")
+def tog1_all(spark: SparkSession, d: str) -> DataFrame:
+    g = Star(spark, d)
+    return beam.topic_entities(_nation_questions(g), g.entities()).select("question_id", "id", F.round("score", 6).alias("score"), "stage")
+
+
+@query("tog8_fallback_of_all")
+def tog8_all(spark: SparkSession, d: str) -> DataFrame:
+    g = Star(spark, d)
+    return beam.fallback(_nation_questions(g), g.entities())
+
+
+RELATION_SETS = "SELECT 'S' || s_suppkey AS src, 'nation ' || s_nationkey || ' brand#12 brand#34' AS question FROM supplier"
+
+
+@query("rnk4_client_scores", f"""WITH q AS ({RELATION_SETS}), r AS (SELECT DISTINCT src, rel_key FROM q JOIN rel USING (src))
+SELECT src AS question_id, rel_key, CASE WHEN rel_key LIKE 'Brand#1%' THEN 0.9 WHEN rel_key LIKE 'Brand#2%' THEN 0.5 ELSE 0.1 END::DOUBLE AS score FROM r""")
+def rnk4b(spark: SparkSession, d: str) -> DataFrame:
+    """A client scores the relations of every supplier; what its reply leaves out scores 0.5."""
+    g = Star(spark, d)
+    questions = g.t("supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("question_id"), F.concat(F.lit("nation "), F.col("s_nationkey").cast("string"), F.lit(" brand#12 brand#34")).alias("question"))
+    rows = g.relationships().select(F.col("src").alias("question_id"), "rel_key", F.lit("").alias("text")).join(questions.select("question_id"), "question_id", "left_semi").distinct()
+    return scoring.by_client(brand_client, rate=100_000.0)(rows, questions, "rel_key")
+
+
+def brand_client():  # noqa: ANN201
+    """Offline stand-in for a client: replies with scores for the candidates that it knows."""
+    import json
+    import re
+
+    def reply(asked: str) -> str:
+        names = [n.removesuffix(": ") for n in asked.split("Candidates:\n")[1].split("\n")]
+        return json.dumps({"scores": [{"name": n, "score": 0.9 if re.match("Brand#1", n) else 0.1} for n in names if not re.match("Brand#2", n)]})
+
+    return reply
+
+
 @query("tog7_answer_context", f"""WITH c AS (SELECT text_unit_id, count(DISTINCT entity_id) AS n, start_char, text FROM m JOIN tu ON tu.id = text_unit_id WHERE entity_id IN ({TOP5}) GROUP BY ALL ORDER BY n DESC, start_char, text_unit_id LIMIT 5)
 SELECT string_agg(t, chr(10) ORDER BY part, k1, k) AS context FROM (SELECT * FROM (SELECT 0 AS part, 0 AS k1, id AS k, left(name || ': ' || description, 500) AS t FROM e WHERE id IN ({TOP5}) ORDER BY id LIMIT 3) UNION ALL SELECT * FROM (SELECT 1, 0, text_unit_id, left(text, 500) FROM c ORDER BY n DESC, start_char, text_unit_id LIMIT 3))""")
 def tog7(spark: SparkSession, d: str) -> DataFrame:
