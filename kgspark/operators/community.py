@@ -1,113 +1,17 @@
-"""Communities: Leiden on connected components, hierarchy rows, contexts and summaries."""
+"""Communities: Leiden by rounds of joins, delta screening, hierarchy rows, contexts and summaries."""
 
 from __future__ import annotations
 
-import random
-from collections import defaultdict, deque
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.runtime import materialize
+from kgspark.runtime import discard, materialize
 
 from . import graph
 from .clients import first_sentence
-from .components import connected_components
-
-
-def _moved(adj: list[dict[int, float]], size: list[float], part: list[int], m2: float, rng: random.Random) -> bool:
-    """Local moving: each node to the neighbouring community of the best modularity gain, until none gains."""
-    total: dict[int, float] = defaultdict(float)
-    for v, c in enumerate(part):
-        total[c] += size[v]
-    order, waiting, changed = list(range(len(adj))), set(range(len(adj))), False
-    rng.shuffle(order)
-    queue = deque(order)
-    while queue:
-        v = queue.popleft()
-        waiting.discard(v)
-        own = part[v]
-        total[own] -= size[v]
-        links: dict[int, float] = defaultdict(float)
-        for u, w in adj[v].items():
-            if u != v:
-                links[part[u]] += w
-        best, gain = own, links[own] - total[own] * size[v] / m2
-        for c in sorted(links):
-            g = links[c] - total[c] * size[v] / m2
-            if g > gain + 1e-12:
-                best, gain = c, g
-        total[best] += size[v]
-        if best != own:
-            part[v], changed = best, True
-            for u in adj[v]:
-                if part[u] != best and u not in waiting:
-                    waiting.add(u)
-                    queue.append(u)
-    return changed
-
-
-def _refined(adj: list[dict[int, float]], size: list[float], part: list[int], m2: float) -> list[int]:
-    """Inside each community, nodes that are still alone join the best connected sub-community."""
-    sub, alone, total = list(range(len(adj))), [True] * len(adj), list(size)
-    for v in range(len(adj)):
-        if not alone[v]:
-            continue
-        links: dict[int, float] = defaultdict(float)
-        for u, w in adj[v].items():
-            if u != v and part[u] == part[v]:
-                links[sub[u]] += w
-        best, gain = sub[v], 0.0
-        for c in sorted(links):
-            if c != sub[v] and (g := links[c] - total[c] * size[v] / m2) > gain + 1e-12:
-                best, gain = c, g
-        if best != sub[v]:
-            total[best] += size[v]
-            total[sub[v]] -= size[v]
-            sub[v], alone[v] = best, False
-            alone[best] = False
-    return sub
-
-
-def leiden(edges: list[tuple], m2: float | None = None, seed: int = 42, most_levels: int = 10) -> list[dict]:
-    """Partitions of the nodes, finest first: move, refine, aggregate, until nothing moves.
-
-    ``m2``: twice the edge weight of the whole graph, where these edges are a part of it.
-    """
-    names = sorted({x for e in edges for x in e[:2]})
-    index = {x: i for i, x in enumerate(names)}
-    adj: list[dict[int, float]] = [{} for _ in names]
-    for a, b, *w in edges:
-        i, j, weight = index[a], index[b], float(w[0]) if w else 1.0
-        adj[i][j] = adj[i].get(j, 0.0) + weight
-        adj[j][i] = adj[j].get(i, 0.0) + weight
-    size = [sum(x.values()) for x in adj]
-    m2 = m2 or sum(size)
-    rng, holder, levels = random.Random(seed), list(range(len(names))), []
-    part = list(range(len(names)))
-    for _ in range(most_levels):
-        moved = _moved(adj, size, part, m2, rng)
-        levels.append({x: part[holder[i]] for i, x in enumerate(names)})
-        if not moved or len(set(part)) == len(adj):
-            break
-        sub = _refined(adj, size, part, m2)
-        ids = {c: k for k, c in enumerate(sorted(set(sub)))}
-        holder = [ids[sub[h]] for h in holder]
-        nxt: list[dict[int, float]] = [{} for _ in ids]
-        grown, where = [0.0] * len(ids), [0] * len(ids)
-        for v, c in enumerate(sub):
-            k = ids[c]
-            grown[k] += size[v]
-            where[k] = part[v]
-            for u, w in adj[v].items():
-                j = ids[sub[u]]
-                nxt[k][j] = nxt[k].get(j, 0.0) + w
-        first: dict[int, int] = {}
-        part = [first.setdefault(c, k) for k, c in enumerate(where)]
-        adj, size = nxt, grown
-    return levels
 
 
 def modularity(edges: DataFrame, membership: DataFrame) -> float:
@@ -122,67 +26,170 @@ def modularity(edges: DataFrame, membership: DataFrame) -> float:
     return inside - (degree.agg(F.sum(F.pow(F.col("d") / (2 * m), F.lit(2)))).first()[0] or 0.0)
 
 
-def _coarser(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One round of matching on ``a, b, w``: nodes that prefer each other merge into the smaller one.
+def _node_table(edges: DataFrame) -> DataFrame:
+    """``a, c, k``: every node alone, with its weighted degree. ``edges`` has both directions (``a, b, w``)."""
+    return edges.groupBy("a").agg(F.sum("w").alias("k")).select("a", F.col("a").alias("c"), "k")
+
 
-    A node prefers the neighbour of the largest weight over the product of the
-    degrees, the larger name on ties. Returns the merged edges (loops kept, they
-    are weight inside a node) and the map ``node, to`` of the nodes that went.
+def _chosen(links: DataFrame, nodes: DataFrame, m2: float) -> DataFrame:
+    """``a, to``: for each node the community of the largest modularity gain, where that beats its own.
+
+    ``links``: ``a, own, k, c, w``, the weight from node ``a`` to community
+    ``c``; a row for its own community is there even without weight. Ties go to
+    the least name.
     """
-    ends = edges.where("a <> b").select("a", "b", "w").unionAll(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
-    degree = edges.select("a", "w").unionAll(edges.select("b", "w")).groupBy(F.col("a").alias("n")).agg(F.sum("w").alias("d"))
-    scored = ends.join(degree.select(F.col("n").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("n").alias("b"), F.col("d").alias("db")), "b")
-    best = scored.groupBy("a").agg(F.max(F.struct((F.col("w") / F.col("da") / F.col("db")).alias("s"), "b"))["b"].alias("best"))
-    best = materialize(best, "coarse-best")
-    back = best.select(F.col("a").alias("best"), F.col("best").alias("back"))
-    pairs = materialize(best.join(back, "best").where("back = a and best < a").select(F.col("a").alias("node"), F.col("best").alias("to")), "coarse-map")
-    moved = edges
-    for end in ("a", "b"):
-        moved = moved.join(pairs.select(F.col("node").alias(end), "to"), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-    merged = moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").groupBy("a", "b").agg(F.sum("w").alias("w"))
-    return materialize(merged, "coarse-edges"), pairs
-
-
-def detect_communities(edges: DataFrame, seed: int = 42, most_edges: int = 1_000_000) -> DataFrame:
-    """``id, level, community``: Leiden levels, 0 the coarsest; communities are named by their least member.
-
-    Modularity communities never span components, so each component is one group
-    and carries the whole graph's edge count. While a component has more than
-    ``most_edges`` edges, nodes that prefer each other are merged first, by
-    joins; the last step then works on that smaller weighted graph in one task,
-    and merged nodes share their node's communities.
+    totals = nodes.groupBy("c").agg(F.sum("k").alias("total"))
+    seen = links.groupBy("a", "own", "k", "c").agg(F.sum("w").alias("w")).join(totals, "c", "left")
+    rest = F.coalesce("total", F.lit(0.0)) - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
+    gains = seen.withColumn("gain", F.col("w") - rest * F.col("k") / m2)
+    best = gains.groupBy("a").agg(F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"), F.min(F.when(F.col("c") != F.col("own"), F.struct((-F.col("gain")).alias("less"), "c"))).alias("best"))
+    return best.where(-F.col("best.less") > F.col("stay") + 1e-12).select("a", F.col("best.c").alias("to"))
+
+
+def _links(edges: DataFrame, movers: DataFrame, targets: DataFrame) -> DataFrame:
+    """Weights from movers (``a, own, k``) to the communities of their neighbours among ``targets`` (``b, c``), and a row for their own."""
+    return edges.join(movers, "a").join(targets, "b").select("a", "own", "k", "c", "w").unionByName(movers.select("a", "own", "k", F.col("own").alias("c"), F.lit(0.0).alias("w")))
+
+
+def _turn(nodes: DataFrame, seed: int, turn: int) -> DataFrame:
+    """The half of the nodes whose turn it is; every turn draws anew, so no two neighbours keep swapping."""
+    return nodes.where(F.pmod(F.xxhash64("a", F.lit(seed), F.lit(turn)), F.lit(2)) == 0)
+
+
+def _with_moves(nodes: DataFrame, moves: DataFrame) -> DataFrame:
+    return nodes.join(moves, "a", "left").select("a", F.coalesce("to", "c").alias("c"), "k", F.col("to").isNotNull().alias("moved"))
+
+
+def _move(edges: DataFrame, nodes: DataFrame, m2: float, seed: int, most_turns: int) -> tuple[DataFrame, bool]:
+    """Local moving, half of the nodes a turn, until two turns on end move at most one node in 200; and whether more than that moved at all."""
+    n, quiet, total = nodes.count(), 0, 0
+    for turn in range(most_turns):
+        movers = _turn(nodes, seed, turn).select("a", F.col("c").alias("own"), "k")
+        moves = _chosen(_links(edges, movers, nodes.select(F.col("a").alias("b"), "c")), nodes, m2)
+        after = materialize(_with_moves(nodes.select("a", "c", "k"), moves), "leiden-nodes")
+        discard(nodes)
+        nodes, moved = after, after.where("moved").count()
+        total += moved
+        quiet = quiet + 1 if moved <= n // 200 else 0
+        if quiet == 2:
+            break
+    return nodes, total > n // 200
+
+
+def _refine(edges: DataFrame, nodes: DataFrame, m2: float, seed: int, turns: int) -> DataFrame:
+    """``a, c, k, sub``: inside each community, nodes that are alone join a neighbour's part if that gains.
+
+    Only nodes alone move, to parts of nodes that keep still in that turn, so
+    every part is connected.
     """
-    pairs = graph.projection(edges)
-    m2 = 2.0 * pairs.count()
-    labels = connected_components(pairs).withColumnRenamed("node", "a")
-    weighted = pairs.withColumn("w", F.lit(1.0))
-    members = labels.select(F.col("a").alias("id"), F.col("a").alias("node"))
-    for _ in range(60):
-        if not weighted.join(labels, "a").groupBy("component").count().where(F.col("count") > most_edges).limit(1).count():
+    placed = nodes.select("a", F.col("c").alias("home"), "k", F.col("a").alias("c"))
+    inner = edges.join(nodes.select("a", F.col("c").alias("ca")), "a").join(nodes.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b").where("ca = cb").select("a", "b", "w")
+    inner = materialize(inner, "leiden-inner")
+    for turn in range(turns):
+        alone = placed.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("c")
+        movers = materialize(_turn(placed.join(alone, "c", "left_semi"), seed + 1, turn).select("a", F.col("c").alias("own"), "k"), "leiden-movers")
+        still = placed.join(movers.select("a"), "a", "left_anti").select(F.col("a").alias("b"), "c")
+        moves = _chosen(_links(inner, movers, still), placed, m2)
+        after = materialize(placed.join(moves, "a", "left").select("a", "home", "k", F.coalesce("to", "c").alias("c")), "leiden-parts")
+        discard(placed, movers)
+        placed = after
+    discard(inner)
+    return placed.select("a", F.col("home").alias("c"), "k", F.col("c").alias("sub"))
+
+
+def detect_communities(edges: DataFrame, seed: int = 42, most_levels: int = 10, most_turns: int = 12, refine_turns: int = 3) -> DataFrame:
+    """``id, level, community``: levels of the Leiden procedure, 0 the coarsest; communities are named by their least member.
+
+    Local moving, refinement and aggregation are joins and aggregations at every
+    size: no step gathers a community or a component in one task. Half of the
+    nodes, drawn anew each turn, move at once to the neighbouring community of
+    the largest modularity gain; refinement splits communities into connected
+    parts, which are the nodes of the next level. At the end single nodes move
+    once more between the coarsest communities. Loops and repeated edges do
+    not count; an empty table gives no rows.
+    """
+    pairs = graph.projection(edges).select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
+    both = pairs.select("a", "b", F.lit(1.0).alias("w")).union(pairs.select("b", "a", F.lit(1.0)))
+    both = materialize(both, "leiden-edges")
+    m2 = float(both.count())
+    nodes = materialize(_node_table(both), "leiden-nodes")
+    members = materialize(nodes.select(F.col("a").alias("id"), "a"), "leiden-members")
+    base, degrees = both, materialize(nodes.select("a", "k"), "leiden-degrees")
+    found = []
+    for level in range(most_levels):
+        nodes, moved = _move(both, nodes, m2, seed + 1000 * level, most_turns)
+        found.append(materialize(members.join(nodes.select("a", "c"), "a").select("id", F.col("c").alias("group")), "leiden-level"))
+        if not moved:
             break
-        merged, step = _coarser(weighted)
-        if step.isEmpty():
+        parts = _refine(both, nodes, m2, seed + 1000 * level, refine_turns)
+        parts = materialize(parts, "leiden-parts")
+        of = parts.select("a", "sub")
+        fewer = both.join(of, "a").join(of.select(F.col("a").alias("b"), F.col("sub").alias("other")), "b").where("sub <> other").groupBy(F.col("sub").alias("a"), F.col("other").alias("b")).agg(F.sum("w").alias("w"))
+        fewer = materialize(fewer, "leiden-edges")
+        # a part starts in the community that it was split from
+        grown = parts.groupBy(F.col("sub").alias("a"), "c").agg(F.sum("k").alias("k"))
+        grown = materialize(grown, "leiden-nodes")
+        members = materialize(members.join(of, "a").select("id", F.col("sub").alias("a")), "leiden-members")
+        small = grown.count() == nodes.count()
+        discard(both if both is not base else None, nodes, parts)
+        both, nodes = fewer, grown
+        if small:
             break
-        members = members.join(step, "node", "left").select("id", F.coalesce("to", "node").alias("node"))
-        weighted = merged
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        levels = leiden(list(zip(pdf["a"], pdf["b"], pdf["w"], strict=True)), m2, seed)
-        rows = [(str(x), depth, str(c)) for depth, part in enumerate(reversed(levels)) for x, c in part.items()]
-        return pd.DataFrame(rows, columns=["node", "level", "group"]).astype({"level": "int32"})
-
-    found = weighted.join(labels, "a").groupBy("component").applyInPandas(lambda key, pdf: run(pdf).assign(component=str(key[0])), "node string, level int, group string, component string")
-    placed = found.join(members.select(F.col("id").cast("string").alias("id"), F.col("node").cast("string").alias("node")), "node")
-    names = placed.groupBy("component", "level", "group").agg(F.min("id").alias("community"))
-    return placed.join(names, ["component", "level", "group"]).select("id", "level", "community")
-
-
-def detect_incrementally(edges: DataFrame, old: DataFrame, changed: DataFrame, seed: int = 42) -> DataFrame:
-    """``id, community`` after a change: the changed nodes and their neighbours are clustered anew, the rest keep theirs."""
-    start = changed.select(F.col(changed.columns[0]).alias("id")).distinct()
-    near = start.union(graph.undirected(edges).join(start, F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id"))).distinct()
-    fresh = detect_communities(graph.induced(edges, near), seed).where("level = 0").select("id", F.concat(F.lit("new:"), "community").alias("community"))
-    return old.select("id", "community").join(fresh.select("id"), "id", "left_anti").unionByName(fresh)
+    # single nodes may still gain by leaving what their part was moved to
+    coarse = materialize(found.pop().select(F.col("id").alias("a"), F.col("group").alias("c")).join(degrees, "a"), "leiden-nodes")
+    nodes, _ = _move(base, coarse, m2, seed - 1, most_turns)
+    found.append(nodes.select(F.col("a").alias("id"), F.col("c").alias("group")))
+    discard(base, degrees)
+    last = len(found) - 1
+    levels = None
+    for i, part in enumerate(found):
+        named = part.groupBy("group").agg(F.min("id").alias("community"))
+        rows = part.join(named, "group").select("id", F.lit(last - i).cast("int").alias("level"), "community")
+        levels = rows if levels is None else levels.unionByName(rows)
+    return levels
+
+
+def detect_incrementally(edges: DataFrame, old: DataFrame, changed: DataFrame, seed: int = 42, most_cycles: int = 8) -> DataFrame:
+    """``id, community`` after a change, by delta screening.
+
+    ``edges`` is the graph as it is now, ``old`` (``id, community``) the stored
+    communities, ``changed`` the nodes whose edges came, went or are new. Only
+    nodes whose gain can have changed are looked at: the changed ones, their
+    neighbours, then the neighbours of whatever moved. A node may also leave
+    for a community of its own. Nodes without a stored community start alone;
+    nodes that have no edge any more keep theirs; communities that no move
+    touches keep their names.
+    """
+    pairs = graph.projection(edges).select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
+    both = materialize(pairs.select("a", "b", F.lit(1.0).alias("w")).union(pairs.select("b", "a", F.lit(1.0))), "delta-edges")
+    m2 = float(both.count())
+    stored = old.select(F.col("id").cast("string").alias("a"), F.col("community").cast("string").alias("community")).dropDuplicates(["a"])
+    degrees = both.groupBy("a").agg(F.sum("w").alias("k"))
+    nodes = materialize(degrees.join(stored, "a", "full").select("a", F.coalesce("community", F.concat(F.lit("new:"), "a")).alias("c"), F.coalesce("k", F.lit(0.0)).alias("k")), "delta-nodes")
+    touched = changed.select(F.col(changed.columns[0]).cast("string").alias("a")).distinct()
+    looked = materialize(_around(touched, both), "delta-looked")
+    for cycle in range(most_cycles):
+        moved = []
+        for half in (0, 1):
+            turn = F.pmod(F.xxhash64("a", F.lit(seed), F.lit(cycle)), F.lit(2)) == half
+            movers = nodes.join(looked, "a", "left_semi").where(turn).select("a", F.col("c").alias("own"), "k")
+            links = _links(both, movers, nodes.select(F.col("a").alias("b"), "c"))
+            alone = movers.select("a", "own", "k", F.concat(F.lit("new:"), "a").alias("c"), F.lit(0.0).alias("w"))
+            after = materialize(_with_moves(nodes.select("a", "c", "k"), _chosen(links.unionByName(alone), nodes, m2)), "delta-nodes")
+            discard(nodes)
+            nodes = after
+            moved.append(materialize(nodes.where("moved").select("a"), "delta-moved"))
+        further = materialize(_around(moved[0].union(moved[1]).distinct(), both), "delta-looked")
+        discard(looked, *moved)
+        looked = further
+        if looked.isEmpty():
+            break
+    return nodes.select(F.col("a").alias("id"), F.col("c").alias("community"))
+
+
+def _around(nodes: DataFrame, both: DataFrame) -> DataFrame:
+    """The nodes (``a``) and their neighbours."""
+    return nodes.union(both.join(nodes, "a", "left_semi").select(F.col("b").alias("a"))).distinct()
 
 
 def assignments(levels: DataFrame) -> DataFrame:
