@@ -69,9 +69,11 @@ def containments(needles: DataFrame, hay: DataFrame) -> DataFrame:
 
     A needle of three characters or more meets the texts by the rarest of its
     trigrams, which any text around it has; a shorter one by itself. The meeting
-    is an equi-join and is then verified.
+    is an equi-join and is then verified. Texts are cut into pieces of one and
+    two characters only if a needle is that short.
     """
-    grams = hay.select("hay", F.explode(F.concat(*(_grams(F.col("hay"), n) for n in (1, 2, 3)))).alias("gram"))
+    short = not needles.where("length(needle) between 1 and 2").isEmpty()
+    grams = hay.select("hay", F.explode(F.concat(*(_grams(F.col("hay"), n) for n in ((1, 2, 3) if short else (3,))))).alias("gram"))
     seen = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     own = needles.where("needle <> ''").select("needle", F.explode(F.when(F.length("needle") < 3, F.array("needle")).otherwise(_grams(F.col("needle"), 3))).alias("gram"))
     rarest = own.join(seen, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))["gram"].alias("gram"))

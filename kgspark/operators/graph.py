@@ -94,12 +94,10 @@ def boundary(edges: DataFrame, membership: DataFrame, a, b, examples: int = 10)
     left = membership.where(F.col("community") == a).select(F.col("id").alias("src"))
     right = membership.where(F.col("community") == b).select(F.col("id").alias("dst"))
     cross = undirected(edges).join(left, "src").join(right, "dst")
-    return cross.agg(
-        F.count_distinct("src").alias("n_left"),
-        F.count_distinct("dst").alias("n_right"),
-        F.count(F.lit(1)).alias("n_paths"),
-        F.slice(F.array_sort(F.collect_set(F.concat_ws("-", "src", "dst"))), 1, examples).alias("examples"),
-    )
+    counts = cross.agg(F.count_distinct("src").alias("n_left"), F.count_distinct("dst").alias("n_right"), F.count(F.lit(1)).alias("n_paths"))
+    # a top-k before the list: the row never holds more than the examples
+    first = cross.select(F.concat_ws("-", "src", "dst").alias("pair")).distinct().orderBy("pair").limit(examples)
+    return counts.join(first.agg(F.array_sort(F.collect_list("pair")).alias("examples")))
 
 
 def between_communities(edges: DataFrame, membership: DataFrame) -> DataFrame:

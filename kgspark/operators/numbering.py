@@ -7,7 +7,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgspark.runtime import materialize
+from kgspark.runtime import discard, materialize
 
 
 def numbered(rows: DataFrame, order: list[str], name: str = "r") -> DataFrame:
@@ -15,15 +15,19 @@ def numbered(rows: DataFrame, order: list[str], name: str = "r") -> DataFrame:
 
     Rows are range-partitioned by ``order``, numbered inside each partition and
     moved up by the counts of the partitions before: one number a partition is
-    all that the driver sees.
+    all that the driver sees. Equal rows are told apart by a number of their
+    own, which is written first, so a value that most rows have is spread over
+    many partitions.
     """
-    part = f"part_{uuid4().hex}"
-    placed = materialize(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "numbered")
+    part, own = f"part_{uuid4().hex}", f"own_{uuid4().hex}"
+    marked = materialize(rows.withColumn(own, F.monotonically_increasing_id()), "numbered")
+    placed = materialize(marked.repartitionByRange(*order, own).withColumn(part, F.spark_partition_id()), "numbered")
+    discard(marked)
     counts = {r[part]: r["count"] for r in placed.groupBy(part).count().collect()}
     before, total = [], 0
     for p in range(max(counts, default=-1) + 1):
         before.append(total)
         total += counts.get(p, 0)
     first = F.split(F.lit(",".join(map(str, before or [0]))), ",").cast("array<long>")
-    inside = F.row_number().over(Window.partitionBy(part).orderBy(*order))
-    return placed.withColumn(name, F.element_at(first, F.col(part) + 1) + inside).drop(part)
+    inside = F.row_number().over(Window.partitionBy(part).orderBy(*order, own))
+    return placed.withColumn(name, F.element_at(first, F.col(part) + 1) + inside).drop(part, own)

@@ -17,6 +17,8 @@ GRAPH_FIELD, GRAPH_END = "|||", "<COMPLETE>"
 CLAIM_FIELD, CLAIM_RECORD, CLAIM_END = "<|>", "##", "<|COMPLETE|>"
 RECORD = "kind string, name string, type string, target string, description string, confidence double, strength double"
 
+CLAIM = "subject string, object string, claim_type string, status string, start_date string, end_date string, description string, source_text string"
+
 
 def graph_records(reply: str) -> Iterator[tuple]:
     """Records of a graph reply: (kind, name, type, target, description, confidence, strength).
@@ -80,6 +82,18 @@ def parse_graph_lines(replies: DataFrame, id_col: str = "chunk_id", reply_col: s
     )
 
 
+def claim_records(reply: str) -> Iterator[tuple]:
+    """``seq`` and the eight fields of each claim of a reply, as ``parse_claims`` reads them."""
+    for seq, record in enumerate(reply.split(CLAIM_END)[0].split(CLAIM_RECORD)):
+        if "(" not in record or CLAIM_FIELD not in record:
+            continue
+        inner = re.search(r"\((.*?)\)?\s*$", record, re.DOTALL | re.ASCII)[1]
+        f = [x.strip(" ") for x in inner.split(CLAIM_FIELD)]
+        if len(f) >= 8:
+            start, end = (x if x.upper() != "NONE" else None for x in f[4:6])
+            yield seq, f[0], f[1], f[2].upper(), f[3].upper(), start, end, f[6], f[7]
+
+
 def parse_claims(replies: DataFrame, id_col: str = "chunk_id", reply_col: str = "reply") -> DataFrame:
     """Claims of eight fields; fewer are rejected, NONE dates are null, a missing ``)`` is tolerated."""
     body = F.substring_index(F.col(reply_col), CLAIM_END, 1)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.operators import analytics, beam, build, globalqa, graph, incremental, rank, reason, scoring
+from kgspark.operators.chunking import ChunkSettings
 from kgspark.operators.numbering import numbered
-from kgspark.runtime import materialize, table
+from kgspark.runtime import materialize, scratch_dir, table
+from kgspark.sources.tables import TableStore
 from kgspark.streaming import events as stream
+from kgspark.streaming import ingest
 
 from .base import STAR_SQL, Registry, Star
 from .star import TOP5, _top5
@@ -265,6 +270,19 @@ def glb1b(spark: SparkSession, d: str) -> DataFrame:
     return parts.select("batch", "summary", F.round("score", 6).alias("score"))
 
 
+def adding_client():  # noqa: ANN201
+    """Offline stand-in for a client whose answer shows that no partial answer was lost: the sum of the numbers it reads."""
+    import re
+
+    return lambda asked: str(sum(map(int, re.findall(r"\d+", asked))))
+
+
+@query("glb1_reduce_by_rounds", "SELECT CAST(sum(c_custkey) AS VARCHAR) AS answer, count(*) AS n_parts, 0::BIGINT AS n_errors FROM customer", prelude=False)
+def glb1c(spark: SparkSession, d: str) -> DataFrame:
+    parts = table(spark, d, "customer").select(F.col("c_custkey").alias("place"), F.col("c_custkey").cast("string").alias("summary"))
+    return globalqa.reduce_by_rounds(parts, "how much is it", adding_client, budget=100, spacing=0.0).select("answer", "n_parts", "n_errors")
+
+
 @query("glb2_routes", """SELECT item_id, CASE WHEN regexp_matches(lower(text), '\\b(overall|summar\\w*|themes?|trends?|overview)\\b') THEN 'global' WHEN regexp_matches(lower(text), '\\b(why|how|relat\\w*|connect\\w*|between|path)\\b') THEN 'tog'
 WHEN regexp_matches(lower(text), '\\b(who|what|where|when|which)\\b') THEN 'local' ELSE 'hybrid' END AS route FROM benchmark""", prelude=False)
 def glb2(spark: SparkSession, d: str) -> DataFrame:
@@ -385,6 +403,20 @@ def inc2(spark: SparkSession, d: str) -> DataFrame:
     return build.upsert_entities(left["entities"], found).select("id", "name", "type", "mention_count")
 
 
+@query("inc2_ingest_batches", "SELECT CAST(item_id AS VARCHAR) AS id, CASE WHEN item_id % 3 = 0 THEN 2 ELSE 1 END AS version, 'completed' AS status FROM benchmark", prelude=False)
+def inc2b(spark: SparkSession, d: str) -> DataFrame:
+    """The benchmark texts as uploads, then again with every third one changed; the second batch comes twice."""
+    store = TableStore(spark, f"{scratch_dir(spark)}/kgspark/store-{uuid4().hex}", ingest.SCHEMAS)
+    texts = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.concat(F.lit("/"), "item_id", F.lit(".md")).alias("path"), "item_id", "text")
+    hashed = lambda x: x.select("id", "path", "text", F.sha2("text", 256).alias("content_hash"))
+    again = texts.withColumn("text", F.when(F.col("item_id") % 3 == 0, F.concat("text", F.lit(" Zed met Yan."))).otherwise(F.col("text")))
+    run = ingest.Ingest(store, settings=ChunkSettings(least=1))
+    for number, batch in enumerate((texts, again)):
+        run(hashed(batch), number)
+    run(hashed(again), 1)
+    return store.read("documents").select("id", "version", "status")
+
+
 # query log and conversations
 
 

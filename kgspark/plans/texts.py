@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgspark.functions import tables
 from kgspark.functions import text as T
 from kgspark.operators import chunking, extraction, parse
 from kgspark.runtime import table
@@ -207,11 +208,37 @@ def ext1b(spark: SparkSession, d: str) -> DataFrame:
     return parse.parse_graph_replies(_graph_replies(spark, d))
 
 
-@query("ext2_parse_claims", "SELECT CAST(o_orderkey AS VARCHAR) AS chunk_id, CAST(0 AS INTEGER) AS seq, 'C' || o_custkey AS subject, 'NONE' AS object, 'ORDER' AS claim_type, o_orderstatus AS status, NULL AS start_date, '2024-01-01' AS end_date, o_orderpriority AS description, 'row' AS source_text FROM orders")
-def ext2(spark: SparkSession, d: str) -> DataFrame:
+EXT2 = "SELECT CAST(o_orderkey AS VARCHAR) AS chunk_id, CAST(0 AS INTEGER) AS seq, 'C' || o_custkey AS subject, 'NONE' AS object, 'ORDER' AS claim_type, o_orderstatus AS status, NULL AS start_date, '2024-01-01' AS end_date, o_orderpriority AS description, 'row' AS source_text FROM orders"
+
+
+def _claim_replies(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     line = "(C%s<|>NONE<|>order<|>%s<|>NONE<|>2024-01-01<|>%s<|>row)\n##\n(too<|>short)\n<|COMPLETE|>"
-    return parse.parse_claims(o.select(F.col("o_orderkey").cast("string").alias("chunk_id"), F.format_string(line, "o_custkey", "o_orderstatus", "o_orderpriority").alias("reply")))
+    return o.select(F.col("o_orderkey").cast("string").alias("chunk_id"), F.format_string(line, "o_custkey", "o_orderstatus", "o_orderpriority").alias("reply"))
+
+
+@query("ext2_parse_claims", EXT2)
+def ext2(spark: SparkSession, d: str) -> DataFrame:
+    return parse.parse_claims(_claim_replies(spark, d))
+
+
+@query("ext1_graph_tuples_in_sql", EXT1)
+def ext1c(spark: SparkSession, d: str) -> DataFrame:
+    """From SQL, by the registered table function."""
+    tables.register(spark)
+    return spark.sql("SELECT r.chunk_id, g.* FROM {r} r, LATERAL parse_graph_tuples(r.reply) g", r=_graph_replies(spark, d))
+
+
+@query("ext2_claims_in_sql", EXT2)
+def ext2b(spark: SparkSession, d: str) -> DataFrame:
+    tables.register(spark)
+    return spark.sql("SELECT r.chunk_id, c.* FROM {r} r, LATERAL parse_claims(r.reply) c", r=_claim_replies(spark, d))
+
+
+@query("txt4_chunks_in_sql")
+def txt4c(spark: SparkSession, d: str) -> DataFrame:
+    tables.register(spark)
+    return spark.sql("SELECT d.doc_id, c.* FROM {d} d, LATERAL chunk_text(d.text) c", d=_docs(spark, d))
 
 
 @query("ext3_gleaning")

@@ -72,3 +72,25 @@ def test_remains_hold_exactly_the_near_pairs(spark):
         of[r["n2"]] += 1
     assert all(of[a] == sum(edits(a, b) <= 2 for b in names if b != a) for a in names[::200])
     assert all(edits(r["n1"], r["n2"]) <= 2 for r in random.Random(1).sample(pairs, 200))
+
+
+def test_one_value_is_numbered_in_many_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from kgspark.operators import numbering
+
+    rows = spark.range(40_000).select(F.when(F.col("id") % 100 == 0, F.col("id")).otherwise(-1).alias("v"))
+    out = numbering.numbered(rows, ["v"])
+    assert sorted(r["r"] for r in out.select("r").collect()) == list(range(1, 40_001))
+    assert out.where("v >= 0").agg(F.min("r")).first()[0] == 39_601
+    files = out.select(F.input_file_name().alias("f")).groupBy("f").count().collect()
+    assert max(r["count"] for r in files) < 20_000
+
+
+def test_no_broadcast_hint_on_tables_that_grow(spark):
+    from kgspark.operators import reason
+
+    edges = spark.createDataFrame([("a", "b", "k", 1.0)], "src string, dst string, rel_key string, confidence double")
+    front = spark.createDataFrame([("a",)], "id string")
+    plan = reason.relation_statistics(edges, front)._jdf.queryExecution().logical().toString()
+    assert "ResolvedHint" not in plan and "UnresolvedHint" not in plan
