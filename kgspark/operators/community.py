@@ -131,9 +131,10 @@ def detect_communities(edges: DataFrame, seed: int = 42, most_levels: int = 10,
     Local moving, refinement and aggregation are joins and aggregations at every
     size: no step gathers a community or a component in one task. A part of the
     nodes, drawn anew and smaller from turn to turn, moves at once to the
-    neighbouring communities of the largest modularity gain; a level that
-    gains less than ``least_gain`` is the last. Refinement splits communities into connected
-    parts, which are the nodes of the next level. At the end single nodes move
+    neighbouring communities of the largest modularity gain. Refinement splits
+    communities into connected parts, which are the nodes of the next round. It
+    ends when communities are single nodes and moving gains less than
+    ``least_gain``; only rounds that gain are levels. At the end single nodes move
     once more between the coarsest communities. Loops and repeated edges do
     not count; an empty table gives no rows.
     """
@@ -147,8 +148,10 @@ def detect_communities(edges: DataFrame, seed: int = 42, most_levels: int = 10,
     found = []
     for level in range(most_levels):
         nodes, gained = _move(both, nodes, m2, seed + 1000 * level, most_turns)
-        found.append(materialize(members.join(nodes.select("a", "c"), "a").select("id", F.col("c").alias("group")), "leiden-level"))
-        if gained < least_gain:
+        if gained >= least_gain or not found:
+            found.append(materialize(members.join(nodes.select("a", "c"), "a").select("id", F.col("c").alias("group")), "leiden-level"))
+        # parts of one community may still have to become one node before communities can join
+        if gained < least_gain and nodes.count() == nodes.select("c").distinct().count():
             break
         parts = _refine(both, nodes, m2, seed + 1000 * level, refine_turns)
         parts = materialize(parts, "leiden-parts")
