@@ -245,7 +245,8 @@ def encode_documents(spark: SparkSession, docs: DataFrame, ranks_path: str, patt
 
     Null text counts as empty: no ids, and hashes of nothing. Null ids and
     repeated rows pass through, one row out for each row in; an empty table gives
-    an empty result. Other columns are not carried, so their names cannot clash.
+    an empty result. Very long texts are read whole. Other columns are not
+    carried, so their names cannot clash.
     The codec is as large as the tokenizer file, and is broadcast.
     """
     held = common.broadcast(spark, codec(ranks_path, pattern))

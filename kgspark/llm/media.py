@@ -289,7 +289,8 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Every text as stored media: ``doc_id, n_bytes, media, declared``.
 
     Null text counts as empty. One row for each row in; nulls in other columns,
-    repeated rows and clashing names of further columns do not matter.
+    repeated rows and clashing names of further columns do not matter. Very long
+    texts are stored whole; an empty table gives no rows.
     """
 
     def run(cols: dict[str, list]) -> dict[str, list]:

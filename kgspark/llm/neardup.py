@@ -396,7 +396,8 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), id_col: str = "do
     hold the class's least (id, node), which more than one row does only if rows
     repeat. Texts without words (null, empty, blank) link to nothing and are
     their own class. A null id sorts last and gives a null class_id if the whole
-    class has none. Other columns are not carried.
+    class has none. Very long texts are read whole, an empty table gives no rows.
+    Other columns are not carried, so their names cannot clash.
     """
     return _marked(docs, s, id_col)[0]
 

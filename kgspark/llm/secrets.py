@@ -118,7 +118,9 @@ def find_secrets(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
 
     One row out for each row in. Null text counts as empty: zero counts and no
     spans. Null ids and repeated rows pass through; equal texts give equal
-    values; other columns are not carried. Offsets are code points, ends exclusive.
+    values; other columns are not carried, so their names cannot clash. Very long
+    texts are read whole, an empty table gives no rows. Offsets are code points,
+    ends exclusive.
     """
     base = [k for k, r in enumerate(RULES) if r.base]
 

@@ -414,7 +414,9 @@ def score_documents(spark: SparkSession, docs: DataFrame, settings: Settings = S
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score``, one row for each row in, repeated rows included. Null text is the
     empty text (its end mark only); a null id counts as the empty text in the
-    fold. Without training texts every token has probability 1 / (0 + 0 + 1).
+    fold. Without training texts every token has probability 1 / (0 + 0 + 1). Very
+    long texts are read whole, an empty table gives no rows, and other columns are
+    not read, so their names cannot clash.
     ``docs`` is read once a level and once for the scores, and rows are told apart
     by their place in it: pass a stored table, not a plan that shuffles.
     """

@@ -373,7 +373,9 @@ def score_documents(spark: SparkSession, docs: DataFrame, model: Model, cut: flo
 
     ``predicted`` is score >= ``cut``; ``rejected`` uses the threshold calibrated
     for the row's language, which never enters the score. Null and empty texts
-    are scored as padding only. One row for each row in, repeated rows included.
+    are scored as padding only. One row for each row in, repeated rows included,
+    null ids pass through, very long texts are read whole, and an empty table gives
+    no rows. Other columns are not carried, so their names cannot clash.
     """
     held = common.broadcast(spark, model)
 

@@ -135,7 +135,9 @@ def count_tokens(spark: SparkSession, docs: DataFrame, model: str | list[tuple[s
 
     ``model``: a sentencepiece file, or a vocabulary as ``read_unigram`` gives.
     One row out for each row in. Null and empty texts have no tokens and score
-    0. Null ids and repeated rows pass through; other columns are not carried.
+    0. Null ids and repeated rows pass through; other columns are not carried, so
+    their names cannot clash. Very long texts are read whole, an empty table gives
+    no rows.
     Scores of a text are the sums of its words' scores, left to right. The
     vocabulary is as large as the tokenizer file, and is broadcast.
     """

@@ -181,7 +181,8 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, order: int =
     The longest fitting rule decides; else the model, fitted on the rows that
     rules decide. Null URLs and URLs without ``://`` have empty host and path and
     are judged by the model (a null URL as the empty text, score 0). Null ids,
-    repeated rows and an empty table pass through; other columns are not carried.
+    repeated rows and an empty table pass through; other columns are not carried,
+    so their names cannot clash. Very long URLs are read whole.
     """
     url = F.col("url")
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))

@@ -418,3 +418,7 @@ def test_no_threshold_without_precision():
     p, t = rng.random(400), (np.arange(400) % 5 == 0).astype(float)
     assert best_threshold(np.full(400, 0.6), t, np.ones(400)) > 1
     assert best_threshold(np.where(t == 1, 0.9, p * 0.5), t, np.ones(400)) < 0.9
+
+
+def test_media_of_an_empty_table(spark):
+    assert media.inspect_media(media.encode_media(odd_docs(spark).where("false"))).count() == 0
