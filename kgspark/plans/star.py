@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.functions import text as T
 from kgspark.operators import build, community, graph, incremental, resolve, viz
 from kgspark.operators.components import connected_components
-from kgspark.runtime import materialize
+from kgspark.runtime import materialize, scratch_dir
+from kgspark.sources import export
 
 from .base import STAR_SQL, Registry, Star
 
@@ -86,6 +89,16 @@ def snk1(spark: SparkSession, d: str) -> DataFrame:
     return export_graph(g.entities(), g.relationships())
 
 
+@query("snk1_export_round_trip", f"{ALL_NODES} UNION ALL SELECT rel_label, src || '>' || dst FROM rel")
+def snk1b(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes and relationships written as an export and read back from it."""
+    g = Star(spark, d)
+    folder = f"{scratch_dir(spark)}/kgspark/export-{uuid4().hex}"
+    export.write_export(_nodes(g), g.relationships(), folder)
+    back = export.read_export(spark, folder)
+    return back["nodes"].select("label", "id").unionAll(back["relationships"].select("rel_label", F.concat("src", F.lit(">"), "dst")))
+
+
 @query("snk2_upsert_embeddings", """SELECT vec_id, label + 100 AS label FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id, label FROM embeddings WHERE vec_id % 3 <> 0""", prelude=False)
 def snk2(spark: SparkSession, d: str) -> DataFrame:
     old = Star(spark, d).t("embeddings").select("vec_id", "label")
