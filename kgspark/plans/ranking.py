@@ -12,8 +12,8 @@ from kgspark.operators.chunking import ChunkSettings
 from kgspark.operators.numbering import numbered
 from kgspark.runtime import materialize, scratch_dir, table
 from kgspark.sources.tables import TableStore
+from kgspark.streaming import cache, ingest
 from kgspark.streaming import events as stream
-from kgspark.streaming import ingest
 
 from .base import STAR_SQL, Registry, Star
 from .star import TOP5, _top5
@@ -385,6 +385,32 @@ def inc4(spark: SparkSession, d: str) -> DataFrame:
     return ResultCache(ttl_seconds=300).live(log, F.lit("2024-01-30 23:58:00").cast("timestamp_ntz")).select("id")
 
 
+ENTRIES = """ev AS (SELECT CAST(user_id AS VARCHAR) AS key, CASE WHEN event_id % 10 = 0 THEN 'write' ELSE 'put' END AS op, event_type AS value, ts AS t0 FROM events),
+nx AS (SELECT *, lead(t0) OVER w AS next_at, lead(op) OVER w AS next_op, t0 + INTERVAL 1 HOUR AS expiry FROM ev WINDOW w AS (PARTITION BY key ORDER BY t0, op, value)),
+en AS (SELECT key, value, t0 AS stored_at, least(expiry, coalesce(next_at, expiry)) AS ended_at, CASE WHEN coalesce(next_at, expiry) >= expiry THEN 'expired' WHEN next_op = 'put' THEN 'replaced' ELSE 'purged' END AS why FROM nx WHERE op = 'put'),
+shown AS (SELECT key, value, epoch_us(stored_at) AS stored_at, epoch_us(ended_at) AS ended_at, why FROM en WHERE ended_at > stored_at)"""
+
+
+def _cache_events(events: DataFrame) -> DataFrame:
+    """Every event stores a value under its user; every tenth changes what the user's entry came from."""
+    return events.select(F.col("user_id").cast("string").alias("key"), F.when(F.col("event_id") % 10 == 0, "write").otherwise("put").alias("op"), F.col("event_type").alias("value"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+def _in_micros(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.unix_micros(c) for c in ("stored_at", "ended_at")})
+
+
+@query("inc4_cache_entries", f"WITH {ENTRIES} SELECT * FROM shown", prelude=False)
+def inc4b(spark: SparkSession, d: str) -> DataFrame:
+    return _in_micros(cache.entries(_cache_events(table(spark, d, "events")), 3600))
+
+
+@query("inc4_cache_stream", f"WITH {ENTRIES} SELECT * FROM shown WHERE (why = 'expired' AND ended_at <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 600000000 FROM events)) OR (why <> 'expired' AND ended_at < (SELECT epoch_us(max(ts)) // 1000 * 1000 - 600000000 FROM events))", prelude=False)
+def inc4c(spark: SparkSession, d: str) -> DataFrame:
+    """The entries whose end the stream is sure of once all events are in: those that ended before the last watermark."""
+    return _in_micros(stream.run_available(cache.entry_stream(_cache_events(stream.read_events(spark, d)), 3600), f"cache_{uuid4().hex}"))
+
+
 @query("inc5_look_back", "SELECT id FROM log WHERE ts > TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 24 HOUR ORDER BY ts DESC, seq DESC LIMIT 1000")
 def inc5(spark: SparkSession, d: str) -> DataFrame:
     return analytics.look_back(Star(spark, d).log(), F.lit("2024-01-20 12:00:00").cast("timestamp_ntz"), 24).select("id")
