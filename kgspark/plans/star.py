@@ -105,7 +105,7 @@ def snk2(spark: SparkSession, d: str) -> DataFrame:
     return build.upsert_rows(old, old.where("vec_id % 3 = 0").select("vec_id", (F.col("label") + 100).alias("label")), "vec_id")
 
 
-@query("snk3_append_log")
+@query("snk3_append_log", "SELECT * FROM log")
 def snk3(spark: SparkSession, d: str) -> DataFrame:
     from kgspark.sources.files import append_log
 
@@ -584,7 +584,11 @@ def gr13(spark: SparkSession, d: str) -> DataFrame:
     return community.contexts(g.membership(), g.entities(), g.relationships()).select("community", "members")
 
 
-@query("gr14_community_summaries")
+@query("gr14_community_summaries", """WITH r AS (SELECT community, name, row_number() OVER (PARTITION BY community ORDER BY mention_count DESC, id) AS rn FROM mem JOIN e USING (id)),
+people AS (SELECT community, string_agg(name, '; ' ORDER BY rn) AS m FROM r WHERE rn <= 20 GROUP BY community),
+i AS (SELECT x.community, src || ' ' || rel_key || ' ' || dst AS t, row_number() OVER (PARTITION BY x.community ORDER BY confidence DESC, src, dst, rel_key) AS rn FROM rel JOIN mem x ON src = x.id JOIN mem y ON dst = y.id WHERE x.community = y.community),
+rels AS (SELECT community, string_agg(t, '; ' ORDER BY rn) FILTER (rn <= 15) || CASE WHEN least(count(*), 30) > 15 THEN '; and ' || (least(count(*), 30) - 15) || ' more' ELSE '' END AS t FROM i GROUP BY community)
+SELECT CAST(community AS VARCHAR) AS community, left(rtrim('Members: ' || m || chr(10) || 'Relations: ' || coalesce(t, '')), 200) AS summary FROM people LEFT JOIN rels USING (community)""")
 def gr14(spark: SparkSession, d: str) -> DataFrame:
     g = Star(spark, d)
     return community.summarize(community.context_text(community.contexts(g.membership(), g.entities(), g.relationships())))

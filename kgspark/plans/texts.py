@@ -277,7 +277,8 @@ def ext7(spark: SparkSession, d: str) -> DataFrame:
     return extraction.between_known(rel, known)
 
 
-@query("ext8_claims")
+@query("ext8_claims", """SELECT CAST(doc_id AS VARCHAR) AS chunk_id, 0 AS seq, 'doc ' || doc_id AS subject, 'NONE' AS object, 'QUALITY' AS claim_type, CASE WHEN quality = 1 THEN 'TRUE' ELSE 'FALSE' END AS status,
+NULL::VARCHAR AS start_date, NULL::VARCHAR AS end_date, 'label' AS description, 'labels' AS source_text FROM labels""")
 def ext8(spark: SparkSession, d: str) -> DataFrame:
     """Claims from documents' labels, written and read in the claim format."""
     rows = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("chunk_id"), F.format_string("(doc %s<|>NONE<|>quality<|>%s<|>NONE<|>NONE<|>label<|>labels)<|COMPLETE|>", "doc_id", F.when(F.col("quality") == 1, "TRUE").otherwise("FALSE")).alias("reply"))
