@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.functions import text as T
+from kgspark.runtime import shuffled
 
 
 def upsert_entities(existing: DataFrame | None, found: DataFrame) -> DataFrame:
@@ -77,7 +78,7 @@ def containments(needles: DataFrame, hay: DataFrame) -> DataFrame:
     seen = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     own = needles.where("needle <> ''").select("needle", F.explode(F.when(F.length("needle") < 3, F.array("needle")).otherwise(_grams(F.col("needle"), 3))).alias("gram"))
     rarest = own.join(seen, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))["gram"].alias("gram"))
-    return rarest.join(grams, "gram").where(F.contains("hay", "needle")).select("needle", "hay")
+    return rarest.join(shuffled(grams), "gram").where(F.contains("hay", "needle")).select("needle", "hay")
 
 
 def link_names(claims: DataFrame, entities: DataFrame, name_col: str) -> DataFrame:

@@ -106,10 +106,27 @@ def similar_to_all(entities: DataFrame, wanted: DataFrame, threshold: float = 0.
     return out.select("key", "id", "similarity")
 
 
+#: Bars that a search for the best names tries before its own: near names are few and cheap to find.
+BARS = (0.9, 0.85, 0.75)
+
+
+def bars(above: float) -> list[float]:
+    """Falling bars down to ``above``: what has enough names at one needs no lower one, since all others are below it."""
+    return [*(b for b in BARS if b > above), above]
+
+
 def best_matches(entities: DataFrame, wanted: DataFrame, above: float = 0.8, metric=sequence_ratio) -> DataFrame:  # noqa: ANN001
     """``key, id, similarity``: for each name of a table ``key, name`` the most similar entity of any type, strictly above the bar; first by id on ties."""
-    found = similar_to_all(entities, wanted, above, metric, by_type=False).where(F.col("similarity") > above)
-    best = found.groupBy("key").agg(F.min(F.struct((-F.col("similarity")).alias("less"), "id")).alias("best"))
+    first = F.min(F.struct((-F.col("similarity")).alias("less"), "id")).alias("best")
+    left, out = wanted, None
+    for bar in bars(above):
+        found = similar_to_all(entities, left, bar, metric, by_type=False).where(F.col("similarity") > above)
+        best = materialize(found.groupBy("key").agg(first), "names-best")
+        out = best if out is None else out.unionByName(best)
+        left = left.join(best.select("key"), "key", "left_anti")
+        if bar == above or left.isEmpty():
+            break
+    best = out.groupBy("key").agg(F.min("best").alias("best"))
     return best.select("key", "best.id", (-F.col("best.less")).alias("similarity"))
 
 

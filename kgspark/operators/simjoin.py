@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgspark.runtime import discard, materialize, spread
+from kgspark.runtime import discard, materialize, shuffled, spread
 
 EPS = 1e-9
 #: Names of a block at a hot bigram.
@@ -97,10 +97,12 @@ def partners(x: int, threshold: float, edits: bool) -> Iterator[tuple[int, int]]
 
 
 @lru_cache(maxsize=4096)
-def _plan(x: int, threshold: float, edits: bool, most_variants: int) -> tuple[list[int], list[int]]:
-    """Numbers of letters that go, and classes of lengths with which that does not do."""
+def _plan(x: int, threshold: float, edits: bool, most_variants: int, lengths: frozenset[int]) -> tuple[list[int], list[int]]:
+    """Numbers of letters that go, and classes of lengths with which that does not do, for partners of these ``lengths``."""
     gone, blocked = set(), set()
     for y, m in partners(x, threshold, edits):
+        if y not in lengths:
+            continue
         if x - m <= most_gone(x, most_variants) and y - m <= most_gone(y, most_variants):
             gone |= set(range(x - m + 1)) if edits else {x - m}
         else:
@@ -144,7 +146,7 @@ def _keyed(names: DataFrame, items: Column, need: Column, hot: int, tag: str) ->
     single = materialize(marked.select("type", "n", "side", "x", "need", F.size("held").alias("size"), F.explode(_numbered("held")).alias("text")).select("type", "n", "side", "x", "need", "size", F.xxhash64("text").alias("item")), tag)
     counts = single.groupBy("type", "item").agg(F.count(F.lit(1)).alias("df"))
     w = Window.partitionBy("type", "n").orderBy("df", "item")
-    keys = single.join(counts, ["type", "item"]).withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.col("size") - F.greatest("need", F.lit(1)) + 1)
+    keys = shuffled(single).join(counts, ["type", "item"]).withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.col("size") - F.greatest("need", F.lit(1)) + 1)
     listed = keys.groupBy("type", "n").agg(F.first("side").alias("side"), F.first("x").alias("x"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("place", "item", "df"))).alias("keys"))
     cold = F.filter("keys", lambda k: k["df"] <= hot)
     warm = F.filter("keys", lambda k: k["df"] > hot)
@@ -159,7 +161,7 @@ def _meet(a: DataFrame, b: DataFrame, on: list[str], *more: Column) -> DataFrame
         condition = condition & (F.col(f"a.{c}") == F.col(f"b.{c}"))
     for c in (_sides(), *more):
         condition = condition & c
-    return a.alias("a").join(b.alias("b"), condition).select(F.col("a.type").alias("type"), F.col("a.n").alias("n1"), F.col("b.n").alias("n2"))
+    return shuffled(a.alias("a")).join(shuffled(b.alias("b")), condition).select(F.col("a.type").alias("type"), F.col("a.n").alias("n1"), F.col("b.n").alias("n2"))
 
 
 def _meeting(names: DataFrame, items: Column, need: Column, threshold: float, edits: bool, hot: int, most_variants: int, letters: bool = False) -> DataFrame:
@@ -176,8 +178,10 @@ def _meeting(names: DataFrame, items: Column, need: Column, threshold: float, ed
     rare = _meet(one, one, ["type", "item"], lengths, room, near, first_cold)
 
     patterned = keyed.where(F.size("hot") > 0)
-    if patterned.isEmpty():
+    sides = patterned.select("side", "x").distinct().collect()  # at most three rows a length
+    if not sides:
         return rare
+    other = {s: frozenset(r["x"] for r in sides if (s & 1 and r["side"] & 2) or (s & 2 and r["side"] & 1)) for s in (1, 2, 3)}
     own = [f.name for f in patterned.schema.fields]
     schema = "type string, n string, side int, x int, left string, gone int, gaps array<int>"
     t, most = threshold, most_variants
@@ -186,7 +190,7 @@ def _meeting(names: DataFrame, items: Column, need: Column, threshold: float, ed
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("type", "n", "side", "x", "left", "gone", "gaps")}
             for row in batch.to_pylist():
-                for text, d, gaps in remains(row["n"], _plan(row["x"], t, edits, most)[0], edits):
+                for text, d, gaps in remains(row["n"], _plan(row["x"], t, edits, most, other[row["side"]])[0], edits):
                     for k, v in zip(out, (row["type"], row["n"], row["side"], row["x"], text, d, gaps), strict=True):
                         out[k].append(v)
                 if len(out["n"]) > 20_000:
@@ -205,8 +209,8 @@ def _meeting(names: DataFrame, items: Column, need: Column, threshold: float, ed
     left = spread(left, "key", "type")
     alike = _meet(left, left, ["key", "type"], lengths, close, near)
 
-    classes = F.pandas_udf(lambda v: pd.Series([_plan(int(k), t, edits, most)[1] for k in v]), "array<int>")
-    wide = patterned.withColumn("classes", classes("x")).where(F.size("classes") > 0).withColumn("class", F.floor(F.log("x") / math.log(CLASS) + F.lit(0.0)).cast("int"))
+    classes = F.pandas_udf(lambda v, w: pd.Series([_plan(int(k), t, edits, most, other[int(s)])[1] for k, s in zip(v, w, strict=True)]), "array<int>")
+    wide = patterned.withColumn("classes", classes("x", "side")).where(F.size("classes") > 0).withColumn("class", F.floor(F.log("x") / math.log(CLASS) + F.lit(0.0)).cast("int"))
     blocks = wide.select(*own, "classes", "class", F.explode("hot").alias("k")).select("*", F.col("k.item").alias("item"), F.col("k.place").alias("place"), F.ceil(F.col("k.df") / BLOCK).cast("int").alias("blocks"))
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("n"), F.col("blocks")).cast("int"))
     blocks = blocks.withColumn("near_class", F.explode("classes")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

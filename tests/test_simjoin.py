@@ -74,6 +74,28 @@ def test_remains_hold_exactly_the_near_pairs(spark):
     assert all(edits(r["n1"], r["n2"]) <= 2 for r in random.Random(1).sample(pairs, 200))
 
 
+def test_what_letters_leave_never_goes_through_the_driver(spark):
+    """Thousands of remains a name were taken for the few names that they are made of, and broadcast."""
+    df = spark.createDataFrame([("t", f"automobile {i:04d}", 1 + i % 3) for i in range(600)], "type string, n string, side int")
+    pairs = simjoin.name_pairs(df, 0.85, True, hot=16)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 2 and "BroadcastHashJoin" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_only_lengths_that_exist_are_planned():
+    assert simjoin._plan(18, 0.6, False, 1000, frozenset({100})) == ([], [])
+    assert simjoin._plan(18, 0.85, False, 1000, frozenset({16}))[0] == [3]
+
+
+def test_best_matches_end_at_the_first_bar_that_serves(spark, monkeypatch):
+    seen, real = [], simjoin.name_pairs
+    monkeypatch.setattr(simjoin, "name_pairs", lambda names, bar, *a: (seen.append(bar), real(names, bar, *a))[1])
+    e = spark.createDataFrame([(i, f"supplier#{i:09d}", "x") for i in range(30)], "id int, name string, type string")
+    w = spark.createDataFrame([(i, f"suplier#{i:09d}") for i in range(30)], "key int, name string")
+    assert {(r["key"], r["id"]) for r in resolve.best_matches(e, w, 0.6).collect()} == {(i, i) for i in range(30)}
+    assert seen == [0.9]
+
+
 def test_one_value_is_numbered_in_many_partitions(spark):
     from pyspark.sql import functions as F
 
