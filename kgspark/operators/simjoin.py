@@ -115,8 +115,12 @@ def length_class(x: int) -> int:
 
 
 def remains(name: str, gone: list[int], edits: bool) -> Iterator[tuple[str, int, list[int]]]:
-    """What is left of a name when letters go: text, how many went, and (for edits) between which letters."""
+    """What is left of a name when letters go: text, how many went, and (for edits) between which letters.
+
+    Without edits only the text counts, and each comes once, however many equal letters could go.
+    """
     for d in gone:
+        seen = set()
         for places in combinations(range(len(name)), d):
             left, at, gaps = [], 0, []
             for i, p in enumerate(places):
@@ -125,7 +129,11 @@ def remains(name: str, gone: list[int], edits: bool) -> Iterator[tuple[str, int,
                 if edits:
                     gap = p - i
                     gaps.append(gap * 16 + sum(q - j == gap for j, q in enumerate(places[:i])))
-            yield "".join([*left, name[at:]]), d, gaps
+            text = "".join([*left, name[at:]])
+            if edits or text not in seen:
+                if not edits:
+                    seen.add(text)
+                yield text, d, gaps
 
 
 def _numbered(items: str) -> Column:

@@ -87,6 +87,12 @@ def test_only_lengths_that_exist_are_planned():
     assert simjoin._plan(18, 0.85, False, 1000, frozenset({16}))[0] == [3]
 
 
+def test_equal_letters_leave_a_text_once():
+    left = [text for text, _, _ in simjoin.remains("supplier#000000012", [2], False)]
+    assert len(left) == len(set(left)) < 153
+    assert len(list(simjoin.remains("supplier#000000012", [2], True))) == 153
+
+
 def test_best_matches_end_at_the_first_bar_that_serves(spark, monkeypatch):
     seen, real = [], simjoin.name_pairs
     monkeypatch.setattr(simjoin, "name_pairs", lambda names, bar, *a: (seen.append(bar), real(names, bar, *a))[1])
