@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from kgspark.runtime import scratch_dir
+from kgspark.runtime import scratch_dir, scratch_folder
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,11 +38,21 @@ def distinct_events(events: DataFrame, late: str = "10 minutes") -> DataFrame:
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a query over all that is there and return its rows; for checks on small inputs."""
+    """Run a query over all that is there and return its rows.
+
+    Appended rows go from the executors to files in the scratch folder. Other
+    modes change rows that are out, which files cannot, and are kept in the
+    driver's memory: for small results.
+    """
     spark = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    if mode != "append":
+        query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return spark.table(name)
+    path = scratch_folder(spark, f"stream-{name}")
+    query = stream.writeStream.format("parquet").queryName(name).option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
 def ingest(stream: DataFrame, handle: Callable[[DataFrame, int], None], tag: str) -> StreamingQuery:

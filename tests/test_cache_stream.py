@@ -44,3 +44,14 @@ def test_stream_equals_the_table_form(spark, tmp_path):
         for key, op, value, ts in sorted((e for e in known if e[0] and e[1] in ("put", "write") and e[3] <= at(s)), key=lambda e: (e[3], e[1], e[2] is not None, e[2] or "")):
             last[key] = (op, ts)
         assert sorted(r["key"] for r in live) == sorted(k for k, (op, ts) in last.items() if op == "put" and ts + timedelta(seconds=300) > at(s))
+
+
+def test_appended_rows_of_a_stream_go_to_files(spark, tmp_path):
+    """They were held in the driver's memory; an empty result is an empty table."""
+    from kgspark.streaming import events
+
+    spark.createDataFrame([(k, "put", "x", at(600 * k)) for k in range(9)], "key int, op string, value string, ts timestamp").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA.replace("key string", "key int")).parquet(str(tmp_path / "in"))
+    rows = events.run_available(cache.entry_stream(stream, 300), "kept")
+    assert {r["key"] for r in rows.collect()} == {str(k) for k in range(7)} and len(rows.inputFiles()) > 0
+    assert events.run_available(cache.entry_stream(stream.where("key < 0"), 300), "none").count() == 0
