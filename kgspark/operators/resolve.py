@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.runtime import materialize, spread
+from kgspark.runtime import materialize, shuffled, spread
 
 from . import simjoin
 from .components import connected_components
@@ -56,6 +56,11 @@ def is_edits(metric) -> bool:  # noqa: ANN001
     return metric is levenshtein_ratio
 
 
+def _pairs(names: DataFrame, threshold: float, metric) -> DataFrame:  # noqa: ANN001
+    """The similarity join as a query of its own: adaptive execution plans what is left of a query anew after every stage."""
+    return materialize(simjoin.name_pairs(names, threshold, is_edits(metric)), "names-met")
+
+
 def duplicate_pairs(entities: DataFrame, threshold: float = 0.85, metric=sequence_ratio) -> DataFrame:  # noqa: ANN001
     """Pairs of one type at or above ``threshold``: ``id1, name1, id2, name2, type, similarity``.
 
@@ -68,12 +73,12 @@ def duplicate_pairs(entities: DataFrame, threshold: float = 0.85, metric=sequenc
     named = entities.where("name is not null and type is not null").select("id", "name", "type", normal(F.col("name")).alias("n"))
     names = named.select("type", "n").distinct()
     names = materialize(names.withColumn("side", F.lit(3)), "names")
-    met = simjoin.name_pairs(names, threshold, is_edits(metric))
+    met = _pairs(names, threshold, metric)
     same = names.select("type", F.col("n").alias("n1"), F.col("n").alias("n2"))
     met = met.unionByName(same)
     spelled = named.select("type", "n", "name").distinct()
     one, two = spelled.select("type", F.col("n").alias("n1"), F.col("name").alias("u")), spelled.select("type", F.col("n").alias("n2"), F.col("name").alias("v"))
-    pairs = met.join(one, ["type", "n1"]).join(two, ["type", "n2"])
+    pairs = shuffled(met).join(one, ["type", "n1"]).join(two, ["type", "n2"])
     pairs = spread(pairs.select("type", F.least("u", "v").alias("name1"), F.greatest("u", "v").alias("name2")), "type", "name1", "name2").distinct()
     pairs = pairs.withColumn("similarity", metric(F.col("name1"), F.col("name2"))).where(F.col("similarity") >= threshold)
     ids = named.select("type", "name", "id")
@@ -98,8 +103,8 @@ def similar_to_all(entities: DataFrame, wanted: DataFrame, threshold: float = 0.
     right = entities.select("id", "name", kind.alias("type"), normal(F.col("name")).alias("n")).where("name is not null and type is not null")
     sides = left.select("type", "n", F.lit(1).alias("side")).unionByName(right.select("type", "n", F.lit(2).alias("side")))
     names = materialize(sides.groupBy("type", "n").agg(F.bit_or("side").alias("side")), "names")
-    met = simjoin.name_pairs(names, threshold, is_edits(metric))
-    ways = met.union(met.select("type", "n2", "n1")).union(names.where("side = 3").select("type", F.col("n").alias("n1"), F.col("n").alias("n2")))
+    met = _pairs(names, threshold, metric)
+    ways = shuffled(met.union(met.select("type", "n2", "n1")).union(names.where("side = 3").select("type", F.col("n").alias("n1"), F.col("n").alias("n2"))))
     spelled = ways.join(left.select("type", F.col("n").alias("n1"), F.col("name").alias("u")).distinct(), ["type", "n1"]).join(right.select("type", F.col("n").alias("n2"), F.col("name").alias("v")).distinct(), ["type", "n2"])
     scored = spread(spelled.select("type", "u", "v"), "type", "u", "v").select("type", "u", "v", metric(F.col("u"), F.col("v")).alias("similarity")).where(F.col("similarity") >= threshold)
     out = scored.join(left.select("key", "type", F.col("name").alias("u")), ["type", "u"]).join(right.select("id", "type", F.col("name").alias("v")), ["type", "v"])

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import pandas as pd
@@ -190,7 +190,18 @@ def _meeting(names: DataFrame, items: Column, need: Column, threshold: float, ed
     if not sides:
         return rare
     other = {s: frozenset(r["x"] for r in sides if (s & 1 and r["side"] & 2) or (s & 2 and r["side"] & 1)) for s in (1, 2, 3)}
-    own = [f.name for f in patterned.schema.fields]
+    planned = [_plan(r["x"], threshold, edits, most_variants, other[r["side"]]) for r in sides]
+    out = [rare]
+    if any(gone for gone, _ in planned):
+        out.append(_by_remains(patterned, threshold, edits, most_variants, other, lengths, near))
+    if any(blocked for _, blocked in planned):
+        out.append(_by_blocks(patterned, threshold, edits, most_variants, other, lengths, room, near))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _by_remains(patterned: DataFrame, threshold: float, edits: bool, most_variants: int, other: dict[int, frozenset[int]], lengths: Column, near: Column) -> DataFrame:
+    """Pairs that meet by what is left of them when letters go."""
+    x, y = F.col("a.x"), F.col("b.x")
     schema = "type string, n string, side int, x int, left string, gone int, gaps array<int>"
     t, most = threshold, most_variants
 
@@ -213,10 +224,18 @@ def _meeting(names: DataFrame, items: Column, need: Column, threshold: float, ed
         close = F.col("a.gone") + F.col("b.gone") - F.size(F.array_intersect("a.gaps", "b.gaps")) <= budget
     else:
         left = left.drop("gaps")
+        m = matched_column(x, y, threshold, edits)
         close = (x - F.col("a.gone") == m) & (y - F.col("b.gone") == m)
     left = spread(left, "key", "type")
-    alike = _meet(left, left, ["key", "type"], lengths, close, near)
+    return _meet(left, left, ["key", "type"], lengths, close, near)
+
 
+def _by_blocks(patterned: DataFrame, threshold: float, edits: bool, most_variants: int, other: dict[int, frozenset[int]], lengths: Column, room: Column, near: Column) -> DataFrame:
+    """Pairs too long for that, at their first hot bigram in blocks."""
+    x, y = F.col("a.x"), F.col("b.x")
+    m = matched_column(x, y, threshold, edits)
+    own = [f.name for f in patterned.schema.fields]
+    t, most = threshold, most_variants
     classes = F.pandas_udf(lambda v, w: pd.Series([_plan(int(k), t, edits, most, other[int(s)])[1] for k, s in zip(v, w, strict=True)]), "array<int>")
     wide = patterned.withColumn("classes", classes("x", "side")).where(F.size("classes") > 0).withColumn("class", F.floor(F.log("x") / math.log(CLASS) + F.lit(0.0)).cast("int"))
     blocks = wide.select(*own, "classes", "class", F.explode("hot").alias("k")).select("*", F.col("k.item").alias("item"), F.col("k.place").alias("place"), F.ceil(F.col("k.df") / BLOCK).cast("int").alias("blocks"))
@@ -228,8 +247,7 @@ def _meeting(names: DataFrame, items: Column, need: Column, threshold: float, ed
     far = (x - m > most_gone_column(x, most_variants)) | (y - m > most_gone_column(y, most_variants))
     items_of = lambda s: F.transform(F.col(f"{s}.hot"), lambda k: k["item"])
     first_hot = (F.element_at(F.array_intersect(items_of("a"), items_of("b")), 1) == F.col("a.item")) & ~F.arrays_overlap("a.cold", "b.cold")
-    long_ = _meet(blocks, blocks, ["type", "item", "c1", "c2", "b1", "b2"], both, lengths, far, room, near, first_hot)
-    return rare.unionByName(alike).unionByName(long_)
+    return _meet(blocks, blocks, ["type", "item", "c1", "c2", "b1", "b2"], both, lengths, far, room, near, first_hot)
 
 
 def name_pairs(names: DataFrame, threshold: float, edits: bool = False, hot: int = 256, most_variants: int = 1000) -> DataFrame:

@@ -122,3 +122,19 @@ def test_no_broadcast_hint_on_tables_that_grow(spark):
     front = spark.createDataFrame([("a",)], "id string")
     plan = reason.relation_statistics(edges, front)._jdf.queryExecution().logical().toString()
     assert "ResolvedHint" not in plan and "UnresolvedHint" not in plan
+
+
+def test_a_way_that_no_name_takes_is_no_query(spark, monkeypatch):
+    monkeypatch.setattr(simjoin, "_by_blocks", lambda *a: pytest.fail("no name is too long"))
+    names = spark.range(60).selectExpr("'x' AS type", "concat('Supplier#', lpad(cast(id * 7 as string), 9, '0')) AS n", "3 AS side")
+    met = simjoin.name_pairs(names, 0.85, True, hot=8)
+    assert met._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 2  # before: 3
+    rows = [r["n"] for r in names.collect()]
+    assert sorted((r["n1"], r["n2"]) for r in met.collect()) == sorted((a, b) for a in rows for b in rows if a < b and by_edits(a, b) >= 0.85)
+
+
+def test_what_is_made_of_pairs_is_planned_apart_from_the_search_for_them(spark):
+    df = spark.createDataFrame([(i, f"Supplier#{i:09d}", "x") for i in range(40)], "id int, name string, type string")
+    for out in (resolve.duplicate_pairs(df, 0.85, resolve.levenshtein_ratio), resolve.similar_to_all(df, df.selectExpr("id AS key", "name"), by_type=False)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "names-met" in plan and "names-keyed" not in plan
