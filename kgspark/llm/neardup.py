@@ -312,10 +312,14 @@ def _texts(docs: DataFrame, members: DataFrame, id_col: str) -> DataFrame:
     return members.join(texts, ["rid", "th"]).drop("rid", "th")
 
 
-def _within(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, s: Settings, id_col: str) -> DataFrame:
-    """Links between members of one cluster: (a, b, links), b the least node that a's block ties it to."""
+def _members(nodes: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Members of the clusters and the sizes of these."""
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    members = nodes.select("node", "rid", "th", "copies").join(clusters, "node").join(sizes, "cluster")
+    return nodes.select("node", "rid", "th", "copies").join(clusters, "node").join(sizes, "cluster")
+
+
+def _within(docs: DataFrame, members: DataFrame, s: Settings, id_col: str) -> DataFrame:
+    """Links between members of one cluster: (a, b, links), b the least node that a's block ties it to."""
     blocks = _texts(docs, _paired(members, F.col("size"), s.chunk).select("cluster", "lo", "hi", "own", "node", "copies", "rid", "th"), id_col)
 
     def run(g: dict[str, list]) -> dict[str, list]:
@@ -339,8 +343,8 @@ def _within(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, s: Settings,
     return _by_group(blocks, ["cluster", "lo", "hi"], run, "a binary, b binary, links long")
 
 
-def _across(docs: DataFrame, nodes: DataFrame, runs: DataFrame, clusters: DataFrame, s: Settings, id_col: str) -> DataFrame:
-    """Links between nodes of different clusters that share a prefix: (a, b, links), both ways."""
+def _pairs(nodes: DataFrame, runs: DataFrame, clusters: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a, b) of nodes of different clusters that share a prefix and whose signatures agree."""
     placed = runs.where("first").select("key", "node").join(clusters, "node", "left").select("key", "node", F.coalesce("cluster", "node").alias("cluster"))
     mixed = placed.groupBy("key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("key", "size")
     members = placed.join(mixed, "key").join(nodes.select("node", "sig"), "node")
@@ -364,7 +368,11 @@ def _across(docs: DataFrame, nodes: DataFrame, runs: DataFrame, clusters: DataFr
         return {"a": a, "b": b}
 
     blocks = _paired(members, F.col("size"), s.chunk * 4).select("key", "lo", "hi", "own", "node", "cluster", "sig")
-    pairs = _by_group(blocks, ["key", "lo", "hi"], run, "a binary, b binary").distinct()
+    return _by_group(blocks, ["key", "lo", "hi"], run, "a binary, b binary").distinct()
+
+
+def _across(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, s: Settings, id_col: str) -> DataFrame:
+    """Links between the nodes of pairs: (a, b, links), both ways."""
     info = nodes.select("node", "rid", "th", "copies")
     side = lambda name: info.select(F.col("node").alias(name), "rid", "th", F.col("copies").alias(f"copies_{name}"))
     first = _texts(docs, pairs.join(side("a"), "a"), id_col).withColumnRenamed("text", "text_a")
@@ -415,9 +423,11 @@ def _marked(docs: DataFrame, s: Settings, id_col: str) -> tuple[DataFrame, list[
     star = star.join(nodes.select("node", F.col("sig").alias("sig_a")), "node").join(nodes.select(F.col("node").alias("hub"), F.col("sig").alias("sig_b")), "hub")
     tied = connected_components(star.where(_agree(F.col("sig_a"), F.col("sig_b")) >= s.least_agree), "node", "hub")
     clusters = tied.withColumnRenamed("component", "cluster")
-    links = materialize(_within(docs, nodes, clusters, s, id_col).unionByName(_across(docs, nodes, runs, clusters, s, id_col)), "near-links")
+    # queries of their own: adaptive execution plans what is left of a query anew after every stage
+    members, pairs = materialize(_members(nodes, clusters), "near-members"), materialize(_pairs(nodes, runs, clusters, s), "near-pairs")
+    links = materialize(_within(docs, members, s, id_col).unionByName(_across(docs, nodes, pairs, s, id_col)), "near-links")
     brief = materialize(nodes.select("node", "rid", "copies"), "near-brief")
-    discard(runs, tied, nodes)
+    discard(runs, tied, members, pairs, nodes)
 
     classes = connected_components(links)
     counts = links.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "node")

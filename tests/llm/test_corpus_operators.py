@@ -585,3 +585,11 @@ def test_near_duplicates_with_a_hot_id(spark):
     kept = neardup.keep_first(docs)
     assert kept.columns == docs.columns and kept.count() == 121
     assert {(r["near_rid_"], r["near_node_"]) for r in kept.collect()} == {("a", "b")}
+
+
+def test_members_and_pairs_are_planned_apart_from_the_texts_they_meet(spark, monkeypatch):
+    plans, real = {}, neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df, tag: (plans.update({tag: df._jdf.queryExecution().executedPlan().toString()}), real(df, tag))[1])
+    docs = spark.createDataFrame([(i, f"{'one two three four five six seven eight nine ten ' * 3}{i % 2}", "en", "x", 1) for i in range(6)], "doc_id long, text string, lang string, source string, n_chars int")
+    assert {(r["class_id"], r["n_links"]) for r in neardup.near_duplicates(docs).collect()} == {(0, 5)}
+    assert "near-members" in plans["near-links"] and "near-pairs" in plans["near-links"] and "near-runs" not in plans["near-links"]
