@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.runtime import materialize, shuffled, spread
+from kgspark.runtime import discard, materialize, shuffled, spread
 
 from . import simjoin
 from .components import connected_components
@@ -56,11 +56,6 @@ def is_edits(metric) -> bool:  # noqa: ANN001
     return metric is levenshtein_ratio
 
 
-def _pairs(names: DataFrame, threshold: float, metric) -> DataFrame:  # noqa: ANN001
-    """The similarity join as a query of its own: adaptive execution plans what is left of a query anew after every stage."""
-    return materialize(simjoin.name_pairs(names, threshold, is_edits(metric)), "names-met")
-
-
 def duplicate_pairs(entities: DataFrame, threshold: float = 0.85, metric=sequence_ratio) -> DataFrame:  # noqa: ANN001
     """Pairs of one type at or above ``threshold``: ``id1, name1, id2, name2, type, similarity``.
 
@@ -70,10 +65,10 @@ def duplicate_pairs(entities: DataFrame, threshold: float = 0.85, metric=sequenc
     ``simjoin.name_pairs``, which loses none; the metric runs once for each pair
     of spellings that is left.
     """
-    named = entities.where("name is not null and type is not null").select("id", "name", "type", normal(F.col("name")).alias("n"))
+    named = materialize(entities.where("name is not null and type is not null").select("id", "name", "type", normal(F.col("name")).alias("n")), "names-all")
     names = named.select("type", "n").distinct()
     names = materialize(names.withColumn("side", F.lit(3)), "names")
-    met = _pairs(names, threshold, metric)
+    met = simjoin.name_pairs(names, threshold, is_edits(metric), True)
     same = names.select("type", F.col("n").alias("n1"), F.col("n").alias("n2"))
     met = met.unionByName(same)
     spelled = named.select("type", "n", "name").distinct()
@@ -103,10 +98,12 @@ def similar_to_all(entities: DataFrame, wanted: DataFrame, threshold: float = 0.
     right = entities.select("id", "name", kind.alias("type"), normal(F.col("name")).alias("n")).where("name is not null and type is not null")
     sides = left.select("type", "n", F.lit(1).alias("side")).unionByName(right.select("type", "n", F.lit(2).alias("side")))
     names = materialize(sides.groupBy("type", "n").agg(F.bit_or("side").alias("side")), "names")
-    met = _pairs(names, threshold, metric)
+    met = simjoin.name_pairs(names, threshold, is_edits(metric), True)
     ways = shuffled(met.union(met.select("type", "n2", "n1")).union(names.where("side = 3").select("type", F.col("n").alias("n1"), F.col("n").alias("n2"))))
     spelled = ways.join(left.select("type", F.col("n").alias("n1"), F.col("name").alias("u")).distinct(), ["type", "n1"]).join(right.select("type", F.col("n").alias("n2"), F.col("name").alias("v")).distinct(), ["type", "n2"])
     scored = spread(spelled.select("type", "u", "v"), "type", "u", "v").select("type", "u", "v", metric(F.col("u"), F.col("v")).alias("similarity")).where(F.col("similarity") >= threshold)
+    scored = materialize(scored, "names-scored")
+    discard(names, met)
     out = scored.join(left.select("key", "type", F.col("name").alias("u")), ["type", "u"]).join(right.select("id", "type", F.col("name").alias("v")), ["type", "v"])
     return out.select("key", "id", "similarity")
 
@@ -123,13 +120,16 @@ def bars(above: float) -> list[float]:
 def best_matches(entities: DataFrame, wanted: DataFrame, above: float = 0.8, metric=sequence_ratio) -> DataFrame:  # noqa: ANN001
     """``key, id, similarity``: for each name of a table ``key, name`` the most similar entity of any type, strictly above the bar; first by id on ties."""
     first = F.min(F.struct((-F.col("similarity")).alias("less"), "id")).alias("best")
-    left, out = wanted, None
+    named = materialize(entities.select("id", "name"), "names-all")
+    left, out = materialize(wanted, "names-left"), None
     for bar in bars(above):
-        found = similar_to_all(entities, left, bar, metric, by_type=False).where(F.col("similarity") > above)
+        found = similar_to_all(named, left, bar, metric, by_type=False).where(F.col("similarity") > above)
         best = materialize(found.groupBy("key").agg(first), "names-best")
         out = best if out is None else out.unionByName(best)
-        left = left.join(best.select("key"), "key", "left_anti")
-        if bar == above or left.isEmpty():
+        if bar == above:
+            break
+        left = materialize(left.join(best.select("key"), "key", "left_anti"), "names-left")
+        if left.isEmpty():
             break
     best = out.groupBy("key").agg(F.min("best").alias("best"))
     return best.select("key", "best.id", (-F.col("best.less")).alias("similarity"))

@@ -172,7 +172,8 @@ def _meet(a: DataFrame, b: DataFrame, on: list[str], *more: Column) -> DataFrame
     return shuffled(a.alias("a")).join(shuffled(b.alias("b")), condition).select(F.col("a.type").alias("type"), F.col("a.n").alias("n1"), F.col("b.n").alias("n2"))
 
 
-def _meeting(names: DataFrame, items: Column, need: Column, threshold: float, edits: bool, hot: int, most_variants: int, letters: bool = False) -> DataFrame:
+def _meeting(names: DataFrame, items: Column, need: Column, threshold: float, edits: bool, hot: int, most_variants: int, letters: bool = False) -> list[DataFrame]:
+    """The pairs of each way."""
     x, y = F.col("a.x"), F.col("b.x")
     m = matched_column(x, y, threshold, edits)
     lengths = m <= F.least(x, y)
@@ -183,20 +184,18 @@ def _meeting(names: DataFrame, items: Column, need: Column, threshold: float, ed
     one = keyed.select("type", "n", "side", "x", "size", "cold", F.posexplode("cold").alias("at", "item")).withColumn("place", F.col("at") + 1)
     first_cold = F.element_at(F.array_intersect("a.cold", "b.cold"), 1) == F.col("a.item")
     one = spread(one, "type", "item")
-    rare = _meet(one, one, ["type", "item"], lengths, room, near, first_cold)
+    out = [_meet(one, one, ["type", "item"], lengths, room, near, first_cold)]
 
     patterned = keyed.where(F.size("hot") > 0)
     sides = patterned.select("side", "x").distinct().collect()  # at most three rows a length
-    if not sides:
-        return rare
     other = {s: frozenset(r["x"] for r in sides if (s & 1 and r["side"] & 2) or (s & 2 and r["side"] & 1)) for s in (1, 2, 3)}
     planned = [_plan(r["x"], threshold, edits, most_variants, other[r["side"]]) for r in sides]
-    out = [rare]
     if any(gone for gone, _ in planned):
-        out.append(_by_remains(patterned, threshold, edits, most_variants, other, lengths, near))
+        # a pair meets once for each text that both leave
+        out.append(_by_remains(patterned, threshold, edits, most_variants, other, lengths, near).distinct())
     if any(blocked for _, blocked in planned):
         out.append(_by_blocks(patterned, threshold, edits, most_variants, other, lengths, room, near))
-    return reduce(DataFrame.unionByName, out)
+    return out
 
 
 def _by_remains(patterned: DataFrame, threshold: float, edits: bool, most_variants: int, other: dict[int, frozenset[int]], lengths: Column, near: Column) -> DataFrame:
@@ -250,12 +249,14 @@ def _by_blocks(patterned: DataFrame, threshold: float, edits: bool, most_variant
     return _meet(blocks, blocks, ["type", "item", "c1", "c2", "b1", "b2"], both, lengths, far, room, near, first_hot)
 
 
-def name_pairs(names: DataFrame, threshold: float, edits: bool = False, hot: int = 256, most_variants: int = 1000) -> DataFrame:
+def name_pairs(names: DataFrame, threshold: float, edits: bool = False, written: bool = False, hot: int = 256, most_variants: int = 1000) -> DataFrame:
     """``type, n1, n2`` (n1 < n2): all pairs of distinct names (``type, n, side``) that can reach ``threshold``.
 
     ``side``: 1 left, 2 right, 3 both; a pair has one name of either side.
     ``edits``: the ratio is 1 - edit distance / longer length, else it is that of
     matched characters (2 M / sum of lengths).
+    ``written``: every way is a query of its own, since adaptive execution plans
+    what is left of a query anew after every stage.
 
     Each of the x - M characters that go breaks at most two bigrams of the first
     name, each of the y - M that come breaks at most one, so 3M - x - y - 1 are
@@ -265,8 +266,13 @@ def name_pairs(names: DataFrame, threshold: float, edits: bool = False, hot: int
     need = F.ceil((1.5 * threshold - 1) * 2 * x / (2 - threshold) - 1 - EPS)
     bigrams = F.when(x >= 2, F.transform(F.sequence(F.lit(1), F.greatest(x - 1, F.lit(1))), lambda i: F.substr(F.col("n"), i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
     letters = F.filter(F.split("n", ""), lambda c: c != "")
-    by_bigram = _meeting(names.where(x >= 2), bigrams, need, threshold, edits, hot, most_variants)
-    if names.where((need <= 0) & (x >= 1)).isEmpty():
-        return by_bigram.distinct()
-    by_letter = _meeting(names.where((need <= 0) & (x >= 1)), letters, F.ceil(x * threshold / (2 - threshold) - EPS), threshold, edits, hot, most_variants, letters=True)
-    return by_bigram.unionByName(by_letter).distinct()
+    ways = _meeting(names.where(x >= 2), bigrams, need, threshold, edits, hot, most_variants)
+    short = names.where((need <= 0) & (x >= 1))
+    if not short.isEmpty():
+        ways += _meeting(short, letters, F.ceil(x * threshold / (2 - threshold) - EPS), threshold, edits, hot, most_variants, letters=True)
+    if not written:
+        return reduce(DataFrame.unionByName, ways).distinct()
+    ways = [materialize(way, "names-way") for way in ways]
+    met = materialize(reduce(DataFrame.unionByName, ways).distinct(), "names-met")
+    discard(*ways)
+    return met

@@ -138,3 +138,31 @@ def test_what_is_made_of_pairs_is_planned_apart_from_the_search_for_them(spark):
     for out in (resolve.duplicate_pairs(df, 0.85, resolve.levenshtein_ratio), resolve.similar_to_all(df, df.selectExpr("id AS key", "name"), by_type=False)):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "names-met" in plan and "names-keyed" not in plan
+
+
+def test_entities_are_read_once(spark):
+    from kgspark.operators import beam, reason, scoring
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    kinds = "id string, name string, type string, description string, mention_count long"
+    rows = [(f"e{i}", f"thing {i:03d}", "a", "", 1) for i in range(20)]
+    entities = spark.createDataFrame(rows, kinds).mapInArrow(seen, kinds)
+    asked = spark.createDataFrame([(1, "thng 004", None), (2, "zz", None)], "question_id long, question string, document_ids array<string>")
+    edges = spark.createDataFrame([("e0", "e1", "r", 1.0), ("e1", "e2", "r", 1.0)], "src string, dst string, rel_key string, confidence double")
+    starts = spark.createDataFrame([(1, "e0")], "question_id long, id string")
+    runs = (
+        lambda: beam.fallback(asked, entities),
+        lambda: resolve.duplicate_pairs(entities, 0.85, resolve.levenshtein_ratio),
+        lambda: resolve.best_matches(entities, asked.selectExpr("question_id AS key", "question AS name")),
+        lambda: beam.reason_all(asked, starts, entities, edges, reason.Config(search_depth=2), scorer=scoring.constant).triplets,
+    )
+    for run in runs:
+        read.value = 0
+        assert run().collect()
+        assert read.value == len(rows)
