@@ -21,7 +21,9 @@ def numbered(rows: DataFrame, order: list[str], name: str = "r") -> DataFrame:
     """
     part, own = f"part_{uuid4().hex}", f"own_{uuid4().hex}"
     marked = materialize(rows.withColumn(own, F.monotonically_increasing_id()), "numbered")
-    placed = materialize(marked.repartitionByRange(*order, own).withColumn(part, F.spark_partition_id()), "numbered")
+    # a stated number of ranges: adaptive execution would merge those that it is free to choose
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialize(marked.repartitionByRange(ranges, *order, own).withColumn(part, F.spark_partition_id()), "numbered")
     discard(marked)
     counts = {r[part]: r["count"] for r in placed.groupBy(part).count().collect()}
     before, total = [], 0
