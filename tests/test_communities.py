@@ -83,3 +83,12 @@ def test_delta_screening_is_as_good_as_a_full_run(spark, graph):
     q = community.modularity(fresh, spark.createDataFrame(sorted(got.items()), "id string, community string"))
     full = plain_leiden.leiden(sorted(set(now)))[-1]
     assert q >= 0.99 * community.modularity(fresh, spark.createDataFrame([(k, str(v)) for k, v in full.items()], "id string, community string"))
+
+
+def test_rounds_run_on_numbers_not_on_names(spark, monkeypatch):
+    kinds, real = [], community._move
+    monkeypatch.setattr(community, "_move", lambda edges, nodes, *a: (kinds.extend([*edges.dtypes, *nodes.dtypes]), real(edges, nodes, *a))[1])
+    edges = spark.createDataFrame([("x", "y"), ("y", "x"), ("y", "y")], "src string, dst string")
+    found = community.detect_communities(edges, most_levels=1, most_turns=1, refine_turns=1)
+    assert {(r["id"], r["community"]) for r in found.where("level = 0").collect()} in ({("x", "x"), ("y", "x")}, {("x", "x"), ("y", "y")})
+    assert kinds and all(kind in ("bigint", "double", "boolean") for _, kind in kinds)
