@@ -114,23 +114,34 @@ def maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def bitmap(keys: DataFrame) -> np.ndarray:
     """Bits of the upper halves of ``key``, set in the workers; its size does not depend on the rows."""
-    place = keys.select(F.shiftrightunsigned("key", SHIFT).alias("place")).select(F.shiftright("place", 16).alias("piece"), F.col("place").bitwiseAND(65535).cast("int").alias("bit"))
+
+    def by_piece(parts: list) -> pa.RecordBatch:
+        place = np.unique(np.concatenate(parts))
+        piece, bit = (place >> 16).astype(np.int64), (place & 65535).astype(np.uint16)
+        edges = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(piece)]
+        return pa.RecordBatch.from_arrays([pa.array(piece[edges[:-1]]), pa.array([bit[a:z].tobytes() for a, z in zip(edges, edges[1:])], type=pa.binary())], names=["piece", "bits"])
+
+    def places(batches):  # noqa: ANN001, ANN202
+        parts, size = [], 0
+        for b in batches:
+            parts.append((b.column(0).to_numpy().view(np.uint64) >> np.uint64(SHIFT)).astype(np.uint32))
+            size += b.num_rows
+            if size >= 2_000_000:
+                yield by_piece(parts)
+                parts, size = [], 0
+        if size:
+            yield by_piece(parts)
 
     def run(batches):  # noqa: ANN001, ANN202
         pieces: dict[int, np.ndarray] = {}
         for b in batches:
-            piece, bit = b.column(0).to_numpy(), b.column(1).to_numpy()
-            order = np.argsort(piece, kind="stable")
-            piece, bit = piece[order], bit[order]
-            edges = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(piece)]
-            for a, z in zip(edges, edges[1:]):
-                if z > a:
-                    pieces.setdefault(int(piece[a]), np.zeros(65536, dtype=bool))[bit[a:z]] = True
+            for piece, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                pieces.setdefault(piece, np.zeros(65536, dtype=bool))[np.frombuffer(bits, dtype=np.uint16)] = True
         for k in list(pieces):
             yield pa.RecordBatch.from_arrays([pa.array([k], type=pa.int64()), pa.array([np.packbits(pieces.pop(k), bitorder="little").tobytes()], type=pa.binary())], names=["piece", "bits"])
 
     out = np.zeros(1 << (64 - SHIFT - 3), dtype=np.uint8)
-    found = place.repartition("piece").mapInArrow(run, "piece long, bits binary").toArrow()
+    found = keys.select(F.col("key").cast("long")).mapInArrow(places, "piece long, bits binary").repartition("piece").mapInArrow(run, "piece long, bits binary").toArrow()
     for piece, part in zip(found.column("piece").to_pylist(), found.column("bits").to_pylist(), strict=True):
         out[piece * 8192 : (piece + 1) * 8192] = np.frombuffer(part, dtype=np.uint8)
     return out

@@ -18,20 +18,22 @@ their table rows in buckets of the hashes, to which both sides are dealt. A bitm
 of fixed size tells which contexts may be in the tree; it only saves lookups that
 would find nothing.
 
-Counts and lookups travel as packed arrays (``pack``), sorted within a bucket, not
-as rows: hashes dominate them, and the rows' overhead would double their size.
-Buckets are as many as the tokens ask for, so that a worker holds one at a time.
+Counts, lookups and their answers travel as packed arrays (``pack``), sorted within
+a bucket, not as rows: hashes dominate them, and the rows' overhead would double
+their size. Counts are dealt by their context, so a bucket holds all that follows a
+context and knows its size; contexts too frequent for one bucket are dealt by the
+whole sequence, their sizes are known from the level below. Buckets are as many as
+the tokens ask for, so that a worker holds one at a time. The sums of a block of
+documents come back from each bucket in one packed row and are added by block.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -43,14 +45,36 @@ from . import common
 from .packs import narrow, pack, unpack
 
 END = b""
-#: Rows encoded at once in a worker; bounds memory, not input.
-ROWS = 256
+#: Bytes of texts encoded at once in a worker, if not of one text, and of words hashed at once; bound memory, not input.
+BYTES = 1 << 20
+PIECE = 1 << 18
+#: Rows of a table packed at once in a worker.
+TABLE_ROWS = 400_000
+#: Longer words are hashed one by one.
+LONG = 64
 
 
 #: Base of the rolling hash, its inverse, and the hash of a text's beginning.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 START = np.uint64(0x6A09E667F3BCC909)
+#: Hash of the end mark.
+END_HASH = np.uint64(xxhash.xxh64_intdigest(END, 42))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """1, base, base ** 2, ... modulo 2 ** 64."""
+    out = np.full(n, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+#: A number for each byte of a word, the same for A-Z and a-z, 0 for white space; weights by place, and their inverses.
+_BYTES = np.where(_SPACE, 0, np.array([xxhash.xxh64_intdigest(bytes([b]).lower(), 7) for b in range(256)], dtype=np.uint64)).astype(np.uint64)
+_SHARE = 0xD6E8FEB86659FD93
+_WEIGHTS = _powers(_SHARE, PIECE + LONG)
+_UNWEIGHTS = _powers(pow(_SHARE, -1, 1 << 64), PIECE + LONG)
 
 
 @dataclass(frozen=True)
@@ -66,7 +90,7 @@ class Settings:
     discount: float = 0.5
     #: Keys of this share of all tokens are added in the workers, not by the join; where, not what, is added.
     hot: float = 2e-6
-    #: Words or codes gathered in a worker before they are counted and sent on; bounds memory, not input.
+    #: A tenth of the words and sequences gathered in a worker before they are counted and sent on; bounds memory, not input.
     flush: int = 80_000
     #: Training tokens for which there is one bucket.
     bucket: int = 1_500_000
@@ -75,6 +99,10 @@ class Settings:
         """A power of two: a bucket is a range of the upper bits of a hash."""
         return 1 << max(0, -(-tokens // self.bucket) - 1).bit_length()
 
+    def wide(self) -> int:
+        """Occurrences from which a context is too frequent for one bucket; at most 4 contexts a bucket are."""
+        return max(2, self.bucket // 4)
+
 
 def words(text: str | None) -> list[bytes]:
     """Lower-cases A-Z, splits at bytes 20 and 09-0D, adds the end mark."""
@@ -83,53 +111,91 @@ def words(text: str | None) -> list[bytes]:
     return out
 
 
-class WordHashes:
-    """Spark's ``xxhash64`` of words as bytes, remembered up to a bound and then forgotten."""
-
-    def __init__(self, most: int = 150_000) -> None:
-        self.known: dict[bytes, int] = {}
-        self.most = most
-
-    def __call__(self, split: list[bytes]) -> list[int]:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        get = known.get
-        out = [get(w) for w in split]
-        if None in out:
-            for i, h in enumerate(out):
-                if h is None:
-                    out[i] = known[split[i]] = xxhash.xxh64_intdigest(split[i], 42)
-        return out
-
-
-_HASHES = WordHashes()
-
-
-def encode(texts: list) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Hashes of all tokens with a start mark before each text; where texts begin; the words."""
-    split = [words(t) for t in texts]
-    starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in split])]).astype(np.int64)
-    flat = np.empty(starts[-1], dtype=np.uint64)
-    for w, at in zip(split, starts[:-1].tolist(), strict=True):
-        flat[at] = START
-        flat[at + 1 : at + 1 + len(w)] = _HASHES(w)
-    return flat, starts, split
-
-
-def grams(flat: np.ndarray, starts: np.ndarray, depth: int):  # noqa: ANN201
-    """For each context length 1..``depth``: positions of the next symbols, hashes of context, of both, and of both without the oldest word."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection that spreads differences over all bits."""
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)
+    return h ^ (h >> np.uint64(32))
+
+
+def hashes(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the words of texts that follow one another in ``data`` and begin at ``begins``; none crosses two texts."""
+    word = ~_SPACE[data]
+    first = np.ones(len(data) + 1, dtype=bool)
+    np.logical_not(word[:-1], out=first[1:-1])
+    first[begins] = True  # the last ones may be empty and begin where the data ends
+    at = np.flatnonzero(word & first[:-1])
+    out = np.empty(len(at), dtype=np.uint64)
+    after = np.append(at[1:], len(data))
+    edges = np.searchsorted(at, np.arange(0, len(data) + PIECE, PIECE)).tolist()
+    for lo, hi in zip(edges, edges[1:]):
+        if lo < hi:
+            base, end = at[lo], min(at[hi - 1] + LONG, after[hi - 1])
+            place = at[lo:hi] - base
+            out[lo:hi] = np.add.reduceat(_BYTES[data[base:end]] * _WEIGHTS[: end - base], place) * _UNWEIGHTS[place]
+    out = _mixed(out)
+    for i in np.flatnonzero(after - at > LONG).tolist():
+        w = data[at[i] : after[i]].tobytes().rstrip()
+        if len(w) > LONG:
+            out[i] = xxhash.xxh64_intdigest(w.lower(), 42)
+    return at, out
+
+
+def encoded(texts: pa.Array):  # noqa: ANN201
+    """Parts of a column: range of rows, hashes of all tokens with a start mark before each text, where texts begin in them."""
+    texts = texts.fill_null("") if texts.null_count else texts
+    _, ends, values = texts.buffers()
+    ends = np.frombuffer(ends, dtype=np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + BYTES, "right")) - 1)
+        hi = min(hi, lo + BYTES // 64)
+        begins = ends[lo:hi] - ends[lo]
+        data = np.frombuffer(values, dtype=np.uint8, count=int(ends[hi] - ends[lo]), offset=int(ends[lo])) if ends[hi] > ends[lo] else np.zeros(0, np.uint8)
+        at, found = hashes(data, begins)
+        each = np.diff(np.append(np.searchsorted(at, begins), len(at)))
+        starts = np.concatenate([[0], np.cumsum(each + 2)]).astype(np.int64)
+        flat = np.empty(starts[-1], dtype=np.uint64)
+        flat[np.arange(len(at)) + 2 * np.repeat(np.arange(hi - lo), each) + 1] = found
+        flat[starts[:-1]], flat[starts[1:] - 1] = START, END_HASH
+        yield lo, hi, flat, starts
+        lo = hi
+
+
+def runs(*sorted_: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    if not len(sorted_[0]):
+        return np.zeros(0, dtype=np.int64)
+    return np.concatenate([[0], 1 + np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in sorted_]))])
+
+
+def lengths(first: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(first, n))
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and the place of each value among them."""
+    order = np.argsort(x)
+    first = runs(x[order])
+    place = np.empty(len(x), dtype=np.int64)
+    place[order] = np.repeat(np.arange(len(first)), lengths(first, len(x)))
+    return x[order[first]], place
+
+
+def grams(flat: np.ndarray, starts: np.ndarray, depth: int, least: int = 1):  # noqa: ANN201
+    """For each context length ``least``..``depth``: positions of the next symbols, hashes of context, of both, and of both without the oldest word."""
     valid = np.ones(len(flat), dtype=bool)
     valid[starts[:-1]] = False  # a start mark is no symbol, and only the oldest word of a context
     shorter, power = flat, BASE
     for k in range(1, depth + 1):
         if k > 1:
             valid = valid & np.concatenate([[False], valid[:-1]])
-        at = np.flatnonzero(valid)
-        at = at[at >= k]
         whole = flat.copy()
         whole[k:] = flat[:-k] * power + shorter[k:]
-        yield at, shorter[at - 1], whole[at], shorter[at]
+        if k >= least:
+            at = np.flatnonzero(valid)
+            at = at[at >= k]
+            yield at, shorter[at - 1], whole[at], shorter[at]
         shorter, power = whole, _power(k + 1)
 
 
@@ -144,86 +210,134 @@ def _slices(order_key: np.ndarray, buckets: int):  # noqa: ANN202
         yield k, slice(int(edges[k]), int(edges[k + 1]))
 
 
-def _batches(found: dict, arrow: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(found), type=arrow[0].type), pa.array(list(found.values()), type=pa.int64())], schema=arrow)
-
-
 def unigrams(train: DataFrame, s: Settings) -> DataFrame:
-    """(word, n) over the training texts, the end mark as the empty word; counted in each task before they leave it."""
-    arrow = common.arrow_schema("word binary, n long")
+    """(key, n): hashes of the words of the training texts and of the end mark; counted in each task before they leave it."""
+    arrow = common.arrow_schema("key long, n long")
+
+    def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+        key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+        first = runs(key)
+        return key[first], np.add.reduceat(n, first)
 
     def run(batches):  # noqa: ANN001, ANN202
-        held: Counter = Counter()
+        held, parts, size = None, [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                for t in batch.slice(at, ROWS).column(0).to_pylist():
-                    held.update(words(t))
-                if len(held) >= s.flush:
-                    yield _batches(held, arrow)
-                    held = Counter()
+            for _, _, flat, starts in encoded(batch.column(0)):
+                word = np.ones(len(flat), dtype=bool)
+                word[starts[:-1]] = False
+                parts.append((flat[word], np.ones(int(word.sum()), dtype=np.int64)))
+                size += len(parts[-1][0])
+                if size >= 10 * s.flush:
+                    counted = merged(parts)
+                    held, parts, size = merged([held, counted]) if held else counted, [], 0
+                    if len(held[0]) >= 10 * s.flush:
+                        yield pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64)), pa.array(held[1])], schema=arrow)
+                        held = None
+        if size:
+            held = merged([*([held] if held else []), *parts])
         if held:
-            yield _batches(held, arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64)), pa.array(held[1])], schema=arrow)
         common.relax()
 
-    return train.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return train.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def contexts(train: DataFrame, length: int, frequent, buckets: int, s: Settings) -> DataFrame:  # noqa: ANN001
-    """``g, ctx, pg, n``: counts of ``length`` words and the next, at least ``s.least``.
+@dataclass
+class Frequent:
+    """Bitmap of what occurs often enough one word shorter; the contexts too frequent for one bucket, sorted, and their sizes."""
+
+    bits: np.ndarray
+    wide: np.ndarray
+    sizes: np.ndarray
+
+
+def contexts(train: DataFrame, length: int, frequent, buckets: int, least: float, s: Settings) -> DataFrame:  # noqa: ANN001
+    """``g, ctx, pg, n, size``: counts of ``length`` words and the next, at least ``s.least``, and of the context, at least ``least``.
 
-    ``frequent`` is the broadcast bitmap of what occurs that often one word
-    shorter; a sequence can only do so if both its shorter parts do. A sequence
-    travels as its hash with its oldest and newest word, from which the hashes of
-    its parts follow.
+    ``frequent`` is the broadcast of what occurs that often one word shorter; a
+    sequence can only do so if both its shorter parts do. Of the others only
+    their number counts, as part of the context's size. A sequence travels as
+    its context's hash with its oldest and newest word, from which the hashes of
+    it and of its parts follow. At ``s.depth`` only sequences of ``s.gamma_min``
+    or more are given, as no level rests on the others.
     """
-    schema = "g long, ctx long, pg long, n long"
+    schema = "g long, ctx long, pg long, n long, size long"
     arrow, packed = common.arrow_schema(schema), common.arrow_schema("bucket int, blob binary")
-    power = _power(length)
+    power, shift = _power(length), np.uint64(65 - buckets.bit_length())
 
     def blobs(parts: list) -> pa.RecordBatch:
-        g, old, new = (np.concatenate(x) for x in zip(*parts, strict=True))
-        g, first, n = np.unique(g, return_index=True, return_counts=True)
-        old, new = old[first], new[first]
-        rows = []
-        for k, part in _slices(g, buckets):
-            words, place = np.unique(np.concatenate([old[part], new[part]]), return_inverse=True)
-            half = len(place) // 2
-            rows.append((k, pack(g[part], words, narrow(place[:half]), narrow(place[half:]), narrow(n[part]))))
+        g, ctx, old, new, ok = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(g)
+        first = runs(g[order])
+        n, pick = lengths(first, len(g)), order[first]
+        g, ctx, old, new, ok = g[pick], ctx[pick], old[pick], new[pick], ok[pick]
+        wide = find(frequent.value.wide, ctx)[1]
+        to = np.where(wide, g, ctx)
+        some = np.flatnonzero(ok | ~wide)
+        some = some[np.argsort(to[some])]
+        to, ctx, old, new, ok, n = to[some], ctx[some], old[some], new[some], ok[some], n[some]
+        at = (to >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(to), np.int64)
+        first = runs(ctx, at)
+        rest, m = np.add.reduceat(np.where(ok, 0, n), first), np.add.reduceat(ok.astype(np.int64), first)
+        ctx, old, at, new, n = ctx[first], old[first], at[first], new[ok], n[ok]
+        ends = np.concatenate([[0], np.cumsum(m)])
+        rows, edge = [], [*runs(at).tolist(), len(at)]
+        for lo, hi in zip(edge, edge[1:]):
+            part = slice(ends[lo], ends[hi])
+            words, place = distinct(np.concatenate([new[part], old[lo:hi]]) if length > 1 else new[part])
+            cut = ends[hi] - ends[lo]
+            rows.append((int(at[lo]), pack(ctx[lo:hi], narrow(m[lo:hi]), narrow(rest[lo:hi]), words, narrow(place[:cut]), narrow(place[cut:]), narrow(n[part]))))
         return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), packed, strict=True)], schema=packed)
 
     def send(batches):  # noqa: ANN001, ANN202
-        parts, size = [], 0
+        bits, parts, size = frequent.value.bits, [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                flat, starts, _ = encode(batch.slice(at, ROWS).column(0).to_pylist())
-                for k, (place, ctx, g, pg) in enumerate(grams(flat, starts, length), 1):
-                    if k == length:
-                        ok = common.maybe(frequent.value, pg)
-                        ok[ok] = common.maybe(frequent.value, ctx[ok])
-                        parts.append((g[ok], flat[place[ok] - length], flat[place[ok]]))
-                        size += int(ok.sum())
+            for _, _, flat, starts in encoded(batch.column(0)):
+                for place, ctx, g, pg in grams(flat, starts, length, length):
+                    some = common.maybe(bits, ctx)
+                    if some.any():
+                        place = place[some]
+                        parts.append((g[some], ctx[some], flat[place - length], flat[place], common.maybe(bits, pg[some])))
+                        size += len(place)
                 if size >= 10 * s.flush:
                     yield blobs(parts)
                     parts, size = [], 0
-                    common.relax()
         if size:
             yield blobs(parts)
         common.relax()
 
     def count(batches):  # noqa: ANN001, ANN202
         for group in common.groups(batches, ["bucket"]):
-            cols = [[], [], [], []]
+            cols: list[list] = [[] for _ in range(6)]
             for blob in group["blob"]:
-                g, words, old, new, n = unpack(blob)
-                for held, x in zip(cols, (g, words[old], words[new], n.astype(np.int64)), strict=True):
+                ctx, m, rest, words, new, old, n = unpack(blob)
+                m, n = m.astype(np.int64), n.astype(np.int64)
+                each = np.repeat(np.arange(len(ctx)), m)
+                total = rest.astype(np.int64) + np.bincount(each, n, len(ctx)).astype(np.int64)
+                for held, x in zip(cols, (ctx, total, ctx[each], (words[old] if length > 1 else ctx)[each], words[new], n), strict=True):
                     held.append(x)
-            g, old, new, n = (np.concatenate(x) for x in cols)
-            g, first, place = np.unique(g, return_index=True, return_inverse=True)
-            n = np.bincount(place, weights=n).astype(np.int64)
-            some = np.flatnonzero(n >= s.least)
-            g, old, new, n = g[some], old[first[some]], new[first[some]], n[some]
+            ctxs, total, ctx, old, new, n = (np.concatenate(x) for x in cols)
+            cols.clear()
+            ctxs, place = distinct(ctxs)
+            size = np.bincount(place, total, len(ctxs)).astype(np.int64)
+            at, wide = find(frequent.value.wide, ctxs)
+            size[wide] = frequent.value.sizes[at[wide]]
+            g = ctx * BASE + new
+            order = np.argsort(g)
+            first = runs(g[order])
+            some = np.zeros(0, np.int64)
+            if len(first):
+                n, pick = np.add.reduceat(n[order], first), order[first]
+                g, ctx, old, new = g[pick], ctx[pick], old[pick], new[pick]
+                size = size[np.searchsorted(ctxs, ctx)]
+                need = s.gamma_min * size if length == s.depth else 0
+                some = np.flatnonzero((n >= s.least) & (n >= need) & ((size >= least) | (ctx == START)))
             common.relax()
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g.view(np.int64), ((g - new) * INVERSE).view(np.int64), (g - old * power).view(np.int64), n)], schema=arrow)
+            if len(some):
+                g, ctx, old, n, size = g[some], ctx[some], old[some], n[some], size[some]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g.view(np.int64), ctx.view(np.int64), (g - old * power).view(np.int64), n, size)], schema=arrow)
 
     return train.mapInArrow(send, "bucket int, blob binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, schema)
 
@@ -236,39 +350,39 @@ def grow(train: DataFrame, table: DataFrame, totals: tuple[int, int, int], s: Se
     """
     tokens, types, texts = totals
     spark, least = train.sparkSession, max(s.least, s.p_min * tokens)
-    shorter = table.where(F.col("n") >= max(1.0, s.p_min * tokens)).select(F.xxhash64("word").alias("g"), "n", ((F.col("n") + 1) / (tokens + types + 1)).alias("q"))
+    shorter = table.where(F.col("n") >= max(1.0, s.p_min * tokens)).select(F.col("key").alias("g"), "n", ((F.col("n") + 1) / (tokens + types + 1)).alias("q"))
     begin = spark.createDataFrame([(int(START.view(np.int64)), texts)], "g long, n long")
-    sizes = shorter.where(F.col("n") >= least).select("g", "n")
     out: list[DataFrame] = []
     level = None
     for k in range(1, s.depth + 1):
-        sizes = sizes.unionByName(begin) if k == 1 else sizes
-        frequent = common.broadcast(spark, common.bitmap(sizes.select(F.col("g").alias("key")).unionByName(shorter.where(F.col("n") >= s.least).select(F.col("g").alias("key")))))
-        found = materialize(contexts(train, k, frequent, s.buckets(tokens), s), f"pst-found-{k}")
+        below = shorter.select("g", "n").unionByName(begin) if k == 1 else shorter.select("g", "n")
+        wide = _sorted(below.where(F.col("n") >= s.wide()).toArrow())
+        frequent = common.broadcast(spark, Frequent(common.bitmap(below.where(F.col("n") >= s.least).select(F.col("g").alias("key"))), wide[0], wide[1].astype(np.int64)))
+        found = materialize(contexts(train, k, frequent, s.buckets(tokens), least, s), f"pst-found-{k}")
         n, size, q = F.col("n"), F.col("size"), F.col("q")
         good = (n >= s.gamma_min * size) & ((n / size >= s.ratio * q) | (n / size * s.ratio <= q))
-        sized = materialize(found.join(sizes.select(F.col("g").alias("ctx"), F.col("n").alias("size")), "ctx"), f"pst-sized-{k}")
         frequent.destroy()
-        discard(found)
-        tried = materialize(sized.join(shorter.select(F.col("g").alias("pg"), "q"), "pg").select("g", "ctx", "n", "size", "q", good.alias("good")), f"pst-tried-{k}")
-        discard(sized, level)
+        tried = materialize(found.join(shorter.select(F.col("g").alias("pg"), "q"), "pg").select("g", "ctx", "n", "size", "q", good.alias("good")), f"pst-tried-{k}")
+        discard(found, level)
         sums = tried.where("good").groupBy("ctx", "size").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("kept"), F.sum("q").alias("q_sum"), F.sum(n * F.log(n / size / q)).alias("gain")).where("q_sum < 1")
         p = F.col("kept") / size
         gain = F.col("gain") + F.when(F.col("kept") < size, size * (1 - p) * F.log((1 - p) / (1 - F.col("q_sum")))).otherwise(0.0)
         back = (1 - (F.col("kept") - s.discount * F.col("m")) / size) / (1 - F.col("q_sum"))
         nodes = materialize(sums.where(gain >= s.cost * F.col("m") * float(np.log(max(tokens, 2))) / 2).select("ctx", "size", F.greatest(back, F.lit(1e-300)).alias("back")), f"pst-nodes-{k}")
-        own = tried.join(nodes.select("ctx", "back"), "ctx", "left")
-        kept = F.col("good") & F.col("back").isNotNull()
-        level = own.select("g", "n", "q", F.when(kept, (n - s.discount) / size).when(F.col("back").isNotNull(), F.col("back") * q).otherwise(q).alias("p"), F.when(kept, F.col("back")).alias("back"), F.when(kept, F.col("ctx")).alias("ctx"), F.when(kept, size).alias("size"))
-        level = materialize(level, f"pst-level-{k}")
-        discard(tried)
+        p = (n - s.discount) / size
+        value = (F.log10(p) - F.log10("q") - F.log10("back")).alias("value")
+        if k < s.depth:
+            own = tried.join(nodes.select("ctx", "back"), "ctx", "left")
+            kept = F.col("good") & F.col("back").isNotNull()
+            level = own.select("g", "n", F.when(kept, p).when(F.col("back").isNotNull(), F.col("back") * q).otherwise(q).alias("p"), F.when(kept, F.col("ctx")).alias("ctx"), F.when(kept, value).alias("value"), F.when(kept, size).alias("size"))
+            level = materialize(level, f"pst-level-{k}")
+            kept = level.where("ctx is not null").select("ctx", "g", "value", F.col("size").alias("n"))
+            shorter = level.select("g", "n", F.col("p").alias("q"))
+        else:
+            kept = tried.where("good").join(nodes.select("ctx", "back"), "ctx").select("ctx", "g", value, size.alias("n"))
         rows = nodes.select("ctx", F.lit(None).cast("long").alias("g"), F.log10("back").alias("value"), F.col("size").alias("n"))
-        rows = rows.unionByName(level.where("back is not null").select("ctx", "g", (F.log10("p") - F.log10("q") - F.log10("back")).alias("value"), F.col("size").alias("n")))
-        out.append(materialize(rows, f"pst-tree-{k}"))
-        discard(nodes)
-        shorter = level.select("g", "n", F.col("p").alias("q"))
-        sizes = shorter.where(F.col("n") >= least).select("g", "n")
-    discard(level)
+        out.append(rows.unionByName(materialize(kept, f"pst-kept-{k}")))
+        discard(tried)
     return out
 
 
@@ -304,37 +418,47 @@ def _symbol(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
     return ctx * BASE ^ (word & np.uint64(0xFFFFFFFF)) * INVERSE
 
 
-#: What a packed row holds: rows of the tree, rows of the unigrams, lookups in either, and a document's own sums.
+#: What a packed row holds: rows of the tree, rows of the unigrams, lookups in either, and documents' own sums.
 TREE, WORDS, IN_TREE, IN_WORDS, OWN = range(5)
-_PACKED = "bucket int, kind int, blob binary, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double"
-_SUMS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double"
-_SUMS_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
-_PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary()), *_SUMS_ARROW])
+_PACKED = "bucket int, kind int, block long, blob binary"
+_PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("blob", pa.binary())])
+_ANSWERS = "block long, kind int, blob binary"
+_ANSWERS_ARROW = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
+_SUMS = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double"
+_SUMS_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
 
 
-def _packed_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _PACKED_ARROW, strict=True)], schema=_PACKED_ARROW)
+def _packed_batch(rows: list[tuple], arrow: pa.Schema = _PACKED_ARROW) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
 
 def _packed_table(table: DataFrame, kind: int, buckets: int) -> DataFrame:
     """A table's rows (key, other longs or doubles) as packed arrays by the bucket of the key."""
 
+    def rows(parts: list) -> list[tuple]:
+        key, *cols = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(key)
+        key, cols = key[order], [c[order] for c in cols]
+        return [(k, kind, None, pack(key[part], *(c[part] for c in cols))) for k, part in _slices(key, buckets)]
+
     def run(batches):  # noqa: ANN001, ANN202
+        parts, size = [], 0
         for b in batches:
-            cols = [c.fill_null(0).to_numpy() for c in b.columns]
-            key = cols[0].astype(np.int64).view(np.uint64)
-            order = np.argsort(key)
-            rows = [(k, kind, pack(key[order][part], *(c[order][part] for c in cols[1:])), *[None] * 7) for k, part in _slices(key[order], buckets)]
-            if rows:
-                yield _packed_batch(rows)
+            key, *cols = [c.fill_null(0).to_numpy() for c in b.columns]
+            parts.append((key.astype(np.int64).view(np.uint64), *cols))
+            size += len(key)
+            if size >= TABLE_ROWS:
+                yield _packed_batch(rows(parts))
+                parts, size = [], 0
+        if size:
+            yield _packed_batch(rows(parts))
 
     return table.mapInArrow(run, _PACKED)
 
 
 def _meet(batches):  # noqa: ANN001, ANN202
-    """Sorted by bucket and kind: hold a bucket's table rows, let its lookups pass, sum by document."""
-    arrow, none = _SUMS_ARROW, (np.zeros(0, np.uint64), np.zeros(0))
+    """Sorted by bucket and kind: hold a bucket's table rows, let its lookups pass, sum by document of their block."""
+    none = np.zeros(0, np.uint64), np.zeros(0)
     bucket, tables, ready = None, {}, {}
 
     def table(kind: int) -> tuple[np.ndarray, ...]:
@@ -355,28 +479,50 @@ def _meet(batches):  # noqa: ANN001, ANN202
         return ready[kind]
 
     for batch in batches:
-        own = batch.filter(pc.equal(batch.column("kind"), OWN))
-        if own.num_rows:
-            yield own.select(arrow.names).cast(arrow)
-        for b, kind, blob in zip(*(batch.column(x).to_pylist() for x in ("bucket", "kind", "blob")), strict=True):
+        out = []
+        for b, kind, block, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if b != bucket:
                 bucket, tables, ready = b, {}, {}
             if kind in (TREE, WORDS):
                 tables.setdefault(kind, []).append(unpack(blob))
-            elif kind != OWN:
-                first, doc, key, *word = unpack(blob)
-                n = int(doc.max()) + 1
+            elif kind == OWN:
+                out.append((block, kind, blob))
+            else:
+                key, n, doc, *word = unpack(blob)
+                docs, place = np.unique(doc, return_inverse=True)
                 if kind == IN_TREE:
                     backs, factor, kept, gain = table(TREE)
-                    value = _values(backs, factor, key) + _values(kept, gain, _symbol(key, word[0].astype(np.uint64)))
-                    sums = np.zeros(n, np.int64), np.zeros(n), np.bincount(doc, value, n)
+                    value = np.repeat(_values(backs, factor, key), n) + _values(kept, gain, _symbol(np.repeat(key, n), word[0].astype(np.uint64)))
+                    sums = (np.bincount(place, value, len(docs)),)
                 else:
-                    words, logs = table(WORDS)
-                    there = find(words, key)[1]
-                    sums = np.bincount(doc, there, n).astype(np.int64), np.bincount(doc, _values(words, logs, key), n), np.zeros(n)
-                some = np.flatnonzero((sums[0] != 0) | (sums[1] != 0) | (sums[2] != 0))
-                empty = [pa.nulls(len(some), f.type) for f in arrow][1:4]
-                yield pa.RecordBatch.from_arrays([pa.array(int(first[0]) + some), *empty, *(pa.array(x[some]) for x in sums)], schema=arrow)
+                    keys, logs = table(WORDS)
+                    at, there = find(keys, key)
+                    value = np.where(there, logs[at], 0.0) if len(keys) else np.zeros(len(key))
+                    sums = narrow(np.bincount(place, np.repeat(there, n), len(docs)).astype(np.int64)), np.bincount(place, np.repeat(value, n), len(docs))
+                out.append((block, kind, pack(docs, *sums)))
+        if out:
+            yield _packed_batch(out, _ANSWERS_ARROW)
+    common.relax()
+
+
+def _add(batches):  # noqa: ANN001, ANN202
+    """Sorted by block: a block's documents with the sums of all buckets."""
+    for group in common.groups(batches, ["block"]):
+        own, answers = None, []
+        for kind, blob in zip(group["kind"], group["blob"], strict=True):
+            if kind == OWN:
+                own = unpack(blob)
+            else:
+                answers.append((kind, unpack(blob)))
+        doc_id, null, held, n, *sums = own
+        known, base, model = (x.copy() for x in sums)
+        for kind, (doc, *sums) in answers:  # a document is there once in each
+            if kind == IN_TREE:
+                model[doc] += sums[0]
+            else:
+                known[doc] += sums[0].astype(np.int64)
+                base[doc] += sums[1]
+        yield pa.RecordBatch.from_arrays([pa.array(doc_id, mask=null.astype(bool)), pa.array(held.astype(bool)), *map(pa.array, (n, known, base, model))], schema=_SUMS_ARROW)
 
 
 def _values(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -385,26 +531,47 @@ def _values(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndar
     return np.where(there, values[at], 0.0) if len(keys) else np.zeros(len(wanted))
 
 
-class _Lookups:
-    """Lookups gathered in a worker over the documents from ``first`` on, sent as packed arrays by bucket."""
+class _Block:
+    """Documents gathered in a worker with the lookups of their words and contexts."""
 
-    def __init__(self, first: int, buckets: int) -> None:
-        self.first, self.buckets, self.size = first, buckets, 0
+    def __init__(self, h: Hot, name: int, buckets: int) -> None:
+        self.h, self.name, self.buckets, self.size, self.n = h, name, buckets, 0, 0
+        self.docs: list = []
         self.held: dict[int, list] = {IN_TREE: [], IN_WORDS: []}
 
     def add(self, kind: int, doc: np.ndarray, *key: np.ndarray) -> None:
-        self.held[kind].append((doc - self.first, *key))
+        self.held[kind].append((doc, *key))
         self.size += len(doc)
 
     def rows(self) -> list[tuple]:
-        out = []
+        """Sums over what is hot, and what is not as packed arrays by bucket."""
+        known, base, model = np.zeros(self.n, np.int64), np.zeros(self.n), np.zeros(self.n)
+        h, out = self.h, []
         for kind, parts in self.held.items():
-            if parts:
-                doc, key, *word = (np.concatenate(x) for x in zip(*parts, strict=True))
-                order = np.argsort(key, kind="stable")
-                doc, key, word = doc[order], key[order], [w[order] for w in word]
-                for k, part in _slices(key, self.buckets):
-                    out.append((k, kind, pack(np.array([self.first]), narrow(doc[part]), key[part], *(w[part].astype(np.uint32) for w in word)), *[None] * 7))
+            if not parts:
+                continue
+            doc, key, *more = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.clear()
+            order = np.argsort(key)
+            doc, key, more = doc[order], key[order], [x[order] for x in more]
+            first = runs(key)
+            key, n = key[first], lengths(first, len(doc))
+            at, there = find(h.words if kind == IN_WORDS else h.contexts, key)
+            hot = np.repeat(there, n)
+            value = np.repeat((h.logs if kind == IN_WORDS else h.backs)[at[there]], n[there])
+            if kind == IN_WORDS:
+                known += np.bincount(doc[hot], minlength=self.n)
+                base += np.bincount(doc[hot], value, self.n)
+            else:
+                name = _symbol(np.repeat(key[there], n[there]), more[0][hot].astype(np.uint64))
+                model += np.bincount(doc[hot], value + _values(h.kept, h.gains, name), self.n)
+            doc, more, key, n = doc[~hot], [x[~hot] for x in more], key[~there], n[~there]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            for k, part in _slices(key, self.buckets):
+                own = slice(ends[part.start], ends[part.stop])
+                out.append((k, kind, self.name, pack(key[part], narrow(n[part]), narrow(doc[own]), *(x[own] for x in more))))
+        doc_id, null, held, n = (np.concatenate(x) for x in zip(*self.docs, strict=True))
+        out.append((self.name % self.buckets, OWN, self.name, pack(doc_id, null, held, n, known, base, model)))
         return out
 
 
@@ -424,48 +591,44 @@ def score_documents(spark: SparkSession, docs: DataFrame, settings: Settings = S
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.expr(f"{common.crc_text(id_col)} % 7 = 2").alias("held_out"), F.col(text_col).cast("string").alias("text"))
     train = rows.where(~F.col("held_out")).select("text")
     table = materialize(unigrams(train, s), "pst-unigrams")
-    total = table.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.when(F.length("word") == 0, F.col("n")))).first()
+    total = table.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.when(F.col("key") == int(END_HASH.view(np.int64)), F.col("n")))).first()
     tokens, types, texts = totals = tuple(int(x or 0) for x in total)
     tree = reduce(DataFrame.unionByName, grow(train, table, totals, s))
     buckets = s.buckets(tokens)
     often = F.col("n") >= max(1.0, s.hot * tokens)  # at most 1/hot words and contexts of a length, and 1/gamma_min symbols in each
-    logs = table.select(F.xxhash64("word").alias("key"), F.log10(F.col("n") + 1).alias("value"), "n")
-    backs, kept = tree.where("g is null").select("ctx", "value", "n"), tree.where("g is not null").select("g", "value", "n")
-    hot = Hot(*(x for side in (logs, backs, kept) for x in _sorted(side.where(often).drop("n").toArrow())), common.bitmap(tree.where("g is null").select(F.col("ctx").alias("key"))))
+    logs = table.select("key", F.log10(F.col("n") + 1).alias("value"), "n")
+    backs = tree.where("g is null").select("ctx", "value", "n")
+    kept = tree.where("g is not null").select("ctx", "g", "value", "n")
+    ctx, g, value = (c.to_numpy() for c in kept.where(often).drop("n").toArrow().columns)
+    ctx, g = ctx.astype(np.int64).view(np.uint64), g.astype(np.int64).view(np.uint64)
+    name = _symbol(ctx, g - ctx * BASE)
+    order = np.argsort(name)
+    hot = Hot(*(x for side in (logs, backs) for x in _sorted(side.where(often).drop("n").toArrow())), name[order], value.astype(np.float64)[order], common.bitmap(tree.where("g is null").select(F.col("ctx").alias("key"))))
     shared = common.broadcast(spark, hot)
 
     def run(batches):  # noqa: ANN001, ANN202
-        h, first = shared.value, TaskContext.get().partitionId() << 33
-        open_ = _Lookups(first, buckets)
+        h, name = shared.value, TaskContext.get().partitionId() << 33
+        block = _Block(h, name, buckets)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                cols = batch.slice(at, ROWS).to_pydict()
-                flat, starts, split = encode(cols["text"])
-                doc = np.repeat(first + np.arange(len(split)), np.diff(starts))
-                i, known = find(h.words, flat)
-                known[starts[:-1]] = False
-                logs = np.where(known, np.append(h.logs, 0.0)[i], 0.0)
-                rare = ~known
-                rare[starts[:-1]] = False
-                open_.add(IN_WORDS, doc[rare], flat[rare])
-                model = np.zeros(len(flat))
-                for place, ctx, g, _ in grams(flat, starts, s.depth):
+            doc_id, held = batch.column(0), batch.column(1)
+            for lo, hi, flat, starts in encoded(batch.column(2)):
+                own, texts = doc_id.slice(lo, hi - lo), np.diff(starts)
+                block.docs.append((own.fill_null(0).to_numpy(), own.is_null().to_numpy(zero_copy_only=False).view(np.uint8), held.slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(np.uint8), texts - 1))
+                doc = np.repeat(np.arange(block.n, block.n + hi - lo, dtype=np.uint32), texts)
+                block.n += hi - lo
+                word = np.ones(len(flat), dtype=bool)
+                word[starts[:-1]] = False
+                block.add(IN_WORDS, doc[word], flat[word])
+                for place, ctx, _, _ in grams(flat, starts, s.depth):
                     hit = common.maybe(h.bits, ctx)
-                    place, ctx, g = place[hit], ctx[hit], g[hit]
-                    there = find(h.contexts, ctx)[1]
-                    model[place[there]] += _values(h.contexts, h.backs, ctx[there]) + _values(h.kept, h.gains, g[there])
-                    open_.add(IN_TREE, doc[place[~there]], ctx[~there], flat[place[~there]] & np.uint64(0xFFFFFFFF))
-                per = lambda x: np.add.reduceat(x, starts[:-1]).tolist()  # noqa: B023, E731
-                rows = list(range(first, first + len(split)))
-                buckets_of = [r % buckets for r in rows]
-                yield _packed_batch(list(zip(buckets_of, [OWN] * len(rows), [None] * len(rows), rows, cols["doc_id"], cols["held_out"], map(len, split), per(known.astype(np.int64)), per(logs), per(model), strict=True)))
-                first += len(split)
-                if open_.size >= 10 * s.flush:
-                    yield _packed_batch(open_.rows())
-                    open_ = _Lookups(first, buckets)
-                    common.relax()
-        if open_.size:
-            yield _packed_batch(open_.rows())
+                    place = place[hit]
+                    block.add(IN_TREE, doc[place], ctx[hit], flat[place].astype(np.uint32))
+                if block.size >= 20 * s.flush:
+                    yield _packed_batch(block.rows())
+                    name += 1
+                    block = _Block(h, name, buckets)
+        if block.n:
+            yield _packed_batch(block.rows())
         common.relax()
 
     sides = [
@@ -473,7 +636,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, settings: Settings = S
         _packed_table(logs.where(~often).select("key", "value"), WORDS, buckets),
         rows.select("doc_id", "held_out", "text").mapInArrow(run, _PACKED),
     ]
-    met = reduce(DataFrame.unionByName, sides).repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_meet, _SUMS)
-    sums = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("model").alias("model"))
+    met = reduce(DataFrame.unionByName, sides).repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_meet, _ANSWERS)
+    sums = met.repartition("block").sortWithinPartitions("block").mapInArrow(_add, _SUMS)
     base = F.col("base") - F.col("n_tokens") * float(np.log10(tokens + types + 1))
     return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("model")).alias("score"))

@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kgspark.llm import ann, mixing, neardup, registry, suffixtree, urlfilter
@@ -340,6 +341,39 @@ def test_suffix_tree_learns_rare_passages_in_much_text(spark):
         assert r["score"] - r["base_score"] > 11 * 4
 
 
+def test_suffix_tree_hashes_words_whatever_lies_around_them():
+    rng = random.Random(18)
+    texts = ["", None, " ", "A", "a\tb", "Long" * 17, ("x" * 64 + " ") * 3, "y" * 65, "ÄÖ\x0bäö \x1c\u00a0", "z" * 300_000 + " Z"]
+    texts += [" ".join(f"w{rng.randrange(500)}" for _ in range(rng.randrange(40))) for _ in range(20_000)]
+    of, n = {}, 0
+    for lo, hi, flat, starts in suffixtree.encoded(pa.array([None, *texts])[1:]):
+        assert hi - lo == len(starts) - 1 and lo == n
+        n = hi
+        for i in range(lo, hi):
+            own = flat[starts[i - lo] : starts[i - lo + 1]]
+            assert own[0] == suffixtree.START and len(own) == 1 + len(suffixtree.words(texts[i]))
+            for w, h in zip(suffixtree.words(texts[i]), own[1:].tolist(), strict=True):
+                assert of.setdefault(w, h) == h
+    assert n == len(texts) and len(set(of.values())) == len(of) > 500
+
+
+def test_suffix_tree_sums_of_a_block_come_back_in_one_row_a_bucket():
+    """They were one row for each document and bucket: 29 million of them for 256,410 documents."""
+    none, docs, buckets = np.zeros(0), 400, 8
+    block = suffixtree._Block(suffixtree.Hot(none.astype(np.uint64), none, none.astype(np.uint64), none, none.astype(np.uint64), none, none), 5, buckets)
+    keys = np.random.default_rng(18).integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2)
+    block.docs.append((np.arange(docs), np.zeros(docs, np.uint8), np.zeros(docs, np.uint8), np.full(docs, 1000)))
+    block.n = docs
+    block.add(suffixtree.IN_WORDS, np.repeat(np.arange(docs), 1000), np.tile(keys, docs))
+    parts = suffixtree._slices(np.sort(keys), buckets)
+    tables = [(k, suffixtree.WORDS, None, suffixtree.pack(np.sort(keys)[part], np.ones(part.stop - part.start))) for k, part in parts]
+    rows = sorted([*tables, *block.rows()], key=lambda r: r[:2])
+    met = [*suffixtree._meet([suffixtree._packed_batch(rows)])]
+    assert sum(b.num_rows for b in met) == buckets + 1
+    out = pa.Table.from_batches([*suffixtree._add(met)]).to_pydict()
+    assert out["n_known"] == [1000] * docs and out["base"] == [1000.0] * docs
+
+
 # nearest neighbours
 
 
