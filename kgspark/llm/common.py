@@ -133,15 +133,13 @@ def bitmap(keys: DataFrame) -> np.ndarray:
             yield by_piece(parts)
 
     def run(batches):  # noqa: ANN001, ANN202
-        pieces: dict[int, np.ndarray] = {}
-        for b in batches:
-            for piece, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                pieces.setdefault(piece, np.zeros(65536, dtype=bool))[np.frombuffer(bits, dtype=np.uint16)] = True
-        for k in list(pieces):
-            yield pa.RecordBatch.from_arrays([pa.array([k], type=pa.int64()), pa.array([np.packbits(pieces.pop(k), bitorder="little").tobytes()], type=pa.binary())], names=["piece", "bits"])
+        for group in groups(batches, ["piece"]):
+            bits = np.zeros(65536, dtype=bool)
+            bits[np.frombuffer(b"".join(group["bits"]), dtype=np.uint16)] = True
+            yield pa.RecordBatch.from_arrays([pa.array([group["piece"][0]], type=pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], type=pa.binary())], names=["piece", "bits"])
 
     out = np.zeros(1 << (64 - SHIFT - 3), dtype=np.uint8)
-    found = keys.select(F.col("key").cast("long")).mapInArrow(places, "piece long, bits binary").repartition("piece").mapInArrow(run, "piece long, bits binary").toArrow()
+    found = keys.select(F.col("key").cast("long")).mapInArrow(places, "piece long, bits binary").repartition("piece").sortWithinPartitions("piece").mapInArrow(run, "piece long, bits binary").toArrow()
     for piece, part in zip(found.column("piece").to_pylist(), found.column("bits").to_pylist(), strict=True):
         out[piece * 8192 : (piece + 1) * 8192] = np.frombuffer(part, dtype=np.uint8)
     return out

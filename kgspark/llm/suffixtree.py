@@ -311,33 +311,35 @@ def contexts(train: DataFrame, length: int, frequent, buckets: int, least: float
     def count(batches):  # noqa: ANN001, ANN202
         for group in common.groups(batches, ["bucket"]):
             cols: list[list] = [[] for _ in range(6)]
+            before = 0
             for blob in group["blob"]:
                 ctx, m, rest, words, new, old, n = unpack(blob)
                 m, n = m.astype(np.int64), n.astype(np.int64)
                 each = np.repeat(np.arange(len(ctx)), m)
                 total = rest.astype(np.int64) + np.bincount(each, n, len(ctx)).astype(np.int64)
-                for held, x in zip(cols, (ctx, total, ctx[each], (words[old] if length > 1 else ctx)[each], words[new], n), strict=True):
+                for held, x in zip(cols, (ctx, words[old] if length > 1 else ctx, total, before + each, words[new], n), strict=True):
                     held.append(x)
-            ctxs, total, ctx, old, new, n = (np.concatenate(x) for x in cols)
+                before += len(ctx)
+            ctx, old, total, each, new, n = (np.concatenate(x) for x in cols)
             cols.clear()
-            ctxs, place = distinct(ctxs)
+            ctxs, place = distinct(ctx)
             size = np.bincount(place, total, len(ctxs)).astype(np.int64)
             at, wide = find(frequent.value.wide, ctxs)
             size[wide] = frequent.value.sizes[at[wide]]
-            g = ctx * BASE + new
+            g = ctx[each] * BASE + new
             order = np.argsort(g)
             first = runs(g[order])
             some = np.zeros(0, np.int64)
             if len(first):
                 n, pick = np.add.reduceat(n[order], first), order[first]
-                g, ctx, old, new = g[pick], ctx[pick], old[pick], new[pick]
-                size = size[np.searchsorted(ctxs, ctx)]
+                g, each = g[pick], each[pick]
+                ctx, old, size = ctx[each], old[each], size[place[each]]
                 need = s.gamma_min * size if length == s.depth else 0
                 some = np.flatnonzero((n >= s.least) & (n >= need) & ((size >= least) | (ctx == START)))
-            common.relax()
             if len(some):
                 g, ctx, old, n, size = g[some], ctx[some], old[some], n[some], size[some]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g.view(np.int64), ctx.view(np.int64), (g - old * power).view(np.int64), n, size)], schema=arrow)
+        common.relax()
 
     return train.mapInArrow(send, "bucket int, blob binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, schema)
 
