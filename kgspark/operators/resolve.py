@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kgspark.runtime import materialize, shuffled, spread
 
-from . import simjoin
+from . import blockjoin, simjoin
 from .components import connected_components
 
 
@@ -56,20 +56,40 @@ def is_edits(metric) -> bool:  # noqa: ANN001
     return metric is levenshtein_ratio
 
 
+#: Names of a type up to which all its pairs are compared in blocks.
+MOST_BLOCKED = 1 << 20
+
+
 def duplicate_pairs(entities: DataFrame, threshold: float = 0.85, metric=sequence_ratio) -> DataFrame:  # noqa: ANN001
     """Pairs of one type at or above ``threshold``: ``id1, name1, id2, name2, type, similarity``.
 
     The pair's order is that of (type, name, id). Null names and types pair with
     nothing; names that are equal once normalised, empty ones too, always pair.
-    Pairs are sought among the distinct normalised names of a type by
-    ``simjoin.name_pairs``, which loses none; the metric runs once for each pair
-    of spellings that is left.
+    Names of a type are held against each other in blocks (``blockjoin``). Types
+    of more than ``MOST_BLOCKED`` names, names of more letters than a machine word
+    has bits and other metrics go by ``simjoin.name_pairs``; neither loses a pair.
     """
     named = materialize(entities.where("name is not null and type is not null").select("id", "name", "type", normal(F.col("name")).alias("n")), "names-all")
-    names = named.select("type", "n").distinct()
-    names = materialize(names.withColumn("side", F.lit(3)), "names")
+    if metric not in (sequence_ratio, levenshtein_ratio):
+        return _pairs_by_ways(named, named.select("type", "n").distinct().withColumn("side", F.lit(3)), threshold, metric)
+    names = materialize(named.select("type", "n").distinct(), "names")
+    is_long = F.length("n") > blockjoin.LONGEST
+    # one row a type: names of such a type, or its long ones with all others, take the other ways
+    kinds = names.groupBy("type").agg((F.count(F.lit(1)) > MOST_BLOCKED).alias("large"), F.max(is_long).alias("long")).where("large or long")
+    kinds = materialize(kinds, "names-types")
+    if kinds.isEmpty():
+        return blockjoin.alike_pairs(named, threshold, is_edits(metric), ratio)
+    sides = names.join(shuffled(kinds), "type").select("type", "n", F.when(F.col("large") | is_long, 3).otherwise(2).alias("side"))
+    by_ways = _pairs_by_ways(named, sides, threshold, metric)
+    short = named.where(~is_long).join(shuffled(kinds.where("large").select("type")), "type", "left_anti").select("id", "name", "type", "n")
+    return by_ways.unionByName(blockjoin.alike_pairs(short, threshold, is_edits(metric), ratio))
+
+
+def _pairs_by_ways(named: DataFrame, names: DataFrame, threshold: float, metric) -> DataFrame:  # noqa: ANN001
+    """Pairs with one name of side 1 (bit) at least, sought among the distinct normalised names (``type, n, side``); the metric runs once for each pair of spellings."""
+    names = materialize(names, "names")
     met = simjoin.name_pairs(names, threshold, is_edits(metric), True)
-    same = names.select("type", F.col("n").alias("n1"), F.col("n").alias("n2"))
+    same = names.where("side = 3").select("type", F.col("n").alias("n1"), F.col("n").alias("n2"))
     met = met.unionByName(same)
     spelled = named.select("type", "n", "name").distinct()
     one, two = spelled.select("type", F.col("n").alias("n1"), F.col("name").alias("u")), spelled.select("type", F.col("n").alias("n2"), F.col("name").alias("v"))

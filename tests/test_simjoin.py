@@ -166,3 +166,43 @@ def test_entities_are_read_once(spark):
         read.value = 0
         assert run().collect()
         assert read.value == len(rows)
+
+
+@pytest.mark.parametrize("metric", ["sequence_ratio", "levenshtein_ratio"])
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_blocks_hold_every_pair(spark, monkeypatch, metric, most):
+    """Names in several entries and blocks, light and heavy, with repeated, null and empty ones, and letters whose lower case is longer."""
+    from kgspark.operators import blockjoin
+
+    monkeypatch.setattr(resolve, "MOST_BLOCKED", most)
+    for name, value in (("CHUNK", 4), ("LIGHT", 2), ("ENTRIES", 6), ("CELLS", 16), ("STEP", 7), ("COLUMNS", 3)):
+        monkeypatch.setattr(blockjoin, name, value)
+    rng = random.Random(4)
+    names = [*made_names(rng)[::2], "", " ", "  Supplier#000007", "SUPPLIER#000007", "İstanbul", "İstanbol", "x" * 70, "x" * 64, "x" * 60 + "y" * 4]
+    rows = [(i, n, "x" if i % 4 else "y") for i, n in enumerate([*names, *["red bolt"] * 11, *["red bolts"] * 6, *["RED bolt"] * 3, None])]
+    score = resolve.ratio if metric == "sequence_ratio" else by_edits
+    df = spark.createDataFrame(rows, "id int, name string, type string")
+    got = sorted((r["id1"], r["id2"], round(r["similarity"], 9)) for r in resolve.duplicate_pairs(df, 0.8, getattr(resolve, metric)).collect())
+    named = [r for r in rows if r[1] is not None]
+    if metric == "levenshtein_ratio":  # lower case of the JVM is that of Python but for the length of this letter
+        named = [r for r in named if "İ" not in r[1]]
+        got = [g for g in got if "İ" not in rows[g[0]][1] + rows[g[1]][1]]
+    assert got == sorted((a[0], b[0], round(score(a[1], b[1]), 9)) for a in named for b in named if a[2] == b[2] and (a[1], a[0]) < (b[1], b[0]) and score(a[1], b[1]) >= 0.8)
+
+
+def test_matching_blocks_are_those_of_difflib():
+    import difflib
+
+    from kgspark.operators import blockjoin
+
+    rng = random.Random(1)
+    for letters, x, y in (("ab", 8, 8), ("abc", 12, 9), ("0123456789", 18, 18), ("ab", 64, 60)):
+        a, b = (["".join(rng.choices(letters, k=k)) for _ in range(200)] for k in (x, y))
+        got = blockjoin.matches(blockjoin._codes(a, x), blockjoin._codes(b, y))
+        assert got.tolist() == [sum(m.size for m in difflib.SequenceMatcher(None, u, v).get_matching_blocks()) for u, v in zip(a, b, strict=True)]
+
+
+def test_a_pair_of_names_of_one_pattern_is_no_row_before_its_metric(spark, monkeypatch):
+    monkeypatch.setattr(simjoin, "name_pairs", lambda *a: pytest.fail("names of one pattern met one by one"))
+    df = spark.createDataFrame([(i, f"Supplier#{i:09d}", "x") for i in range(40)], "id int, name string, type string")
+    assert resolve.duplicate_pairs(df, 0.85).count() == sum(resolve.ratio(f"Supplier#{i:09d}", f"Supplier#{j:09d}") >= 0.85 for j in range(40) for i in range(j))
