@@ -53,7 +53,7 @@ def _links(edges: DataFrame, movers: DataFrame, targets: DataFrame) -> DataFrame
 
 
 def _turn(nodes: DataFrame, seed: int, turn: int, parts: int = 2) -> DataFrame:
-    """The nodes whose turn it is, one in ``parts``; every turn draws anew, so no two neighbours keep swapping."""
+    """The nodes whose turn it is, one in ``parts``, or the edges from them; every turn draws anew, so no two neighbours keep swapping."""
     return nodes.where(F.pmod(F.xxhash64("a", F.lit(seed), F.lit(turn)), F.lit(parts)) == 0)
 
 
@@ -76,7 +76,8 @@ def _turns(edges: DataFrame, nodes: DataFrame, m2: float, seed: int, most_turns:
     for turn in range(most_turns):
         share = parts * 2 ** (turn // 3)
         movers = _turn(now, seed, turn, share).select("a", F.col("c").alias("own"), "k")
-        moves = _chosen(_links(edges, movers, now.select(F.col("a").alias("b"), "c")), now, m2)
+        # edges of nodes that keep still are left out where they are read, not by a join that moves them all
+        moves = _chosen(_links(_turn(edges, seed, turn, share), movers, now.select(F.col("a").alias("b"), "c")), now, m2)
         after = materialize(_with_moves(now.select("a", "c", "k"), moves), "leiden-nodes")
         if now is not nodes:
             discard(now)
@@ -118,7 +119,7 @@ def _refine(edges: DataFrame, nodes: DataFrame, m2: float, seed: int, turns: int
         alone = placed.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("c")
         movers = materialize(_turn(placed.join(alone, "c", "left_semi"), seed + 1, turn).select("a", F.col("c").alias("own"), "k"), "leiden-movers")
         still = placed.join(movers.select("a"), "a", "left_anti").select(F.col("a").alias("b"), "c")
-        moves = _chosen(_links(inner, movers, still), placed, m2)
+        moves = _chosen(_links(_turn(inner, seed + 1, turn), movers, still), placed, m2)
         after = materialize(placed.join(moves, "a", "left").select("a", "home", "k", F.coalesce("to", "c").alias("c")), "leiden-parts")
         discard(placed, movers)
         placed = after

@@ -92,3 +92,12 @@ def test_rounds_run_on_numbers_not_on_names(spark, monkeypatch):
     found = community.detect_communities(edges, most_levels=1, most_turns=1, refine_turns=1)
     assert {(r["id"], r["community"]) for r in found.where("level = 0").collect()} in ({("x", "x"), ("y", "x")}, {("x", "x"), ("y", "y")})
     assert kinds and all(kind in ("bigint", "double", "boolean") for _, kind in kinds)
+
+
+def test_a_turn_moves_only_the_edges_of_its_nodes(spark, monkeypatch):
+    sizes, real = [], community._links
+    monkeypatch.setattr(community, "_links", lambda edges, movers, targets: (sizes.append((edges.join(movers, "a", "left_anti").count(), edges.count())), real(edges, movers, targets))[1])
+    edges = spark.createDataFrame([(i, j) for i in range(30) for j in range(30) if i != j], "a long, b long").selectExpr("a", "b", "1.0D AS w")
+    nodes = community._node_table(edges)
+    community._turns(edges, nodes, 870.0, 1, 2, 2)
+    assert len(sizes) == 2 and all(still == 0 and some < 870 for still, some in sizes)
